@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from prepkit.catalog import Registry, table
 from prepkit.operators import scenario as s
 from prepkit.plans.what_if import what_if as score
+from prepkit.session import stage
 
 registry = Registry()
 
@@ -167,7 +168,7 @@ def linear_model(spark, folder):
 @registry.add(f"WITH {OBSERVATIONS}, {PROFILE} SELECT district, round(distance, 8) AS distance FROM near")
 def similar_districts(spark, folder):
     names = ["unit price", "discount"]
-    profiles = s.profile(observations(spark, folder), "district", names)
+    profiles = s.profile(s.district_totals(observations(spark, folder), "district", "state", names), "district", names)
     near = s.similar_districts(profiles, "district", "Supplier#000000001", names, 5)
     return near.withColumn("distance", F.round("distance", 8))
 
@@ -195,7 +196,7 @@ def _scored(spark, folder):
     first = F.when(F.col("o_orderstatus") == "P", F.lit("much")).otherwise(F.col("district_feature1"))
     return score(
         observations(spark, folder),
-        sweep.withColumn("district_feature1", first),
+        stage(sweep.withColumn("district_feature1", first), "scenarios"),
         ["o_orderkey"],
         district="Supplier#000000001",
         target="net",

@@ -20,6 +20,7 @@ from prepkit.functions.values import (  # noqa: F401
     checked_timestamp,
     is_plain_number,
     modulo,
+    number_of,
     plain_number,
     scale,
     unit_hash,

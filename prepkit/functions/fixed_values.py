@@ -111,3 +111,4 @@ WHITESPACE_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 WORDS_AND_GAPS = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 DECIMAL_PATTERN = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+PADDED_DECIMAL_PATTERN = r"^[\s\p{Z}]*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?[\s\p{Z}]*$"

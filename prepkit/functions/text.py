@@ -88,8 +88,10 @@ def default_text(value: Column | str, default: str = fv.MISSING_TEXT) -> Column:
 
 def fixed_decimals(value: Column | str, digits: int = 2) -> Column:
     """Number with a fixed count of decimals; null stays null."""
-    value = _column(value)
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double")))
+    # A null is printed as the first letters of "null", which no number is. Taking that back reads the value
+    # once, where a condition on the value would compute it twice.
+    printed = F.format_string(f"%.{digits}f", _column(value).cast("double"))
+    return F.nullif(printed, F.lit("null"[:digits]))
 
 
 def number_text(value: Column | str) -> Column:

@@ -41,12 +41,18 @@ def is_plain_number(value: Column | str) -> Column:
 
     The forms a double cast would take beyond that (``5d``, ``NaN``, ``Infinity``) are ruled out by the pattern.
     """
-    return F.coalesce(strip_chars(value).rlike(fv.DECIMAL_PATTERN), F.lit(False))
+    return F.coalesce(_column(value).rlike(fv.PADDED_DECIMAL_PATTERN), F.lit(False))
+
+
+def number_of(value: Column | str) -> Column:
+    """A text as a double; white space that the cast itself does not skip is taken off only when it has to be."""
+    value = _column(value)
+    return F.coalesce(value.try_cast("double"), strip_chars(value).try_cast("double"))
 
 
 def plain_number(value: Column | str) -> Column:
     """The decimal number in a text as a double; null where ``is_plain_number`` is false."""
-    return F.when(is_plain_number(value), strip_chars(value).try_cast("double"))
+    return F.when(is_plain_number(value), number_of(value))
 
 
 def unit_hash(*parts: Column | str) -> Column:

@@ -155,9 +155,20 @@ def random_scenarios(df: DataFrame, keys: Sequence[str], seed: int = 0, digits:
     return df.select(*[column(k) for k in keys], *[draw(f) for f in district + grade])
 
 
-def profile(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """Mean of each feature per district."""
-    return df.groupBy(column(key)).agg(*[F.avg(column(f)).alias(f) for f in features])
+def district_totals(df: DataFrame, key: str, state: str, features: Sequence[str]) -> DataFrame:
+    """Rows and feature sums per district and state, over the rows without nulls.
+
+    Everything that compares districts works on this: one row per district instead of all observations.
+    """
+    used = drop_null_rows(df, [key, *features])
+    return used.groupBy(column(key), column(state)).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(column(f).cast("double")).alias(f) for f in features]
+    )
+
+
+def profile(totals: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """Mean of each feature per district, from the totals."""
+    return totals.groupBy(column(key)).agg(*[(F.sum(column(f)) / F.sum("rows")).alias(f) for f in features])
 
 
 def similar_districts(
@@ -210,16 +221,17 @@ GRAINS = ("district", "similar_districts", "state")
 
 
 def grain_sums(
-    df: DataFrame, features: Sequence[str], key: str, selected: str, similar: Sequence[str], in_state: Column
+    totals: DataFrame, features: Sequence[str], key: str, selected: str, similar: Sequence[str], in_state: Column
 ) -> DataFrame:
-    """Rows and feature sums of the district, the similar districts and the state, in one aggregation."""
+    """Rows and feature sums of the district, the similar districts and the state, from the totals."""
     masks = dict(zip(GRAINS, (column(key) == F.lit(selected), column(key).isin(list(similar)), in_state)))
-    used = drop_null_rows(df, list(features))
-    totals = []
-    for grain, mask in masks.items():
-        totals.append(F.count(F.when(mask, 1)).cast("double").alias(f"{grain}__rows"))
-        totals += [F.sum(F.when(mask, column(f).cast("double"))).alias(f"{grain}__{f}") for f in features]
-    return used.agg(*totals)
+    return totals.agg(
+        *[
+            F.sum(F.when(mask, column(c))).cast("double").alias(f"{grain}__{c}")
+            for grain, mask in masks.items()
+            for c in ["rows", *features]
+        ]
+    )
 
 
 def percent_increase(
@@ -240,7 +252,8 @@ def percent_increase(
     out = []
     for grain in GRAINS:
         values = {f: total[f"{grain}__{f}"] or 0.0 for f in model.coefficients}
-        base = model.intercept * total[f"{grain}__rows"] + sum(c * values[f] for f, c in model.coefficients.items())
+        rows = total[f"{grain}__rows"] or 0.0
+        base = model.intercept * rows + sum(c * values[f] for f, c in model.coefficients.items())
         moved = [
             column(field_of[f.replace(" ", "_")]).cast("double") / F.lit(100.0) * F.lit(c * values[f])
             for f, c in model.coefficients.items()

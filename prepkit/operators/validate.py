@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepkit.functions import fixed_values as fv
-from prepkit.functions.values import is_plain_number, plain_number
+from prepkit.functions.values import is_plain_number, number_of, plain_number
 from prepkit.operators.columns import column
 
 
@@ -29,10 +29,8 @@ def check_records(
     df: DataFrame, fields: Sequence[str], low: float | None = None, high: float | None = None
 ) -> DataFrame:
     """Add ``reason``: the broken rules of all fields, or null. One bad field fails the whole record."""
-    found = [
-        F.when(field_error(f, low, high).isNotNull(), F.concat(F.lit(f + ": "), field_error(f, low, high)))
-        for f in fields
-    ]
+    # A field without a problem gives null, which concat passes on and concat_ws leaves out.
+    found = [F.concat(F.lit(f + ": "), field_error(f, low, high)) for f in fields]
     return df.withColumn("reason", F.nullif(F.concat_ws("; ", *found), F.lit("")))
 
 
@@ -41,6 +39,6 @@ def gate(df: DataFrame, fields: Sequence[str], **limits: float) -> tuple[DataFra
     checked = check_records(df, fields, **limits)
     valid = checked.where(F.col("reason").isNull()).drop("reason")
     return (
-        valid.withColumns({f: plain_number(column(f)) for f in fields}),
+        valid.withColumns({f: number_of(column(f)) for f in fields}),
         checked.where(F.col("reason").isNotNull()),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prepkit.operators.columns import column
 from prepkit.operators.scenario import (
     bindings,
+    district_totals,
     feature_lists,
     fit,
     form_fields,
@@ -39,25 +40,24 @@ def what_if(
     """Predicted change per valid scenario, and the rejected scenarios.
 
     ``features`` has one row per observation, ``scenarios`` one record of twelve texts per row. Both may be
-    large: the features are aggregated a fixed number of times, the scenarios are mapped row by row.
+    large. The observations are read three times: to rank the features, to fit, and to add them up per
+    district. The scenarios are mapped row by row.
     """
-    chosen = select_by_slug(features.select(column(district_column), column(state_column)), district_column, district)
-    found = chosen.first()
-    if found is None:
-        raise ValueError(f"no such district: {district}")
-    name, state = found[district_column], found[state_column]
-
     ranked = rank_features(features, target, {"top": top, "bottom": bottom})
     top_names, bottom_names = feature_lists(ranked, "top", "bottom")
+    used = [*top_names, *bottom_names]
     fields = [f for group in form_fields() for f in group]
     bound = bindings(fields, top_names, bottom_names)
     valid, rejected = gate(scenarios, fields)
 
-    used = [*top_names, *bottom_names]
     model = fit(features, target, used)
-    profiles = stage(profile(features, district_column, used), "profiles")
-    near = similar_districts(profiles, district_column, name, used, similar)
+    totals = stage(district_totals(features, district_column, state_column, used), "district-totals")
+    chosen = select_by_slug(totals, district_column, district).first()
+    if chosen is None:
+        raise ValueError(f"no such district: {district}")
+    name, state = chosen[district_column], chosen[state_column]
+    near = similar_districts(profile(totals, district_column, used), district_column, name, used, similar)
     near_names = [r[district_column] for r in near.collect()]  # at most ``similar`` names
     in_state = F.coalesce(column(state_column) == F.lit(state), F.lit(False))
-    sums = grain_sums(features, used, district_column, name, near_names, in_state)
+    sums = grain_sums(totals, used, district_column, name, near_names, in_state)
     return percent_increase(valid, scenario_keys, bound, model, sums), rejected
