@@ -19,10 +19,15 @@ def column_types(cell: Column | str) -> Column:
     """
     cell = F.col(cell) if isinstance(cell, str) else cell
     value = F.nullif(cell, F.lit(""))
+
+    def all_cells(fits):
+        # Empty cells have no say; without this guard a null would count as a misfit.
+        return F.bool_and(F.when(value.isNotNull(), fits))
+
     return (
-        F.when(F.bool_and(value.rlike(fv.INTEGER_PATTERN) & value.try_cast("bigint").isNotNull()), "bigint")
-        .when(F.bool_and(value.rlike(fv.DECIMAL_PATTERN)), "double")
-        .when(F.bool_and(value.isin("true", "false")), "boolean")
+        F.when(all_cells(value.rlike(fv.INTEGER_PATTERN) & value.try_cast("bigint").isNotNull()), "bigint")
+        .when(all_cells(value.rlike(fv.FLOAT_PATTERN)), "double")
+        .when(all_cells(value.isin("true", "false")), "boolean")
         .otherwise("string")
     )
 

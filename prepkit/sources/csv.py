@@ -19,6 +19,8 @@ _FORMAT = {
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
+    "positiveInf": "inf",
+    "negativeInf": "-inf",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 Schema = T.StructType | str
@@ -77,6 +79,8 @@ def read_csv_tolerant(
 def read_csv_strict(spark: SparkSession, path: str, schema: Schema | None = None) -> DataFrame:
     """A cell that does not fit its column stops the job, also in columns that are not used later.
 
+    So does a row with too few or too many cells.
+
     Spark's fail-fast mode checks only the columns a query asks for. Here all cells are read as text and
     a filter over every column does the check, which column pruning cannot take away.
     """

@@ -1,0 +1,222 @@
+import os
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from prepkit.plans import consolidate
+from prepkit.sources import csv, files, tables
+
+
+@pytest.fixture
+def put(tmp_path):
+    def write(name, text, encoding="utf-8"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode(encoding))
+        return str(path)
+
+    return write
+
+
+def test_tolerant_read(spark, put, rows):
+    path = put("a.csv", 'a,b,c\n1,2.5,"x, ""y"""\nbad,3,z\n4\n5,6,q,extra\n')
+    df = csv.read_csv_tolerant(spark, path, "a bigint, b double, c string")
+    assert rows(df) == sorted([(1, 2.5, 'x, "y"'), (None, 3.0, "z"), (4, None, None), (5, 6.0, "q")], key=repr)
+
+
+def test_types_come_from_the_head_only(spark, put):
+    lines = "\n".join(f"{i},{i}.5,true,w{i}" for i in range(150)) + "\nlate,late,late,late\n"
+    path = put("a.csv", "i,d,b,s\n" + lines)
+    df = csv.read_csv_tolerant(spark, path)
+    assert df.dtypes == [("i", "bigint"), ("d", "double"), ("b", "boolean"), ("s", "string")]
+    assert df.count() == 151 and df.where("i is null and d is null and b is null and s = 'late'").count() == 1
+    assert csv.read_csv_tolerant(spark, path, infer_rows=200).dtypes[0] == ("i", "string")
+    assert dict(csv.read_csv_dynamic(spark, path).dtypes)["i"] == "string"
+
+
+def test_empty_cells_have_no_say_in_the_type(spark, put):
+    path = put("a.csv", "i,d,b,s\n,,,\n1,.5,true,\n,NaN,,\n2,-inf,false,\n")
+    df = csv.read_csv_tolerant(spark, path)
+    assert df.dtypes == [("i", "bigint"), ("d", "double"), ("b", "boolean"), ("s", "string")]
+    assert df.where("d = double('-inf') or isnan(d)").count() == 2
+
+
+def test_head_longer_than_one_block(spark, put):
+    wide = "x" * 100_000
+    path = put("a.csv", "i,s\n" + "".join(f"{i},{wide}\n" for i in range(5)) + "late,s\n")
+    assert csv.read_csv_tolerant(spark, path, infer_rows=6).dtypes[0] == ("i", "string")
+    assert csv.read_csv_tolerant(spark, path, infer_rows=5).dtypes[0] == ("i", "bigint")
+
+
+def test_scan_is_pruned_and_filtered(spark, put, plan):
+    path = put("a.csv", "a,b,c\n1,2,3\n")
+    text = plan(csv.scan_csv(spark, path, "a int, b int, c int").where("a = 1").select("b"))
+    assert "ReadSchema: struct<a:int,b:int>" in text and "EqualTo(a,1)" in text
+
+
+def test_strict_read_checks_columns_that_are_not_used(spark, put):
+    path = put("a.csv", "a,b\n1,2\nx,3\n")
+    df = csv.read_csv_strict(spark, path, "a int, b int")
+    for query in (df, df.select("b"), df.groupBy().count()):
+        with pytest.raises(PySparkException, match="column a takes int, not: x"):
+            query.collect()
+    good = put("b.csv", "a,b\n1,\n2,3\n")
+    assert csv.read_csv_strict(spark, good).dtypes == [("a", "bigint"), ("b", "bigint")]
+    for line in ("1,2,3", "1"):
+        with pytest.raises(Exception, match="Malformed CSV record"):
+            csv.read_csv_strict(spark, put("c.csv", f"a,b\n{line}\n"), "a int, b int").collect()
+
+
+def test_null_markers(spark, put):
+    path = put("a.csv", "i,d,s,none\n1,NA,x,null\nNULL,2.5,n/a,\n3,nan,None?,N/A\n")
+    df = csv.read_csv_null_set(spark, path)
+    assert df.dtypes == [("i", "bigint"), ("d", "double"), ("s", "string"), ("none", "string")]
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(
+        [(1, None, "x", None), (None, 2.5, None, None), (3, None, "None?", None)], key=repr
+    )
+
+
+def test_round_trip(spark, tmp_path, rows):
+    df = spark.createDataFrame(
+        [(1, ' "q", \\ ', 0.1, True), (2, "\tt", 1e300, None)], "i bigint, s string, d double, b boolean"
+    ).withColumn("t", F.lit("2024-01-02 03:04:05.123456").cast("timestamp_ntz"))
+    path = str(tmp_path / "out")
+    csv.write_csv(df, path)
+    assert rows(csv.read_csv_strict(spark, path, df.schema)) == rows(df)
+    assert csv.header_of(spark, path) == df.columns
+
+
+def test_exists(spark, put):
+    path = put("a.csv", "a\n1\n")
+    assert files.exists(spark, path) and not files.exists(spark, path + "x")
+    assert files.exists_or_skip(spark, path)[0] and "place a CSV file" in files.exists_or_skip(spark, path + "x")[1]
+
+
+def folder(put, tmp_path):
+    put("raw/school/edunomics/a.csv", "a,b\n1,2\n3,4\n")
+    put("raw/school/edunomics/deep/b.csv", "b,a2\n0.5,x\n")
+    put("raw/school/edunomics/c.csv", "b,a\n7,true\n")
+    put("raw/school/edunomics/same.csv", "a,b\n5,6\n")
+    put("raw/school/edunomics/bad.csv", "a,b\nÿþ,1\n", "latin-1")
+    put("raw/school/edunomics/skip.txt", "a,b\n9,9\n")
+    put("raw/teacher/edunomics/t.csv", "t\n1\n")
+    return str(tmp_path / "raw")
+
+
+def test_discover_and_consolidate(spark, put, tmp_path, rows):
+    root = folder(put, tmp_path)
+    found = files.discover(spark, root)
+    assert list(found) == [("school", "edunomics"), ("teacher", "edunomics")]
+    assert found[("school", "edunomics")].count() == 5
+    df, errors, profile = consolidate.consolidate(spark, found[("school", "edunomics")])
+    # boolean and int stack as the number type, int and double as double
+    assert df.dtypes == [("a", "bigint"), ("b", "double"), ("a2", "string")]
+    want = [(1, 2.0, None), (3, 4.0, None), (5, 6.0, None), (1, 7.0, None), (None, 0.5, "x")]
+    assert rows(df) == sorted(want, key=repr)
+    assert [os.path.basename(r["path"]) for r in errors.collect()] == ["bad.csv"]
+    assert {os.path.basename(r["path"]): r["n_columns"] for r in profile.collect()} == {
+        "a.csv": 2, "b.csv": 2, "c.csv": 2, "same.csv": 2
+    }
+
+
+def test_one_scan_per_typed_header(spark, put, tmp_path):
+    root = folder(put, tmp_path)
+    heads = files.file_heads(files.list_csv(spark, root))
+    groups = consolidate.read_groups(spark, heads)
+    assert sorted(g.columns for g in groups) == [["a", "b"], ["b", "a"], ["b", "a2"], ["t"]]
+
+
+def test_run_writes_one_folder_per_pair(spark, put, tmp_path):
+    errors = consolidate.run(spark, folder(put, tmp_path), str(tmp_path / "out"))
+    assert errors[("school", "edunomics")].count() == 1 and errors[("teacher", "edunomics")].count() == 0
+    assert sorted(os.listdir(tmp_path / "out")) == ["school_edunomics", "teacher_edunomics"]
+    assert csv.read_csv_strict(spark, str(tmp_path / "out/teacher_edunomics"), "t int").first()[0] == 1
+
+
+def test_only_unreadable_files(spark, put, tmp_path):
+    put("x/a.csv", "ÿ\n", "latin-1")
+    with pytest.raises(ValueError, match="no readable"):
+        consolidate.consolidate(spark, files.list_csv(spark, str(tmp_path / "x")))
+
+
+def test_different_headers_are_refused_by_a_plain_read(spark, put, tmp_path):
+    put("x/a.csv", "a,b\n1,2\n")
+    put("x/b.csv", "b,a\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        csv.read_csv_tolerant(spark, str(tmp_path / "x"))
+
+
+def test_unknown_file_system_stops_the_job(spark):
+    listed = spark.createDataFrame([("nosuch://host/a.csv",)], "path string")
+    with pytest.raises(PySparkException, match="no reader for"):
+        files.file_heads(listed).collect()
+
+
+# ---- tables
+
+
+class Recorder:
+    """Stands in for a reader or writer and keeps what it was told."""
+
+    def __init__(self):
+        self.seen = {}
+
+    def format(self, name):
+        self.seen["format"] = name
+        return self
+
+    def options(self, **options):
+        self.seen.update(options)
+        return self
+
+    def mode(self, name):
+        self.seen["mode"] = name
+        return self
+
+    def load(self):
+        return self.seen
+
+    def save(self):
+        return None
+
+
+class Stub:
+    def __init__(self):
+        self.read = self.write = Recorder()
+
+
+def test_database_options():
+    source = tables.jdbc_options("jdbc:x", "DISTRICT", user="u", driver="d")
+    ranges = tables.partition_options("id", 0, 100, 4)
+    seen = tables.read_table(Stub(), source, ranges)
+    assert seen == {
+        "format": "jdbc", "url": "jdbc:x", "dbtable": "DISTRICT", "user": "u", "driver": "d",
+        "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "4",
+    }
+    with pytest.raises(ValueError):
+        tables.partition_options("id", 0, 1, 0)
+    for write, mode in ((tables.write_table_replace, "overwrite"), (tables.write_table_append, "append")):
+        stub = Stub()
+        write(stub, source)
+        assert stub.write.seen["mode"] == mode and stub.write.seen["batchsize"] == "1000"
+
+
+def test_replace_and_append(spark, tmp_path, rows):
+    target = {"path": str(tmp_path / "t")}
+    df = spark.range(7).select((F.col("id") * 10).alias("k"))
+    tables.write_table_replace(df.limit(2), target, fmt="parquet")
+    tables.write_table_replace(df, target, order_by=["k"], fmt="parquet")
+    assert rows(tables.read_table(spark, target, fmt="parquet")) == [(i, i * 10) for i in range(7)]
+    other = {"path": str(tmp_path / "u")}
+    for _ in range(2):
+        tables.write_table_append(df, other, fmt="parquet")
+    assert tables.read_table(spark, other, fmt="parquet").count() == 14
+
+
+def test_schema_of_names_with_odd_characters(spark, put):
+    path = put("a.csv", "State FIPS,a.b,c`d\n1,2,3\n")
+    df = csv.read_csv_strict(spark, path)
+    assert df.columns == ["State FIPS", "a.b", "c`d"] and tuple(df.first()) == (1, 2, 3)
+    assert isinstance(df.schema[0].dataType, T.LongType)
