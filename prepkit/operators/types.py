@@ -12,10 +12,10 @@ _INTEGERS = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
 _FLOATS = [T.FloatType(), T.DoubleType()]
 
 
-def column_types(cell: Column | str) -> Column:
+def column_types(cell: Column | str, empty: str = "string") -> Column:
     """Aggregate: the narrowest of long, double, boolean and string that takes every non-empty cell.
 
-    It is one pass with partial aggregation. A column without any value is a string.
+    It is one pass with partial aggregation. ``empty`` is the type of a column without any value.
     """
     cell = F.col(cell) if isinstance(cell, str) else cell
     value = F.nullif(cell, F.lit(""))
@@ -28,6 +28,7 @@ def column_types(cell: Column | str) -> Column:
         F.when(all_cells(value.rlike(fv.INTEGER_PATTERN) & value.try_cast("bigint").isNotNull()), "bigint")
         .when(all_cells(value.rlike(fv.FLOAT_PATTERN)), "double")
         .when(all_cells(value.isin("true", "false")), "boolean")
+        .when(F.count(value) == 0, empty)
         .otherwise("string")
     )
 

@@ -15,5 +15,6 @@ def loadable(df: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, path: str, table_options: dict[str, str], table_format: str = "jdbc") -> None:
-    """Read with the usual null markers and append."""
-    write_table_append(loadable(read_csv_null_set(spark, path)), table_options, fmt=table_format)
+    """Read with the usual null markers and append. The pass that finds the types also finds the empty columns."""
+    rows = names_upper(read_csv_null_set(spark, path, drop_empty=True))
+    write_table_append(rows, table_options, fmt=table_format)

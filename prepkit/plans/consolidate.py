@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.union import union_relaxed
 from prepkit.session import stage
-from prepkit.sources.csv import scan_csv, schema_of, write_csv
+from prepkit.sources.csv import scan_csv, schema_of, unique_names, write_csv
 from prepkit.sources.files import discover, file_errors, file_heads, file_profile, typed_headers
 
 
@@ -28,7 +28,7 @@ def read_groups(spark: SparkSession, heads: DataFrame) -> list[DataFrame]:
         .collect()
     )
     groups.sort(key=lambda g: g["paths"][0])
-    return [scan_csv(spark, g["paths"], schema_of(g["header"], g["types"])) for g in groups]
+    return [scan_csv(spark, g["paths"], schema_of(unique_names(g["header"]), g["types"])) for g in groups]
 
 
 def consolidate(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.columns import column
 from prepkit.operators.types import column_types, common_type
-from prepkit.sources.files import file_errors, file_heads, list_csv, typed_headers
+from prepkit.sources.files import file_errors, file_heads, typed_headers
 
 # A quote inside a quoted cell is written twice, and white space belongs to the cell.
 _FORMAT = {
@@ -26,33 +28,28 @@ _FORMAT = {
 Schema = T.StructType | str
 
 
-def _reader(spark: SparkSession, mode: str):
-    return spark.read.options(**_FORMAT).option("mode", mode)
+def _reader(spark: SparkSession, mode: str, multi_line: bool):
+    return spark.read.options(**_FORMAT).option("mode", mode).option("multiLine", multi_line)
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a file, from its first line."""
-    return _reader(spark, "PERMISSIVE").csv(path).columns
-
+def unique_names(header: Sequence[str], pattern: str = "{name}_duplicated_{n}", first: int = 0) -> list[str]:
+    """Column names of a header line: a repeated name gets a number, an empty one its place."""
+    seen: Counter[str] = Counter()
+    names = []
+    for place, name in enumerate(header, 1):
+        name = name or f"column_{place}"
+        names.append(name if not seen[name] else pattern.format(name=name, n=seen[name] - 1 + first))
+        seen[name] += 1
+    return names
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: Schema) -> DataFrame:
-    """Deferred typed scan: Spark prunes columns and pushes simple filters into it."""
-    return _reader(spark, "PERMISSIVE").schema(schema).csv(path)
 
+def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: Schema, multi_line: bool = False) -> DataFrame:
+    """Deferred typed scan: Spark prunes columns and pushes simple filters into it.
 
-def head_schema(spark: SparkSession, path: str, infer_rows: int = fv.INFER_ROWS) -> T.StructType:
-    """Schema from the head of the file, or of each file in a folder of files with one header."""
-    heads = file_heads(list_csv(spark, path), infer_rows)
-    # One row per distinct (header, types), whatever the number of files.
-    kinds = typed_headers(heads).select("header", "types").distinct().collect()
-    if not kinds:
-        raise ValueError(f"no readable CSV header at {path}: {file_errors(heads).take(1)}")
-    if len({tuple(k["header"]) for k in kinds}) > 1:
-        raise ValueError(f"files with different headers at {path}: use read_groups")
-    types = kinds[0]["types"]
-    for kind in kinds[1:]:
-        types = [common_type(ddl_type(a), ddl_type(b)).simpleString() for a, b in zip(types, kind["types"])]
-    return schema_of(kinds[0]["header"], types)
+    Cells with line breaks need ``multi_line``, here and in the other readers. A file is then read by one
+    task as a whole, so it is off unless asked for.
+    """
+    return _reader(spark, "PERMISSIVE", multi_line).schema(schema).csv(path)
 
 
 def ddl_type(name: str) -> T.DataType:
@@ -65,38 +62,74 @@ def schema_of(names: Sequence[str], types: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, ddl_type(t)) for n, t in zip(names, types)])
 
 
+def _text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _heads(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    # The same files as a scan of the path.
+    return file_heads(spark.read.format("binaryFile").load(path).select("path"), rows)
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The first line of a file, or of the files of a folder, which must have one header."""
+    headers = _heads(spark, path, 1).select("path", "header", "message")
+    found = headers.where(F.col("header").isNotNull()).select("header").distinct().limit(2).collect()
+    if len(found) != 1:
+        reason = "files with different headers" if found else f"no readable CSV header {file_errors(headers).take(1)}"
+        raise ValueError(f"{path}: {reason}")
+    return list(found[0]["header"])
+
+
+def head_schema(spark: SparkSession, path: str, infer_rows: int = fv.INFER_ROWS) -> T.StructType:
+    """Schema from the head of the file, or of each file in a folder of files with one header."""
+    heads = _heads(spark, path, infer_rows)
+    # One row per distinct (header, types), whatever the number of files.
+    kinds = typed_headers(heads, empty="void").select("header", "types").distinct().collect()
+    if not kinds:
+        raise ValueError(f"{path}: no readable CSV header {file_errors(heads).take(1)}")
+    if len({tuple(k["header"]) for k in kinds}) > 1:
+        raise ValueError(f"{path}: files with different headers")
+    # A part file without a value in a column has no say in its type.
+    types = [reduce(common_type, map(ddl_type, column_kinds)) for column_kinds in zip(*[k["types"] for k in kinds])]
+    found = [t.simpleString() if t != T.NullType() else "string" for t in types]
+    return schema_of(unique_names(kinds[0]["header"]), found)
+
+
 def read_csv_tolerant(
-    spark: SparkSession, path: str, schema: Schema | None = None, infer_rows: int = fv.INFER_ROWS
+    spark: SparkSession,
+    path: str,
+    schema: Schema | None = None,
+    infer_rows: int = fv.INFER_ROWS,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A cell that does not fit its column becomes null and the row stays.
 
     Without a schema the types come from the first rows only, so a misfit further down is a null and
     does not turn the column into text.
     """
-    return scan_csv(spark, path, schema or head_schema(spark, path, infer_rows))
+    return scan_csv(spark, path, schema or head_schema(spark, path, infer_rows), multi_line)
 
 
-def read_csv_strict(spark: SparkSession, path: str, schema: Schema | None = None) -> DataFrame:
+def read_csv_strict(
+    spark: SparkSession, path: str, schema: Schema | None = None, multi_line: bool = False
+) -> DataFrame:
     """A cell that does not fit its column stops the job, also in columns that are not used later.
 
-    So does a row with too few or too many cells.
-
-    Spark's fail-fast mode checks only the columns a query asks for. Here all cells are read as text and
-    a filter over every column does the check, which column pruning cannot take away.
+    So does a row with too few or too many cells. Spark's fail-fast mode checks only the columns a query
+    asks for. Here all cells are read as text and a filter over every column does the check, which column
+    pruning cannot take away.
     """
     schema = schema or head_schema(spark, path)
     schema = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = _reader(spark, "FAILFAST").schema(text).csv(path)
+    raw = _reader(spark, "FAILFAST", multi_line).schema(_text_schema(schema.names)).csv(path)
     passed = F.lit(True)
     for field in schema.fields:
         cell = column(field.name)
         bad = cell.isNotNull() & cell.try_cast(field.dataType).isNull()
         message = F.concat(F.lit(f"column {field.name} takes {field.dataType.simpleString()}, not: "), cell)
         passed = F.when(bad, F.raise_error(message).cast("boolean")).otherwise(passed)
-    return raw.where(passed).select(
-        *[column(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+    return raw.where(passed).select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_csv_null_set(
@@ -104,24 +137,35 @@ def read_csv_null_set(
     path: str,
     markers: Sequence[str] = tuple(fv.NULL_MARKERS),
     schema: Schema | None = None,
+    drop_empty: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Cells that equal one of the markers are null; types are inferred from all other cells in one pass."""
-    raw = _reader(spark, "PERMISSIVE").csv(path)
-    cells = raw.select(
-        *[F.when(~column(c).isin(list(markers)), column(c)).alias(c) for c in raw.columns]
-    )
-    if schema is None:
-        kinds = cells.agg(
-            *[column_types(column(c)).alias(str(i)) for i, c in enumerate(raw.columns)]
+    """Cells that equal one of the markers are null; types are inferred from all other cells.
+
+    One aggregation gives the types and, for ``drop_empty``, the columns that hold no value at all.
+    """
+    names = unique_names(header_of(spark, path), pattern="{name}.{n}", first=1)
+    raw = _reader(spark, "PERMISSIVE", multi_line).schema(_text_schema(names)).csv(path)
+    cells = raw.select(*[F.when(~column(c).isin(list(markers)), column(c)).alias(c) for c in names])
+    kept = names
+    if schema is None or drop_empty:
+        found = cells.agg(
+            *[
+                F.struct(column_types(column(c)).alias("type"), F.count(column(c)).alias("cells")).alias(str(i))
+                for i, c in enumerate(names)
+            ]
         ).first()
-        schema = schema_of(raw.columns, list(kinds))
+        kept = [c for c, kind in zip(names, found) if kind["cells"] or not drop_empty]
+        schema = schema or schema_of(names, [kind["type"] for kind in found])
     schema = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
-    return cells.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return cells.select(
+        *[column(c).try_cast(f.dataType).alias(f.name) for c, f in zip(names, schema.fields) if c in kept]
+    )
 
 
-def read_csv_dynamic(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_dynamic(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Scan with types inferred from every row, one type per column."""
-    return _reader(spark, "PERMISSIVE").option("inferSchema", "true").csv(path)
+    return _reader(spark, "PERMISSIVE", multi_line).option("inferSchema", "true").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

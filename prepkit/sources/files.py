@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -81,25 +82,14 @@ def _open(path: str):
     return system.open_input_file(name)
 
 
-def _head_text(path: str, lines: int) -> str:
-    """The first ``lines`` lines, however long they are: chunks are added until they are complete."""
-    data = b""
-    with _open(path) as stream:
-        while data.count(b"\n") <= lines:
-            chunk = stream.read(_CHUNK)
-            if not chunk:
-                break
-            data += chunk
-    complete = b"\n".join(data.split(b"\n")[:lines])
-    return complete.decode("utf-8-sig")
-
-
 def _head(path: str, rows: int, separator: str) -> dict:
-    records = list(csv.reader(io.StringIO(_head_text(path, rows + 1)), delimiter=separator))
+    """Header and first records of a file; no more of it is read than the records need."""
+    csv.field_size_limit(sys.maxsize)
+    with _open(path) as stream:
+        text = io.TextIOWrapper(io.BufferedReader(stream, _CHUNK), encoding="utf-8-sig", newline="")
+        records = list(itertools.islice(csv.reader(text, delimiter=separator), rows + 1))
     if not records or not records[0]:
         raise ValueError("no header line")
-    if len(set(records[0])) != len(records[0]):
-        raise ValueError("a column name occurs twice")
     return {"path": path, "header": records[0], "cells": [r for r in records[1:] if r], "message": None}
 
 
@@ -136,15 +126,18 @@ def file_errors(heads: DataFrame) -> DataFrame:
     return heads.where(F.col("message").isNotNull()).select("path", "message")
 
 
-def typed_headers(heads: DataFrame) -> DataFrame:
-    """Per file the header and the type of each column, inferred from the rows of the head alone."""
+def typed_headers(heads: DataFrame, empty: str = "string") -> DataFrame:
+    """Per file the header and the type of each column, inferred from the rows of the head alone.
+
+    ``empty`` is the type of a column without a value in the head.
+    """
     cell = (
         heads.where(F.col("header").isNotNull())
         .select("path", "header", F.explode_outer("cells").alias("row"))
         .select("path", "header", "row", F.posexplode("header").alias("position", "name"))
         .select("path", "header", "position", F.get("row", F.col("position")).alias("cell"))
     )
-    per_column = cell.groupBy("path", "header", "position").agg(column_types("cell").alias("type"))
+    per_column = cell.groupBy("path", "header", "position").agg(column_types("cell", empty).alias("type"))
     return per_column.groupBy("path", "header").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "type"))), lambda s: s["type"]).alias("types")
     )

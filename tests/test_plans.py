@@ -137,6 +137,12 @@ def test_bulk_load(spark, put, tmp_path):
     )
 
 
+def test_loadable(spark, put):
+    path = put("bulk.csv", "id,none\n1,NA\n2,\n")
+    got = bulk_load.loadable(csv.read_csv_null_set(spark, path))
+    assert got.columns == ["ID"]
+
+
 def test_clean_sample(spark, put, tmp_path):
     raw = put("raw.csv", "timestamp,value\n2024-01-02,1.5\n2024-01-02 03:04:05,2\n2024-01-02T03:04:05.25,\n,4.0\n2024-01-03,NaN\n")
     out = str(tmp_path / "clean")

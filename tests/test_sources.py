@@ -78,6 +78,27 @@ def test_null_markers(spark, put):
     )
 
 
+def test_repeated_and_empty_names(spark, put):
+    path = put("a.csv", "a,a,,a\n1,2,3,4\n")
+    assert csv.read_csv_tolerant(spark, path).columns == ["a", "a_duplicated_0", "column_3", "a_duplicated_1"]
+    got = csv.read_csv_null_set(spark, path, markers=["3"], drop_empty=True)
+    assert got.columns == ["a", "a.1", "a.2"] and tuple(got.first()) == (1, 2, 4)
+
+
+def test_line_breaks_in_cells(spark, tmp_path, rows):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c")], "i bigint, s string")
+    path = str(tmp_path / "out")
+    csv.write_csv(df, path)
+    for read in (csv.read_csv_tolerant, csv.read_csv_strict):
+        assert rows(read(spark, path, multi_line=True)) == rows(df)
+    assert rows(csv.read_csv_null_set(spark, path, multi_line=True)) == rows(df)
+
+
+def test_very_long_cell_in_the_head(spark, put):
+    path = put("a.csv", "i,s\n1," + "x" * 300_000 + "\n")
+    assert csv.read_csv_tolerant(spark, path).select("i").first()[0] == 1
+
+
 def test_round_trip(spark, tmp_path, rows):
     df = spark.createDataFrame(
         [(1, ' "q", \\ ', 0.1, True), (2, "\tt", 1e300, None)], "i bigint, s string, d double, b boolean"
