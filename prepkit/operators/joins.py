@@ -2,7 +2,7 @@
 
 Spark picks the physical join. Adaptive execution splits a skewed left side of left, semi and anti joins and
 either side of an inner join. What it cannot split is handled here: the repeated keys on the right of a left
-join, and a frequent key on the left when the right side was reduced to its distinct keys first.
+join, and a frequent key on the left when the right side was aggregated by the same key just before.
 
 Frequent keys are found by their hash. There are at most ``1 / share`` of them, so the list is bounded
 whatever the size of the data, and a hash shared by two keys only moves one more key to the other branch.
@@ -111,20 +111,34 @@ def inner_join(
     return left.join(right, left_keys, "inner").select(*_order(left, right))
 
 
+def _one_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, share: float | None) -> DataFrame:
+    """Join to a side that has one row per key, with the frequent left keys apart."""
+    hot = frequent_key_hashes(left, keys, share) if share else []
+    if not hot:
+        return left.join(right, list(keys), how)
+    is_hot = F.coalesce(_key_hash(keys).isin(hot), F.lit(False))
+    usual = left.where(~is_hot).join(right.where(~is_hot), list(keys), how)
+    # The frequent left keys are few by construction, so their matches fit a broadcast.
+    frequent = left.where(is_hot).join(F.broadcast(right.where(is_hot)), list(keys), how)
+    return usual.unionByName(frequent)
+
+
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str] | Sequence[tuple[str, str]], share: float | None = HOT_SHARE
+) -> DataFrame:
+    """Left join to a table with one row per key, such as totals that were just added up per key."""
+    left_keys, right_keys = _keys(on)
+    right = _prepared(left, right, left_keys, right_keys, fv.RIGHT_SUFFIX)
+    return _one_per_key(left, right, left_keys, "left", share).select(*_order(left, right))
+
+
 def _membership(left, right, on, how: str, share: float | None) -> DataFrame:
     left_keys, right_keys = _keys(on)
     require(left, left_keys)
     require(right, right_keys)
     # One row per key: partial aggregation removes repeated right keys before the shuffle.
     known = right.select(*[column(r).alias(k) for k, r in zip(left_keys, right_keys)]).dropna("any").distinct()
-    hot = frequent_key_hashes(left, left_keys, share) if share else []
-    if not hot:
-        return left.join(known, left_keys, how)
-    is_hot = F.coalesce(_key_hash(left_keys).isin(hot), F.lit(False))
-    usual = left.where(~is_hot).join(known.where(~is_hot), left_keys, how)
-    # The frequent left keys are few by construction, so their matches fit a broadcast.
-    frequent = left.where(is_hot).join(F.broadcast(known.where(is_hot)), left_keys, how)
-    return usual.unionByName(frequent)
+    return _one_per_key(left, known, left_keys, how, share)
 
 
 def semi_join(left: DataFrame, right: DataFrame, on, share: float | None = HOT_SHARE) -> DataFrame:

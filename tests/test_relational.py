@@ -93,8 +93,18 @@ def test_frequent_left_key_in_semi_and_anti_join(spark):
         assert j.anti_join(left, right, [("k", "r")]).count() == 3000 - ones
 
 
-def test_adaptive_execution_splits_a_skewed_left_side(spark):
-    """The plain left join keeps the shape that adaptive execution can split."""
+def test_lookup_join_with_a_frequent_key(spark, plan):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"), "id")
+    totals = left.where("k < 2000").groupBy("k").agg(F.count("*").alias("n"))
+    joined = j.lookup_join(left, totals, ["k"])
+    assert "Union" in plan(joined)
+    plain = left.join(totals, "k", "left").select("k", "id", "n")
+    assert joined.exceptAll(plain).count() == 0 and plain.exceptAll(joined).count() == 0
+
+
+@pytest.fixture
+def small_skew(spark):
+    """Thresholds low enough for adaptive execution to see skew in small tables."""
     conf = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
@@ -105,19 +115,32 @@ def test_adaptive_execution_splits_a_skewed_left_side(spark):
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
-    try:
-        left = spark.range(0, 200000, 1, 8).select(
-            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"), F.col("id").alias("l")
-        )
-        right = spark.range(200000).select(F.col("id").alias("k"), F.col("id").alias("r"))
-        joined = j.left_join(left, right, ["k"], share=None)
-        assert joined.count() == 200000
-        done = joined.agg(F.sum("r"), F.sum("l"))
-        done.collect()
-        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def skewed(spark):
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint")
+    left = spark.range(0, 200000, 1, 8).select(key.alias("k"), F.col("id").alias("l"))
+    right = spark.range(200000).select(F.col("id").alias("k"), F.col("id").alias("r"))
+    return left, right
+
+
+def test_adaptive_execution_splits_a_skewed_left_side(spark, plan, small_skew):
+    """The plain left join keeps the shape that adaptive execution can split."""
+    left, right = skewed(spark)
+    done = j.left_join(left, right, ["k"], share=None).agg(F.count("*"), F.sum("l"), F.sum("r"))
+    assert done.collect()[0][0] == 200000
+    assert "skew=true" in plan(done)
+
+
+def test_the_first_of_two_joins_on_one_key_is_split_too(spark, plan, small_skew):
+    left, right = skewed(spark)
+    both = j.left_join(j.left_join(left, right, ["k"], share=None), right.withColumnRenamed("r", "q"), ["k"], share=None)
+    done = both.agg(F.count("*"), F.sum("l"), F.sum("r"), F.sum("q"))
+    assert done.collect()[0][0] == 200000
+    assert "skew=true" in plan(done)
 
 
 def test_suffix_rules(spark):
