@@ -85,6 +85,19 @@ def semi_join_frequent_key(spark, folder):
     return j.semi_join(events, supplier, [("k", "s_suppkey")]).select("event_id", "event_type")
 
 
+@registry.add("""
+    WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN user_id ELSE 1 END AS k, value FROM events),
+         t AS (SELECT k, count(*) AS n, max(value) AS top FROM e GROUP BY k)
+    SELECT event_id, e.k, n, top FROM e LEFT JOIN t ON e.k = t.k
+""")
+def lookup_join_frequent_key(spark, folder):
+    """Each event with the totals of its key, where most events carry one key."""
+    key = F.when(F.col("event_type") == "error", F.col("user_id")).otherwise(F.lit(1)).alias("k")
+    events = table(spark, folder, "events").select("event_id", key, "value")
+    totals = events.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    return j.lookup_join(events.select("event_id", "k"), totals, ["k"])
+
+
 @registry.add("SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def anti_join(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "lang", "source")

@@ -121,6 +121,48 @@ def consolidate_files(spark, folder):
     return rows.select("id", "name", "amount", "segment")
 
 
+@registry.add("""
+    SELECT 'S-' || s_suppkey AS id, s_name AS name, s_acctbal AS amount, 'school' AS level FROM supplier
+    UNION ALL SELECT cast(c_custkey AS varchar), c_name, cast(c_nationkey AS double), 'school' FROM customer
+    UNION ALL SELECT cast(o_orderkey AS varchar), o_orderstatus, o_totalprice, 'teacher' FROM orders
+""")
+def consolidate_to_folders(spark, folder):
+    """The whole job: one written folder per level; the level without input is skipped."""
+    raw, out = scratch_path(spark, "raw-levels"), scratch_path(spark, "out-levels")
+    name, amount = F.col("s_name").alias("name"), F.col("s_acctbal").alias("amount")
+    supplier, customer, orders = (table(spark, folder, n) for n in ("supplier", "customer", "orders"))
+    csv.write_csv(
+        supplier.select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("id"), name, amount),
+        f"{raw}/school/edunomics/a",
+    )
+    csv.write_csv(customer.toDF("id", "name", "amount", "x", "y").select("amount", "id", "name"), f"{raw}/school/edunomics/b")
+    csv.write_csv(orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), f"{raw}/teacher/edunomics")
+    written = consolidate.run(spark, raw, out)
+    frames = [
+        csv.read_csv_strict(spark, f"{out}/{level}_{category}", "id string, name string, amount double").withColumn(
+            "level", F.lit(level)
+        )
+        for level, category in written
+    ]
+    return frames[0].unionByName(frames[1])
+
+
+@registry.add("""
+    SELECT 'b' AS folder, count(*) > 0 AS failed FROM customer UNION ALL SELECT 'c', count(*) > 0 FROM supplier
+""")
+def unreadable_files(spark, folder):
+    """Two of three tables are written in an encoding that cannot be read."""
+    root = scratch_path(spark, "unreadable")
+    csv.write_csv(table(spark, folder, "nation"), f"{root}/a")
+    for name, source in (("b", "customer"), ("c", "supplier")):
+        rows = table(spark, folder, source)
+        rows.write.option("header", "true").option("encoding", "UTF-16").csv(f"{root}/{name}")
+    errors = files.file_errors(files.file_heads(files.list_csv(spark, root)))
+    # A table may be written as several files.
+    place = F.regexp_extract("path", "/([a-z])/[^/]+$", 1).alias("folder")
+    return errors.groupBy(place).agg((F.count("message") > 0).alias("failed"))
+
+
 @registry.add("""
     SELECT 3 AS n_columns, count(*) > 0 AS found FROM supplier
     UNION ALL SELECT 4, count(*) > 0 FROM customer

@@ -108,7 +108,7 @@ NUMBER_MESSAGE = "Must be a number"
 
 # Patterns of our own.
 WHITESPACE_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-WORDS_AND_GAPS = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
+WORDS_AND_GAPS = r"([\p{L}\p{N}]+[^\p{L}\p{N}]*|[^\p{L}\p{N}]+)"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 FLOAT_PATTERN = r"^[+-]?(([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|inf|NaN)$"
 PADDED_DECIMAL_PATTERN = r"^[\s\p{Z}]*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?[\s\p{Z}]*$"

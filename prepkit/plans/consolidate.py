@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,11 @@ from prepkit.sources.csv import scan_csv, schema_of, unique_names, write_csv
 from prepkit.sources.files import discover, file_errors, file_heads, file_profile, typed_headers
 
 
+def literal_path(path: str) -> str:
+    """A path that a reader takes as it stands, where it would take some signs as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_groups(spark: SparkSession, heads: DataFrame) -> list[DataFrame]:
     """One frame per distinct typed header, in the order of the first file of each.
 
@@ -28,7 +34,7 @@ def read_groups(spark: SparkSession, heads: DataFrame) -> list[DataFrame]:
         .collect()
     )
     groups.sort(key=lambda g: g["paths"][0])
-    return [scan_csv(spark, g["paths"], schema_of(unique_names(g["header"]), g["types"])) for g in groups]
+    return [scan_csv(spark, [literal_path(p) for p in g["paths"]], schema_of(unique_names(g["header"]), g["types"])) for g in groups]
 
 
 def consolidate(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

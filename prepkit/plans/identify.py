@@ -31,12 +31,14 @@ def identify(
 ) -> DataFrame:
     """District rows with their county; a district in several counties gives several rows.
 
-    Names that no district row has need no removal beforehand: the left join never meets them.
+    Names that no district row has need no removal beforehand: the left join never meets them. Title case is
+    made on both sides before the join, once per row and not once per match.
     """
-    lowered = districts.withColumn("LEANM", F.lower("LEANM"))
-    joined = left_join(lowered, clean_names(counties, state), [("LEANM", DISTRICT)], share=share)
-    named = names_snake(joined)
-    return named.withColumns({"leanm": title_case("leanm"), "county_names": title_case("county_names")})
+    key = F.lower("LEANM")
+    left = districts.withColumns({"LEANM": key, "__title": title_case(key)})
+    right = clean_names(counties, state).withColumn(COUNTY, title_case(f"`{COUNTY}`"))
+    joined = left_join(left, right, [("LEANM", DISTRICT)], share=share)
+    return names_snake(joined.withColumn("LEANM", F.col("__title")).drop("__title"))
 
 
 def match_report(districts: DataFrame, counties: DataFrame, state: int = fv.STATE_CODE) -> DataFrame:

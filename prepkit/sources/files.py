@@ -70,16 +70,19 @@ def discover(
 
 
 def _open(path: str):
+    """Open a file by the path Spark gives. The path is no URI: blanks and other signs in it stand for themselves."""
     from pyarrow import fs
 
     scheme, _, rest = path.partition(":")
-    uri = f"file:///{rest.lstrip('/')}" if scheme == "file" else path.replace("s3a://", "s3://", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    host, _, name = rest.removeprefix("//").partition("/")
     try:
-        system, name = fs.FileSystem.from_uri(uri)
+        system, root = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{host}/")
     except (ValueError, NotImplementedError) as error:
         # Not a fault of this one file: no file of that kind can be read, so the job stops.
         raise RuntimeError(f"no reader for {path}") from error
-    return system.open_input_file(name)
+    return system.open_input_file(f"{root.rstrip('/')}/{name}")
 
 
 def _head(path: str, rows: int, separator: str) -> dict:

@@ -142,6 +142,14 @@ def test_discover_and_consolidate(spark, put, tmp_path, rows):
     }
 
 
+def test_odd_file_names(spark, put, tmp_path, rows):
+    names = ["a b.csv", "a [1].csv", "{x,y}.csv", "what?.csv", "100%20.csv", "ü*.csv"]
+    for i, name in enumerate(names):
+        put(f"odd/{name}", f"n\n{i}\n")
+    df, errors, _ = consolidate.consolidate(spark, files.list_csv(spark, str(tmp_path / "odd")))
+    assert errors.count() == 0 and rows(df) == [(i,) for i in range(len(names))]
+
+
 def test_one_scan_per_typed_header(spark, put, tmp_path):
     root = folder(put, tmp_path)
     heads = files.file_heads(files.list_csv(spark, root))
