@@ -20,10 +20,21 @@ RUNTIME_CONF = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+PARTITION_BYTES = 128 << 20
+
+
+def configure(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime settings to an existing session.
+
+    With ``shuffled_bytes``, the size of the largest shuffle to come, there are enough shuffle partitions for
+    each to fit a task; adaptive execution joins those that turn out small. A higher setting is kept.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    if shuffled_bytes:
+        wanted = -(-shuffled_bytes // PARTITION_BYTES)
+        present = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", max(wanted, present))
     return spark
 
 
@@ -32,7 +43,7 @@ def scratch_root(spark: SparkSession) -> str:
 
     Only a local session without that setting may fall back to a folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
