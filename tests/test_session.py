@@ -14,34 +14,35 @@ def test_shuffle_partitions_follow_the_size(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_scratch_folder_comes_from_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        one, two = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
-        assert one != two and one.startswith(str(tmp_path))
-        staged = session.stage(spark.range(5))
-        assert staged.count() == 5 and staged.inputFiles()[0].startswith(f"file://{tmp_path}")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_staged_tables_lie_in_the_shared_folder(spark):
+    one, two = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
+    root = session.scratch_root(spark)
+    assert one != two and one.startswith(root)
+    staged = session.stage(spark.range(5))
+    assert staged.count() == 5 and root.removeprefix("file:") in staged.inputFiles()[0]
+
+
+class Stub:
+    """A session with these settings."""
 
+    def __init__(self, named, master):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.master, self.folder = master, None
 
-class Cluster:
-    """A session on a cluster that names no shared folder."""
+    def getCheckpointDir(self):
+        return self.folder
 
-    class conf:
-        @staticmethod
-        def get(key, default):
-            return default
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
-    class sparkContext:
-        master = "spark://host:7077"
 
-        @staticmethod
-        def getCheckpointDir():
-            return None
+def test_the_named_folder_is_used():
+    assert session.scratch_root(Stub("hdfs://host/shared/", "spark://host:7077")) == "hdfs://host/shared"
 
 
-def test_a_cluster_must_name_a_shared_folder():
+def test_only_a_local_session_makes_its_own_folder():
+    local = Stub(None, "local[2]")
+    assert session.scratch_root(local) == session.scratch_root(local) == local.folder
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.scratch_root(Cluster)
+        session.scratch_root(Stub(None, "spark://host:7077"))
