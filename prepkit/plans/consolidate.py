@@ -27,14 +27,14 @@ def read_groups(spark: SparkSession, heads: DataFrame) -> list[DataFrame]:
     number of scans follows the number of distinct headers and not the number of files; what reaches the
     driver is the list of file names that a scan needs anyway.
     """
-    groups = (
-        typed_headers(heads)
-        .groupBy("header", "types")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
-        .collect()
-    )
-    groups.sort(key=lambda g: g["paths"][0])
-    return [scan_csv(spark, [literal_path(p) for p in g["paths"]], schema_of(unique_names(g["header"]), g["types"])) for g in groups]
+    typed = stage(typed_headers(heads), "typed-headers")
+    kinds = typed.groupBy("header", "types").agg(F.min("path").alias("first")).orderBy("first").collect()
+    frames = []
+    for kind in kinds:
+        same = (F.col("header") == F.lit(kind["header"])) & (F.col("types") == F.lit(kind["types"]))
+        paths = [literal_path(r["path"]) for r in typed.where(same).select("path").collect()]
+        frames.append(scan_csv(spark, paths, schema_of(unique_names(kind["header"]), kind["types"])))
+    return frames
 
 
 def consolidate(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def exists(spark: SparkSession, path: str) -> bool:
     """True when the path can be listed; no file content is read."""
     try:
-        spark.read.format("binaryFile").load(path).schema  # noqa: B018  (loading lists the path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)  # lists the path
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return False
