@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,21 +40,32 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _key_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Rows per key on both sides from one shuffle, added up on the map side; no join."""
-    sides = left.select(column(left_key).alias("key"), F.lit(1).alias("l"), F.lit(0).alias("r")).union(
-        right.select(column(right_key).alias("key"), F.lit(0).alias("l"), F.lit(1).alias("r"))
-    )
-    return sides.groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+Key = str | Sequence[str]
+
+
+def _key_counts(left: DataFrame, right: DataFrame, left_key: Key, right_key: Key) -> DataFrame:
+    """Rows per key on both sides from one shuffle, added up on the map side; no join.
+
+    ``present`` tells whether no part of the key is null, that is, whether the key can match at all.
+    """
+
+    def side(df: DataFrame, key: Key, l: int, r: int) -> DataFrame:
+        parts = [column(k).alias(f"k{i}") for i, k in enumerate([key] if isinstance(key, str) else key)]
+        return df.select(*parts, F.lit(l).alias("l"), F.lit(r).alias("r"))
+
+    both = side(left, left_key, 1, 0).union(side(right, right_key, 0, 1))
+    keys = both.columns[:-2]
+    present = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return both.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).withColumn("present", present)
 
 
 def _as_metrics(totals: DataFrame) -> DataFrame:
     return totals.unpivot([], [column(c) for c in totals.columns], "metric", "value")
 
 
-def reconcile(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def reconcile(left: DataFrame, right: DataFrame, left_key: Key, right_key: Key) -> DataFrame:
     """How well two tables match on a key, as ``(metric, value)``. Null is one key and matches nothing."""
-    present = F.col("key").isNotNull()
+    present = F.col("present")
 
     def rows(condition: Column, value: Column | int = 1) -> Column:
         return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("bigint")
@@ -69,12 +82,12 @@ def reconcile(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     )
 
 
-def fanout(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def fanout(left: DataFrame, right: DataFrame, left_key: Key, right_key: Key) -> DataFrame:
     """What a left join would do to the number of rows, without doing it: ``(metric, value)``."""
-    matches = F.when(F.col("key").isNull(), 1).otherwise(F.greatest(F.col("r"), F.lit(1)))
+    matches = F.when(F.col("present"), F.greatest(F.col("r"), F.lit(1))).otherwise(1)
     total = F.coalesce(F.sum("l"), F.lit(0)).cast("bigint")
     joined = F.coalesce(F.sum(F.col("l") * matches), F.lit(0)).cast("bigint")
-    several = F.col("key").isNotNull() & (F.col("l") > 0) & (F.col("r") > 1)
+    several = F.col("present") & (F.col("l") > 0) & (F.col("r") > 1)
     return _as_metrics(
         _key_counts(left, right, left_key, right_key).agg(
             total.alias("rows_in"),

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.columns import column, require
@@ -21,8 +22,15 @@ from prepkit.operators.columns import column, require
 HOT_SHARE = 0.05
 
 
-def _key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[column(k) for k in keys])
+def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Hash of the keys; whole numbers of any width give the same."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    wide = [column(k).cast("bigint") if isinstance(types[k], T.IntegralType) else column(k) for k in keys]
+    return F.xxhash64(*wide)
+
+
+def _is_hot(df: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> Column:
+    return F.coalesce(_key_hash(df, keys).isin(list(hot)), F.lit(False))
 
 
 def frequent_key_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
@@ -31,7 +39,7 @@ def frequent_key_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_S
     Two passes over the key columns, both aggregated on the map side: the first gives every candidate
     and perhaps some others, the second counts them.
     """
-    hashed = df.dropna("any", subset=list(keys)).select(_key_hash(keys).alias("h"))
+    hashed = df.dropna("any", subset=list(keys)).select(_key_hash(df, keys).alias("h"))
     candidates = hashed.stat.freqItems(["h"], share).first()[0]
     if not candidates:
         return []
@@ -45,10 +53,19 @@ def _keys(on: Sequence[str] | Sequence[tuple[str, str]]) -> tuple[list[str], lis
     return [left for left, _ in pairs], [right for _, right in pairs]
 
 
-def _prepared(left: DataFrame, right: DataFrame, left_keys, right_keys, suffix: str) -> DataFrame:
-    """The right side with its keys under the left names and clashing other columns under a suffix."""
+def _require_keys(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> None:
+    """Keys must exist and be of one type; whole numbers may differ in width."""
     require(left, left_keys)
     require(right, right_keys)
+    for one, other in zip(left_keys, right_keys):
+        kinds = left.schema[one].dataType, right.schema[other].dataType
+        if kinds[0] != kinds[1] and not all(isinstance(k, T.IntegralType) for k in kinds):
+            raise TypeError(f"join keys {one} and {other} differ in type: {kinds}")
+
+
+def _prepared(left: DataFrame, right: DataFrame, left_keys, right_keys, suffix: str) -> DataFrame:
+    """The right side with its keys under the left names and clashing other columns under a suffix."""
+    _require_keys(left, right, left_keys, right_keys)
     names = dict(zip(right_keys, left_keys))
     out = []
     for c in right.columns:
@@ -81,9 +98,9 @@ def left_join(
     hot = frequent_key_hashes(right, left_keys, share) if share else []
     if not hot:
         return left.join(right, left_keys, "left").select(*_order(left, right))
-    is_hot = F.coalesce(_key_hash(left_keys).isin(hot), F.lit(False))
     # A hash may be shared by a key without a match, so membership is checked on the key itself.
-    hot_keys = [r.asDict() for r in right.where(is_hot).select(*map(column, left_keys)).distinct().collect()]
+    found = right.where(_is_hot(right, left_keys, hot))
+    hot_keys = [r.asDict() for r in found.select(*map(column, left_keys)).distinct().collect()]
     is_hot = F.lit(False)
     for key in hot_keys:
         same = F.lit(True)
@@ -116,10 +133,10 @@ def _one_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     hot = frequent_key_hashes(left, keys, share) if share else []
     if not hot:
         return left.join(right, list(keys), how)
-    is_hot = F.coalesce(_key_hash(keys).isin(hot), F.lit(False))
-    usual = left.where(~is_hot).join(right.where(~is_hot), list(keys), how)
+    on_left, on_right = _is_hot(left, keys, hot), _is_hot(right, keys, hot)
+    usual = left.where(~on_left).join(right.where(~on_right), list(keys), how)
     # The frequent left keys are few by construction, so their matches fit a broadcast.
-    frequent = left.where(is_hot).join(F.broadcast(right.where(is_hot)), list(keys), how)
+    frequent = left.where(on_left).join(F.broadcast(right.where(on_right)), list(keys), how)
     return usual.unionByName(frequent)
 
 
@@ -134,8 +151,7 @@ def lookup_join(
 
 def _membership(left, right, on, how: str, share: float | None) -> DataFrame:
     left_keys, right_keys = _keys(on)
-    require(left, left_keys)
-    require(right, right_keys)
+    _require_keys(left, right, left_keys, right_keys)
     # One row per key: partial aggregation removes repeated right keys before the shuffle.
     known = right.select(*[column(r).alias(k) for k, r in zip(left_keys, right_keys)]).dropna("any").distinct()
     return _one_per_key(left, known, left_keys, how, share)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,23 +14,27 @@ _INTEGERS = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
 _FLOATS = [T.FloatType(), T.DoubleType()]
 
 
-def column_types(cell: Column | str, empty: str = "string") -> Column:
-    """Aggregate: the narrowest of long, double, boolean and string that takes every non-empty cell.
+def column_types(cell: Column | str, empty: str = "string", nulls: Sequence[str] = ("",)) -> Column:
+    """Aggregate: the narrowest of long, double, boolean and string that takes every cell that is no null marker.
 
-    It is one pass with partial aggregation. ``empty`` is the type of a column without any value.
+    Each cell is looked at once and gives one bit for its kind; the kinds of a column are the bits put
+    together. ``empty`` is the type of a column without any value.
     """
     cell = F.col(cell) if isinstance(cell, str) else cell
-    value = F.nullif(cell, F.lit(""))
-
-    def all_cells(fits):
-        # Empty cells have no say; without this guard a null would count as a misfit.
-        return F.bool_and(F.when(value.isNotNull(), fits))
-
+    whole, fraction, truth, text = 1, 2, 4, 8
+    kind = (
+        F.when(cell.isNull() | cell.isin(list(nulls)), None)
+        .when(cell.rlike(fv.INTEGER_PATTERN) & cell.try_cast("bigint").isNotNull(), whole)
+        .when(cell.rlike(fv.FLOAT_PATTERN), fraction)
+        .when(cell.isin("true", "false"), truth)
+        .otherwise(text)
+    )
+    kinds = F.bit_or(kind)
     return (
-        F.when(all_cells(value.rlike(fv.INTEGER_PATTERN) & value.try_cast("bigint").isNotNull()), "bigint")
-        .when(all_cells(value.rlike(fv.FLOAT_PATTERN)), "double")
-        .when(all_cells(value.isin("true", "false")), "boolean")
-        .when(F.count(value) == 0, empty)
+        F.when(kinds.isNull(), empty)
+        .when(kinds == whole, "bigint")
+        .when(kinds.isin(fraction, whole | fraction), "double")
+        .when(kinds == truth, "boolean")
         .otherwise("string")
     )
 

@@ -146,20 +146,20 @@ def read_csv_null_set(
     """
     names = unique_names(header_of(spark, path), pattern="{name}.{n}", first=1)
     raw = _reader(spark, "PERMISSIVE", multi_line).schema(_text_schema(names)).csv(path)
-    cells = raw.select(*[F.when(~column(c).isin(list(markers)), column(c)).alias(c) for c in names])
-    kept = names
+    markers = sorted({"", *markers})
+    types = dict.fromkeys(names, "string")
     if schema is None or drop_empty:
-        found = cells.agg(
-            *[
-                F.struct(column_types(column(c)).alias("type"), F.count(column(c)).alias("cells")).alias(str(i))
-                for i, c in enumerate(names)
-            ]
-        ).first()
-        kept = [c for c, kind in zip(names, found) if kind["cells"] or not drop_empty]
-        schema = schema or schema_of(names, [kind["type"] for kind in found])
+        found = raw.agg(*[column_types(column(c), "void", markers).alias(str(i)) for i, c in enumerate(names)]).first()
+        types = dict(zip(names, found))
+    if schema is None:
+        schema = schema_of(names, [t.replace("void", "string") for t in types.values()])
     schema = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
-    return cells.select(
-        *[column(c).try_cast(f.dataType).alias(f.name) for c, f in zip(names, schema.fields) if c in kept]
+    return raw.select(
+        *[
+            F.when(~column(c).isin(markers), column(c).try_cast(f.dataType)).alias(f.name)
+            for c, f in zip(names, schema.fields)
+            if not (drop_empty and types[c] == "void")
+        ]
     )
 
 

@@ -73,6 +73,18 @@ def test_joins_match_brute_force(spark, left, right, share):
     }
 
 
+def test_reports_on_several_keys(spark):
+    left = spark.createDataFrame([(1, 1), (1, 2), (None, 1), (1, 1)], "a int, b int")
+    right = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, 2)], "c int, d int")
+    assert dict(a.reconcile(left, right, ["a", "b"], ["c", "d"]).collect()) == {
+        "left_rows": 4, "right_rows": 4, "left_keys": 3, "right_keys": 3, "matched_keys": 1, "left_only_rows": 2
+    }
+    joined = j.left_join(left, right, [("a", "c"), ("b", "d")]).count()
+    assert dict(a.fanout(left, right, ["a", "b"], ["c", "d"]).collect()) == {
+        "rows_in": 4, "rows_out": joined, "rows_added": joined - 4, "keys_with_several_matches": 1
+    }
+
+
 def test_frequent_keys_are_found_and_joined_apart(spark, plan):
     left = spark.range(200).select((F.col("id") % 50).alias("k"), F.col("id").alias("l"))
     right = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"), F.col("id").alias("r"))
@@ -93,6 +105,19 @@ def test_frequent_left_key_in_semi_and_anti_join(spark):
         assert j.anti_join(left, right, [("k", "r")]).count() == 3000 - ones
 
 
+def test_keys_of_different_width_and_type(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).cast("int").alias("k"), "id")
+    right = spark.createDataFrame([(7, 1)], "r bigint, x int")
+    assert j.semi_join(left, right, [("k", "r")]).count() == 1501
+    assert j.anti_join(left, right, [("k", "r")]).count() == 1499
+    assert j.lookup_join(left, right, [("k", "r")]).where("x = 1").count() == 1501
+    assert j.left_join(right, left, [("r", "k")]).count() == 1501
+    text = right.withColumn("r", F.col("r").cast("string"))
+    for join in (j.left_join, j.inner_join, j.semi_join, j.anti_join, j.lookup_join):
+        with pytest.raises(TypeError):
+            join(left, text, [("k", "r")])
+
+
 def test_lookup_join_with_a_frequent_key(spark, plan):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"), "id")
     totals = left.where("k < 2000").groupBy("k").agg(F.count("*").alias("n"))
@@ -235,6 +260,21 @@ def test_no_common_type():
         common_type(T.DateType(), T.DoubleType())
 
 
+@FEW
+@given(st.lists(st.lists(st.sampled_from("abcd"), unique=True, min_size=1), min_size=1, max_size=5), st.integers(0, 9))
+def test_stacking_loses_nothing(spark, headers, seed):
+    kinds = [lambda c: c.cast("int"), lambda c: c.cast("double"), lambda c: c.cast("string"), lambda c: c % 2 == 0]
+    frames = [
+        spark.range(i + 1).select(*[kinds[(seed + i + ord(c)) % 4](F.col("id")).alias(c) for c in header])
+        for i, header in enumerate(headers)
+    ]
+    got = union_relaxed(frames)
+    assert got.columns == list(dict.fromkeys(c for header in headers for c in header))
+    counts = got.agg(F.count(F.lit(1)), *[F.count(c) for c in got.columns]).collect()[0]
+    assert counts[0] == sum(i + 1 for i in range(len(headers)))
+    assert list(counts[1:]) == [sum(i + 1 for i, h in enumerate(headers) if c in h) for c in got.columns]
+
+
 def test_union(spark, rows):
     one = spark.createDataFrame([(1, 2)], "a int, b int")
     two = spark.createDataFrame([("x", 0.5)], "c string, b double")
