@@ -77,6 +77,9 @@ NULL_MARKERS = [
     "null",
 ]
 
+# Cells that reader takes as truth values.
+TRUTH_WORDS = ["True", "TRUE", "true", "False", "FALSE", "false"]
+
 # Raw data folders: (level, category).
 RAW_LEVELS = ["school", "student", "teacher"]
 RAW_CATEGORIES = ["edunomics"]

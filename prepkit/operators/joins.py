@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.columns import column, require
+from prepkit.operators.row_id import with_row_id
 
 HOT_SHARE = 0.05
+_FEW_ROWS = 1000
 
 
 def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
@@ -135,9 +137,11 @@ def _one_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
         return left.join(right, list(keys), how)
     on_left, on_right = _is_hot(left, keys, hot), _is_hot(right, keys, hot)
     usual = left.where(~on_left).join(right.where(~on_right), list(keys), how)
-    # The frequent left keys are few by construction, so their matches fit a broadcast.
-    frequent = left.where(on_left).join(F.broadcast(right.where(on_right)), list(keys), how)
-    return usual.unionByName(frequent)
+    # One row for each of the few frequent keys fits a broadcast. Their number is checked before it is asked for.
+    few = right.where(on_right)
+    if few.limit(_FEW_ROWS + 1).count() <= _FEW_ROWS:
+        few = F.broadcast(few)
+    return usual.unionByName(left.where(on_left).join(few, list(keys), how))
 
 
 def lookup_join(
@@ -169,7 +173,5 @@ def anti_join(left: DataFrame, right: DataFrame, on, share: float | None = HOT_S
 
 def pair_by_position(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
     """Pair the n-th row of one ordered list with the n-th row of the other, cut to the shorter list."""
-    from prepkit.operators.row_id import with_row_id
-
     numbered = with_row_id(right, [order_right], "position")
     return inner_join(with_row_id(left, [order_left], "position"), numbered, ["position"])

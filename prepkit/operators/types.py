@@ -14,7 +14,12 @@ _INTEGERS = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
 _FLOATS = [T.FloatType(), T.DoubleType()]
 
 
-def column_types(cell: Column | str, empty: str = "string", nulls: Sequence[str] = ("",)) -> Column:
+def column_types(
+    cell: Column | str,
+    empty: str = "string",
+    nulls: Sequence[str] = ("",),
+    truths: Sequence[str] = ("true", "false"),
+) -> Column:
     """Aggregate: the narrowest of long, double, boolean and string that takes every cell that is no null marker.
 
     Each cell is looked at once and gives one bit for its kind; the kinds of a column are the bits put
@@ -26,7 +31,7 @@ def column_types(cell: Column | str, empty: str = "string", nulls: Sequence[str]
         F.when(cell.isNull() | cell.isin(list(nulls)), None)
         .when(cell.rlike(fv.INTEGER_PATTERN) & cell.try_cast("bigint").isNotNull(), whole)
         .when(cell.rlike(fv.FLOAT_PATTERN), fraction)
-        .when(cell.isin("true", "false"), truth)
+        .when(cell.isin(list(truths)), truth)
         .otherwise(text)
     )
     kinds = F.bit_or(kind)

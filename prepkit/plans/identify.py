@@ -32,11 +32,12 @@ def identify(
     """District rows with their county; a district in several counties gives several rows.
 
     Names that no district row has need no removal beforehand: the left join never meets them. Title case is
-    made on both sides before the join, once per row and not once per match.
+    made on both sides before the join, once per row and not once per match. The cleaned county list is
+    written once, since the look for frequent names and the join would each clean it again.
     """
     key = F.lower("LEANM")
     left = districts.withColumns({"LEANM": key, "__title": title_case(key)})
-    right = clean_names(counties, state).withColumn(COUNTY, title_case(f"`{COUNTY}`"))
+    right = stage(clean_names(counties, state).withColumn(COUNTY, title_case(f"`{COUNTY}`")), "counties")
     joined = left_join(left, right, [("LEANM", DISTRICT)], share=share)
     return names_snake(joined.withColumn("LEANM", F.col("__title")).drop("__title"))
 

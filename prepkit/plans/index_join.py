@@ -50,12 +50,15 @@ def index_join(
     """Index rows with their subdomain measures and population, under short column names.
 
     Both joins use the same keys, so the result of the first is not shuffled again for the second. The
-    population is not cut to the known places beforehand: the left join does that by itself.
+    population is not cut to the known places beforehand: the left join does that by itself. The look for
+    frequent keys reads the right sides again, so they are written once before it.
     """
     left = rename_from_dictionary(state_measures(index, state), short_labels(index_dictionary, fv.INDEX_LABEL_RULES))
     right = rename_from_dictionary(
         state_measures(subdomains, state), short_labels(subdomain_dictionary, fv.SUBDOMAIN_LABEL_RULES)
     )
+    if share:
+        right, population = stage(right, "subdomains"), stage(population, "population")
     joined = drop_suffix(left_join(left, right, fv.MEASURE_KEYS, share=share), [fv.RIGHT_SUFFIX, fv.LEFT_SUFFIX])
     # The part before the comma is kept as it stands, untrimmed.
     joined = joined.withColumn("county_name", split_part_exact("county_name", ",", 0))

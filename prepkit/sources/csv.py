@@ -149,7 +149,8 @@ def read_csv_null_set(
     markers = sorted({"", *markers})
     types = dict.fromkeys(names, "string")
     if schema is None or drop_empty:
-        found = raw.agg(*[column_types(column(c), "void", markers).alias(str(i)) for i, c in enumerate(names)]).first()
+        kinds = [column_types(column(c), "void", markers, fv.TRUTH_WORDS) for c in names]
+        found = raw.agg(*[kind.alias(str(i)) for i, kind in enumerate(kinds)]).first()
         types = dict(zip(names, found))
     if schema is None:
         schema = schema_of(names, [t.replace("void", "string") for t in types.values()])

@@ -78,6 +78,14 @@ def test_null_markers(spark, put):
     )
 
 
+def test_truth_words(spark, put):
+    path = put("a.csv", "b,c\nTrue,true\nFALSE,NA\n")
+    df = csv.read_csv_null_set(spark, path)
+    assert df.dtypes == [("b", "boolean"), ("c", "boolean")]
+    assert sorted(map(tuple, df.collect())) == [(False, None), (True, True)]
+    assert csv.read_csv_tolerant(spark, path).dtypes[0] == ("b", "string")
+
+
 def test_repeated_and_empty_names(spark, put):
     path = put("a.csv", "a,a,,a\n1,2,3,4\n")
     assert csv.read_csv_tolerant(spark, path).columns == ["a", "a_duplicated_0", "column_3", "a_duplicated_1"]
