@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from prepkit.functions import fixed_values as fv
 
 
+_SPECIAL = re.compile(r"[\\^$.|?*+()\[\]{}]")
+
+
 def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -36,13 +39,16 @@ def apply_rules(value: Column | str, rules: Iterable[tuple[str, str]], whole_wor
     """Replace all matches of each rule in turn.
 
     With ``whole_word`` a rule that starts and ends with a letter matches whole words only; by default
-    it also matches inside longer words (``standard`` loses its ``and``).
+    it also matches inside longer words (``standard`` loses its ``and``). A rule without any special sign
+    means the same as plain text, which is replaced several times faster.
     """
 
     def step(acc: Column, rule: tuple[str, str]) -> Column:
         pattern, replacement = rule
         if whole_word and pattern[0].isalpha() and pattern[-1].isalpha():
-            pattern = rf"\b{pattern}\b"
+            return F.regexp_replace(acc, rf"\b{pattern}\b", replacement)
+        if not _SPECIAL.search(pattern) and not _SPECIAL.search(replacement):
+            return F.replace(acc, F.lit(pattern), F.lit(replacement))
         return F.regexp_replace(acc, pattern, replacement)
 
     return reduce(step, rules, _column(value))
