@@ -14,6 +14,9 @@ from prepkit.functions import fixed_values as fv
 from prepkit.operators.row_id import with_row_id
 
 
+CONNECTIONS = 16
+
+
 def jdbc_options(url: str, table: str, **properties: str) -> dict[str, str]:
     """Options of a database table; user, password and driver come as properties from the caller."""
     return {"url": url, "dbtable": table, **properties}
@@ -66,5 +69,6 @@ def write_table_append(
 
 
 def _writer(df: DataFrame, options: dict[str, str], fmt: str, batch_rows: int):
-    extra = {"batchsize": str(batch_rows)} if fmt == "jdbc" else {}
-    return df.write.format(fmt).options(**extra, **options)
+    # A database takes a limited number of connections, however many partitions the rows have.
+    usual = {"batchsize": str(batch_rows), "numPartitions": str(CONNECTIONS)} if fmt == "jdbc" else {}
+    return df.write.format(fmt).options(**(usual | options))

@@ -238,6 +238,9 @@ def test_database_options():
         stub = Stub()
         write(stub, source)
         assert stub.write.seen["mode"] == mode and stub.write.seen["batchsize"] == "1000"
+        assert stub.write.seen["numPartitions"] == "16"
+        write(stub, source | {"numPartitions": "2"})
+        assert stub.write.seen["numPartitions"] == "2"
 
 
 def test_replace_and_append(spark, tmp_path, rows):
