@@ -58,9 +58,10 @@ def run(
     csv_path: str,
     table_format: str = "jdbc",
     state: int = fv.STATE_CODE,
+    partition: dict[str, str] | None = None,
 ) -> DataFrame:
     """Read the district table and the county list, write the result as CSV; gives the match report."""
-    districts = stage(read_table(spark, district_options, fmt=table_format), "districts")
+    districts = stage(read_table(spark, district_options, partition, table_format), "districts")
     names = read_csv_tolerant(spark, counties)
     write_csv(identify(districts, names, state), csv_path)
     return match_report(districts, names, state)

@@ -37,10 +37,23 @@ def partition_options(name: str, low, high, partitions: int) -> dict[str, str]:
     }
 
 
+def ranged_options(spark: SparkSession, options: dict[str, str], name: str, partitions: int) -> dict[str, str]:
+    """The same with the smallest and largest value of the column, which the database itself works out.
+
+    Nothing to split in an empty table. The column should be spread evenly, as a key is.
+    """
+    bounds = f"(SELECT min({name}) AS low, max({name}) AS high FROM {options['dbtable']}) bounds"
+    low, high = read_table(spark, options | {"dbtable": bounds}).first()
+    return partition_options(name, low, high, partitions) if low is not None else {}
+
+
 def read_table(
     spark: SparkSession, options: dict[str, str], partition: dict[str, str] | None = None, fmt: str = "jdbc"
 ) -> DataFrame:
-    """A whole table. Without ``partition`` a database is read over one connection: for small tables only."""
+    """A whole table.
+
+    A database is read over one connection unless ``partition`` splits it: see ``ranged_options``.
+    """
     return spark.read.format(fmt).options(**options, **(partition or {})).load()
 
 

@@ -243,6 +243,22 @@ def test_database_options():
         assert stub.write.seen["numPartitions"] == "2"
 
 
+@pytest.mark.parametrize("low, high, want", [(3, 90, ("3", "90")), (None, None, None)])
+def test_ranges_come_from_the_database(low, high, want):
+    class Asked(Recorder):
+        def load(self):
+            return self
+
+        def first(self):
+            return low, high
+
+    stub = Stub()
+    stub.read = Asked()
+    got = tables.ranged_options(stub, tables.jdbc_options("jdbc:x", "DISTRICT"), "id", 4)
+    assert stub.read.seen["dbtable"] == "(SELECT min(id) AS low, max(id) AS high FROM DISTRICT) bounds"
+    assert got == (tables.partition_options("id", low, high, 4) if want else {})
+
+
 def test_replace_and_append(spark, tmp_path, rows):
     target = {"path": str(tmp_path / "t")}
     df = spark.range(7).select((F.col("id") * 10).alias("k"))
