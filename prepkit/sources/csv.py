@@ -66,34 +66,48 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _heads(spark: SparkSession, path: str, rows: int) -> DataFrame:
+def _first_records(spark: SparkSession, path: str, rows: int, multi_line: bool) -> list[list[str | None]]:
+    """The header and first rows of one file, as text; only its first split is read."""
+    lines = _reader(spark, "PERMISSIVE", multi_line).option("header", "false").csv(path)
+    return [list(r) for r in lines.take(rows + 1)]
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
     # The same files as a scan of the path.
-    return file_heads(spark.read.format("binaryFile").load(path).select("path"), rows)
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
+def header_of(spark: SparkSession, path: str, multi_line: bool = False) -> list[str]:
     """The first line of a file, or of the files of a folder, which must have one header."""
-    headers = _heads(spark, path, 1).select("path", "header", "message")
-    found = headers.where(F.col("header").isNotNull()).select("header").distinct().limit(2).collect()
+    listed = _files(spark, path)
+    if listed.limit(2).count() == 1:
+        records = _first_records(spark, path, 0, multi_line)
+        found = [[c or "" for c in records[0]]] if records else []
+        errors = []
+    else:
+        heads = file_heads(listed, 1)
+        found = [r[0] for r in heads.where("header is not null").select("header").distinct().limit(2).collect()]
+        errors = [] if found else file_errors(heads).take(1)
     if len(found) != 1:
-        reason = "files with different headers" if found else f"no readable CSV header {file_errors(headers).take(1)}"
-        raise ValueError(f"{path}: {reason}")
-    return list(found[0]["header"])
+        raise ValueError(f"{path}: {'files with different headers' if found else f'no readable CSV header {errors}'}")
+    return list(found[0])
 
 
-def head_schema(spark: SparkSession, path: str, infer_rows: int = fv.INFER_ROWS) -> T.StructType:
+def head_schema(
+    spark: SparkSession, path: str, infer_rows: int = fv.INFER_ROWS, multi_line: bool = False
+) -> T.StructType:
     """Schema from the head of the file, or of each file in a folder of files with one header."""
-    heads = _heads(spark, path, infer_rows)
-    # One row per distinct (header, types), whatever the number of files.
-    kinds = typed_headers(heads, empty="void").select("header", "types").distinct().collect()
-    if not kinds:
-        raise ValueError(f"{path}: no readable CSV header {file_errors(heads).take(1)}")
-    if len({tuple(k["header"]) for k in kinds}) > 1:
-        raise ValueError(f"{path}: files with different headers")
+    names = unique_names(header_of(spark, path, multi_line))
+    listed = _files(spark, path)
+    if listed.limit(2).count() == 1:
+        cells = spark.createDataFrame(_first_records(spark, path, infer_rows, multi_line)[1:], _text_schema(names))
+        types = list(cells.agg(*[column_types(column(c)).alias(str(i)) for i, c in enumerate(names)]).first())
+        return schema_of(names, types)
+    # One row per distinct list of types, whatever the number of files.
+    kinds = typed_headers(file_heads(listed, infer_rows), empty="void").select("types").distinct().collect()
     # A part file without a value in a column has no say in its type.
-    types = [reduce(common_type, map(ddl_type, column_kinds)) for column_kinds in zip(*[k["types"] for k in kinds])]
-    found = [t.simpleString() if t != T.NullType() else "string" for t in types]
-    return schema_of(unique_names(kinds[0]["header"]), found)
+    common = [reduce(common_type, map(ddl_type, column_kinds)) for column_kinds in zip(*[k["types"] for k in kinds])]
+    return schema_of(names, [t.simpleString() if t != T.NullType() else "string" for t in common])
 
 
 def read_csv_tolerant(
@@ -108,7 +122,7 @@ def read_csv_tolerant(
     Without a schema the types come from the first rows only, so a misfit further down is a null and
     does not turn the column into text.
     """
-    return scan_csv(spark, path, schema or head_schema(spark, path, infer_rows), multi_line)
+    return scan_csv(spark, path, schema or head_schema(spark, path, infer_rows, multi_line), multi_line)
 
 
 def read_csv_strict(
@@ -120,7 +134,7 @@ def read_csv_strict(
     asks for. Here all cells are read as text and a filter over every column does the check, which column
     pruning cannot take away.
     """
-    schema = schema or head_schema(spark, path)
+    schema = schema or head_schema(spark, path, multi_line=multi_line)
     schema = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
     raw = _reader(spark, "FAILFAST", multi_line).schema(_text_schema(schema.names)).csv(path)
     passed = F.lit(True)
@@ -144,7 +158,7 @@ def read_csv_null_set(
 
     One aggregation gives the types and, for ``drop_empty``, the columns that hold no value at all.
     """
-    names = unique_names(header_of(spark, path), pattern="{name}.{n}", first=1)
+    names = unique_names(header_of(spark, path, multi_line), pattern="{name}.{n}", first=1)
     raw = _reader(spark, "PERMISSIVE", multi_line).schema(_text_schema(names)).csv(path)
     markers = sorted({"", *markers})
     types = dict.fromkeys(names, "string")

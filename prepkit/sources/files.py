@@ -79,9 +79,9 @@ def _open(path: str):
     host, _, name = rest.removeprefix("//").partition("/")
     try:
         system, root = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{host}/")
-    except (ValueError, NotImplementedError) as error:
+    except (ValueError, NotImplementedError, OSError, ImportError) as error:
         # Not a fault of this one file: no file of that kind can be read, so the job stops.
-        raise RuntimeError(f"no reader for {path}") from error
+        raise RuntimeError(f"no reader for {path}: {error}") from error
     return system.open_input_file(f"{root.rstrip('/')}/{name}")
 
 
