@@ -69,42 +69,50 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
 def _first_records(spark: SparkSession, path: str, rows: int, multi_line: bool) -> list[list[str | None]]:
     """The header and first rows of one file, as text; only its first split is read."""
     lines = _reader(spark, "PERMISSIVE", multi_line).option("header", "false").csv(path)
-    return [list(r) for r in lines.take(rows + 1)]
+    records = [list(r) for r in lines.take(rows + 1)]
+    if not records:
+        raise ValueError(f"{path}: no readable CSV header")
+    return [[name or "" for name in records[0]], *records[1:]]
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    # The same files as a scan of the path.
-    return spark.read.format("binaryFile").load(path).select("path")
+def _files(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """The files that a scan of the path reads, and whether it is just one."""
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed, listed.limit(2).count() == 1
+
+
+def _one_header(path: str, headers: list[list[str]], heads: DataFrame) -> list[str]:
+    if not headers:
+        raise ValueError(f"{path}: no readable CSV header {file_errors(heads).take(1)}")
+    if len({tuple(h) for h in headers}) > 1:
+        raise ValueError(f"{path}: files with different headers")
+    return headers[0]
 
 
 def header_of(spark: SparkSession, path: str, multi_line: bool = False) -> list[str]:
     """The first line of a file, or of the files of a folder, which must have one header."""
-    listed = _files(spark, path)
-    if listed.limit(2).count() == 1:
-        records = _first_records(spark, path, 0, multi_line)
-        found = [[c or "" for c in records[0]]] if records else []
-        errors = []
-    else:
-        heads = file_heads(listed, 1)
-        found = [r[0] for r in heads.where("header is not null").select("header").distinct().limit(2).collect()]
-        errors = [] if found else file_errors(heads).take(1)
-    if len(found) != 1:
-        raise ValueError(f"{path}: {'files with different headers' if found else f'no readable CSV header {errors}'}")
-    return list(found[0])
+    listed, single = _files(spark, path)
+    if single:
+        return _first_records(spark, path, 0, multi_line)[0]
+    heads = file_heads(listed, 1)
+    found = heads.where("header is not null").select("header").distinct().limit(2).collect()
+    return _one_header(path, [r["header"] for r in found], heads)
 
 
 def head_schema(
     spark: SparkSession, path: str, infer_rows: int = fv.INFER_ROWS, multi_line: bool = False
 ) -> T.StructType:
     """Schema from the head of the file, or of each file in a folder of files with one header."""
-    names = unique_names(header_of(spark, path, multi_line))
-    listed = _files(spark, path)
-    if listed.limit(2).count() == 1:
-        cells = spark.createDataFrame(_first_records(spark, path, infer_rows, multi_line)[1:], _text_schema(names))
-        types = list(cells.agg(*[column_types(column(c)).alias(str(i)) for i, c in enumerate(names)]).first())
-        return schema_of(names, types)
-    # One row per distinct list of types, whatever the number of files.
-    kinds = typed_headers(file_heads(listed, infer_rows), empty="void").select("types").distinct().collect()
+    listed, single = _files(spark, path)
+    if single:
+        header, *records = _first_records(spark, path, infer_rows, multi_line)
+        names = unique_names(header)
+        cells = spark.createDataFrame(records, _text_schema(names)).coalesce(1)
+        return schema_of(names, list(cells.agg(*[column_types(column(c)).alias(c) for c in names]).first()))
+    heads = file_heads(listed, infer_rows)
+    # One row per distinct (header, types), whatever the number of files.
+    kinds = typed_headers(heads, empty="void").select("header", "types").distinct().collect()
+    names = unique_names(_one_header(path, [k["header"] for k in kinds], heads))
     # A part file without a value in a column has no say in its type.
     common = [reduce(common_type, map(ddl_type, column_kinds)) for column_kinds in zip(*[k["types"] for k in kinds])]
     return schema_of(names, [t.simpleString() if t != T.NullType() else "string" for t in common])
