@@ -124,5 +124,7 @@ def number_text(value: Column | str) -> Column:
 def display_text(value: Column | str, data_type: str) -> Column:
     """Cell text as the table view searches it: null is the empty text."""
     value = _column(value)
+    if data_type == "float":
+        value = value.cast("string").cast("double")  # 0.1 stays 0.1
     text = number_text(value) if data_type in ("double", "float") else value.cast("string")
     return F.coalesce(text, F.lit(""))

@@ -98,6 +98,7 @@ def test_number_text(spark, value, text):
 def test_display_text(spark):
     assert one(spark, p.display_text("v", "double"), None, "double") == ""
     assert one(spark, p.display_text("v", "bigint"), 7, "bigint") == "7"
+    assert one(spark, p.display_text("v", "float"), 0.1, "float") == "0.1"
 
 
 @pytest.mark.parametrize(
