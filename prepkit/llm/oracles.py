@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from prepkit.llm import license_templates as licenses
 from prepkit.llm import mixing as mix
 from prepkit.llm import quality_rules as rules
 
@@ -96,3 +99,48 @@ def mixing(docs: str = "documents") -> str:
     exploded AS (
       SELECT doc_id, source, CAST(n_copies AS BIGINT) AS n_copies, unnest(range(0, n_copies)) AS copy_no FROM copied WHERE n_copies > 0)
     SELECT doc_id, source, n_copies, copy_no, {drawn(mix.SEED + 1, "doc_id", "copy_no")} AS shuffle_key FROM exploded"""
+
+
+def _template_regex(markup: str) -> tuple[str, int]:
+    """A template as a regular expression over words that each have a blank before, and its mandatory words."""
+    out, mandatory, depth = [], 0, 0
+    for token in re.findall(r"<<[^>]*>>|\S+", markup):
+        if token == "<<optional>>":
+            out.append("(?:")
+            depth += 1
+        elif token == "<<end>>":
+            out.append(")?")
+            depth -= 1
+        elif token.startswith("<<any"):
+            out.append("(?: [^ ]+){0,%s}" % token[6:-2])
+        else:
+            out.append(" " + token)
+            mandatory += not depth
+    return "".join(out) + " ", mandatory
+
+
+def license_templates(docs: str = "documents") -> str:
+    """Phrases by lists of words, templates by regular expressions over the words."""
+    templates = [(label, *_template_regex(markup)) for label, markup in licenses.TEMPLATES]
+    found = ", ".join(f"CASE WHEN regexp_matches(line, '{regex}') THEN '{label}' END" for label, regex, _ in templates)
+    sizes = ", ".join(f"CASE WHEN regexp_matches(line, '{regex}') THEN {n} END" for _, regex, n in templates)
+    phrases = [(p.split(), label) for p, label in licenses.BASE_PHRASES.items()]
+    at = " || ".join(
+        "list_filter(range(0, len(words)), lambda i: " + " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(ws)) + ")" for ws, _ in phrases
+    )
+    base = ", ".join(f"CASE WHEN contains(line, ' {' '.join(ws)} ') THEN '{label}' END" for ws, label in phrases)
+    base_sizes = ", ".join(f"CASE WHEN contains(line, ' {' '.join(ws)} ') THEN {len(ws)} END" for ws, _ in phrases)
+
+    def joined(items: str) -> str:
+        return f"array_to_string(list_sort(list_distinct(list_filter([{items}], lambda x: x IS NOT NULL))), ',')"
+
+    return f"""
+    WITH worded AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM {docs}),
+    lined AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line, {at} AS places FROM worded),
+    scanned AS (
+      SELECT *, {joined(base)} AS base_labels, {joined(base + ", " + found)} AS labels, greatest(0, {sizes}, {base_sizes}) AS strongest FROM lined)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word,
+      CAST(list_max(places) AS BIGINT) AS last_word, base_labels, labels, CAST(strongest AS DOUBLE) / (strongest + 1) AS score
+    FROM scanned"""

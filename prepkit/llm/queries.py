@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.catalog import Registry, table
-from prepkit.llm import mixing, oracles, packing, quality_rules, sharding
+from prepkit.llm import license_templates, mixing, oracles, packing, quality_rules, sharding, url_filter
 
 registry = Registry()
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@registry.add(oracles.license_templates())
+def op1_license_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of every document by phrases and templates."""
+    scanned = license_templates.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", *license_templates.RESULT)
+
+
 @registry.add(oracles.quality_rules())
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base verdict and verdict of every document."""
@@ -34,6 +41,12 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@registry.add()
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_filter.filter_urls(table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @registry.add()
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document; row counts of shards differ by one at most."""
