@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.catalog import Registry, table
-from prepkit.llm import license_templates, mixing, oracles, packing, quality_rules, sharding, url_filter
+from prepkit.llm import license_templates, mixing, oracles, packing, pii, quality_rules, sharding, url_filter
 
 registry = Registry()
 TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,15 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@registry.add()
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of base spans and all spans of every document."""
+    found = pii.find(table(spark, folder, "documents"), keep=["doc_id"])
+    counts = [pii.count(F.col("base_spans"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    digest = F.sha2(pii.named(F.col("base_spans")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.named(F.col("spans")).alias("spans"))
+
+
 @registry.add()
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's URL."""
