@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.catalog import Registry, table
-from prepkit.llm import license_templates, mixing, oracles, packing, pii, quality_rules, sharding, url_filter
+from prepkit.llm import license_templates, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, url_filter
 
 registry = Registry()
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,14 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@registry.add()
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by a classifier that saw two thirds of the labels."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality_classifier.classify(docs, table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @registry.add()
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document's tokens in sequences of 4096."""
