@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.catalog import Registry, table
-from prepkit.llm import license_templates, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, url_filter
+from prepkit.llm import dart_minhash, license_templates, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, url_filter
 
 registry = Registry()
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +79,13 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registry.add()
+def op8_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    found = dart_minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), "class_id", "kept")
+
+
 @registry.add(oracles.mixing())
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of every document, equal weights for all sources, in shuffled order."""
