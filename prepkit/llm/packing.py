@@ -11,8 +11,9 @@ The plan says for each remaining length which ranks of documents go where. Ranks
 length, and lifted by the counts of the tasks before, which is a join on (task, length) of narrow rows: no window and no sort sees all
 rows of a length, though a third of all documents may share one.
 
-Token ids are made once and written. A text is split at ASCII blanks, and after a word of ASCII letters that a blank, a
-full stop or a comma follows; there the tokenizer itself always splits, so ids of such parts can be kept in a table and joined up.
+Token ids are made once and written. A text is split at ASCII blanks and after a run of Latin letters that an ASCII sign
+follows; there the tokenizer itself always splits, so ids of such parts can be kept in a table and joined up. A part of Latin letters
+alone is one unit for the tokenizer and goes to its model directly, lower-cased and as byte signs.
 
 Defined results: a null or empty text has the end id alone; repeated rows are packed each; an empty table gives no rows.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator, Mapping
@@ -37,39 +39,50 @@ from prepkit.session import stage
 CAPACITY = 4096
 END_ID = 2
 #: Parts of texts whose ids a worker keeps; the table is emptied when full.
-KEPT_PARTS = 500_000
-PART = re.compile(r"[A-Za-z]+(?=[.,\x20\x09-\x0D])|[^\x20\x09-\x0D]+")
+KEPT_PARTS = 800_000
+PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ſ]+(?=[\x00-\x40\x5B-\x60\x7B-\x7F]|$)|[^\x20\x09-\x0D]+")
 
-_PARTS: dict[str, bytes] = {}
-_TOKENIZERS: dict[str, object] = {}
+# Byte-level vocabularies write a byte that is no visible sign of Latin-1 as the next free character from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+_SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class Parts(dict):
+    """Ids of parts of texts, as bytes; a part not met before is encoded."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS[path] = tokenizer
-        _PARTS.clear()
-    return _TOKENIZERS[path]
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+
+    def __missing__(self, part: str) -> bytes:
+        low = part.lower()
+        if low.isascii() and low.isalpha():
+            ids = [t.id for t in self.model.tokenize(low)]
+        elif low.isalpha() and max(low) < "\u0180":
+            ids = [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(_SIGNS))]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        if len(self) >= KEPT_PARTS:
+            self.clear()
+        self[part] = made = array("I", ids).tobytes()
+        return made
+
+
+_PARTS: dict[str, Parts] = {}
 
 
 def token_bytes(text: str | None, path: str, end_id: int = END_ID) -> bytes:
     """The ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
-    tokenizer = _tokenizer(path)
+    if path not in _PARTS:
+        _PARTS[path] = Parts(path)
     text = text or ""
     parts = PART.findall(text.lower() if text.isascii() else text)
-    missing = [p for p in set(parts) if p not in _PARTS]
-    if missing:
-        if len(_PARTS) + len(missing) > KEPT_PARTS:
-            _PARTS.clear()
-            missing = list(set(parts))
-        for start in range(0, len(missing), 4096):
-            some = missing[start : start + 4096]
-            for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                _PARTS[p] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(_PARTS.__getitem__, parts)) + end_id.to_bytes(4, "little")
+    return b"".join(map(_PARTS[path].__getitem__, parts)) + end_id.to_bytes(4, "little")
 
 
 def _tokenize(path: str, end_id: int, capacity: int, text: str, names: tuple[str, ...]):
