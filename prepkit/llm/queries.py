@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.catalog import Registry, table
-from prepkit.llm import dart_minhash, license_templates, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, url_filter
+from prepkit.llm import dart_minhash, flat_graph, license_templates, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, url_filter
 
 registry = Registry()
 TOKENIZER = "word_bpe_49k.json"
@@ -86,6 +86,12 @@ def op8_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "class_id", "kept")
 
 
+@registry.add()
+def op9_flat_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.95."""
+    return flat_graph.near_vectors(table(spark, folder, "embeddings"))
+
+
 @registry.add(oracles.mixing())
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of every document, equal weights for all sources, in shuffled order."""
