@@ -43,11 +43,57 @@ def csv_head_infer(spark, folder):
     spoilt = part.withColumn("p_size", F.when(late, F.lit("seven")).otherwise(F.col("p_size").cast("string")))
     path = scratch_path(spark, "part-late")
     csv.write_csv(spoilt, path)
-    # Were a part file to start with a text cell, its column would be text: the cast gives the same rows.
+    # Types come from all rows: the late misfits make the column text.
     rows = csv.read_csv_tolerant(spark, path)
     return rows.select("p_partkey", F.col("p_size").try_cast("bigint").alias("p_size"))
 
 
+_DOCUMENTS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+@registry.add(f"""
+    SELECT 'tolerant' AS reader, * FROM ({_DOCUMENTS}) UNION ALL SELECT 'strict', * FROM ({_DOCUMENTS})
+    UNION ALL SELECT 'null_set', * FROM ({_DOCUMENTS})
+""")
+def csv_documents_round_trip(spark, folder):
+    """Texts with line breaks and quotes, read back by each reader without any option."""
+    path = scratch_path(spark, "documents-csv")
+    csv.write_csv(table(spark, folder, "documents"), path)
+    readers = {"tolerant": csv.read_csv_tolerant, "strict": csv.read_csv_strict, "null_set": csv.read_csv_null_set}
+    frames = [read(spark, path).withColumn("reader", F.lit(name)) for name, read in readers.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@registry.add("""
+    SELECT c_custkey, c_nationkey, c_acctbal, 'scan' AS reader FROM customer
+    UNION ALL SELECT c_custkey, c_nationkey, c_acctbal, 'strict' FROM customer
+""")
+def csv_schema_by_name(spark, folder):
+    """The schema names columns in another order than the file has them, and leaves some out."""
+    path = scratch_path(spark, "customer-by-name")
+    customer = table(spark, folder, "customer")
+    csv.write_csv(customer.select("c_acctbal", "c_name", "c_nationkey", "c_custkey"), path)
+    schema = "c_custkey bigint, c_nationkey int, c_acctbal double"
+    scanned = csv.scan_csv(spark, path, schema).withColumn("reader", F.lit("scan"))
+    return scanned.unionByName(csv.read_csv_strict(spark, path, schema).withColumn("reader", F.lit("strict")))
+
+
+@registry.add("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 500 THEN 'odd' ELSE cast(o_custkey AS varchar) END AS o_custkey, files
+    FROM orders, (VALUES (1), (16)) f(files)
+""")
+def csv_same_types_any_split(spark, folder):
+    """Misfits beyond the first rows turn the column into text, whether the rows lie in one file or in sixteen."""
+    orders = table(spark, folder, "orders")
+    odd = F.when(F.col("o_orderkey") % 997 == 500, "odd").otherwise(F.col("o_custkey").cast("string"))
+    frames = []
+    for parts in (1, 16):
+        path = scratch_path(spark, f"orders-{parts}")
+        csv.write_csv(orders.select("o_orderkey", odd.alias("o_custkey")).repartition(parts), path)
+        frames.append(csv.read_csv_tolerant(spark, path).withColumn("files", F.lit(parts)))
+    return frames[0].unionByName(frames[1])
+
+
 @registry.add("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_strict(spark, folder):
     customer = table(spark, folder, "customer")
@@ -147,6 +193,41 @@ def consolidate_to_folders(spark, folder):
     return frames[0].unionByName(frames[1])
 
 
+@registry.add("""
+    SELECT doc_id, text, cast(lang AS varchar) AS tag FROM documents
+    UNION ALL SELECT page_id, url, cast(page_id AS varchar) FROM pages
+""")
+def consolidate_documents(spark, folder):
+    """Files with line breaks in cells and differing headers; one more is broken far beyond its first rows and left out."""
+    root = scratch_path(spark, "raw-documents")
+    documents, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    target = f"{root}/school/edunomics"
+    csv.write_csv(documents.select("doc_id", "text", F.col("lang").alias("tag")), f"{target}/a")
+    csv.write_csv(pages.select(F.col("page_id").alias("tag"), F.col("url").alias("text"), F.col("page_id").alias("doc_id")), f"{target}/b")
+    lines = spark.range(150).select(F.concat(F.col("id").cast("string"), F.lit(",x,t")).alias("value"))
+    lines = spark.sql("SELECT 'doc_id,text,tag' AS value").unionByName(lines).unionByName(spark.sql("SELECT '1,é,t' AS value"))
+    broken = f"{root}/broken"
+    # One file, in an encoding that is no UTF-8 from its last line on.
+    lines.coalesce(1).write.option("header", "false").option("quote", "").option("sep", "|").option("encoding", "ISO-8859-1").csv(broken)
+    listed = files.list_csv(spark, target).unionByName(files.list_csv(spark, broken))
+    rows, _, _ = consolidate.consolidate(spark, listed)
+    return rows.select("doc_id", "text", "tag")
+
+
+@registry.add("SELECT 1 AS late, 1 AS blank, 0 AS good FROM nation LIMIT 1")
+def consolidate_errors(spark, folder):
+    """Number of reported files: one broken after its first rows, one blank, and none of the good ones."""
+    root = scratch_path(spark, "raw-errors")
+    nation = table(spark, folder, "nation")
+    csv.write_csv(nation, f"{root}/good")
+    csv.write_csv(nation.limit(0).select(F.col("n_name").alias(" ")), f"{root}/blank")
+    late = nation.orderBy("n_nationkey").select("n_nationkey", F.when(F.col("n_nationkey") == 24, "é").otherwise("e").alias("n_name"))
+    late.coalesce(1).write.option("header", "true").option("encoding", "ISO-8859-1").csv(f"{root}/late")
+    _, errors, _ = consolidate.consolidate(spark, files.list_csv(spark, root))
+    place = F.regexp_extract("path", "/([a-z]+)/[^/]+$", 1)
+    return errors.agg(*[F.count_if(place == n).cast("int").alias(n) for n in ("late", "blank", "good")])
+
+
 @registry.add("""
     SELECT 'b' AS folder, count(*) > 0 AS failed FROM customer UNION ALL SELECT 'c', count(*) > 0 FROM supplier
 """)

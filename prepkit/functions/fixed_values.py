@@ -93,9 +93,8 @@ TABLE_VIEW_COLUMNS = [
 ]
 PAGE_SIZE = 10
 
-# Factor of the cleaned sample, rows used to infer types, rows per database batch.
+# Factor of the cleaned sample, rows per database batch.
 VALUE_FACTOR = 1.1
-INFER_ROWS = 100
 BATCH_ROWS = 1000
 
 # Scenario forms: number of district and grade fields, range of random values, text of a missing result.

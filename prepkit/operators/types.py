@@ -44,6 +44,26 @@ def column_types(
     )
 
 
+#: Digits that hold every value of a whole-number type.
+_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+
+def _with_decimal(left: T.DataType, right: T.DataType) -> T.DataType:
+    """A decimal that holds both sides; a float on one side, or more digits than a decimal has, make a double."""
+    sides = []
+    for kind in (left, right):
+        if isinstance(kind, T.DecimalType):
+            sides.append((kind.precision - kind.scale, kind.scale))
+        elif kind.simpleString() in _DIGITS:
+            sides.append((_DIGITS[kind.simpleString()], 0))
+        elif kind in _FLOATS:
+            return T.DoubleType()
+        else:
+            raise TypeError(f"no common type for {left.simpleString()} and {right.simpleString()}")
+    whole, scale = (max(s) for s in zip(*sides))
+    return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+
+
 def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
     """The type both sides are cast to when they are stacked."""
     if left == right:
@@ -57,6 +77,10 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
             return other
         if isinstance(one, T.DateType) and isinstance(other, (T.TimestampType, T.TimestampNTZType)):
             return other
+        if isinstance(one, T.TimestampNTZType) and isinstance(other, T.TimestampType):
+            return other
+    if isinstance(left, T.DecimalType) or isinstance(right, T.DecimalType):
+        return _with_decimal(left, right)
     if left in _INTEGERS and right in _INTEGERS:
         return max(left, right, key=_INTEGERS.index)
     if left in _INTEGERS + _FLOATS and right in _INTEGERS + _FLOATS:

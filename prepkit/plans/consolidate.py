@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.union import union_relaxed
 from prepkit.session import stage
-from prepkit.sources.csv import scan_csv, schema_of, unique_names, write_csv
-from prepkit.sources.files import discover, file_errors, file_heads, file_profile, typed_headers
+from prepkit.sources.csv import inferred_schema, typed_scan, write_csv
+from prepkit.sources.files import discover, file_errors, file_heads, file_profile, line_checks
 
 
 def literal_path(path: str) -> str:
@@ -20,27 +21,36 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def read_groups(spark: SparkSession, heads: DataFrame) -> list[DataFrame]:
-    """One frame per distinct typed header, in the order of the first file of each.
+def read_groups(spark: SparkSession, heads: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """One frame per distinct header, in the order of the first file of each; and the files with invalid bytes, per header.
 
-    Files with different headers must not share one scan, which would line them up by position. The
-    number of scans follows the number of distinct headers and not the number of files; what reaches the
-    driver is the list of file names that a scan needs anyway.
+    Files with different headers must not share one scan, which would line them up by position. The number of scans follows the number of
+    distinct headers. What reaches the driver beside the headers is the list of file names that each scan needs and Spark keeps anyway.
+    All lines are checked: a file with a byte that is no UTF-8, wherever it is, is left out as a whole.
     """
-    typed = stage(typed_headers(heads), "typed-headers")
-    kinds = typed.groupBy("header", "types").agg(F.min("path").alias("first")).orderBy("first").collect()
-    frames = []
+    frames, broken_files = [], []
+    kinds = heads.where("header is not null").groupBy("header").agg(F.min("path").alias("first")).orderBy("first").collect()
     for kind in kinds:
-        same = (F.col("header") == F.lit(kind["header"])) & (F.col("types") == F.lit(kind["types"]))
-        paths = [literal_path(r["path"]) for r in typed.where(same).select("path").collect()]
-        frames.append(scan_csv(spark, paths, schema_of(unique_names(kind["header"]), kind["types"])))
-    return frames
+        same = heads.where(F.col("header") == F.lit(kind["header"])).select("path", "uri")
+        paths = [literal_path(r["path"]) for r in same.collect()]
+        checks = stage(line_checks(spark, paths), "line-checks")
+        invalid = same.join(checks.where("invalid > 0"), "uri")
+        broken_files.append(invalid.select("path", F.concat(F.col("invalid").cast("string"), F.lit(" lines are no UTF-8")).alias("message")))
+        good = same.join(checks.where("invalid = 0"), "uri").select("path", "broken").collect()
+        paths = [literal_path(r["path"]) for r in sorted(good)]
+        if paths:
+            whole = any(r["broken"] for r in good)
+            schema = inferred_schema(spark, paths, kind["header"], whole)
+            frames.append(typed_scan(spark, paths, schema.names, schema, whole))
+    return frames, broken_files
 
 
 def consolidate(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The stacked rows, the files that could not be read, and the columns per file."""
-    heads = stage(file_heads(files), "heads")
-    return union_relaxed(read_groups(spark, heads)), file_errors(heads), file_profile(heads)
+    heads = stage(file_heads(files).join(files.select("path", "uri"), "path"), "heads")
+    frames, invalid = read_groups(spark, heads)
+    failed = reduce(DataFrame.unionByName, invalid, file_errors(heads))
+    return union_relaxed(frames), failed, file_profile(heads.join(failed, "path", "left_anti"))
 
 
 def run(

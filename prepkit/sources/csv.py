@@ -1,10 +1,14 @@
-"""CSV scans and the CSV sink."""
+"""CSV scans and the CSV sink.
+
+Quoted cells may hold line breaks, columns are bound by the names of the header, and types come from all rows: the same
+data gives the same rows and types in one file or in many.
+"""
 
 from __future__ import annotations
 
+import csv as parser
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +16,8 @@ from pyspark.sql import types as T
 
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.columns import column
-from prepkit.operators.types import column_types, common_type
-from prepkit.sources.files import file_errors, file_heads, typed_headers
+from prepkit.operators.types import column_types
+from prepkit.sources.files import line_checks
 
 # A quote inside a quoted cell is written twice, and white space belongs to the cell.
 _FORMAT = {
@@ -43,15 +47,6 @@ def unique_names(header: Sequence[str], pattern: str = "{name}_duplicated_{n}",
     return names
 
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: Schema, multi_line: bool = False) -> DataFrame:
-    """Deferred typed scan: Spark prunes columns and pushes simple filters into it.
-
-    Cells with line breaks need ``multi_line``, here and in the other readers. A file is then read by one
-    task as a whole, so it is off unless asked for.
-    """
-    return _reader(spark, "PERMISSIVE", multi_line).schema(schema).csv(path)
-
-
 def ddl_type(name: str) -> T.DataType:
     """Type object of a type name."""
     return T.DataType.fromDDL(name)
@@ -66,85 +61,95 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _first_records(spark: SparkSession, path: str, rows: int, multi_line: bool) -> list[list[str | None]]:
-    """The header and first rows of one file, as text; only its first split is read."""
-    lines = _reader(spark, "PERMISSIVE", multi_line).option("header", "false").csv(path)
-    records = [list(r) for r in lines.take(rows + 1)]
-    if not records:
+def _first_record(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> list[str] | None:
+    """The first record of the first file, as text; only the start of it is read."""
+    rows = _reader(spark, "PERMISSIVE", multi_line).option("header", "false").csv(path).take(1)
+    return [name or "" for name in rows[0]] if rows else None
+
+
+def layout(spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None) -> tuple[list[str], bool]:
+    """The one header of the files, and whether a cell holds a line break.
+
+    One pass over the lines, the same for one file and for many. Lines with an odd number of quotes mean that a record may
+    go on in the next line; a file without any is cut into splits safely, and only then it is. ``multi_line`` overrides what the pass finds.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").take(1)
+    if not lines:
         raise ValueError(f"{path}: no readable CSV header")
-    return [[name or "" for name in records[0]], *records[1:]]
+    first = lines[0]["value"]
+    found = line_checks(spark, path, first).agg(F.max("broken").alias("broken"), F.max("other").alias("other")).first()
+    if found["other"]:
+        raise ValueError(f"{path}: files with different headers")
+    whole = bool(found["broken"]) if multi_line is None else multi_line
+    header = next(parser.reader([first]))
+    # A name with a line break goes on beyond the first line.
+    return (_first_record(spark, path, whole) or header) if first.count('"') % 2 else header, whole
 
 
-def _files(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
-    """The files that a scan of the path reads, and whether it is just one."""
-    listed = spark.read.format("binaryFile").load(path).select("path")
-    return listed, listed.limit(2).count() == 1
+def header_of(spark: SparkSession, path: str, multi_line: bool | None = None) -> list[str]:
+    """The header of a file, or of the files of a folder, which must have one header."""
+    return layout(spark, path, multi_line)[0]
 
 
-def _one_header(path: str, headers: list[list[str]], heads: DataFrame) -> list[str]:
-    if not headers:
-        raise ValueError(f"{path}: no readable CSV header {file_errors(heads).take(1)}")
-    if len({tuple(h) for h in headers}) > 1:
-        raise ValueError(f"{path}: files with different headers")
-    return headers[0]
-
-
-def header_of(spark: SparkSession, path: str, multi_line: bool = False) -> list[str]:
-    """The first line of a file, or of the files of a folder, which must have one header."""
-    listed, single = _files(spark, path)
-    if single:
-        return _first_records(spark, path, 0, multi_line)[0]
-    heads = file_heads(listed, 1)
-    found = heads.where("header is not null").select("header").distinct().limit(2).collect()
-    return _one_header(path, [r["header"] for r in found], heads)
-
-
-def head_schema(
-    spark: SparkSession, path: str, infer_rows: int = fv.INFER_ROWS, multi_line: bool = False
-) -> T.StructType:
-    """Schema from the head of the file, or of each file in a folder of files with one header."""
-    listed, single = _files(spark, path)
-    if single:
-        header, *records = _first_records(spark, path, infer_rows, multi_line)
-        names = unique_names(header)
-        cells = spark.createDataFrame(records, _text_schema(names)).coalesce(1)
-        return schema_of(names, list(cells.agg(*[column_types(column(c)).alias(c) for c in names]).first()))
-    heads = file_heads(listed, infer_rows)
-    # One row per distinct (header, types), whatever the number of files.
-    kinds = typed_headers(heads, empty="void").select("header", "types").distinct().collect()
-    names = unique_names(_one_header(path, [k["header"] for k in kinds], heads))
-    # A part file without a value in a column has no say in its type.
-    common = [reduce(common_type, map(ddl_type, column_kinds)) for column_kinds in zip(*[k["types"] for k in kinds])]
-    return schema_of(names, [t.simpleString() if t != T.NullType() else "string" for t in common])
-
-
-def read_csv_tolerant(
-    spark: SparkSession,
-    path: str,
-    schema: Schema | None = None,
-    infer_rows: int = fv.INFER_ROWS,
-    multi_line: bool = False,
-) -> DataFrame:
-    """A cell that does not fit its column becomes null and the row stays.
+def _as_schema(schema: Schema) -> T.StructType:
+    return T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _require_columns(path, names: Sequence[str], schema: T.StructType) -> None:
+    missing = [n for n in schema.names if n not in names]
+    if missing:
+        raise ValueError(f"{path}: no such columns: {missing}")
+
+
+def typed_scan(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], schema: T.StructType, multi_line: bool) -> DataFrame:
+    """Scan by the names of the header, columns in the order of the schema."""
+    _require_columns(path, names, schema)
+    kinds = {f.name: f.dataType for f in schema.fields}
+    as_written = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    return _reader(spark, "PERMISSIVE", multi_line).schema(as_written).csv(path).select(*map(column, schema.names))
+
+
+def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: Schema, multi_line: bool | None = None) -> DataFrame:
+    """Typed scan: columns are found by their names in the header, whatever their order in the file; Spark prunes the others
+    and pushes simple filters into the scan.
 
-    Without a schema the types come from the first rows only, so a misfit further down is a null and
-    does not turn the column into text.
+    Cells may hold line breaks. A file with such cells is read by one task; files without stay splittable. ``multi_line`` says beforehand
+    which of both holds.
     """
-    return scan_csv(spark, path, schema or head_schema(spark, path, infer_rows, multi_line), multi_line)
+    header, whole = layout(spark, path, multi_line)
+    return typed_scan(spark, path, unique_names(header), _as_schema(schema), whole)
 
 
-def read_csv_strict(
-    spark: SparkSession, path: str, schema: Schema | None = None, multi_line: bool = False
-) -> DataFrame:
+def inferred_schema(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool) -> T.StructType:
+    """Types from all rows, in one aggregate; a column without any value is text."""
+    names = unique_names(header)
+    cells = _reader(spark, "PERMISSIVE", multi_line).schema(_text_schema(names)).csv(path)
+    kinds = cells.agg(*[column_types(column(c)).alias(str(i)) for i, c in enumerate(names)]).first()
+    return schema_of(names, list(kinds))
+
+
+def read_csv_tolerant(spark: SparkSession, path: str, schema: Schema | None = None, multi_line: bool | None = None) -> DataFrame:
+    """A cell that does not fit the type given for its column becomes null and the row stays.
+
+    Without a schema each column has the narrowest type that takes all its cells, however they are spread over files.
+    """
+    header, whole = layout(spark, path, multi_line)
+    schema = _as_schema(schema) if schema else inferred_schema(spark, path, header, whole)
+    return typed_scan(spark, path, unique_names(header), schema, whole)
+
+
+def read_csv_strict(spark: SparkSession, path: str, schema: Schema | None = None, multi_line: bool | None = None) -> DataFrame:
     """A cell that does not fit its column stops the job, also in columns that are not used later.
 
     So does a row with too few or too many cells. Spark's fail-fast mode checks only the columns a query
     asks for. Here all cells are read as text and a filter over every column does the check, which column
     pruning cannot take away.
     """
-    schema = schema or head_schema(spark, path, multi_line=multi_line)
-    schema = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = _reader(spark, "FAILFAST", multi_line).schema(_text_schema(schema.names)).csv(path)
+    header, whole = layout(spark, path, multi_line)
+    names = unique_names(header)
+    schema = _as_schema(schema) if schema else inferred_schema(spark, path, header, whole)
+    _require_columns(path, names, schema)
+    raw = _reader(spark, "FAILFAST", whole).schema(_text_schema(names)).csv(path)
     passed = F.lit(True)
     for field in schema.fields:
         cell = column(field.name)
@@ -160,14 +165,15 @@ def read_csv_null_set(
     markers: Sequence[str] = tuple(fv.NULL_MARKERS),
     schema: Schema | None = None,
     drop_empty: bool = False,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Cells that equal one of the markers are null; types are inferred from all other cells.
 
-    One aggregation gives the types and, for ``drop_empty``, the columns that hold no value at all.
+    One aggregation gives the types and, for ``drop_empty``, the columns that hold no value at all. A schema picks columns by name.
     """
-    names = unique_names(header_of(spark, path, multi_line), pattern="{name}.{n}", first=1)
-    raw = _reader(spark, "PERMISSIVE", multi_line).schema(_text_schema(names)).csv(path)
+    header, whole = layout(spark, path, multi_line)
+    names = unique_names(header, pattern="{name}.{n}", first=1)
+    raw = _reader(spark, "PERMISSIVE", whole).schema(_text_schema(names)).csv(path)
     markers = sorted({"", *markers})
     types = dict.fromkeys(names, "string")
     if schema is None or drop_empty:
@@ -176,19 +182,21 @@ def read_csv_null_set(
         types = dict(zip(names, found))
     if schema is None:
         schema = schema_of(names, [t.replace("void", "string") for t in types.values()])
-    schema = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
+    schema = _as_schema(schema)
+    _require_columns(path, names, schema)
     return raw.select(
         *[
-            F.when(~column(c).isin(markers), column(c).try_cast(f.dataType)).alias(f.name)
-            for c, f in zip(names, schema.fields)
-            if not (drop_empty and types[c] == "void")
+            F.when(~column(f.name).isin(markers), column(f.name).try_cast(f.dataType)).alias(f.name)
+            for f in schema.fields
+            if not (drop_empty and types[f.name] == "void")
         ]
     )
 
 
-def read_csv_dynamic(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv_dynamic(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Scan with types inferred from every row, one type per column."""
-    return _reader(spark, "PERMISSIVE", multi_line).option("inferSchema", "true").csv(path)
+    _, whole = layout(spark, path, multi_line)
+    return _reader(spark, "PERMISSIVE", whole).option("inferSchema", "true").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

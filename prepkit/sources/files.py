@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import itertools
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -15,9 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.functions import fixed_values as fv
-from prepkit.operators.types import column_types
 
-HEAD_SCHEMA = "path string, header array<string>, cells array<array<string>>, message string"
+HEAD_SCHEMA = "path string, header array<string>, message string"
 _CHUNK = 1 << 16
 
 # The helpers below travel to the executors with the task, which need not have this package installed.
@@ -43,14 +41,40 @@ def exists_or_skip(spark: SparkSession, path: str) -> tuple[bool, str]:
 
 
 def list_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV files below a folder as ``(path, length)``."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(path)
-        .select("path", "length")
+    """All CSV files below a folder as ``(path, length, uri)``, files without any byte included.
+
+    ``uri`` is the name that Spark gives in the metadata of rows. A scan leaves empty files out, so they are
+    added from the list of files that Spark itself keeps for every scan.
+    """
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
+    found = spark.read.format("binaryFile").options(**options).load(path)
+    # Metadata writes an empty host as one slash, the list of files as three.
+    names = spark.createDataFrame([(name.replace(":///", ":/", 1),) for name in found.inputFiles()], "uri string")
+    known = found.select("path", "length", F.col("_metadata.file_path").alias("uri"))
+    listed = names.join(known, "uri", "left")
+    return listed.select(F.coalesce("path", "uri").alias("path"), F.coalesce("length", F.lit(0)).alias("length"), "uri")
+
+
+def line_checks(spark: SparkSession, paths: Sequence[str] | str, first_line: str | None = None) -> DataFrame:
+    """What one pass over the lines of files shows: ``(uri, broken, invalid, other)``.
+
+    ``broken``: lines with an odd number of quotes, as a cell with a line break makes; ``invalid``: lines that are no
+    UTF-8; ``other``: whether the first line that is not blank is another one than ``first_line``. Only numbers
+    are added up per file, on the map side.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place")
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    opening = (F.col("start") == 0) & (F.trim("value") != "")
+    checks = lines.groupBy("uri").agg(
+        F.sum((quotes % 2 == 1).cast("bigint")).alias("broken"),
+        F.sum((~F.is_valid_utf8("value")).cast("bigint")).alias("invalid"),
+        F.min(F.when(opening, F.col("place"))).alias("first"),
+        F.min(F.when(opening & (F.col("value") == F.lit(first_line)), F.col("place"))).alias("same"),
     )
+    other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("same"))
+    return checks.select("uri", "broken", "invalid", other.alias("other"))
 
 
 def discover(
@@ -85,19 +109,19 @@ def _open(path: str):
     return system.open_input_file(f"{root.rstrip('/')}/{name}")
 
 
-def _head(path: str, rows: int, separator: str) -> dict:
-    """Header and first records of a file; no more of it is read than the records need."""
+def _header(path: str, separator: str) -> list[str]:
+    """The first record of a file that is not blank; no more of the file is read."""
     csv.field_size_limit(sys.maxsize)
     with _open(path) as stream:
         text = io.TextIOWrapper(io.BufferedReader(stream, _CHUNK), encoding="utf-8-sig", newline="")
-        records = list(itertools.islice(csv.reader(text, delimiter=separator), rows + 1))
-    if not records or not records[0]:
-        raise ValueError("no header line")
-    return {"path": path, "header": records[0], "cells": [r for r in records[1:] if r], "message": None}
+        for record in csv.reader(text, delimiter=separator):
+            if any(cell.strip() for cell in record):
+                return record
+    raise ValueError("no header line")
 
 
-def file_heads(files: DataFrame, rows: int = fv.INFER_ROWS, separator: str = ",") -> DataFrame:
-    """Header and first rows of every file: ``(path, header, cells, message)``.
+def file_heads(files: DataFrame, separator: str = ",") -> DataFrame:
+    """Header of every file: ``(path, header, message)``.
 
     The list of files is spread over the executors and each task reads only the first block of its
     files. A file that cannot be read is reported in ``message`` and does not stop the others.
@@ -108,10 +132,10 @@ def file_heads(files: DataFrame, rows: int = fv.INFER_ROWS, separator: str = ","
             out = []
             for path in batch["path"]:
                 try:
-                    out.append(_head(path, rows, separator))
+                    out.append((path, _header(path, separator), None))
                 except (OSError, ValueError, csv.Error) as error:
-                    out.append({"path": path, "header": None, "cells": None, "message": f"{error}"})
-            yield pd.DataFrame(out, columns=["path", "header", "cells", "message"])
+                    out.append((path, None, f"{error}"))
+            yield pd.DataFrame(out, columns=["path", "header", "message"])
 
     spread = files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism)
     return spread.mapInPandas(read, HEAD_SCHEMA)
@@ -127,20 +151,3 @@ def file_profile(heads: DataFrame) -> DataFrame:
 def file_errors(heads: DataFrame) -> DataFrame:
     """Files that could not be read and why."""
     return heads.where(F.col("message").isNotNull()).select("path", "message")
-
-
-def typed_headers(heads: DataFrame, empty: str = "string") -> DataFrame:
-    """Per file the header and the type of each column, inferred from the rows of the head alone.
-
-    ``empty`` is the type of a column without a value in the head.
-    """
-    cell = (
-        heads.where(F.col("header").isNotNull())
-        .select("path", "header", F.explode_outer("cells").alias("row"))
-        .select("path", "header", "row", F.posexplode("header").alias("position", "name"))
-        .select("path", "header", "position", F.get("row", F.col("position")).alias("cell"))
-    )
-    per_column = cell.groupBy("path", "header", "position").agg(column_types("cell", empty).alias("type"))
-    return per_column.groupBy("path", "header").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "type"))), lambda s: s["type"]).alias("types")
-    )

@@ -248,7 +248,9 @@ def test_pair_by_position(spark):
     "left, right, common",
     [("int", "int", "int"), ("int", "bigint", "bigint"), ("int", "double", "double"), ("bigint", "string", "string"),
      ("boolean", "int", "int"), ("boolean", "string", "string"), ("void", "double", "double"), ("date", "timestamp_ntz", "timestamp_ntz"),
-     ("float", "float", "float"), ("float", "int", "double")],
+     ("float", "float", "float"), ("float", "int", "double"), ("decimal(10,2)", "decimal(8,4)", "decimal(12,4)"), ("decimal(5,1)", "int", "decimal(11,1)"),
+     ("decimal(5,1)", "double", "double"), ("decimal(38,0)", "decimal(38,10)", "double"), ("decimal(5,1)", "boolean", "decimal(5,1)"),
+     ("timestamp", "timestamp_ntz", "timestamp"), ("decimal(5,1)", "string", "string")],
 )
 def test_common_type(left, right, common):
     ddl = T.DataType.fromDDL
@@ -258,6 +260,8 @@ def test_common_type(left, right, common):
 def test_no_common_type():
     with pytest.raises(TypeError):
         common_type(T.DateType(), T.DoubleType())
+    with pytest.raises(TypeError):
+        common_type(T.DateType(), T.DecimalType(5, 1))
 
 
 @FEW

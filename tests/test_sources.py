@@ -26,14 +26,50 @@ def test_tolerant_read(spark, put, rows):
     assert rows(df) == sorted([(1, 2.5, 'x, "y"'), (None, 3.0, "z"), (4, None, None), (5, 6.0, "q")], key=repr)
 
 
-def test_types_come_from_the_head_only(spark, put):
-    lines = "\n".join(f"{i},{i}.5,true,w{i}" for i in range(150)) + "\nlate,late,late,late\n"
-    path = put("a.csv", "i,d,b,s\n" + lines)
+def test_types_come_from_all_rows(spark, put):
+    lines = "\n".join(f"{i},{i}.5,true,w{i},{i}" for i in range(150)) + "\nlate,late,late,late,7\n"
+    path = put("a.csv", "i,d,b,s,n\n" + lines)
     df = csv.read_csv_tolerant(spark, path)
-    assert df.dtypes == [("i", "bigint"), ("d", "double"), ("b", "boolean"), ("s", "string")]
-    assert df.count() == 151 and df.where("i is null and d is null and b is null and s = 'late'").count() == 1
-    assert csv.read_csv_tolerant(spark, path, infer_rows=200).dtypes[0] == ("i", "string")
-    assert dict(csv.read_csv_dynamic(spark, path).dtypes)["i"] == "string"
+    assert df.dtypes == [("i", "string"), ("d", "string"), ("b", "string"), ("s", "string"), ("n", "bigint")]
+    assert df.where("i = 'late' and d = 'late' and b = 'late'").count() == 1
+    given = csv.read_csv_tolerant(spark, path, "i bigint, d double")
+    assert given.count() == 151 and given.where("i is null and d is null").count() == 1
+
+
+def test_types_do_not_depend_on_the_number_of_files(spark, put, tmp_path, rows):
+    records = [f"{i},{'seven' if i in (150, 200) else i}" for i in range(300)]
+    whole = csv.read_csv_tolerant(spark, put("one/a.csv", "a,b\n" + "\n".join(records) + "\n"))
+    for i in range(4):
+        put(f"many/{i}.csv", "a,b\n" + "\n".join(records[i * 75 : i * 75 + 75]) + "\n")
+    split = csv.read_csv_tolerant(spark, str(tmp_path / "many"))
+    assert whole.dtypes == split.dtypes == [("a", "bigint"), ("b", "string")] and rows(whole) == rows(split)
+
+
+def test_columns_are_bound_by_name(spark, put, rows):
+    path = put("a.csv", "b,a\n1,2\n")
+    for read in (csv.scan_csv, csv.read_csv_tolerant, csv.read_csv_strict, lambda *a: csv.read_csv_null_set(a[0], a[1], schema=a[2])):
+        df = read(spark, path, "a int, b int")
+        assert df.columns == ["a", "b"] and rows(df) == [(2, 1)]
+        with pytest.raises(ValueError, match="no such columns"):
+            read(spark, path, "a int, c int")
+
+
+def test_files_without_line_breaks_stay_splittable(spark, put):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        plain = csv.read_csv_tolerant(spark, put("a.csv", "a,b\n" + '1,"x ""y"""\n' * 2000), "a int, b string")
+        broken = csv.read_csv_tolerant(spark, put("b.csv", "a,b\n" + '1,"x\ny"\n' * 2000), "a int, b string")
+        assert plain.rdd.getNumPartitions() > 5 and broken.rdd.getNumPartitions() == 1
+        assert plain.count() == broken.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_header_with_a_line_break(spark, put):
+    df = csv.read_csv_tolerant(spark, put("a.csv", '\n"a\nb",c\n1,2\n'))
+    assert df.columns == ["a\nb", "c"] and tuple(df.first()) == (1, 2)
+    with pytest.raises(ValueError, match="no readable CSV header"):
+        csv.read_csv_tolerant(spark, put("b.csv", "\n\n"))
 
 
 def test_empty_cells_have_no_say_in_the_type(spark, put):
@@ -43,13 +79,6 @@ def test_empty_cells_have_no_say_in_the_type(spark, put):
     assert df.where("d = double('-inf') or isnan(d)").count() == 2
 
 
-def test_head_longer_than_one_block(spark, put):
-    wide = "x" * 100_000
-    path = put("a.csv", "i,s\n" + "".join(f"{i},{wide}\n" for i in range(5)) + "late,s\n")
-    assert csv.read_csv_tolerant(spark, path, infer_rows=6).dtypes[0] == ("i", "string")
-    assert csv.read_csv_tolerant(spark, path, infer_rows=5).dtypes[0] == ("i", "bigint")
-
-
 def test_scan_is_pruned_and_filtered(spark, put, plan):
     path = put("a.csv", "a,b,c\n1,2,3\n")
     text = plan(csv.scan_csv(spark, path, "a int, b int, c int").where("a = 1").select("b"))
@@ -97,9 +126,8 @@ def test_line_breaks_in_cells(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, "a\nb"), (2, "c")], "i bigint, s string")
     path = str(tmp_path / "out")
     csv.write_csv(df, path)
-    for read in (csv.read_csv_tolerant, csv.read_csv_strict):
-        assert rows(read(spark, path, multi_line=True)) == rows(df)
-    assert rows(csv.read_csv_null_set(spark, path, multi_line=True)) == rows(df)
+    for read in (csv.read_csv_tolerant, csv.read_csv_strict, csv.read_csv_null_set):
+        assert rows(read(spark, path)) == rows(read(spark, path, multi_line=True)) == rows(df)
 
 
 def test_very_long_cell_in_the_head(spark, put):
@@ -158,13 +186,25 @@ def test_odd_file_names(spark, put, tmp_path, rows):
     assert errors.count() == 0 and rows(df) == [(i,) for i in range(len(names))]
 
 
-def test_one_scan_per_typed_header(spark, put, tmp_path):
+def test_one_scan_per_header(spark, put, tmp_path):
     root = folder(put, tmp_path)
-    heads = files.file_heads(files.list_csv(spark, root))
-    groups = consolidate.read_groups(spark, heads)
+    listed = files.list_csv(spark, root)
+    groups, _ = consolidate.read_groups(spark, files.file_heads(listed).join(listed.select("path", "uri"), "path"))
     assert sorted(g.columns for g in groups) == [["a", "b"], ["b", "a"], ["b", "a2"], ["t"]]
 
 
+def test_a_broken_or_empty_file_is_left_out_as_a_whole(spark, put, tmp_path, rows):
+    good = "".join(f"{i},w\n" for i in range(300))
+    put("z/good.csv", "a,b\n" + good + '300,"x\ny"\n')
+    put("z/late.csv", "a,b\n" + good + "1,ÿ\n", "latin-1")
+    put("z/empty.csv", "")
+    put("z/blank.csv", "\n \n")
+    df, errors, profile = consolidate.consolidate(spark, files.list_csv(spark, str(tmp_path / "z")))
+    assert df.dtypes == [("a", "bigint"), ("b", "string")] and df.count() == 301 and df.where("b = 'x\ny'").count() == 1
+    assert sorted(os.path.basename(r["path"]) for r in errors.collect()) == ["blank.csv", "empty.csv", "late.csv"]
+    assert [os.path.basename(r["path"]) for r in profile.collect()] == ["good.csv"]
+
+
 def test_run_writes_one_folder_per_pair(spark, put, tmp_path):
     errors = consolidate.run(spark, folder(put, tmp_path), str(tmp_path / "out"))
     assert errors[("school", "edunomics")].count() == 1 and errors[("teacher", "edunomics")].count() == 0
