@@ -47,7 +47,17 @@ KEPT_WORDS = 500_000
 #: The lowest rank cell is [0, 2**LOWEST); above it each cell doubles.
 LOWEST = -6
 
-_HASHES: dict[bytes, int] = {}
+class _Hashes(dict):
+    """Hashes of words; a word not met before is hashed."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = made = xxhash.xxh3_64_intdigest(word)
+        return made
+
+
+_HASHES = _Hashes()
 _COUNTS: dict[float, np.ndarray] = {}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,10 +79,6 @@ def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     found = WORD.findall(text.lower())
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(_HASHES) > KEPT_WORDS:
-        _HASHES.clear()
-    for w in set(found) - _HASHES.keys():
-        _HASHES[w] = xxhash.xxh3_64_intdigest(w)
     codes = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
     n = max(1, len(codes) - words + 1)
     rolling = np.zeros(n, np.uint64)
