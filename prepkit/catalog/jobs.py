@@ -94,12 +94,12 @@ _JOINED = """
 @registry.add(_JOINED + "SELECT * FROM j")
 def index_join_three(spark, folder):
     # All sides have one row per key, so there is nothing to split.
-    return joining.index_join(*_measures(spark, folder), share=None)
+    return joining.index_join(*_measures(spark, folder), unique=True)
 
 
 @registry.add(_JOINED + "SELECT count(DISTINCT county_name) AS counties FROM j")
 def index_county_report(spark, folder):
-    return joining.county_report(joining.index_join(*_measures(spark, folder), share=None))
+    return joining.county_report(joining.index_join(*_measures(spark, folder), unique=True))
 
 
 @registry.add(

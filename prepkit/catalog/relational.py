@@ -25,14 +25,14 @@ _TOTALS = """
 
 @registry.add(_TOTALS + "SELECT p.k, p.n, p.qty FROM p LEFT JOIN s ON p.k = s.k")
 def left_join_suffix(spark, folder):
-    joined = j.left_join(_line_totals(spark, folder, "l_partkey"), _line_totals(spark, folder, "l_suppkey"), ["k"], share=None)
+    joined = j.left_join(_line_totals(spark, folder, "l_partkey"), _line_totals(spark, folder, "l_suppkey"), ["k"], unique=True)
     return drop_suffix(joined, ["_right", "_left"])
 
 
 @registry.add(_TOTALS + "SELECT p.k, p.n, p.qty, s.n AS n_right, s.qty AS qty_right FROM p LEFT JOIN s ON p.k = s.k")
 def left_join_keep_right(spark, folder):
     left, right = _line_totals(spark, folder, "l_partkey"), _line_totals(spark, folder, "l_suppkey")
-    return j.left_join(left, right, ["k"], share=None)  # one row per key on the right
+    return j.left_join(left, right, ["k"], unique=True)  # one row per key on the right
 
 
 @registry.add("""
@@ -59,7 +59,7 @@ def left_join_fanout(spark, folder):
         ON s_suppkey = k
 """)
 def left_join_frequent_key(spark, folder):
-    """Most events carry one key: it is joined apart."""
+    """Most events carry one key: the inner join that gives the matches can split it."""
     key = F.when(F.col("event_type") == "error", F.col("user_id")).otherwise(F.lit(1)).alias("k")
     events = table(spark, folder, "events").select("event_id", "value", key)
     joined = j.left_join(table(spark, folder, "supplier"), events, [("s_suppkey", "k")])
@@ -78,7 +78,7 @@ def semi_join_keys(spark, folder):
     WHERE k IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
 """)
 def semi_join_frequent_key(spark, folder):
-    """Most events carry one key: its rows are answered by a broadcast of the few frequent keys."""
+    """Most events carry one key: the known keys are written, so that the join can split it."""
     key = F.when(F.col("event_type") == "error", F.col("user_id")).otherwise(F.lit(1)).alias("k")
     events = table(spark, folder, "events").select("event_id", "event_type", key)
     supplier = table(spark, folder, "supplier").where(F.col("s_acctbal") > 0)

@@ -135,6 +135,32 @@ def apply_adjustments(spark, folder):
     return moved.withColumns({c: F.round(c, 6) for c in ("l_quantity", "l_extendedprice")})
 
 
+@registry.add("""
+    WITH a AS (SELECT s_suppkey, s_suppkey % 4 AS position, CASE s_suppkey % 2 WHEN 0 THEN 'l_quantity' ELSE 'l_tax' END AS feature, s_acctbal / 100 AS pct
+               FROM supplier
+               UNION ALL SELECT s_suppkey, 2, CASE s_suppkey % 2 WHEN 0 THEN 'l_quantity' ELSE 'l_tax' END, s_nationkey + 0.5 FROM supplier WHERE s_suppkey % 4 <> 2
+               UNION ALL SELECT s_suppkey, 9, 'l_quantity', -20.0 FROM supplier WHERE s_suppkey % 5 = 0),
+         w AS (SELECT s_suppkey, arg_max(pct, position) FILTER (feature = 'l_quantity') AS q, arg_max(pct, position) FILTER (feature = 'l_tax') AS t
+               FROM a GROUP BY s_suppkey)
+    SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + coalesce(q, 0) / 100::double), 6) AS l_quantity,
+           round(l_tax * (1 + coalesce(t, 0) / 100::double), 6) AS l_tax
+    FROM lineitem LEFT JOIN w ON l_suppkey = s_suppkey
+""")
+def apply_adjustments_last(spark, folder):
+    """Several adjustments of one feature: the last position counts."""
+    supplier = table(spark, folder, "supplier")
+    key, turn = F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") % 4).cast("int")
+    feature = F.when(F.col("s_suppkey") % 2 == 0, "l_quantity").otherwise("l_tax").alias("feature")
+    first = supplier.select(key, turn.alias("position"), feature, (F.col("s_acctbal") / 100).alias("pct"))
+    second = supplier.where(turn != 2).select(key, F.lit(2).alias("position"), feature, (F.col("s_nationkey") + F.lit(0.5)).alias("pct"))
+    third = supplier.where("s_suppkey % 5 = 0").select(key, F.lit(9).alias("position"), F.lit("l_quantity").alias("feature"), F.lit(-20.0).alias("pct"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax")
+    moved = s.apply_adjustments_by_key(lines, first.unionByName(second).unionByName(third), "l_suppkey", ["l_quantity", "l_tax"])
+    return moved.select(
+        "l_orderkey", "l_linenumber", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_tax", 6).alias("l_tax")
+    )
+
+
 @registry.add("""
     SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + s_acctbal / 10000), 6) AS l_quantity,
            round(CASE WHEN s_nationkey > 9 THEN l_tax * (1 + s_nationkey::double / 100) ELSE l_tax END, 6) AS l_tax
@@ -143,8 +169,8 @@ def apply_adjustments(spark, folder):
 def apply_adjustments_by_key(spark, folder):
     supplier = table(spark, folder, "supplier")
     key = F.col("s_suppkey").alias("l_suppkey")
-    long = supplier.select(key, F.lit("l_quantity").alias("feature"), (F.col("s_acctbal") / 100).alias("pct")).union(
-        supplier.where("s_nationkey > 9").select(key, F.lit("l_tax"), F.col("s_nationkey").cast("double"))
+    long = supplier.select(key, F.lit(0).alias("position"), F.lit("l_quantity").alias("feature"), (F.col("s_acctbal") / 100).alias("pct")).union(
+        supplier.where("s_nationkey > 9").select(key, F.lit(1), F.lit("l_tax"), F.col("s_nationkey").cast("double"))
     )
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax")
     moved = s.apply_adjustments_by_key(lines, long, "l_suppkey", ["l_quantity", "l_tax"])
@@ -245,6 +271,41 @@ def what_if(spark, folder):
     return scored
 
 
+_SHARED = OBSERVATIONS.replace("s_name AS district", "s_nationkey % 5 AS district")
+_SHARED_NEAR = """
+    p AS (SELECT district, state, avg(x1) AS x1 FROM obs GROUP BY district, state),
+    q AS (SELECT x1 AS v1 FROM p WHERE district = 3 AND state = 8),
+    near AS (SELECT district, state FROM p, q WHERE NOT (district = 3 AND state = 8) ORDER BY abs(x1 - v1), district, state LIMIT 2)
+"""
+
+
+@registry.add(f"""
+    WITH {_SHARED}, {_SHARED_NEAR},
+    m AS (SELECT covar_pop(x1, y) / var_pop(x1) AS b1, avg(y) - covar_pop(x1, y) / var_pop(x1) * avg(x1) AS b0 FROM obs),
+    t AS (SELECT {{}} FROM obs),
+    sc AS (SELECT c_custkey, cast({draw_sql(13, 'c_custkey', repr('district_feature1'))} AS double) AS p1 FROM customer)
+    SELECT c_custkey, {{}} FROM sc, t, m
+""".format(
+    ", ".join(
+        f"count(CASE WHEN {mask} THEN 1 END) AS {g}_n, sum(CASE WHEN {mask} THEN x1 END) AS {g}_1"
+        for g, mask in {"d": "district = 3 AND state = 8", "s": "(district, state) IN (SELECT (district, state) FROM near)", "a": "state = 8"}.items()
+    ),
+    ", ".join(
+        f"printf('%.2f', 100.0::double * (p1 / 100.0::double * b1 * {g}_1) / (b0 * {g}_n + b1 * {g}_1)) AS {name}_percent_increase"
+        for g, name in {"d": "district", "s": "similar_districts", "a": "state"}.items()
+    ),
+))
+def what_if_shared_name(spark, folder):
+    """Five district names shared by all states: the one in state 8 is scored, and no other adds to it."""
+    obs = observations(spark, folder).withColumn("district", (F.col("state") % 5).cast("string"))
+    sweep = s.random_scenarios(table(spark, folder, "customer"), ["c_custkey"], seed=13)
+    scored, _ = score(
+        obs, sweep, ["c_custkey"], district="3", target="net", top=(["unit price"], 1), bottom=([], 0),
+        district_column="district", state_column="state", similar=2, state=8,
+    )
+    return scored
+
+
 @registry.add("""
     SELECT o_orderkey, 'district_feature1: Must be a number' AS reason FROM orders WHERE o_orderstatus = 'P'
 """)

@@ -1,11 +1,9 @@
-"""Equi-joins that keep clear names and hold up when one key has a large share of the rows.
+"""Equi-joins that keep clear names and hold up when one key has many of the rows.
 
-Spark picks the physical join. Adaptive execution splits a skewed left side of left, semi and anti joins and
-either side of an inner join. What it cannot split is handled here: the repeated keys on the right of a left
-join, and a frequent key on the left when the right side was aggregated by the same key just before.
-
-Frequent keys are found by their hash. There are at most ``1 / share`` of them, so the list is bounded
-whatever the size of the data, and a hash shared by two keys only moves one more key to the other branch.
+Spark picks the physical join. Adaptive execution splits a skewed left side of left, semi and anti joins and either side of an
+inner join, if both sides come straight from a shuffle. So a side that was aggregated per key is written first, and a left join
+whose right side repeats keys is made of an inner join and the left rows without a match. No share of the rows or number of
+keys switches between ways.
 """
 
 from __future__ import annotations
@@ -19,35 +17,7 @@ from pyspark.sql import types as T
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.columns import column, require
 from prepkit.operators.row_id import with_row_id
-
-HOT_SHARE = 0.05
-_FEW_ROWS = 1000
-
-
-def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
-    """Hash of the keys; whole numbers of any width give the same."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    wide = [column(k).cast("bigint") if isinstance(types[k], T.IntegralType) else column(k) for k in keys]
-    return F.xxhash64(*wide)
-
-
-def _is_hot(df: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> Column:
-    return F.coalesce(_key_hash(df, keys).isin(list(hot)), F.lit(False))
-
-
-def frequent_key_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows; null keys, which never match, do not count.
-
-    Two passes over the key columns, both aggregated on the map side: the first gives every candidate
-    and perhaps some others, the second counts them.
-    """
-    hashed = df.dropna("any", subset=list(keys)).select(_key_hash(df, keys).alias("h"))
-    candidates = hashed.stat.freqItems(["h"], share).first()[0]
-    if not candidates:
-        return []
-    counts = hashed.select(F.when(F.col("h").isin(candidates), F.col("h")).alias("h")).groupBy("h").count().collect()
-    rows = sum(r["count"] for r in counts)
-    return sorted(r["h"] for r in counts if r["h"] is not None and r["count"] > share * rows)
+from prepkit.session import stage
 
 
 def _keys(on: Sequence[str] | Sequence[tuple[str, str]]) -> tuple[list[str], list[str]]:
@@ -82,36 +52,32 @@ def _prepared(left: DataFrame, right: DataFrame, left_keys, right_keys, suffix:
     return right.select(*out)
 
 
+def _distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys once each, without nulls; written, so that a join with them can be split."""
+    return stage(df.select(*map(column, keys)).dropna("any").distinct(), "join-keys")
+
+
 def left_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str] | Sequence[tuple[str, str]],
     suffix: str = fv.RIGHT_SUFFIX,
-    share: float | None = HOT_SHARE,
+    unique: bool = False,
 ) -> DataFrame:
     """All left rows with every match; only the left keys stay, clashing right columns get a suffix.
 
-    Keys repeated very often on the right are joined apart, as an inner join whose two sides can both be
-    split: each of them is known to have a match, so no left row is lost. ``share=None`` skips the look
-    for such keys, for a right side known to be unique.
+    A left join cannot split its right side, so matches come from an inner join, which splits both, and the other left rows from
+    an anti join with the distinct right keys. Both read the left side: stage one that is costly to make. ``unique`` says
+    that the right side has one row per key; then it is one plain join.
     """
     left_keys, right_keys = _keys(on)
     right = _prepared(left, right, left_keys, right_keys, suffix)
-    hot = frequent_key_hashes(right, left_keys, share) if share else []
-    if not hot:
+    if unique:
         return left.join(right, left_keys, "left").select(*_order(left, right))
-    # A hash may be shared by a key without a match, so membership is checked on the key itself.
-    found = right.where(_is_hot(right, left_keys, hot))
-    hot_keys = [r.asDict() for r in found.select(*map(column, left_keys)).distinct().collect()]
-    is_hot = F.lit(False)
-    for key in hot_keys:
-        same = F.lit(True)
-        for name, value in key.items():
-            same = same & column(name).eqNullSafe(F.lit(value))
-        is_hot = is_hot | same
-    usual = left.where(~is_hot).join(right.where(~is_hot), left_keys, "left").select(*_order(left, right))
-    frequent = left.where(is_hot).join(right.where(is_hot), left_keys, "inner").select(*_order(left, right))
-    return usual.unionByName(frequent)
+    matched = left.join(right, left_keys, "inner").select(*_order(left, right))
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in left.columns]
+    alone = left.join(_distinct_keys(right, left_keys), left_keys, "left_anti").select(*map(column, left.columns), *missing)
+    return matched.unionByName(alone)
 
 
 def _order(left: DataFrame, right: DataFrame) -> list[Column]:
@@ -130,45 +96,29 @@ def inner_join(
     return left.join(right, left_keys, "inner").select(*_order(left, right))
 
 
-def _one_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, share: float | None) -> DataFrame:
-    """Join to a side that has one row per key, with the frequent left keys apart."""
-    hot = frequent_key_hashes(left, keys, share) if share else []
-    if not hot:
-        return left.join(right, list(keys), how)
-    on_left, on_right = _is_hot(left, keys, hot), _is_hot(right, keys, hot)
-    usual = left.where(~on_left).join(right.where(~on_right), list(keys), how)
-    # One row for each of the few frequent keys fits a broadcast. Their number is checked before it is asked for.
-    few = right.where(on_right)
-    if few.limit(_FEW_ROWS + 1).count() <= _FEW_ROWS:
-        few = F.broadcast(few)
-    return usual.unionByName(left.where(on_left).join(few, list(keys), how))
-
-
-def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str] | Sequence[tuple[str, str]], share: float | None = HOT_SHARE
-) -> DataFrame:
-    """Left join to a table with one row per key, such as totals that were just added up per key."""
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Sequence[tuple[str, str]]) -> DataFrame:
+    """Left join to a table with one row per key, such as totals that were just added up per key. It is written before."""
     left_keys, right_keys = _keys(on)
-    right = _prepared(left, right, left_keys, right_keys, fv.RIGHT_SUFFIX)
-    return _one_per_key(left, right, left_keys, "left", share).select(*_order(left, right))
+    right = stage(_prepared(left, right, left_keys, right_keys, fv.RIGHT_SUFFIX), "lookup")
+    return left.join(right, left_keys, "left").select(*_order(left, right))
 
 
-def _membership(left, right, on, how: str, share: float | None) -> DataFrame:
+def _membership(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
     left_keys, right_keys = _keys(on)
     _require_keys(left, right, left_keys, right_keys)
     # One row per key: partial aggregation removes repeated right keys before the shuffle.
-    known = right.select(*[column(r).alias(k) for k, r in zip(left_keys, right_keys)]).dropna("any").distinct()
-    return _one_per_key(left, known, left_keys, how, share)
+    renamed = right.select(*[column(r).alias(k) for k, r in zip(left_keys, right_keys)])
+    return left.join(_distinct_keys(renamed, left_keys), left_keys, how)
 
 
-def semi_join(left: DataFrame, right: DataFrame, on, share: float | None = HOT_SHARE) -> DataFrame:
+def semi_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
     """Left rows whose key occurs on the right; a null key does not match."""
-    return _membership(left, right, on, "left_semi", share)
+    return _membership(left, right, on, "left_semi")
 
 
-def anti_join(left: DataFrame, right: DataFrame, on, share: float | None = HOT_SHARE) -> DataFrame:
+def anti_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
     """Left rows whose key does not occur on the right; a row with a null key stays."""
-    return _membership(left, right, on, "left_anti", share)
+    return _membership(left, right, on, "left_anti")
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:

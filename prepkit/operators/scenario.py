@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ from prepkit.operators.aggregates import distinct_sorted
 from prepkit.operators.columns import column, rename_strict, require
 from prepkit.operators.filters import drop_null_rows
 from prepkit.operators.joins import lookup_join
+from prepkit.session import stage
 
 
 def district_names(df: DataFrame, name: str) -> DataFrame:
@@ -132,13 +134,13 @@ def apply_adjustments(df: DataFrame, percents: dict[str, float]) -> DataFrame:
 def apply_adjustments_by_key(
     df: DataFrame, adjustments: DataFrame, key: str, features: Sequence[str]
 ) -> DataFrame:
-    """Change each row by the scenario of its own key; ``adjustments`` is ``(key, feature, pct)``.
+    """Change each row by the scenario of its own key; ``adjustments`` is ``(key, position, feature, pct)``.
 
-    A feature without an adjustment stays. The adjustments are folded to one row per key, then joined.
+    A feature without an adjustment stays; of several for one feature the last position counts. The adjustments are folded to one row
+    per key, then joined.
     """
-    wide = adjustments.groupBy(column(key)).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("pct"))).alias(f"__{i}") for i, f in enumerate(features)]
-    )
+    last = [F.max_by("pct", F.when(F.col("feature") == f, F.col("position"))).alias(f"__{i}") for i, f in enumerate(features)]
+    wide = adjustments.groupBy(column(key)).agg(*last)
     joined = lookup_join(df, wide, [key])
     out = {f: changed(column(f), F.coalesce(F.col(f"__{i}"), F.lit(0.0))) for i, f in enumerate(features)}
     return joined.withColumns(out).select(*[column(c) for c in df.columns])
@@ -170,23 +172,27 @@ def district_totals(df: DataFrame, key: str, state: str, features: Sequence[str]
     )
 
 
-def profile(totals: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """Mean of each feature per district, from the totals."""
-    return totals.groupBy(column(key)).agg(*[(F.sum(column(f)) / F.sum("rows")).alias(f) for f in features])
+def profile(totals: DataFrame, key: str, features: Sequence[str], state: str | None = None) -> DataFrame:
+    """Mean of each feature per district, from the totals; with ``state``, equal names in two states are two districts."""
+    keys = [column(k) for k in (key, state) if k]
+    return totals.groupBy(*keys).agg(*[(F.sum(column(f)) / F.sum("rows")).alias(f) for f in features])
 
 
 def similar_districts(
-    profiles: DataFrame, key: str, selected: str, features: Sequence[str], k: int
+    profiles: DataFrame, key: str, selected: str, features: Sequence[str], k: int, state: str | None = None, selected_state=None
 ) -> DataFrame:
-    """The ``k`` districts nearest to the selected one: ``(key, distance)``.
+    """The ``k`` districts nearest to the selected one: ``(key, distance)``, with the state if it is part of the key.
 
     Our measure is the Euclidean distance of standardised profiles; a feature that does not vary is left
     out. One district against all others is a single pass: its values and the deviations are a few numbers
     that enter as constants.
     """
+    same = column(key).eqNullSafe(F.lit(selected))
+    if state:
+        same = same & column(state).eqNullSafe(F.lit(selected_state))
     row = profiles.agg(
         *[F.stddev_pop(column(f)).alias(f"s{i}") for i, f in enumerate(features)],
-        *[F.max(F.when(column(key) == F.lit(selected), column(f))).alias(f"v{i}") for i, f in enumerate(features)],
+        *[F.max(F.when(same, column(f))).alias(f"v{i}") for i, f in enumerate(features)],
     ).first()
     parts = [
         F.pow((column(f) - F.lit(row[f"v{i}"])) / F.lit(row[f"s{i}"]), F.lit(2.0))
@@ -195,9 +201,9 @@ def similar_districts(
     ]
     if not parts:
         raise ValueError(f"no profile of {selected!r} to compare with")
-    others = profiles.where(column(key) != F.lit(selected))
-    ranked = others.select(column(key), F.sqrt(reduce(add, parts)).alias("distance"))
-    return ranked.where(F.col("distance").isNotNull()).orderBy("distance", column(key)).limit(k)
+    names = [column(n) for n in (key, state) if n]
+    ranked = profiles.where(~same).select(*names, F.sqrt(reduce(add, parts)).alias("distance"))
+    return ranked.where(F.col("distance").isNotNull()).orderBy("distance", *names).limit(k)
 
 
 @dataclass(frozen=True)
@@ -221,14 +227,100 @@ def fit(df: DataFrame, target: str, features: Sequence[str]) -> LinearModel:
     return LinearModel(float(model.intercept), dict(zip(features, map(float, model.coefficients))))
 
 
+class Moments:
+    """Counts, means and co-moments of numbers per district and state, from one pass over the observations.
+
+    Rows are also told apart by which of their numbers are null. So whatever numbers are chosen later, the rows that hold all of
+    them are a choice of groups, and ranking, fit, profiles and sums follow from the groups alone. The table is written once; it has
+    a row per district, state and pattern of nulls.
+    """
+
+    def __init__(self, df: DataFrame, key: str, state: str, names: Sequence[str]) -> None:
+        self.names = list(dict.fromkeys(names))
+        self.key, self.state = key, state
+        require(df, [*self.names, key, state])
+        values = [column(n).cast("double").alias(f"v{i}") for i, n in enumerate(self.names)]
+        absent = F.array_join(F.array(*[F.when(column(n).isNull(), "1").otherwise("0") for n in self.names]), "").alias("absent")
+        rows = df.select(column(key).alias("district"), column(state).alias("state"), absent, *values)
+        groups = rows.groupBy("district", "state", "absent").agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
+            *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(self.names))],
+            *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i in range(len(self.names)) for j in range(i + 1)],
+        )
+        self.groups = stage(groups, "moments")
+
+    def _holding(self, names: Sequence[str]) -> Column:
+        """Groups whose rows have all of these numbers."""
+        held = F.lit(True)
+        for n in names:
+            held = held & (F.substring("absent", self.names.index(n) + 1, 1) == "0")
+        return held
+
+    def together(self, sets: Sequence[Sequence[str]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Rows, means and co-moments over all rows that hold a set of numbers, for several sets: two small aggregates for all of them."""
+        def sums(k: int, names: Sequence[str], value: Column) -> Column:
+            return F.coalesce(F.sum(F.when(self._holding(names), value)), F.lit(0.0))
+
+        n, at = F.col("n"), self.names.index
+        first = self.groups.agg(
+            *[sums(k, names, n).alias(f"n{k}") for k, names in enumerate(sets)],
+            *[sums(k, names, n * F.col(f"m{at(x)}")).alias(f"s{k}_{x_}") for k, names in enumerate(sets) for x_, x in enumerate(names)],
+        ).first()
+        out, exprs = [], []
+        for k, names in enumerate(sets):
+            rows = first[f"n{k}"]
+            means = np.array([first[f"s{k}_{i}"] / rows if rows else np.nan for i in range(len(names))])
+            out.append((rows, means))
+            for i, x in enumerate(names):
+                for j, y in enumerate(names[: i + 1]):
+                    a, b = max(at(x), at(y)), min(at(x), at(y))
+                    apart = (F.col(f"m{at(x)}") - F.lit(float(means[i]))) * (F.col(f"m{at(y)}") - F.lit(float(means[j])))
+                    exprs.append(sums(k, names, n * (F.col(f"c{a}_{b}") + apart)).alias(f"c{k}_{i}_{j}"))
+        second = self.groups.agg(*exprs).first()
+        full = []
+        for k, (names, (rows, means)) in enumerate(zip(sets, out)):
+            c = np.array([[second[f"c{k}_{max(i, j)}_{min(i, j)}"] for j in range(len(names))] for i in range(len(names))]).reshape(len(names), len(names))
+            full.append((rows, means, c))
+        return full
+
+    def rank(self, target: str, levels: dict[str, tuple[Sequence[str], int]]) -> dict[str, list[str]]:
+        """The most important features per level by absolute correlation with the target, as ``rank_features`` defines it."""
+        features = [f for names, _ in levels.values() for f in names]
+        found = self.together([(f, target) if f != target else (f,) for f in features])
+        score: dict[str, float] = {}
+        for f, (rows, _, c) in zip(features, found):
+            fits = rows > 0 and len(c) == 2 and c[0, 0] > 0 and c[1, 1] > 0
+            score[f] = abs(c[0, 1]) / (c[0, 0] * c[1, 1]) ** 0.5 if fits else float(f == target) or -1.0
+        return {level: sorted(dict.fromkeys(names), key=lambda f: (-round(score[f], 12), f))[:k] for level, (names, k) in levels.items()}
+
+    def fit(self, target: str, features: Sequence[str]) -> LinearModel:
+        """Least squares over all rows that hold the features and the target; a feature that does not vary gets no weight."""
+        features = list(dict.fromkeys(features))
+        ((rows, means, c),) = self.together([(*features, target)])
+        spread = np.sqrt(np.maximum(np.diag(c)[:-1], 0))
+        varies = spread > 0
+        weights = np.zeros(len(features))
+        if rows and varies.any():
+            scaled = c[:-1, :-1][np.ix_(varies, varies)] / np.outer(spread[varies], spread[varies])
+            solved = np.linalg.lstsq(scaled, c[:-1, -1][varies] / spread[varies], rcond=1e-10)[0]
+            weights[varies] = solved / spread[varies]
+        if not rows:
+            raise ValueError("no row holds all features and the target")
+        return LinearModel(float(means[-1] - weights @ means[:-1]), dict(zip(features, map(float, weights))))
+
+    def totals(self, features: Sequence[str]) -> DataFrame:
+        """Rows and feature sums per district and state, over rows that hold the features."""
+        held = self.groups.where(self._holding(features) & F.col("district").isNotNull())
+        sums = [F.sum(F.col("n") * F.col(f"m{self.names.index(f)}")).alias(f) for f in features]
+        return held.groupBy(F.col("district").alias(self.key), F.col("state").alias(self.state)).agg(F.sum("n").alias("rows"), *sums)
+
+
 GRAINS = ("district", "similar_districts", "state")
 
 
-def grain_sums(
-    totals: DataFrame, features: Sequence[str], key: str, selected: str, similar: Sequence[str], in_state: Column
-) -> DataFrame:
-    """Rows and feature sums of the district, the similar districts and the state, from the totals."""
-    masks = dict(zip(GRAINS, (column(key) == F.lit(selected), column(key).isin(list(similar)), in_state)))
+def grain_sums(totals: DataFrame, features: Sequence[str], selected: Column, similar: Column, in_state: Column) -> DataFrame:
+    """Rows and feature sums of the district, the similar districts and the state, each given by a condition on the totals."""
+    masks = dict(zip(GRAINS, (selected, similar, in_state)))
     return totals.agg(
         *[
             F.sum(F.when(mask, column(c))).cast("double").alias(f"{grain}__{c}")

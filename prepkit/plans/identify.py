@@ -10,7 +10,7 @@ from prepkit.functions.text import apply_rules, strip_chars, title_case
 from prepkit.operators.aggregates import distinct_count, reconcile
 from prepkit.operators.columns import derive_key, drop_strict, names_snake
 from prepkit.operators.filters import equals
-from prepkit.operators.joins import HOT_SHARE, left_join
+from prepkit.operators.joins import left_join
 from prepkit.session import stage
 from prepkit.sources.csv import read_csv_tolerant, write_csv
 from prepkit.sources.tables import read_table
@@ -26,19 +26,17 @@ def clean_names(counties: DataFrame, state: int = fv.STATE_CODE) -> DataFrame:
     return rows.withColumn(DISTRICT, cleaned)
 
 
-def identify(
-    districts: DataFrame, counties: DataFrame, state: int = fv.STATE_CODE, share: float | None = HOT_SHARE
-) -> DataFrame:
+def identify(districts: DataFrame, counties: DataFrame, state: int = fv.STATE_CODE) -> DataFrame:
     """District rows with their county; a district in several counties gives several rows.
 
     Names that no district row has need no removal beforehand: the left join never meets them. Title case is
-    made on both sides before the join, once per row and not once per match. The cleaned county list is
-    written once, since the look for frequent names and the join would each clean it again.
+    made on both sides before the join, once per row and not once per match. Both sides are written once, since the join
+    reads them twice.
     """
     key = F.lower("LEANM")
-    left = districts.withColumns({"LEANM": key, "__title": title_case(key)})
+    left = stage(districts.withColumns({"LEANM": key, "__title": title_case(key)}), "districts")
     right = stage(clean_names(counties, state).withColumn(COUNTY, title_case(f"`{COUNTY}`")), "counties")
-    joined = left_join(left, right, [("LEANM", DISTRICT)], share=share)
+    joined = left_join(left, right, [("LEANM", DISTRICT)])
     return names_snake(joined.withColumn("LEANM", F.col("__title")).drop("__title"))
 
 

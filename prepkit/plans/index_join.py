@@ -13,7 +13,7 @@ from prepkit.functions.values import modulo
 from prepkit.operators.aggregates import distinct_count
 from prepkit.operators.columns import drop_strict, drop_suffix, rename_from_dictionary, select_not
 from prepkit.operators.filters import equals, suffix_not_contains
-from prepkit.operators.joins import HOT_SHARE, left_join
+from prepkit.operators.joins import left_join
 from prepkit.session import stage
 from prepkit.sources.csv import read_csv_tolerant, write_csv
 from prepkit.sources.tables import write_table_replace
@@ -45,25 +45,27 @@ def index_join(
     index_dictionary: DataFrame,
     subdomain_dictionary: DataFrame,
     state: int = fv.STATE_CODE,
-    share: float | None = HOT_SHARE,
+    unique: bool = False,
 ) -> DataFrame:
     """Index rows with their subdomain measures and population, under short column names.
 
     Both joins use the same keys, so the result of the first is not shuffled again for the second. The
-    population is not cut to the known places beforehand: the left join does that by itself. The look for
-    frequent keys reads the right sides again, so they are written once before it.
+    population is not cut to the known places beforehand: the left join does that by itself. ``unique`` says that the
+    right sides have one row per key; otherwise the sides are read more than once and are written before.
     """
     left = rename_from_dictionary(state_measures(index, state), short_labels(index_dictionary, fv.INDEX_LABEL_RULES))
     right = rename_from_dictionary(
         state_measures(subdomains, state), short_labels(subdomain_dictionary, fv.SUBDOMAIN_LABEL_RULES)
     )
-    if share:
-        right, population = stage(right, "subdomains"), stage(population, "population")
-    joined = drop_suffix(left_join(left, right, fv.MEASURE_KEYS, share=share), [fv.RIGHT_SUFFIX, fv.LEFT_SUFFIX])
+    if not unique:
+        left, right, population = stage(left, "index"), stage(right, "subdomains"), stage(population, "population")
+    joined = drop_suffix(left_join(left, right, fv.MEASURE_KEYS, unique=unique), [fv.RIGHT_SUFFIX, fv.LEFT_SUFFIX])
     # The part before the comma is kept as it stands, untrimmed.
     joined = joined.withColumn("county_name", split_part_exact("county_name", ",", 0))
     joined = drop_strict(joined, "in100", "metro_type", "state_name")
-    return left_join(joined, population, fv.MEASURE_KEYS, share=share).withColumn("county_fips", modulo("county_fips"))
+    if not unique:
+        joined = stage(joined, "index-subdomains")
+    return left_join(joined, population, fv.MEASURE_KEYS, unique=unique).withColumn("county_fips", modulo("county_fips"))
 
 
 def county_report(joined: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def test_second_join_reuses_the_partitioning_of_the_first(spark, plan):
         names = spark.createDataFrame([], "`Column` string, Label string")
         joined = index_join.index_join(
             index, spark.createDataFrame([], f"{keys}, r_y_stt double"), spark.createDataFrame([], "geoid10 bigint, year int, pop int"),
-            names, names, share=None,
+            names, names, unique=True,
         )
         assert plan(joined).count("Exchange hashpartitioning") == 3  # one per input
     finally:

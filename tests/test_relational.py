@@ -51,15 +51,15 @@ def brute_left(left, right):
 
 
 @FEW
-@given(KEYS, KEYS, st.sampled_from([None, 0.05, 0.3]))
-def test_joins_match_brute_force(spark, left, right, share):
+@given(KEYS, KEYS)
+def test_joins_match_brute_force(spark, left, right):
     l, r = frame(spark, left, "l"), frame(spark, right, "r")
     ls, rs = [(k, i) for i, k in enumerate(left)], [(k, i) for i, k in enumerate(right)]
     known = {k for k in right if k is not None}
-    got = sorted((tuple(x) for x in j.left_join(l, r, ["k"], share=share).collect()), key=repr)
+    got = sorted((tuple(x) for x in j.left_join(l, r, ["k"]).collect()), key=repr)
     assert got == brute_left(ls, rs)
-    semi = sorted(x["l"] for x in j.semi_join(l, r, ["k"], share=share).collect())
-    anti = sorted(x["l"] for x in j.anti_join(l, r, ["k"], share=share).collect())
+    semi = sorted(x["l"] for x in j.semi_join(l, r, ["k"]).collect())
+    anti = sorted(x["l"] for x in j.anti_join(l, r, ["k"]).collect())
     assert semi == [i for k, i in ls if k in known]
     assert anti == [i for k, i in ls if k not in known]
     inner = sorted(tuple(x) for x in j.inner_join(l, r, ["k"]).collect())
@@ -85,14 +85,10 @@ def test_reports_on_several_keys(spark):
     }
 
 
-def test_frequent_keys_are_found_and_joined_apart(spark, plan):
+def test_left_join_with_a_frequent_right_key(spark):
     left = spark.range(200).select((F.col("id") % 50).alias("k"), F.col("id").alias("l"))
     right = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"), F.col("id").alias("r"))
-    assert len(j.frequent_key_hashes(right, ["k"])) == 1
-    assert j.frequent_key_hashes(left, ["k"]) == []
-    joined = j.left_join(left, right, ["k"])
-    assert "Union" in plan(joined)
-    plain = left.join(right, "k", "left")
+    joined, plain = j.left_join(left, right, ["k"]), left.join(right, "k", "left")
     assert joined.exceptAll(plain).count() == 0 and plain.exceptAll(joined).count() == 0
 
 
@@ -118,11 +114,10 @@ def test_keys_of_different_width_and_type(spark):
             join(left, text, [("k", "r")])
 
 
-def test_lookup_join_with_a_frequent_key(spark, plan):
+def test_lookup_join_with_a_frequent_key(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"), "id")
     totals = left.where("k < 2000").groupBy("k").agg(F.count("*").alias("n"))
     joined = j.lookup_join(left, totals, ["k"])
-    assert "Union" in plan(joined)
     plain = left.join(totals, "k", "left").select("k", "id", "n")
     assert joined.exceptAll(plain).count() == 0 and plain.exceptAll(joined).count() == 0
 
@@ -155,19 +150,41 @@ def skewed(spark):
 def test_adaptive_execution_splits_a_skewed_left_side(spark, plan, small_skew):
     """The plain left join keeps the shape that adaptive execution can split."""
     left, right = skewed(spark)
-    done = j.left_join(left, right, ["k"], share=None).agg(F.count("*"), F.sum("l"), F.sum("r"))
+    done = j.left_join(left, right, ["k"], unique=True).agg(F.count("*"), F.sum("l"), F.sum("r"))
     assert done.collect()[0][0] == 200000
     assert "skew=true" in plan(done)
 
 
 def test_the_first_of_two_joins_on_one_key_is_split_too(spark, plan, small_skew):
     left, right = skewed(spark)
-    both = j.left_join(j.left_join(left, right, ["k"], share=None), right.withColumnRenamed("r", "q"), ["k"], share=None)
+    both = j.left_join(j.left_join(left, right, ["k"], unique=True), right.withColumnRenamed("r", "q"), ["k"], unique=True)
     done = both.agg(F.count("*"), F.sum("l"), F.sum("r"), F.sum("q"))
     assert done.collect()[0][0] == 200000
     assert "skew=true" in plan(done)
 
 
+@pytest.mark.parametrize("share", [100, 25])
+@pytest.mark.parametrize("how", ["semi", "anti", "lookup", "right"])
+def test_keys_with_few_hundredths_of_the_rows_are_split(spark, plan, small_skew, how, share):
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "4KB")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4KB")
+    key = F.when(F.col("id") % share == 0, 7).otherwise(F.col("id")).cast("bigint")
+    big = spark.range(0, 400000, 1, 8).select(key.alias("k"), F.md5(F.col("id").cast("string").cast("binary")).alias("l"))
+    small = spark.range(400000).select(F.col("id").alias("k"))
+    if how == "semi":
+        done, want = j.semi_join(big, small, ["k"]).agg(F.count("l"), F.max("l")), 400000
+    elif how == "anti":
+        done, want = j.anti_join(big, small.where("k % 2 = 0"), ["k"]).agg(F.count("l"), F.max("l")), None
+    elif how == "lookup":
+        done, want = j.lookup_join(big, small.groupBy("k").agg(F.count("*").alias("n")), ["k"]).agg(F.count("l"), F.max("l"), F.sum("n")), 400000
+    else:
+        done, want = j.left_join(small, big, ["k"]).agg(F.count("l"), F.max("l")), 400000
+    got = done.collect()[0][0]
+    assert want is None or got == want
+    assert "skew=true" in plan(done)
+
+
 def test_suffix_rules(spark):
     left = spark.createDataFrame([(1, "a")], "k int, v string")
     right = spark.createDataFrame([(1, "b")], "q int, v string")

@@ -48,7 +48,9 @@ def test_bind_adjustments(spark):
 def test_adjustments(spark, rows):
     df = spark.createDataFrame([("a", 10.0, 1.0), ("b", 20.0, 2.0), ("c", 30.0, None)], "k string, x double, y double")
     assert rows(s.apply_adjustments(df, {"x": 50})) == [("a", 15.0, 1.0), ("b", 30.0, 2.0), ("c", 45.0, None)]
-    long = spark.createDataFrame([("a", "x", 100.0), ("a", "y", -50.0), ("b", "y", 10.0)], "k string, feature string, pct double")
+    long = spark.createDataFrame(
+        [("a", 1, "x", 100.0), ("a", 0, "x", 300.0), ("a", 2, "y", -50.0), ("b", 0, "y", 90.0), ("b", 1, "y", 10.0)], "k string, position int, feature string, pct double"
+    )
     got = s.apply_adjustments_by_key(df, long, "k", ["x", "y"])
     assert got.columns == df.columns and rows(got) == [("a", 20.0, 0.5), ("b", 20.0, 2.2), ("c", 30.0, None)]
     with pytest.raises(ValueError):
@@ -114,8 +116,9 @@ def test_what_if_matches_scoring_every_row(spark, observations):
     assert sorted(got) == [0, 1, 2, 3, 5]
     pdf = observations.toPandas().dropna()
     totals = s.district_totals(observations, "district", "state", ["x", "z z"])
-    near = [r[0] for r in s.similar_districts(s.profile(totals, "district", ["x", "z z"]), "district", "District 1", ["x", "z z"], 3).collect()]
-    masks = [pdf.district == "District 1", pdf.district.isin(near), pdf.state == 1]
+    profiles = s.profile(totals, "district", ["x", "z z"], "state")
+    near = [tuple(r)[:2] for r in s.similar_districts(profiles, "district", "District 1", ["x", "z z"], 3, "state", 1).collect()]
+    masks = [(pdf.district == "District 1") & (pdf.state == 1), np.array([p in near for p in zip(pdf.district, pdf.state)]), pdf.state == 1]
     for r in sweep.collect():
         if r["scenario"] == 4:
             continue
@@ -128,9 +131,43 @@ def test_what_if_matches_scoring_every_row(spark, observations):
             assert float(text) == pytest.approx(100 * (after.sum() - before.sum()) / before.sum(), abs=0.0051)
 
 
+def test_one_name_in_two_states(spark):
+    rows = [("Lee", st, float(x), float(2 * x + st)) for st in (1, 2) for x in range(1, 9)] + [(f"D{i}", 1, float(i), float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "district string, state int, x double, y double")
+    sweep = s.random_scenarios(spark.range(2), ["id"], seed=5)
+    call = lambda **more: what_if(df, sweep, ["id"], "lee", "y", (["x"], 1), ([], 0), "district", "state", 3, **more)
+    with pytest.raises(ValueError, match="several states"):
+        call()
+    one, two = (sorted(map(tuple, call(state=st)[0].collect())) for st in (1, 2))
+    assert [r[1] for r in one] == [r[1] for r in two] and [r[3] for r in one] != [r[3] for r in two]
+    with pytest.raises(ValueError, match="no such"):
+        call(state=3)
+
+
+def test_moments_follow_the_rows_that_hold_the_numbers(spark, observations):
+    spoilt = observations.withColumn("w", F.when(F.rand(3) > 0.3, F.col("x") * 0.5 + F.rand(4))).withColumn("none", F.lit(None).cast("double"))
+    pdf = spoilt.toPandas()
+    spoilt = spark.createDataFrame(pdf)
+    m = s.Moments(spoilt, "district", "state", ["x", "z z", "flat", "w", "none", "y"])
+    levels = {"top": (["x", "flat", "w"], 3), "bottom": (["z z", "none"], 2)}
+    want = s.feature_lists(s.rank_features(spoilt, "y", levels), "top", "bottom")
+    assert tuple(m.rank("y", levels).values()) == want
+    for used in (["x", "z z"], ["x", "w"], ["w", "flat"]):
+        part = pdf.dropna(subset=[*used, "y"])
+        rows, means, c = m.together([[*used, "y"]])[0]
+        assert rows == len(part) and means == pytest.approx(part[[*used, "y"]].mean().to_numpy())
+        assert c / rows == pytest.approx(np.cov(part[[*used, "y"]].T, ddof=0), abs=1e-9)
+        got, plain = m.fit("y", used), s.fit(spoilt, "y", used)
+        assert got.intercept == pytest.approx(plain.intercept) and got.coefficients == pytest.approx(plain.coefficients)
+        a, b = ({(r["district"], r["state"]): tuple(r) for r in t.collect()} for t in (m.totals(used), s.district_totals(spoilt, "district", "state", used)))
+        assert a.keys() == b.keys() and all(a[k][2:] == pytest.approx(b[k][2:]) for k in a)
+    with pytest.raises(ValueError):
+        m.fit("y", ["none"])
+
+
 def test_nothing_to_compare_with(spark):
     totals = spark.createDataFrame([("a", 1, 0, 0.0)], "d string, s int, rows bigint, x double")
-    sums = s.grain_sums(totals, ["x"], "d", "a", [], F.col("s") == 1)
+    sums = s.grain_sums(totals, ["x"], F.col("d") == "a", F.lit(False), F.col("s") == 1)
     scenarios = spark.createDataFrame([(1, 5.0)], "i int, f double")
     got = s.percent_increase(scenarios, ["i"], [("f", "x")], s.LinearModel(1.0, {"x": 1.0}), sums)
     assert tuple(got.first()) == (1, "N/A", "N/A", "N/A")
