@@ -197,6 +197,22 @@ def table_view(spark, folder):
     )
 
 
+@registry.add(r"""
+    SELECT o_orderkey AS "Order", o_orderpriority AS "Priority", o_totalprice AS "Total" FROM orders
+    WHERE lower(o_orderstatus) = 'o' AND (contains(cast(o_orderkey AS varchar), 'urg')
+        OR contains(lower(o_orderpriority), 'urg') OR contains(cast(o_totalprice AS varchar), 'urg'))
+    ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 20
+""")
+def table_view_from_csv(spark, folder):
+    """The view of a CSV file, sorted by another column, on its third page."""
+    path = scratch_path(spark, "orders-view")
+    csv.write_csv(table(spark, folder, "orders"), path)
+    view = viewing.run(
+        spark, path, "O", ["o_totalprice", "o_orderkey"], term="URG", number=2, district_column="o_orderstatus", columns=_VIEW
+    )
+    return view.withColumn("Order", F.col("Order").cast("bigint"))
+
+
 @registry.add(r"""
     SELECT o_orderkey, o_totalprice FROM orders
     WHERE lower(o_orderstatus) = 'o' AND (contains(cast(o_orderkey AS varchar), 'high')

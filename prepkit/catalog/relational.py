@@ -35,6 +35,13 @@ def left_join_keep_right(spark, folder):
     return j.left_join(left, right, ["k"], unique=True)  # one row per key on the right
 
 
+@registry.add("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 25 OFFSET 5000")
+def page_deep(spark, folder):
+    """A page far down a descending order."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return a.page(lines, [F.col("l_quantity").desc(), "l_orderkey", "l_linenumber"], 200, 25)
+
+
 @registry.add("""
     SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey
 """)

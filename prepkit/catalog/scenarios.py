@@ -13,10 +13,10 @@ DISTRICT, GRADE = s.form_fields()
 FIELDS = DISTRICT + GRADE
 
 
-def draw_sql(seed, key, field):
-    """The random number of a field, as text."""
+def draw_sql(seed, key, field, at=1):
+    """The random number of a field, as text: 13 digits of a digest, from the first or the 14th on."""
     digest = f"md5(concat_ws('|', '{seed}', cast({key} AS varchar), {field}))"
-    return f"printf('%.2f', cast('0x' || substr({digest}, 1, 13) AS bigint)::double / 4503599627370496.0 * 200.0 - 100.0)"
+    return f"printf('%.2f', cast('0x' || substr({digest}, {at}, 13) AS bigint)::double / 4503599627370496.0 * 200.0 - 100.0)"
 
 
 def observations(spark, folder):
@@ -95,7 +95,11 @@ def slug_collisions(spark, folder):
     return s.slug_collisions(table(spark, folder, "part").select(names.alias("name")), "name")
 
 
-_DRAWS = ", ".join(f"{draw_sql(7, 'o_orderkey', repr(f))} AS {f}" for f in FIELDS)
+_DRAWS = ", ".join(
+    f"{draw_sql(7, 'o_orderkey', repr(first), at)} AS {field}"
+    for first, second in zip(FIELDS[::2], FIELDS[1::2])
+    for field, at in ((first, 1), (second, 14))
+)
 
 
 @registry.add(f"SELECT o_orderkey, {_DRAWS} FROM orders")
@@ -108,16 +112,17 @@ _TOP = ["unit price", "quantity", "tax", "ship mode", "line status", "order age"
 _BOTTOM = ["discount", "grade level", "past last field"]
 _BOUND = s.bindings(FIELDS, _TOP, _BOTTOM)
 _PAIRS = """
-    (0, 'district_feature1', 'unit_price'), (1, 'district_feature8', 'quantity'), (2, 'district_feature3', 'tax'),
-    (3, 'district_feature4', 'ship_mode'), (4, 'district_feature5', 'line_status'), (5, 'district_feature6', 'order_age'),
-    (6, 'district_feature7', 'part_size'), (7, 'district_feature9', 'discount'), (8, 'district_feature10', 'grade_level'),
-    (9, 'grade_feature1', 'past_last_field')
+    (0, 'district_feature1', 'unit_price', 'district_feature1', 1), (1, 'district_feature8', 'quantity', 'district_feature7', 14),
+    (2, 'district_feature3', 'tax', 'district_feature3', 1), (3, 'district_feature4', 'ship_mode', 'district_feature3', 14),
+    (4, 'district_feature5', 'line_status', 'district_feature5', 1), (5, 'district_feature6', 'order_age', 'district_feature5', 14),
+    (6, 'district_feature7', 'part_size', 'district_feature7', 1), (7, 'district_feature9', 'discount', 'district_feature9', 1),
+    (8, 'district_feature10', 'grade_level', 'district_feature9', 14), (9, 'grade_feature1', 'past_last_field', 'grade_feature1', 1)
 """
 
 
 @registry.add(f"""
-    SELECT c_custkey, position, field, feature, cast({draw_sql(3, 'c_custkey', 'field')} AS double) AS pct
-    FROM customer, (VALUES {_PAIRS}) AS n(position, field, feature)
+    SELECT c_custkey, position, field, feature, cast({draw_sql(3, 'c_custkey', 'digest', 'start')} AS double) AS pct
+    FROM customer, (VALUES {_PAIRS}) AS n(position, field, feature, digest, start)
 """)
 def bind_adjustments(spark, folder):
     sweep = s.random_scenarios(table(spark, folder, "customer"), ["c_custkey"], seed=3)
@@ -234,9 +239,9 @@ def _scored(spark, folder):
     )
 
 
-def _draw2(field):
-    digest = f"md5(concat_ws('|', '11', cast(o_orderkey AS varchar), o_orderstatus, '{field}'))"
-    value = f"cast('0x' || substr({digest}, 1, 13) AS bigint)::double / 4503599627370496.0 * 200.0 - 100.0"
+def _draw2(at):
+    digest = "md5(concat_ws('|', '11', cast(o_orderkey AS varchar), o_orderstatus, 'district_feature1'))"
+    value = f"cast('0x' || substr({digest}, {at}, 13) AS bigint)::double / 4503599627370496.0 * 200.0 - 100.0"
     return f"cast(printf('%.2f', {value}) AS double)"
 
 
@@ -260,7 +265,7 @@ def _sums(grain, mask):
                  {_sums('s', "district IN (SELECT district FROM near)")},
                  {_sums('a', "state = (SELECT s_nationkey FROM supplier WHERE s_name = 'Supplier#000000001')")}
           FROM obs),
-    sc AS (SELECT o_orderkey, {_draw2('district_feature1')} AS p1, {_draw2('district_feature2')} AS p2
+    sc AS (SELECT o_orderkey, {_draw2(1)} AS p1, {_draw2(14)} AS p2
            FROM orders WHERE o_orderstatus <> 'P')
     SELECT o_orderkey, {_percent('d')} AS district_percent_increase,
            {_percent('s')} AS similar_districts_percent_increase, {_percent('a')} AS state_percent_increase

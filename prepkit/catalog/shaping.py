@@ -135,6 +135,59 @@ def conform_declared_table(spark, folder):
     return schemas.conform(orders, schemas.declared("TEACHER_DEMOGRAPHICS"))
 
 
+def _declared_sql(name, source, given):
+    """Each declared column: the given SQL, or null, in its declared type."""
+    kinds = {"int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    return "SELECT " + ", ".join(
+        f'cast({given.get(field.name, "NULL")} AS {kinds[field.dataType.simpleString()]}) AS "{field.name}"' for field in schemas.declared(name).fields
+    ) + f" FROM {source}"
+
+
+@registry.add(_declared_sql("SCHOOL_ACCOUNTABILITY", "orders", {"Year": "year(o_orderdate)", "School": "o_orderstatus", "Score": "o_totalprice"}))
+def conform_school_accountability(spark, folder):
+    given = table(spark, folder, "orders").select(
+        "o_custkey", F.year("o_orderdate").alias("Year"), F.col("o_orderstatus").alias("School"), F.col("o_totalprice").cast("string").alias("Score")
+    )
+    return schemas.conform(given, schemas.declared("SCHOOL_ACCOUNTABILITY"))
+
+
+@registry.add(_declared_sql("SCHOOL_EDUNOMICS", "supplier", {
+    "state": "s_nationkey", "distname": "s_name", "ncesenroll": "s_suppkey", "pp_fed_raw_AL": "s_acctbal",
+    "level": "CASE WHEN s_acctbal = floor(s_acctbal) THEN s_acctbal END"}))
+def conform_school_edunomics(spark, folder):
+    given = table(spark, folder, "supplier").select(
+        F.col("s_acctbal").alias("level"), F.col("s_acctbal").alias("pp_fed_raw_AL"), F.col("s_suppkey").cast("string").alias("ncesenroll"),
+        F.col("s_name").alias("distname"), F.col("s_nationkey").alias("state"),
+    )
+    return schemas.conform(given, schemas.declared("SCHOOL_EDUNOMICS"))
+
+
+@registry.add(_declared_sql("STUDENT_DEMOGRAPHICS", "customer", {
+    "System": "c_name", "Total_Student_Count": "c_custkey", "White_Pct": "c_acctbal", "Asian": "CASE WHEN c_nationkey > 4 THEN c_nationkey END"}))
+def conform_student_demographics(spark, folder):
+    asian = F.when(F.col("c_nationkey") > 4, F.col("c_nationkey").cast("string")).otherwise("*").alias("Asian")
+    given = table(spark, folder, "customer").select(
+        F.col("c_acctbal").alias("White_Pct"), asian, F.col("c_custkey").alias("Total_Student_Count"), F.col("c_name").alias("System")
+    )
+    return schemas.conform(given, schemas.declared("STUDENT_DEMOGRAPHICS"))
+
+
+@registry.add(_declared_sql("TEACHER_EFFECTIVENESS", "part", {"School_Code": "p_partkey", "School": "p_name", "Educator_Effectiveness_Score": "p_retailprice"}))
+def conform_teacher_effectiveness(spark, folder):
+    given = table(spark, folder, "part").select(
+        F.col("p_partkey").cast("double").alias("School_Code"), F.col("p_name").alias("School"), F.col("p_retailprice").alias("Educator_Effectiveness_Score")
+    )
+    return schemas.conform(given, schemas.declared("TEACHER_EFFECTIVENESS"))
+
+
+@registry.add(_declared_sql("TEACHER_EXPERIENCE", "events", {"System": "event_type", "Total_Count": "value", "Year": "user_id"}))
+def conform_teacher_experience(spark, folder):
+    given = table(spark, folder, "events").select(
+        F.col("event_type").alias("System"), F.col("user_id").alias("Year"), F.col("value").cast("string").alias("Total_Count"), "props"
+    )
+    return schemas.conform(given, schemas.declared("TEACHER_EXPERIENCE"))
+
+
 @registry.add("""
     SELECT 'event_id' AS name, 'kept' AS state, count(event_id) AS cells, 0::bigint AS cells_lost FROM events
     UNION ALL SELECT 'value', 'cast', count(value), count(CASE WHEN value <> floor(value) THEN 1 END) FROM events

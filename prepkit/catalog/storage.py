@@ -229,36 +229,31 @@ def consolidate_errors(spark, folder):
 
 
 @registry.add("""
-    SELECT 'b' AS folder, count(*) > 0 AS failed FROM customer UNION ALL SELECT 'c', count(*) > 0 FROM supplier
+    SELECT * FROM (VALUES ('b', 3::bigint), ('c', 1::bigint)) f(folder, failed)
 """)
 def unreadable_files(spark, folder):
     """Two of three tables are written in an encoding that cannot be read."""
     root = scratch_path(spark, "unreadable")
     csv.write_csv(table(spark, folder, "nation"), f"{root}/a")
-    for name, source in (("b", "customer"), ("c", "supplier")):
-        rows = table(spark, folder, source)
+    for name, source, parts in (("b", "customer", 3), ("c", "supplier", 1)):
+        rows = table(spark, folder, source).repartition(parts)
         rows.write.option("header", "true").option("encoding", "UTF-16").csv(f"{root}/{name}")
     errors = files.file_errors(files.file_heads(files.list_csv(spark, root)))
-    # A table may be written as several files.
     place = F.regexp_extract("path", "/([a-z])/[^/]+$", 1).alias("folder")
-    return errors.groupBy(place).agg((F.count("message") > 0).alias("failed"))
+    return errors.groupBy(place).agg(F.count("message").alias("failed"))
 
 
 @registry.add("""
-    SELECT 3 AS n_columns, count(*) > 0 AS found FROM supplier
-    UNION ALL SELECT 4, count(*) > 0 FROM customer
-    UNION ALL SELECT 2, count(*) > 0 FROM nation
+    SELECT * FROM (VALUES (3, 2::bigint, 's_suppkey,s_name,s_acctbal'), (4, 5::bigint, 'c_custkey,c_name,c_acctbal,c_nationkey'),
+                          (2, 1::bigint, 'n_nationkey,n_name')) f(n_columns, found, header)
 """)
 def file_column_profile(spark, folder):
     root = scratch_path(spark, "profile")
-    csv.write_csv(table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal"), f"{root}/a")
-    csv.write_csv(table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey"), f"{root}/b")
-    csv.write_csv(table(spark, folder, "nation").select("n_nationkey", "n_name"), f"{root}/c")
+    csv.write_csv(table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal").repartition(2), f"{root}/a")
+    csv.write_csv(table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey").repartition(5), f"{root}/b")
+    csv.write_csv(table(spark, folder, "nation").select("n_nationkey", "n_name").repartition(1), f"{root}/c")
     profile = files.file_profile(files.file_heads(files.list_csv(spark, root)))
-    # A table may be written as several files, all with its header.
-    return profile.groupBy(F.col("n_columns").cast("int").alias("n_columns")).agg(
-        (F.count(F.lit(1)) > 0).alias("found")
-    )
+    return profile.groupBy(F.col("n_columns").cast("int").alias("n_columns"), "header").agg(F.count(F.lit(1)).alias("found"))
 
 
 @registry.add("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")

@@ -21,12 +21,12 @@ def _column(value: Column | str) -> Column:
 
 def split_part_exact(value: Column | str, separator: str, index: int) -> Column:
     """Part ``index`` of a split on a literal separator; null when there is no such part."""
-    return F.get(F.split(_column(value), re.escape(separator), -1), index)
+    return F.get(F.split(_column(value), re.escape(separator), index + 2), index)
 
 
 def split_struct_exact(value: Column | str, separator: str, names: Sequence[str]) -> Column:
     """Split into exactly ``len(names)`` named parts: missing parts are null, surplus parts are dropped."""
-    parts = F.split(_column(value), re.escape(separator), -1)
+    parts = F.split(_column(value), re.escape(separator), len(names) + 1)
     return F.struct(*[F.get(parts, i).alias(name) for i, name in enumerate(names)])
 
 
@@ -114,7 +114,8 @@ def number_text(value: Column | str) -> Column:
     size = F.abs(value)
     return (
         F.when(value.isNull() | F.isnan(value) | (size == float("inf")), shortest)
-        .when(size == 0, F.lit("0"))
+        .when((size < 1e15) & (value == F.floor(value)), value.cast("bigint").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), shortest)
         .when((size >= 1e21) | (size < 1e-6), exponent)
         .when(size >= 1e16, plain)
         .otherwise(trimmed)

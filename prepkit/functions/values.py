@@ -55,11 +55,11 @@ def plain_number(value: Column | str) -> Column:
     return F.when(is_plain_number(value), number_of(value))
 
 
-def unit_hash(*parts: Column | str) -> Column:
-    """A number in [0, 1) that depends only on the given values.
+def unit_hash(*parts: Column | str, second: bool = False) -> Column:
+    """A number in [0, 1) that depends only on the given values; ``second`` takes another one from the same digest.
 
     Unlike ``rand`` it does not depend on partitioning, so a task that runs again gives the same numbers.
     52 bits of the digest are used, which a double holds exactly.
     """
     digest = F.md5(F.concat_ws("|", *[_column(p).cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    return F.conv(F.substring(digest, 14 if second else 1, 13), 16, 10).cast("double") / F.lit(float(16**13))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepkit.functions import fixed_values as fv
+from prepkit.operators.row_id import with_row_id
 from prepkit.operators.columns import column
 
 
@@ -110,8 +111,13 @@ def sort_rows(df: DataFrame, name: str, ties: Sequence[str], ascending: bool = T
 
 
 def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int = fv.PAGE_SIZE) -> DataFrame:
-    """Page ``number`` (from 0) of a total order; meant for the first pages."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    """Page ``number`` (from 0) of a total order, at any depth.
+
+    The rows are numbered by range partitions and the page is a range of numbers: no task holds the rows before the page.
+    ``page_after`` and ``page_by_id`` find a page without sorting, where a key or row numbers are at hand.
+    """
+    numbered = with_row_id(df, order, "__row")
+    return page_by_id(numbered, number, size, "__row").orderBy("__row").drop("__row")
 
 
 def page_after(df: DataFrame, key: str, last, size: int = fv.PAGE_SIZE) -> DataFrame:

@@ -63,26 +63,29 @@ def rename_strict(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
-def dictionary_names(dictionary: DataFrame, old: str, new: str, order_by: str | None = None) -> dict[str, str]:
-    """The renaming held in a dictionary table, one row per column of a frame.
+def dictionary_names(
+    dictionary: DataFrame, columns: Sequence[str], old: str, new: str, order_by: str | None = None
+) -> tuple[dict[str, str], list[str]]:
+    """The new names that a dictionary table gives to ``columns``, and some old names that are none of them.
 
-    It is column metadata. Reading more rows than a frame could have columns is refused, so nothing
-    that grows with the data reaches the driver. With ``order_by`` the last row of a repeated name wins.
+    One row per column reaches the driver at most, however long the dictionary is. With ``order_by`` the last row of a
+    repeated name wins, otherwise the greatest new name.
     """
-    limit = 100_000
-    chosen = [column(old).alias("old"), column(new).alias("new")]
-    rows = dictionary.orderBy(order_by).select(*chosen) if order_by else dictionary.select(*chosen)
-    pairs = rows.limit(limit + 1).collect()
-    if len(pairs) > limit:
-        raise ValueError("this is a data table, not a dictionary of column names")
-    return {p["old"]: p["new"] for p in pairs}
+    order = column(order_by) if order_by else column(new)
+    known = F.when(column(old).isin(list(columns)), column(old))
+    last = F.max_by(column(new), F.coalesce(order.cast("string"), F.lit("")) if not order_by else order)
+    rows = dictionary.groupBy(known.alias("old")).agg(last.alias("new"), F.min(F.when(known.isNull(), column(old))).alias("other")).collect()
+    names = {r["old"]: r["new"] for r in rows if r["old"] is not None}
+    return names, [r["other"] for r in rows if r["old"] is None]
 
 
 def rename_from_dictionary(
     df: DataFrame, dictionary: DataFrame, old: str = "Column", new: str = "New Label", order_by: str | None = None
 ) -> DataFrame:
     """Rename columns by a dictionary table of old and new names."""
-    return rename_strict(df, dictionary_names(dictionary, old, new, order_by))
+    names, others = dictionary_names(dictionary, df.columns, old, new, order_by)
+    require(df, [str(o) for o in others])
+    return rename_strict(df, names)
 
 
 def unnest_struct(df: DataFrame, name: str) -> DataFrame:

@@ -149,16 +149,17 @@ def apply_adjustments_by_key(
 def random_scenarios(df: DataFrame, keys: Sequence[str], seed: int = 0, digits: int = 2) -> DataFrame:
     """A random record per row of ``df``: twelve texts, uniform in [-100, 100), two decimals.
 
-    The numbers depend on the seed, the keys and the field only, so any run and any partitioning give the same.
+    The numbers depend on the seed, the keys and the field only, so any run and any partitioning give the same. Two fields
+    that follow each other share one digest.
     """
-    district, grade = form_fields()
+    fields = [f for group in form_fields() for f in group]
     width = fv.PERCENT_HIGH - fv.PERCENT_LOW
 
-    def draw(field: str) -> Column:
-        unit = unit_hash(F.lit(str(seed)), *[column(k) for k in keys], F.lit(field))
-        return fixed_decimals(unit * F.lit(width) + F.lit(fv.PERCENT_LOW), digits).alias(field)
+    def draw(i: int) -> Column:
+        unit = unit_hash(F.lit(str(seed)), *[column(k) for k in keys], F.lit(fields[i - i % 2]), second=i % 2 == 1)
+        return fixed_decimals(unit * F.lit(width) + F.lit(fv.PERCENT_LOW), digits).alias(fields[i])
 
-    return df.select(*[column(k) for k in keys], *[draw(f) for f in district + grade])
+    return df.select(*[column(k) for k in keys], *[draw(i) for i in range(len(fields))])
 
 
 def district_totals(df: DataFrame, key: str, state: str, features: Sequence[str]) -> DataFrame:

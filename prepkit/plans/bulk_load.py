@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from prepkit.operators.columns import drop_all_null_columns, names_upper
+from prepkit.operators.columns import names_upper
 from prepkit.sources.csv import read_csv_null_set
 from prepkit.sources.tables import write_table_append
 
 
-def loadable(df: DataFrame) -> DataFrame:
-    """Upper-case names, columns without any value dropped."""
-    return drop_all_null_columns(names_upper(df))
-
-
 def run(spark: SparkSession, path: str, table_options: dict[str, str], table_format: str = "jdbc") -> None:
     """Read with the usual null markers and append. The pass that finds the types also finds the empty columns."""
     rows = names_upper(read_csv_null_set(spark, path, drop_empty=True))

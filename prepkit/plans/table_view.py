@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.aggregates import page
 from prepkit.operators.columns import project_labels, visible
 from prepkit.operators.filters import equals_ignore_case, search
+from prepkit.sources.csv import read_csv_dynamic
 
 
 def view_rows(
@@ -40,3 +41,8 @@ def table_view(
     return visible(project_labels(page(rows, list(order), number, size), columns), hidden)
 
 
+def run(spark: SparkSession, path: str, district: str, order: Sequence[str], **view) -> DataFrame:
+    """One page of the table in a CSV file; the arguments are those of ``table_view``."""
+    return table_view(read_csv_dynamic(spark, path), district, order, **view)
+
+

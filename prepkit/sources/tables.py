@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.row_id import with_row_id
+from prepkit.session import stage
 
 
-CONNECTIONS = 16
-
 
 def jdbc_options(url: str, table: str, **properties: str) -> dict[str, str]:
     """Options of a database table; user, password and driver come as properties from the caller."""
@@ -43,7 +42,7 @@ def ranged_options(spark: SparkSession, options: dict[str, str], name: str, part
     Nothing to split in an empty table. The column should be spread evenly, as a key is.
     """
     bounds = f"(SELECT min({name}) AS low, max({name}) AS high FROM {options['dbtable']}) bounds"
-    low, high = read_table(spark, options | {"dbtable": bounds}).first()
+    low, high = read_table(spark, options | {"dbtable": bounds}, {}).first()
     return partition_options(name, low, high, partitions) if low is not None else {}
 
 
@@ -52,8 +51,11 @@ def read_table(
 ) -> DataFrame:
     """A whole table.
 
-    A database is read over one connection unless ``partition`` splits it: see ``ranged_options``.
+    A database is read in ranges of a column: see ``ranged_options``. For a small table an empty ``partition`` asks for one
+    connection; without any the call is refused, so that a large one is never read so by oversight.
     """
+    if partition is None and fmt == "jdbc":
+        raise ValueError("say how to split the table (ranged_options), or give {} to read it over one connection")
     return spark.read.format(fmt).options(**options, **(partition or {})).load()
 
 
@@ -82,6 +84,9 @@ def write_table_append(
 
 
 def _writer(df: DataFrame, options: dict[str, str], fmt: str, batch_rows: int):
-    # A database takes a limited number of connections, however many partitions the rows have.
-    usual = {"batchsize": str(batch_rows), "numPartitions": str(CONNECTIONS)} if fmt == "jdbc" else {}
+    # With a limit on connections (numPartitions) Spark merges the tasks that write. What makes the rows is written before,
+    # so that only the write itself has so few tasks.
+    if fmt == "jdbc" and "numPartitions" in options:
+        df = stage(df, "to-database")
+    usual = {"batchsize": str(batch_rows)} if fmt == "jdbc" else {}
     return df.write.format(fmt).options(**(usual | options))

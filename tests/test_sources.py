@@ -278,9 +278,10 @@ def test_database_options():
         stub = Stub()
         write(stub, source)
         assert stub.write.seen["mode"] == mode and stub.write.seen["batchsize"] == "1000"
-        assert stub.write.seen["numPartitions"] == "16"
-        write(stub, source | {"numPartitions": "2"})
-        assert stub.write.seen["numPartitions"] == "2"
+        assert "numPartitions" not in stub.write.seen
+        with pytest.raises(ValueError, match="how to split"):
+            tables.read_table(Stub(), source)
+        assert "partitionColumn" not in tables.read_table(Stub(), source, {})
 
 
 @pytest.mark.parametrize("low, high, want", [(3, 90, ("3", "90")), (None, None, None)])
