@@ -1,8 +1,11 @@
-"""What the operators of this subpackage share: batch size of Arrow transfers and hash-seeded uniform numbers."""
+"""What the operators of this subpackage share: workers made ready, hash-seeded uniform numbers, names that don't clash."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,25 @@ BATCH_BYTES = 32 << 20
 UNIFORM_DIGITS = 13
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for long texts."""
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application: they need not have it installed."""
+    package = Path(__file__).resolve().parent.parent
+    if spark.sparkContext.applicationId in _SHIPPED or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="prepkit-")) / f"{package.name}.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Ready for Python functions on texts: the package on the workers, Arrow batches small enough for long texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepkit.llm.common import small_batches
+from prepkit.llm.common import prepared
 from prepkit.llm.components import components
 from prepkit.session import stage
 
@@ -277,7 +277,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, weight
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", weighted: bool = False, least: float = SIMILARITY) -> DataFrame:
     """One row per document: ``doc`` (its key), the two hashes of its text, ``class_id`` (smallest key of its class) and ``kept`` (that document)."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     rows, nodes = _nodes(docs, text, key, weighted)
     roots = components(similar_links(docs, nodes, text, key, weighted, least))
     rooted = nodes.select("node", "h1", "h2", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prepkit.llm.common import prepared
 from prepkit.llm.components import components
 from prepkit.session import stage
 
@@ -329,6 +330,7 @@ def _nodes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFr
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = LEAST) -> DataFrame:
     """One row per vector: its id, ``n_links``, ``component_id`` and ``kept``."""
+    prepared(vectors.sparkSession)
     rows, nodes = _nodes(vectors, key, vector)
     for wider in WIDER:
         links = _links(nodes, least, OVERLAP * wider)

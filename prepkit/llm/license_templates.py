@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepkit.llm.common import aside, fresh, small_batches
+from prepkit.llm.common import aside, fresh, prepared
 
 #: Words of UTF-8 bytes whose A-Z are lower-cased: every byte of a character beyond ASCII belongs to a word.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -201,7 +201,7 @@ def _scan(texts: pa.Array) -> pa.Array:
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the scan's columns. Input columns of those names get an underscore in front."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     docs = aside(docs, RESULT)
     own = fresh("__scan", docs.columns)
     scanned = docs.withColumn(own, _scan(F.col(f"`{text}`")))

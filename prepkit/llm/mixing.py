@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepkit.llm.common import UNIFORM_DIGITS, fresh, seeded
+from prepkit.llm.common import UNIFORM_DIGITS, fresh, prepared, seeded
 from prepkit.session import stage
 
 SEED = 411
@@ -53,7 +53,7 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, so
 
     Equal weights unless given; the weights of the sources present are scaled to one.
     """
-    spark = docs.sparkSession
+    spark = prepared(docs.sparkSession)
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("bigint")
     sizes = stage(docs.groupBy(F.col(f"`{source}`").alias("name")).agg(F.sum(size).alias("bytes")), "mix-sizes")
     if weights is None:

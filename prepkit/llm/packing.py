@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepkit.llm.common import fresh, small_batches
+from prepkit.llm.common import fresh, prepared
 from prepkit.session import stage
 
 CAPACITY = 4096
 END_ID = 2
-#: Parts of texts whose ids a worker keeps; the table is emptied when full.
+#: Parts of texts whose ids a worker keeps; others are encoded each time.
 KEPT_PARTS = 800_000
 PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ſ]+(?=[\x00-\x40\x5B-\x60\x7B-\x7F]|$)|[^\x20\x09-\x0D]+")
 
@@ -67,9 +67,9 @@ class Parts(dict):
             ids = [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(_SIGNS))]
         else:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        if len(self) >= KEPT_PARTS:
-            self.clear()
-        self[part] = made = array("I", ids).tobytes()
+        made = array("I", ids).tobytes()
+        if len(self) < KEPT_PARTS:
+            self[part] = made
         return made
 
 
@@ -261,7 +261,7 @@ def pieces_of(tokens: int, rank: int, full_before: int, plan: dict, sequences: i
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: columns of ``docs`` but the text, ``start``, ``length``, ``ids`` (binary), ``ids_crc32``,
     ``doc_tokens``, ``sequence_id`` and ``offset``."""
-    spark = small_batches(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
     part, tokens, ids, rank, full = names = tuple(fresh(n, docs.columns) for n in ("__part", "__tokens", "__ids", "__rank", "__full"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text),

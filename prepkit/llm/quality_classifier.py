@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the bag of its words and of the character n-grams of each word, hashed into ``BUCKETS`` learned vectors. The vectors are
+A document is the bag of its words and of the character n-grams of each word, hashed into ``BUCKETS`` learned vectors. A word that
+repeats the one before it stands as one and the same sign, so that runs of a word look alike whatever the word. The vectors are
 averaged and a softmax layer gives the probability of each label; vectors and layer are trained together by plain stochastic
 gradient descent in numpy on the driver.
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepkit.llm.common import fresh, seeded, small_batches
+from prepkit.llm.common import fresh, seeded, prepared
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -35,17 +36,21 @@ TRAIN_ROWS = 3000
 EPOCHS = 8
 RATE = 1.0
 SEED = 33
-#: Words whose sums a worker keeps; the table is emptied when full.
-KEPT_WORDS = 500_000
+#: Words whose sums a worker keeps; others are summed up each time.
+KEPT_WORDS = 700_000
 #: Longer words (junk, mostly) take part with n-grams of their first and last bytes in this number.
 WORD_BYTES = 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Stands for a word that repeats the one before it, and how many features it counts as: as many as a usual word has.
+AGAIN, AGAIN_FEATURES = b"\x00", 12
 
 _SUMS: dict[int, dict[bytes, tuple[float, int]]] = {}
 
 
 def buckets_of(word: bytes) -> list[int]:
     """Buckets of a word and of its character n-grams (of UTF-8 bytes, with marks for start and end)."""
+    if word == AGAIN:
+        return [zlib.crc32(AGAIN) % BUCKETS] * AGAIN_FEATURES
     if len(word) > WORD_BYTES:
         word = word[: WORD_BYTES // 2] + b"\x00" + word[-WORD_BYTES // 2 :]
     marked = b"<" + word + b">"
@@ -56,8 +61,9 @@ def buckets_of(word: bytes) -> list[int]:
 
 
 def words_of(text: bytes) -> Counter:
-    """Words with their counts, A-Z lower-cased."""
-    return Counter(WORD.findall(text.lower()))
+    """Words with their counts, A-Z lower-cased; a word that repeats the one before it counts as the sign for that."""
+    words = WORD.findall(text.lower())
+    return Counter([AGAIN if w == last else w for w, last in zip(words, [b"", *words])])
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +93,9 @@ class Model:
         for word, n in words_of(text).items():
             got = known.get(word)
             if got is None:
-                if len(known) >= KEPT_WORDS:
-                    known.clear()
-                got = known[word] = self.sum_of(word)
+                got = self.sum_of(word)
+                if len(known) < KEPT_WORDS:
+                    known[word] = got
             total += n * got[0]
             number += n * got[1]
         return float(1 / (1 + np.exp(-(self.bias + (total / number if number else 0.0)))))
@@ -142,7 +148,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Train on the sampled rows of ``labels``."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     mean = F.avg(F.col(f"`{label}`"))
     known = labels.filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull() & ~held_out(F.col(f"`{key}`")))
     known = known.groupBy(F.col(f"`{key}`").alias("__key")).agg(mean.alias("mean")).filter("mean <> 0.5")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepkit.llm.common import aside, fresh, same, small_batches
+from prepkit.llm.common import aside, fresh, same, prepared
 from prepkit.session import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,8 +44,8 @@ LEAST_ROWS = 50
 #: Measure -> (SQL of the whole number, smallest spread).
 MEASURES = {
     "symbol_rate": ("1000 * n_symbols div n_words", 20),
-    "dup_line_rate": ("1000 * n_dup_lines div n_lines", 50),
-    "repeat_rate": ("1000 * n_repeat_words div n_words", 40),
+    "dup_line_rate": ("1000 * n_dup_lines div n_lines", 100),
+    "repeat_rate": ("1000 * n_repeat_words div n_words", 50),
     "word_length": ("100 * word_chars div n_words", 50),
 }
 OWN = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "symbol_rate", "dup_line_rate", "repeat_rate",
@@ -107,7 +107,7 @@ def _features(texts: pa.Array) -> pa.Array:
 
 def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all unless given) with the counts, the measures and ``base_failed``, written once."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     docs = aside(docs if keep is None else docs.select(*{text: None, **dict.fromkeys(keep)}), OWN)
     kept = [c for c in docs.columns if keep is None or c != text or text in keep]
     own = fresh("counts", docs.columns)

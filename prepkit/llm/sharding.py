@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepkit.llm.common import fresh, small_batches
+from prepkit.llm.common import fresh, prepared
 from prepkit.session import stage
 
 SHARDS = 40
@@ -74,7 +74,7 @@ def _shuffle_buckets(bucket: str, place: str, seed: int):
 
 def shuffled(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str, int]:
     """The written buckets with each row's place in the whole order, the name of that column, and the number of rows."""
-    small_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     bucket, key, place, at = (fresh(n, docs.columns) for n in ("__bucket", "__key", "__place", "position"))
     total = docs.agg(F.coalesce(F.sum(row_size(text)), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(1, -(-total["bytes"] // bucket_bytes))
