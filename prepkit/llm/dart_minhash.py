@@ -6,11 +6,12 @@ number in a cell being Poisson; a dart hits if its weight lies below the shingle
 keeps the hit of the lowest rank. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity, and
 the work for a text is linear in its shingles plus its darts, of which only so many are thrown that each coordinate has one.
 
-Texts that agree in a band share a bucket. Equal texts are one node from the start. Within a bucket the smallest node leads: all
-others are compared with it by exact Jaccard similarity; those it does not match get a leader of their own, which is compared with all
-nodes of the bucket, for ``ROUNDS`` rounds, and what then remains is compared with all nodes of the bucket. Two nodes
-that follow different leaders can still be similar, but only if the one lies within 0.4 of the other's leader
-(Jaccard distance is a metric); those pairs are compared too. So every similar pair that shares a bucket ends in one class,
+Texts that agree in a band share a bucket. Equal texts are one node from the start. Each bucket is led by its node
+with the most company in all its buckets; the others are compared with it by exact Jaccard similarity, and what is similar makes components. Of
+the pairs that share a bucket only those of different components can still matter. All of them are looked at, nodes outside of the
+bucket's largest component against all its nodes, but only pairs that a bound leaves are listed and compared: a
+text's parity sketch has one bit per hash range, the parity of its shingles there, so two sketches differ in no more bits than
+the texts differ in shingles. The bound loses nothing. So every similar pair that shares a bucket ends in one class,
 without all pairs of a group being listed.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**25, below 5e-5.
@@ -39,7 +40,8 @@ from prepkit.session import stage
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-ROUNDS = 3
+#: Bits of a parity sketch, kept in numbers of 64.
+SKETCH_BITS = 1024
 SEED = 8
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Word hashes that a worker keeps; the table is emptied when full.
@@ -167,16 +169,26 @@ def _raw(value) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
+def parity_sketch(elements: np.ndarray, counts: np.ndarray, weighted: bool = False) -> np.ndarray:
+    """Parity of the shingles (or of their counts) in each range of hashes."""
+    places = (elements >> np.uint64(20)).astype(np.int64) % SKETCH_BITS
+    sums = np.bincount(places, counts if weighted else None, SKETCH_BITS).astype(np.int64)
+    return np.packbits((sums & 1).astype(np.uint8)).view("<i8")
+
+
 def _keys_of(weighted: bool):
-    @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    numbers = T.ArrayType(T.LongType())
+
+    @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("bands", numbers), T.StructField("sketch", numbers)]))
     def keys(texts: pa.Array) -> pa.Array:
         sets = [shingles(_raw(t)) for t in texts]
         made = band_keys(signatures(sets, weighted))
-        numbers = pa.array([int(c.sum()) if weighted else len(e) for e, c in sets], pa.int64())
+        sizes = pa.array([int(c.sum()) if weighted else len(e) for e, c in sets], pa.int64())
         full = np.array([len(e) > 0 for e, _ in sets], bool)
         offsets = pa.array(np.r_[0, np.cumsum(full * BANDS)].astype(np.int32), pa.int32())
         bands = pa.ListArray.from_arrays(offsets, pa.array(made[full].reshape(-1), pa.int64()))
-        return pa.StructArray.from_arrays([numbers, bands], names=["n", "bands"])
+        sketches = pa.array([parity_sketch(e, c, weighted) for e, c in sets], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([sizes, bands, sketches], names=["n", "bands", "sketch"])
 
     return keys
 
@@ -217,62 +229,58 @@ def _nodes(docs: DataFrame, text: str, key: str, weighted: bool) -> tuple[DataFr
     body = F.col(f"`{text}`")
     h1, h2 = _hashes(body)
     made = docs.filter(body.isNotNull()).select(F.col(f"`{key}`").alias("doc"), h1.alias("h1"), h2.alias("h2"), _keys_of(weighted)(body).alias("k"))
-    rows = stage(made.select("doc", "h1", "h2", "k.n", "k.bands"), "dart-signatures")
-    nodes = rows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = stage(made.select("doc", "h1", "h2", "k.n", "k.bands", "k.sketch"), "dart-signatures")
+    once = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
+    nodes = rows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), *once)
     return rows.select("doc", "h1", "h2"), stage(nodes.withColumn("node", F.monotonically_increasing_id()), "dart-nodes")
 
 
+def _possible(least: float) -> Column:
+    """Whether nodes x and y can be similar: their texts differ in no fewer shingles than their sketches in bits."""
+    apart = F.lit(0)
+    for i in range(SKETCH_BITS // 64):
+        apart = apart + F.bit_count(F.get("xs", F.lit(i)).bitwiseXOR(F.get("ys", F.lit(i))))
+    both = F.col("xn") + F.col("yn")
+    return both - apart >= F.lit(least) * (both + apart) - F.lit(1e-9)
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, text: str, key: str, weighted: bool, least: float) -> DataFrame:
-    """Links (a, b) between nodes that make the classes: leaders with those they match, and what leaders alone would miss."""
+    """Links (a, b) between nodes whose components are those of all similar pairs that share a bucket."""
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    leaders = stage(leaders, "dart-leaders")
-    members = stage(banded.join(leaders, "bucket").select("bucket", "node", "leader"), "dart-members")
-    active = members.select("node").distinct().join(nodes, "node").select("node", "h1", F.col("doc").alias("d"))
-    active = stage(active, "dart-active")
+    shared = stage(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "dart-buckets")
+    members = stage(banded.join(shared, "bucket"), "dart-members")
+    company = stage(members.groupBy("node").agg(F.sum("c").alias("company")), "dart-company")
+    leaders = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", "company").alias("leader"))
+    led = stage(members.select("bucket", "node").join(stage(leaders, "dart-leaders"), "bucket"), "dart-led")
+
+    active = stage(company.select("node").join(nodes, "node").select("node", "h1", F.col("doc").alias("d"), "n", "sketch"), "dart-active")
     body = F.col(f"`{text}`")
     texts = docs.filter(body.isNotNull()).select(F.col(f"`{key}`").alias("__d"), body.alias("__t"), _hashes(body)[0].alias("__h"))
     bodies = texts.join(active, (texts["__h"] == active["h1"]) & texts["__d"].eqNullSafe(active["d"])).select("node", _sets(F.col("__t")).alias("s"))
     sets = stage(bodies.select("node", "s.e", "s.c").dropDuplicates(["node"]), "dart-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("e").alias("ae"), F.col("c").alias("ac"))
         b = sets.select(F.col("node").alias("b"), F.col("e").alias("be"), F.col("c").alias("bc"))
-        return stage(pairs.join(a, "a").join(b, "b").select("a", "b", _similarities(weighted)("ae", "ac", "be", "bc").alias("sim")), "dart-verified")
-
-    tested, first = None, members.filter("node <> leader").select("bucket", "node", "leader")
-    left = None
-    for turn in range(ROUNDS):
-        pairs = first.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        got = verified(pairs)
-        judged = first.join(got.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim"), ["leader", "node"])
-        tested = judged if tested is None else tested.unionByName(judged)
-        tested = stage(tested.select("bucket", "leader", "node", "sim"), "dart-tested")
-        followers = tested.groupBy("bucket", "node").agg(F.max("sim").alias("sim"), F.max(F.col("leader") == F.col("node")).alias("own"))
-        led = tested.select("bucket", F.col("leader").alias("node")).distinct()
-        left = stage(followers.filter(F.col("sim") < least).select("bucket", "node").join(led, ["bucket", "node"], "left_anti"), "dart-left")
-        if not left.take(1):
-            break
-        following = stage(left.groupBy("bucket").agg(F.min("node").alias("leader")), "dart-leaders")
-        known = tested.select("bucket", F.col("leader").alias("node"), F.col("node").alias("leader")).distinct()
-        first = members.select("bucket", "node").join(following, "bucket").filter("node <> leader").select("bucket", "node", "leader")
-        # A leader of an earlier round has met this one already.
-        first = stage(first.join(known, ["bucket", "node", "leader"], "left_anti"), "dart-members")
-    links = tested.filter(F.col("sim") >= least).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        judged = pairs.join(a, "a").join(b, "b").select("a", "b", _similarities(weighted)("ae", "ac", "be", "bc").alias("sim"))
+        return stage(judged.filter(F.col("sim") >= least).select("a", "b"), "dart-similar")
+
+    links = similar(led.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     roots = stage(components(links), "dart-roots")
-    # What no leader matched within the rounds, against all of its bucket.
-    rest = left.select("bucket", F.col("node").alias("a")).join(members.select("bucket", F.col("node").alias("b")), "bucket").filter("a <> b")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # Followers of a leader, against those nearly matched by it: by the triangle inequality no others can be similar.
-    near = tested.filter(F.col("sim") >= least).select("bucket", "leader", F.col("node").alias("a"), F.col("sim").alias("sa"))
-    edge = tested.filter((F.col("sim") < least) & (F.col("sim") >= 2 * least - 1)).select("bucket", "leader", F.col("node").alias("b"), F.col("sim").alias("sb"))
-    chained = near.join(edge, ["bucket", "leader"]).filter(F.col("sa") <= F.col("sb") + (1 - least) + 1e-9).select("a", "b")
-    more = stage(rest.unionByName(chained.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "dart-pairs")
-    if more.take(1):
-        a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-        apart = more.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        links = links.unionByName(verified(apart).filter(F.col("sim") >= least).select("a", "b"))
-    return links
+    placed = led.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = stage(placed, "dart-placed")
+    # Buckets with several components, and the largest of each.
+    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    several = sizes.groupBy("bucket").agg(F.max_by("root", "c").alias("top"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    several = stage(several.filter("r1 <> r2").select("bucket", "top"), "dart-open")
+    open_ = placed.join(several, "bucket").join(active.select("node", "n", "sketch"), "node")
+    open_ = stage(open_, "dart-open")
+    x = open_.filter("root <> top").select("bucket", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
+    y = open_.select("bucket", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
+    y = y.withColumnRenamed("bucket", "at")
+    left = x.join(y, (F.col("bucket") == F.col("at")) & (F.col("xr") != F.col("yr")) & _possible(least))
+    left = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return links.unionByName(similar(left))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", weighted: bool = False, least: float = SIMILARITY) -> DataFrame:

@@ -67,6 +67,18 @@ def test_shingles():
     assert d.shingles(b"a a a a a a a")[1].tolist() == [3]
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements(weighted):
+    rng = np.random.default_rng(3)
+    for n in (3, 100, 1500):
+        pool = np.unique(rng.integers(1, 2**63, 2 * n, dtype=np.uint64))
+        a, b = (np.sort(rng.choice(pool, n, replace=False)) for _ in range(2))
+        ca, cb = (rng.integers(1, 4, n) if weighted else np.ones(n, np.int64) for _ in range(2))
+        bits = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(d.parity_sketch(a, ca, weighted), d.parity_sketch(b, cb, weighted)))
+        da, db = dict(zip(a.tolist(), ca.tolist())), dict(zip(b.tolist(), cb.tolist()))
+        assert bits <= sum(abs(da.get(k, 0) - db.get(k, 0)) for k in da.keys() | db.keys())
+
+
 def brute_classes(rows):
     """Classes by all pairs of distinct texts."""
     texts = {}
