@@ -2,7 +2,8 @@
 
 1. Equal vectors become one node with a count. Nodes are dealt into shards by k-means, level by level, until a shard holds
    ``SHARD_ROWS`` nodes at most; each level's centres come from a bounded sample of each cell, and a node near the border of two
-   cells goes to both. All nodes are indexed.
+   cells goes to both. All nodes are indexed. A cell that k-means cannot split in ``LEVELS`` levels, a large group of almost
+   equal vectors, is cut into parts by hash, and each two of its parts make a shard: all its pairs still meet.
 2. In each shard every node takes its nearest nodes and some seeded random ones as candidates and keeps those that robust
    pruning leaves: a candidate goes once a kept one is nearer to it by ``ALPHA``. Edges are added in both directions.
 3. The adjacency lists of a node from all its shards are united.
@@ -37,6 +38,7 @@ LEAST = 0.95
 SHARD_ROWS = 2048
 #: Cells that a level may make of one, and rows of the sample their centres come from.
 BRANCHES, SAMPLE_ROWS = 64, 4096
+LEVELS = 6
 #: A node goes to its second cell too if that centre is at most so many times as far as the first.
 OVERLAP = 1.25
 WIDER = (1.0, 1.3, 2.0)
@@ -237,15 +239,29 @@ def _level(cells: DataFrame, nodes: DataFrame, level: int, overlap: float) -> tu
     return kept, moved
 
 
+def _in_blocks(cells: DataFrame) -> DataFrame:
+    """Cells that are still too large, as shards of two parts each."""
+    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
+    large = stage(counts.filter(F.col("c") > SHARD_ROWS), "graph-large")
+    parts = F.ceil(F.col("c") * 3 / F.lit(SHARD_ROWS))
+    own = F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("parts"))
+    dealt = cells.join(large, "cell").withColumn("parts", parts).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    name = F.concat_ws("-", "cell", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    kept = cells.join(large.select("cell"), "cell", "left_anti").select("node", "cell")
+    return stage(kept.unionByName(dealt.select("node", name.alias("cell"))), "graph-cells")
+
+
 def shards(nodes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """(node, cell): every node in one shard or more, each of ``SHARD_ROWS`` nodes at most."""
+    """(node, cell): every node in one shard or more, each of about ``SHARD_ROWS`` nodes at most."""
     cells = stage(nodes.select("node", F.size("vec").cast("string").alias("cell")), "graph-cells")
-    level = 0
-    while (dealt := _level(cells, nodes, level, overlap if level < 4 else 1.0)) is not None:
+    for level in range(LEVELS):
+        dealt = _level(cells, nodes, level, overlap if level < LEVELS // 2 else 1.0)
+        if dealt is None:
+            return cells
         kept, moved = dealt
         cells = stage(kept.unionByName(moved.distinct()), "graph-cells")
-        level += 1
-    return cells
+    return _in_blocks(cells)
 
 
 def _links(nodes: DataFrame, least: float, overlap: float) -> DataFrame:

@@ -48,6 +48,16 @@ def test_many_shards(spark, monkeypatch):
     assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(links.values())
 
 
+def test_a_group_that_cannot_be_split(spark, monkeypatch):
+    """Almost equal vectors, more than a shard holds: all links are found in blocks."""
+    monkeypatch.setattr(g, "SHARD_ROWS", 40)
+    monkeypatch.setattr(g, "LEVELS", 1)
+    monkeypatch.setattr(g, "centres", lambda x, k, seed, rounds=8: x[:1])
+    vectors = [(i, [1.0, 1e-12 * i]) for i in range(150)] + [(i, [0.0, 1.0 + i]) for i in range(150, 160)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in g.near_vectors(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {i: (149, 0) if i < 150 else (9, 150) for i in range(160)}
+
+
 def test_odd_vectors(spark):
     e = [1.0, 2.0, 3.0]
     vectors = [(1, e), (2, e), (3, [2.0, 4.0, 6.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 3.0]), (8, [float("nan"), 1.0, 1.0]),
