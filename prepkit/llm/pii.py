@@ -1,7 +1,7 @@
 """Personal data by candidates and boosted trees, on DataFrame functions only.
 
 Generators propose spans with high recall: the base patterns for email, ip, card and phone, and looser forms of them (spelled-out
-emails, cards in other groupings, phone numbers without a plus sign). Every candidate gets format features (digits,
+emails, cards in other groupings, phone numbers without a plus sign, strict forms with digits after them). Every candidate gets format features (digits,
 groups, signs, Luhn, the parts' range, length) and context features (the characters before and after, a
 word that names such data shortly before). Proposals may overlap.
 
@@ -57,6 +57,9 @@ GENERATORS = (
     Generator("email", False, "at", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[a-z0-9-]{2,24}){1,3}"),
     Generator("card", False, "", r"(?<![0-9._/])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9])"),
     Generator("phone", False, "", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
+    # Strict forms that a base pattern swallows together with digits that follow.
+    Generator("card", False, "", r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])"),
+    Generator("phone", False, "+", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"),
 )
 
 # Words that name such data, per kind.
@@ -79,6 +82,9 @@ EXAMPLES = (
     ("phone 555-123-4567 today", True),
     ("call (555) 123-4567 today", True),
     ("tel: 555.123.4567 today", True),
+    ("pay 4111 1111 1111 1111 22 now", True),
+    ("item 4111 1111 1111 1112 22 now", False),
+    ("reach +1 (555) 123-4567 10.0.0.1 now", True),
     ("sum 555 123 4567 units", False),
     ("lot 123-456-7890 of parts", False),
 )
@@ -159,7 +165,7 @@ def _candidate(number: int, text: Column):
             label = valid
         elif g.kind == "email":
             label = match.rlike(r"(?i)(?:[(\[]dot[)\]]|\.)\x20?[a-z]{2,6}$") & ((cue == 1) | match.rlike(r"(?i)\[at\]"))
-        elif g.kind == "card":
+        elif g.kind == "card" or g.hint:
             label = valid
         else:
             label = valid & (cue == 1)

@@ -42,8 +42,8 @@ def found(spark, texts):
 
 
 TRICKY = [None, "", "a@b.c_d@e.com", "a@b..c", "x@y.z@w.v", "@a.b", "1.2.3.4.5.6.7.8", "1.2.3", "256.1.1.1 001.02.3.255", "é👍 4111 1111 1111 1111é",
-          "4111-1111-1111-1111 1", "+1 (555) 123-4567.", "+1+1+12345678901234567", "+49 30 123456 +4930123456789", "a" * 30000, "1" * 30000, "a@" * 5000, "1.1." * 5000,
-          "a.b@" + "c." * 3000, "4 " * 9000, "+1" + " " * 20000 + "2"]
+          "4111-1111-1111-1111 1", "+1 (555) 123-4567.", "+1+1+12345678901234567", "+49 30 123456 +4930123456789", "a" * 30000, "1" * 30000, "a@" * 1000, "1.1." * 1000,
+          "a.b@" + "c." * 1000, "4 " * 3000, "+1" + " " * 20000 + "2"]
 
 
 def test_base_spans_of_tricky_texts(spark):
@@ -77,10 +77,12 @@ def test_query(spark):
 
 def test_looser_forms(spark):
     texts = ["please phone 555-123-4567 now", "write to bob[at]example[dot]com please", "card 4111.1111.1111.1111 was used", "nothing 123-456-7890 here",
-             "the part 4111.1111.1111.1112", "plain words"]
+             "the part 4111.1111.1111.1112", "plain words", "x +1 (464) 555-9887 39.197.112.39 y", "é 4871773763039823 39 z", "n 4405240589021365 39 z"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     out = {r["doc_id"]: r for r in pii.redact(pii.find(docs)).collect()}
-    assert [out[i]["text"] for i in range(6)] == ["please phone <PHONE> now", "write to <EMAIL> please", "card <CARD> was used", *texts[3:]]
+    assert [out[i]["text"] for i in range(6)] == ["please phone <PHONE> now", "write to <EMAIL> please", "card <CARD> was used", *texts[3:6]]
+    assert passes("card", "4871773763039823") and not passes("card", "4405240589021365")
+    assert [out[i]["text"] for i in range(6, 9)] == ["x <PHONE> <IP> y", "é <CARD> 39 z", texts[8]]
 
 
 def test_redact_runs(spark):
