@@ -11,8 +11,20 @@ from prepkit.operators import validate
 registry = Registry()
 
 
+# What the SQL replaces, written out here and not taken from the code it checks.
+_INDEX_SQL = (
+    ("and", ""), ("  ", " "), ("domain", "dmn"), ("environment", "environ"), ("education", "edu"), ("social", "soc"),
+    ("economic", "econ"), ("opportunity", "oppty"), ("child ", ""), (" ", "_"),
+)
+_SUBDOMAIN_SQL = (
+    ("and", ""), ("  ", " "), ("domain", "dmn"), ("environment", "environ"), ("educational", "edu"), ("education", "edu"),
+    ("social", "soc"), ("economic", "econ"), ("opportunity", "oppty"), ("child ", ""), (" ", "_"),
+)
+_DISTRICT_SQL = (("school district", ""), ("st. ", "st "), ("city city", "city"))
+
+
 def _chain(value, rules):
-    """The same rules as nested SQL calls."""
+    """Rules as nested SQL calls."""
     for pattern, replacement in rules:
         value = f"regexp_replace({value}, '{pattern}', '{replacement}', 'g')"
     return value
@@ -33,17 +45,17 @@ def _labels(spark, folder, rules):
     return part.select("p_partkey", t.apply_rules(F.lower(marked), rules).alias("label"))
 
 
-@registry.add(f"SELECT p_partkey, {_chain(_MARKED, fv.INDEX_LABEL_RULES)} AS label FROM part")
+@registry.add(f"SELECT p_partkey, {_chain(_MARKED, _INDEX_SQL)} AS label FROM part")
 def label_rules_index(spark, folder):
     return _labels(spark, folder, fv.INDEX_LABEL_RULES)
 
 
-@registry.add(f"SELECT p_partkey, {_chain(_MARKED, fv.SUBDOMAIN_LABEL_RULES)} AS label FROM part")
+@registry.add(f"SELECT p_partkey, {_chain(_MARKED, _SUBDOMAIN_SQL)} AS label FROM part")
 def label_rules_subdomain(spark, folder):
     return _labels(spark, folder, fv.SUBDOMAIN_LABEL_RULES)
 
 
-@registry.add(f"SELECT doc_id, {_chain('lower(text)', fv.SUBDOMAIN_LABEL_RULES)} AS label FROM documents")
+@registry.add(f"SELECT doc_id, {_chain('lower(text)', _SUBDOMAIN_SQL)} AS label FROM documents")
 def label_rules_documents(spark, folder):
     documents = table(spark, folder, "documents")
     return documents.select("doc_id", t.apply_rules(F.lower("text"), fv.SUBDOMAIN_LABEL_RULES).alias("label"))
@@ -54,7 +66,7 @@ _DISTRICT = "chr(9) || 'Trusts. ' || c_name || ' City City School District' || c
 
 @registry.add(
     "SELECT c_custkey, regexp_replace("
-    + _chain(f"lower({_DISTRICT})", fv.DISTRICT_NAME_RULES)
+    + _chain(f"lower({_DISTRICT})", _DISTRICT_SQL)
     + r", '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS district FROM customer"
 )
 def district_name_rules(spark, folder):
