@@ -138,9 +138,8 @@ def conform_declared_table(spark, folder):
 def _declared_sql(name, source, given):
     """Each declared column: the given SQL, or null, in its declared type."""
     kinds = {"int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
-    return "SELECT " + ", ".join(
-        f'cast({given.get(field.name, "NULL")} AS {kinds[field.dataType.simpleString()]}) AS "{field.name}"' for field in schemas.declared(name).fields
-    ) + f" FROM {source}"
+    fields = [column.split() for column in schemas.DECLARED[name].split(",")]
+    return "SELECT " + ", ".join(f'cast({given.get(c, "NULL")} AS {kinds[kind]}) AS "{c}"' for c, kind in fields) + f" FROM {source}"
 
 
 @registry.add(_declared_sql("SCHOOL_ACCOUNTABILITY", "orders", {"Year": "year(o_orderdate)", "School": "o_orderstatus", "Score": "o_totalprice"}))

@@ -1,5 +1,9 @@
 """Every registered query against its SQL, and the shape of its plan."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -40,6 +44,12 @@ def test_query(spark, con, plan, name):
     assert check.rows_of(df.columns, df.collect()) == want
 
 
+def test_registries_need_no_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__))
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.schema == entry.entry(spark).schema
