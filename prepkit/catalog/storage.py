@@ -182,7 +182,8 @@ def consolidate_to_folders(spark, folder):
         f"{raw}/school/edunomics/a",
     )
     csv.write_csv(customer.toDF("id", "name", "amount", "x", "y").select("amount", "id", "name"), f"{raw}/school/edunomics/b")
-    csv.write_csv(orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), f"{raw}/teacher/edunomics")
+    renamed = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"), F.col("o_totalprice").alias("amount"))
+    csv.write_csv(renamed, f"{raw}/teacher/edunomics")
     written = consolidate.run(spark, raw, out)
     frames = [
         csv.read_csv_strict(spark, f"{out}/{level}_{category}", "id string, name string, amount double").withColumn(
