@@ -147,7 +147,7 @@ def test_one_name_in_two_states(spark):
 def test_moments_follow_the_rows_that_hold_the_numbers(spark, observations):
     spoilt = observations.withColumn("w", F.when(F.rand(3) > 0.3, F.col("x") * 0.5 + F.rand(4))).withColumn("none", F.lit(None).cast("double"))
     pdf = spoilt.toPandas()
-    spoilt = spark.createDataFrame(pdf)
+    spoilt = spark.createDataFrame(pdf).replace(float("nan"), None)
     m = s.Moments(spoilt, "district", "state", ["x", "z z", "flat", "w", "none", "y"])
     levels = {"top": (["x", "flat", "w"], 3), "bottom": (["z z", "none"], 2)}
     want = s.feature_lists(s.rank_features(spoilt, "y", levels), "top", "bottom")
