@@ -44,8 +44,8 @@ BANDS, ROWS = 25, 5
 SKETCH_BITS = 1024
 SEED = 8
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Word hashes that a worker keeps; the table is emptied when full.
-KEPT_WORDS = 500_000
+#: Word hashes that a worker keeps; others are hashed each time.
+KEPT_WORDS = 200_000
 #: The lowest rank cell is [0, 2**LOWEST); above it each cell doubles.
 LOWEST = -6
 
@@ -53,9 +53,9 @@ class _Hashes(dict):
     """Hashes of words; a word not met before is hashed."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = made = xxhash.xxh3_64_intdigest(word)
+        made = xxhash.xxh3_64_intdigest(word)
+        if len(self) < KEPT_WORDS:
+            self[word] = made
         return made
 
 

@@ -39,7 +39,7 @@ from prepkit.session import stage
 CAPACITY = 4096
 END_ID = 2
 #: Parts of texts whose ids a worker keeps; others are encoded each time.
-KEPT_PARTS = 800_000
+KEPT_PARTS = 400_000
 PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ſ]+(?=[\x00-\x40\x5B-\x60\x7B-\x7F]|$)|[^\x20\x09-\x0D]+")
 
 # Byte-level vocabularies write a byte that is no visible sign of Latin-1 as the next free character from 256 on.
