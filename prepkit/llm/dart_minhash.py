@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepkit.llm.common import prepared
+from prepkit.llm.common import fresh, prepared
 from prepkit.llm.components import components
 from prepkit.session import stage
 
@@ -302,12 +302,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", we
 
 
 def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id", weighted: bool = False, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class; rows with null texts all stay."""
+    """``docs`` with one row of each class; rows with null texts all stay.
+
+    The join and the removal of repeated rows go by the same four columns, so the texts are shuffled once.
+    """
     found = near_duplicates(docs, text, key, weighted, least).filter(F.col("kept") & F.col("h1").isNotNull())
-    kept = stage(found.select("h1", "h2", "doc").distinct(), "dart-kept")
     body = F.col(f"`{text}`")
-    h1, h2 = _hashes(body)
-    hashed = docs.filter(body.isNotNull()).withColumns({"__h1": h1, "__h2": h2})
-    same = (hashed["__h1"] == kept["h1"]) & (hashed["__h2"] == kept["h2"]) & hashed[f"`{key}`"].eqNullSafe(kept["doc"])
-    staying = hashed.join(kept, same, "left_semi").dropDuplicates(["__h1", "__h2"]).drop("__h1", "__h2")
-    return staying.unionByName(docs.filter(body.isNull()))
+    marks = [fresh(f"__{n}", docs.columns) for n in ("h1", "h2", "doc", "none")]
+
+    def marked(df: DataFrame, h1: Column, h2: Column, doc: Column) -> DataFrame:
+        return df.withColumns(dict(zip(marks, (h1, h2, F.coalesce(doc, F.lit(0)), doc.isNull()))))
+
+    kept = stage(marked(found, F.col("h1"), F.col("h2"), F.col("doc")).select(*marks).distinct(), "dart-kept")
+    hashed = marked(docs.filter(body.isNotNull()), *_hashes(body), F.col(f"`{key}`"))
+    staying = hashed.join(kept, marks, "left_semi").dropDuplicates(marks)
+    return staying.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(body.isNull()))

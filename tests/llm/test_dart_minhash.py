@@ -125,6 +125,17 @@ def test_buckets_with_several_leaders(spark):
     assert got == brute_classes(rows)
 
 
+def test_texts_of_survivors_are_shuffled_once(spark, plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"text number {i % 7} of some words", "x") for i in range(40)], "doc_id bigint, text string, lang string")
+        out = d.survivors(docs)
+        text = plan(out)
+        assert out.count() == 7 and text.count("Exchange hashpartitioning") == 2  # the documents and the kept ones
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_odd_rows(spark):
     docs = clashing(odd_documents(spark), ["node", "h1", "class_id"])
     rows = d.near_duplicates(docs).collect()
