@@ -1,18 +1,17 @@
 """Near-duplicate vectors by a robust-pruned flat graph over overlapping cluster shards.
 
 1. Equal vectors become one node with a count. Nodes are dealt into shards by k-means, level by level, until a shard holds
-   ``SHARD_ROWS`` nodes at most; each level's centres come from a bounded sample of each cell, and a node near the border of two
-   cells goes to both. All nodes are indexed. A cell that k-means cannot split in ``LEVELS`` levels, a large group of almost
-   equal vectors, is cut into parts by hash, and each two of its parts make a shard: all its pairs still meet.
+   ``SHARD_ROWS`` nodes at most; each level's centres come from a bounded sample of each cell. The nearest cell owns a node, and every other
+   cell that can own a node in range of it holds it too, so that each node meets all its links in the shard that owns it. A cell that dealing would
+   not make cheaper (almost equal vectors, or vectors without clusters) is cut into blocks, and all pairs of each two blocks are compared.
 2. In each shard every node takes its nearest nodes and some seeded random ones as candidates and keeps those that robust
    pruning leaves: a candidate goes once a kept one is nearer to it by ``ALPHA``. Edges are added in both directions.
 3. The adjacency lists of a node from all its shards are united.
 4. In each shard every node searches the united graph from the shard's medoid: greedily with a beam, and wherever a node within range is
    met, on through all its neighbours. What is found is verified by its cosine in double precision.
-5. A pair counts in the first shard that both nodes share, so no list of pairs is made or merged: a shard gives each
+5. A node's links count in the shard that owns it, so no list of pairs is made or merged: a shard gives each
    node's number of links and its root among what was found there. Roots are joined up by connected components.
-6. Recall is audited against brute force, for ``AUDIT_ROWS`` of the rows whose id is divisible by 50 against all nodes, in blocks. Below
-   ``LEAST_RECALL`` the index is built again with wider overlap.
+6. Recall is audited against brute force, for ``AUDIT_ROWS`` of the rows whose id is divisible by 50 against all nodes, in blocks.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components link with nothing and are components of their own;
 vectors of different length never link; repeated rows and equal vectors link with each other; a component is named by its smallest id.
@@ -39,9 +38,12 @@ SHARD_ROWS = 2048
 #: Cells that a level may make of one, and rows of the sample their centres come from.
 BRANCHES, SAMPLE_ROWS = 64, 4096
 LEVELS = 6
-#: A node goes to its second cell too if that centre is at most so many times as far as the first.
-OVERLAP = 1.25
-WIDER = (1.0, 1.3, 2.0)
+#: A cell is dealt on if that leaves this share of its pairs to compare at most; else all its pairs are compared in blocks.
+PAYS = 0.25
+#: Bytes of a block's vectors, the least number of a cell's blocks, and nodes whose cosines are held at once.
+BLOCK_BYTES, LEAST_BLOCKS, TILE = 8 << 20, 4, 1024
+#: Pairs verified at once.
+VERIFIED = 1 << 17
 NEAREST, FAR, DEGREE, ALPHA = 64, 32, 32, 1.2
 BEAM = 24
 AUDIT_ROWS, LEAST_RECALL = 256, 0.9
@@ -82,17 +84,18 @@ def centres(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def nearest_cells(x: np.ndarray, c: np.ndarray, overlap: float) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre, and the second nearest where it is almost as near (else -1)."""
-    d = np.maximum(0, 2 - 2 * x @ c.T)
-    first = np.argmin(d, axis=1)
-    if c.shape[0] < 2:
-        return first, np.full(len(x), -1)
-    rows = np.arange(len(x))
-    best = d[rows, first]
-    d[rows, first] = np.inf
-    second = np.argmin(d, axis=1)
-    return first, np.where(d[rows, second] <= overlap**2 * best + 1e-12, second, -1)
+def reached(x: np.ndarray, c: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each vector, and per centre whether its cell can hold a vector in range.
+
+    What a cell owns lies on its side of the plane halfway to each other centre. So a vector that lies beyond one of these
+    planes by more than the longest chord of a link has no link into that cell.
+    """
+    d = x @ c.T
+    chord = np.sqrt(max(0.0, 2 - 2 * least))
+    can = np.empty(d.shape, bool)
+    for j in range(len(c)):
+        can[:, j] = (d - chord * np.linalg.norm(c - c[j], axis=1)).max(axis=1) <= d[:, j] + 1e-9
+    return np.argmax(d, axis=1), can
 
 
 def prune(near: np.ndarray, order: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -186,7 +189,9 @@ def search(x: np.ndarray, lists: list[np.ndarray], least: float = LEAST, beam: i
     found |= found.T
     np.fill_diagonal(found, False)
     a, b = np.nonzero(found)
-    found[a, b] = np.einsum("ij,ij->i", x[a], x[b]) >= least  # verified pair by pair
+    for k in range(0, len(a), VERIFIED):  # pair by pair, some at a time
+        i, j = a[k : k + VERIFIED], b[k : k + VERIFIED]
+        found[i, j] = np.einsum("ij,ij->i", x[i], x[j]) >= least
     return found
 
 
@@ -203,70 +208,141 @@ def roots_of(found: np.ndarray) -> np.ndarray:
         root = now
 
 
-def _level(cells: DataFrame, nodes: DataFrame, level: int, overlap: float) -> tuple[DataFrame, DataFrame] | None:
-    """Cells that are small enough, and the rest dealt to cells of the next level; None if no cell is too large."""
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
-    large = stage(counts.filter(F.col("c") > SHARD_ROWS), "graph-large")
+def _large(cells: DataFrame) -> DataFrame:
+    """Cells that hold too many nodes for a shard, or own none."""
+    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.count_if("own").alias("owners"))
+    return stage(counts.filter((F.col("c") > SHARD_ROWS) | (F.col("owners") == 0)), "graph-large")
+
+
+def _level(cells: DataFrame, nodes: DataFrame, level: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Cells that are small enough, the rest dealt to cells of the next level, and those that dealing would not make cheaper; None if no cell is too large."""
+    large = _large(cells)
     if not large.take(1):
         return None
+    large_owning = large.filter("owners > 0")
     chance = F.pmod(F.xxhash64(F.lit(SEED + level), "node"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * SAMPLE_ROWS / F.col("c")
-    sample = cells.join(large, "cell").filter(chance).join(nodes.select("node", "vec"), "node").select("cell", "c", "node", "vec")
+    sample = cells.join(large_owning, "cell").filter(chance).join(nodes.select("node", "vec"), "node").select("cell", "c", "node", "own", "vec")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
         wanted = int(min(BRANCHES, max(2, -(-3 * int(rows["c"].iloc[0]) // SHARD_ROWS))))
-        got = centres(np.stack(rows["vec"].to_list()), wanted, SEED + level)
-        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "centres": [got.reshape(-1).tolist()]})
-
-    learned = stage(sample.groupBy("cell").applyInPandas(learn, "cell string, centres array<double>"), "graph-centres")
-    pair = T.StructType([T.StructField("first", T.LongType()), T.StructField("second", T.LongType())])
-
-    @F.arrow_udf(pair)
+        x, own = np.stack(rows["vec"].to_list()), rows["own"].to_numpy(bool)
+        got: list[float] = []
+        if own.any():
+            c = centres(x[own], wanted, SEED + level)
+            first, can = reached(x, c, least)
+            share = np.bincount(first[own], minlength=len(c)) / own.sum()
+            if share @ can.mean(axis=0) <= PAYS:
+                got = c.reshape(-1).tolist()
+        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "centres": [got]})
+
+    learned = stage(sample.groupBy("cell").applyInPandas(learn, "cell string, centres array<double>"), "graph-centres").filter(F.size("centres") > 0)
+    places = T.StructType([T.StructField("first", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))])
+
+    @F.arrow_udf(places)
     def deal(vectors: pa.Array, cell: pa.Array, centre: pa.Array) -> pa.Array:
-        first, second = np.zeros(len(vectors), np.int64), np.full(len(vectors), -1)
+        first, to = np.zeros(len(vectors), np.int64), [np.zeros(0, np.int64)] * len(vectors)
         names = np.array(cell.to_pylist())
         for name in np.unique(names):
             at = np.flatnonzero(names == name)
             x = np.stack([np.asarray(vectors[int(i)].values) for i in at])
             c = np.asarray(centre[int(at[0])].values).reshape(-1, x.shape[1])
-            first[at], second[at] = nearest_cells(x, c, overlap)
-        return pa.StructArray.from_arrays([pa.array(first), pa.array(second)], names=["first", "second"])
+            first[at], can = reached(x, c, least)
+            for i, row in zip(at, can):
+                to[i] = np.flatnonzero(row)
+        return pa.StructArray.from_arrays([pa.array(first), pa.array(to, pa.list_(pa.int64()))], names=["first", "cells"])
 
     moved = cells.join(nodes.select("node", "vec"), "node").join(learned, "cell").withColumn("to", deal("vec", "cell", "centres"))
-    to = F.explode(F.array_distinct(F.filter(F.array("to.first", "to.second"), lambda t: t >= 0)))
-    moved = moved.select("node", "cell", to.alias("t")).select("node", F.concat_ws(".", "cell", "t").alias("cell"))
-    kept = cells.join(large.select("cell"), "cell", "left_anti").select("node", "cell")
-    return kept, moved
-
-
-def _in_blocks(cells: DataFrame) -> DataFrame:
-    """Cells that are still too large, as shards of two parts each."""
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
-    large = stage(counts.filter(F.col("c") > SHARD_ROWS), "graph-large")
-    parts = F.ceil(F.col("c") * 3 / F.lit(SHARD_ROWS))
-    own = F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("parts"))
-    dealt = cells.join(large, "cell").withColumn("parts", parts).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    name = F.concat_ws("-", "cell", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
-    kept = cells.join(large.select("cell"), "cell", "left_anti").select("node", "cell")
-    return stage(kept.unionByName(dealt.select("node", name.alias("cell"))), "graph-cells")
-
-
-def shards(nodes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """(node, cell): every node in one shard or more, each of about ``SHARD_ROWS`` nodes at most."""
-    cells = stage(nodes.select("node", F.size("vec").cast("string").alias("cell")), "graph-cells")
+    moved = moved.select("node", "cell", "own", "to.first", F.explode("to.cells").alias("t"))
+    moved = moved.select("node", F.concat_ws(".", "cell", "t").alias("cell"), (F.col("own") & (F.col("first") == F.col("t"))).alias("own"))
+    kept = cells.join(large.select("cell"), "cell", "left_anti")
+    blocks = cells.join(large_owning.select("cell").join(learned.select("cell"), "cell", "left_anti"), "cell", "left_semi")
+    columns = "node", "cell", "own"
+    return kept.select(*columns), moved.select(*columns), blocks.select(*columns)
+
+
+def shards(nodes: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(node, cell, own) twice: cells of ``SHARD_ROWS`` nodes at most, and larger ones for blocks.
+
+    Every node is owned by one cell of the two tables, and that cell holds all nodes in range of it.
+    """
+    cells = stage(nodes.select("node", F.size("vec").cast("string").alias("cell"), F.lit(True).alias("own")), "graph-cells")
+    whole = cells.limit(0)
     for level in range(LEVELS):
-        dealt = _level(cells, nodes, level, overlap if level < LEVELS // 2 else 1.0)
+        dealt = _level(cells, nodes, level, least)
         if dealt is None:
-            return cells
-        kept, moved = dealt
-        cells = stage(kept.unionByName(moved.distinct()), "graph-cells")
-    return _in_blocks(cells)
+            return cells, whole
+        kept, moved, blocks = dealt
+        whole = whole.unionByName(stage(blocks, "graph-dense"))
+        cells = stage(kept.unionByName(moved), "graph-cells")
+    large = _large(cells)
+    rest = cells.join(large.filter("owners > 0").select("cell"), "cell", "left_semi").select("node", "cell", "own")
+    return cells.join(large.select("cell"), "cell", "left_anti").select("node", "cell", "own"), whole.unionByName(rest)
 
 
-def _links(nodes: DataFrame, least: float, overlap: float) -> DataFrame:
-    """(node, links, root) for each node and shard."""
-    cells = shards(nodes, overlap).withColumn("cell", F.xxhash64("cell"))
+def join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the smallest position of each one's component) after the links a - b."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def links_between(x: np.ndarray, y: np.ndarray | None, copies: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links and roots of two blocks' nodes by all pairs between them, or of one block's by all its pairs. ``copies`` has x's first."""
+    n = len(x)
+    other, shift = (x, 0) if y is None else (y, n)
+    links, root = np.zeros(len(copies)), np.arange(len(copies))
+    for i in range(0, n, TILE):
+        for j in range(i if y is None else 0, len(other), TILE):
+            a, b = np.nonzero(x[i : i + TILE] @ other[j : j + TILE].T >= least)
+            a, b = a + i, b + j + shift
+            if y is None:
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                links += np.bincount(a, copies[b], len(links)) + np.bincount(b, copies[a], len(links))
+                root = join_up(root, a, b)
+    return links, root
+
+
+def _block_links(whole: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(node, links, root) from all pairs of large cells: each two of a cell's blocks meet in one task. A block is one row."""
+    counts = whole.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
+    rows = whole.join(counts, "cell").join(nodes.select("node", "vec", "copies"), "node")
+    rows = rows.withColumn("parts", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("c") * F.size("vec") * 8 / F.lit(BLOCK_BYTES))).cast("bigint"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("parts")))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        packed = {n: [rows[n].to_numpy(kind).tobytes()] for n, kind in (("node", "<i8"), ("own", "?"), ("copies", "<f8"))}
+        return pd.DataFrame({n: [rows[n].iloc[0]] for n in ("cell", "parts", "part")} | packed | {"vec": [np.stack(rows["vec"].to_list()).tobytes()]})
+
+    kinds = "cell string, parts bigint, part bigint, node binary, own binary, copies binary, vec binary"
+    blocks = stage(rows.drop("c").groupBy("cell", "part").applyInPandas(pack, kinds), "graph-blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    met = blocks.withColumn("other", other).withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")})
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows["a"].iloc[0] == rows["b"].iloc[0]
+        ids, own, copies = (np.concatenate([np.frombuffer(v, kind) for v in rows[n]]) for n, kind in (("node", "<i8"), ("own", "?"), ("copies", "<f8")))
+        if not own.any() or len(rows) < 2 and not one:  # nothing is asked, or the other block is empty
+            return pd.DataFrame({"node": ids[:0], "links": ids[:0], "root": ids[:0]})
+        x = [np.frombuffer(v, np.float64).reshape(len(n) // 8, -1) for v, n in zip(rows["vec"], rows["node"])]
+        links, root = links_between(x[0], None if one else x[1], copies, least)
+        some = links > 0
+        return pd.DataFrame({"node": ids[some], "links": np.where(own, links, 0)[some].astype(np.int64), "root": ids[root][some]})
+
+    return met.groupBy("cell", "a", "b").applyInPandas(compare, "node bigint, links bigint, root bigint")
+
+
+def _links(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, links, root) for each node and shard, and for nodes with links in each two blocks."""
+    cells, whole = shards(nodes, least)
+    cells = cells.withColumn("cell", F.xxhash64("cell"))
     vectors = nodes.select("node", "vec", "copies")
 
     def make(rows: pd.DataFrame) -> pd.DataFrame:
@@ -277,28 +353,20 @@ def _links(nodes: DataFrame, least: float, overlap: float) -> DataFrame:
 
     edges = stage(cells.join(vectors, "node").groupBy("cell").applyInPandas(make, "node bigint, next array<bigint>"), "graph-edges")
     united = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    homes = cells.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("homes"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        ids, cell = rows["node"].to_numpy(), rows["cell"].iloc[0]
+        ids = rows["node"].to_numpy()
         place = {int(v): i for i, v in enumerate(ids)}
         lists = [np.array([place[v] for v in map(int, some) if v in place], np.int64) for some in rows["next"]]
         found = search(np.stack(rows["vec"].to_list()), lists, least)
-        root = roots_of(found)
-        # A pair counts in the first shard that both are in. Nodes with the same shards are taken together.
-        kinds: dict[tuple, int] = {}
-        kind = np.array([kinds.setdefault(tuple(h), len(kinds)) for h in rows["homes"]])
-        counts_here = np.array([[min(set(a) & set(b)) == cell for b in kinds] for a in kinds])
-        copies = rows["copies"].to_numpy().astype(np.float64)
-        links = np.zeros(len(ids))
-        for k in range(len(kinds)):
-            at = np.flatnonzero(kind == k)
-            links[at] = found[at] @ (copies * counts_here[k][kind])
-        return pd.DataFrame({"node": ids, "links": links.astype(np.int64), "root": ids[root]})
-
-    full = cells.join(vectors, "node").join(united, "node").join(homes, "node")
-    return stage(full.groupBy("cell").applyInPandas(walk, "node bigint, links bigint, root bigint"), "graph-links")
+        # A node's links count in the shard that owns it: all nodes in range are there.
+        links = np.where(rows["own"].to_numpy(bool), found @ rows["copies"].to_numpy().astype(np.float64), 0)
+        return pd.DataFrame({"node": ids, "links": links.astype(np.int64), "root": ids[roots_of(found)]})
+
+    full = cells.join(vectors, "node").join(united, "node")
+    walked = full.groupBy("cell").applyInPandas(walk, "node bigint, links bigint, root bigint")
+    return stage(walked.unionByName(_block_links(whole, nodes, least)), "graph-links")
 
 
 def audit(nodes: DataFrame, counted: DataFrame, least: float, rows: int = AUDIT_ROWS) -> float:
@@ -348,15 +416,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """One row per vector: its id, ``n_links``, ``component_id`` and ``kept``."""
     prepared(vectors.sparkSession)
     rows, nodes = _nodes(vectors, key, vector)
-    for wider in WIDER:
-        links = _links(nodes, least, OVERLAP * wider)
-        counted = stage(links.groupBy("node").agg(F.sum("links").alias("links")), "graph-counts")
-        recall = audit(nodes, counted, least)
-        log.info("recall %.4f with overlap %.2f", recall, OVERLAP * wider)
-        if recall >= LEAST_RECALL:
-            break
-    else:
-        log.warning("recall %.4f stays below %.2f", recall, LEAST_RECALL)
+    links = _links(nodes, least)
+    counted = stage(links.groupBy("node").agg(F.sum("links").alias("links")), "graph-counts")
+    recall = audit(nodes, counted, least)
+    log.info("recall %.4f", recall)
+    if recall < LEAST_RECALL:
+        log.warning("recall %.4f is below %.2f", recall, LEAST_RECALL)
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     rooted = stage(nodes.select("node", "h1", "h2", "id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "graph-roots")
     names = stage(rooted.groupBy("root").agg(F.min("id").alias("component")), "graph-names")

@@ -58,6 +58,41 @@ def test_a_group_that_cannot_be_split(spark, monkeypatch):
     assert got == {i: (149, 0) if i < 150 else (9, 150) for i in range(160)}
 
 
+def test_dense_groups_of_several_shards(spark, monkeypatch):
+    """Jittered copies, several shards of them, between other vectors: every link is found, and so is every small group's."""
+    monkeypatch.setattr(g, "SHARD_ROWS", 100)
+    monkeypatch.setattr(g, "BLOCK_BYTES", 64 * 16 * 8)
+    rng = np.random.default_rng(8)
+    vectors = [v for n in (600, 250, 120, *[3] * 30) for v in groups(rng, n, 16, 0.12)] + rng.normal(size=(100, 16)).tolist()
+    vectors = list(enumerate(vectors))
+    got = {r["vec_id"]: r for r in g.near_vectors(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")).collect()}
+    links, roots = brute(vectors)
+    assert sum(links.values()) > 300_000
+    assert {i: r["n_links"] for i, r in got.items()} == links
+    assert {i: r["component_id"] for i, r in got.items()} == roots
+
+
+def test_every_link_lies_in_the_owner_cell():
+    rng = np.random.default_rng(2)
+    x = g.unit(np.array([v for _ in range(60) for v in groups(rng, 20, 8, 0.2)]))
+    first, can = g.reached(x, g.centres(x, 24, 3))
+    a, b = np.nonzero(x @ x.T >= g.LEAST)
+    assert (first[a] != first[b]).any() and can[b, first[a]].all() and can[np.arange(len(x)), first].all()
+    assert can.mean() < 0.6
+
+
+def test_blocks_compare_all_pairs():
+    rng = np.random.default_rng(4)
+    x = g.unit(np.array(groups(rng, 1500, 8, 0.25) + rng.normal(size=(900, 8)).tolist()))[rng.permutation(2400)]
+    near, copies = x @ x.T >= g.LEAST, rng.integers(1, 4, 2400).astype(float)
+    np.fill_diagonal(near, False)
+    links, root = g.links_between(x, None, copies, g.LEAST)
+    assert (links == near @ copies).all() and (root == g.roots_of(near)).all()
+    near[:1100, :1100] = near[1100:, 1100:] = False
+    links, root = g.links_between(x[:1100], x[1100:], copies, g.LEAST)
+    assert (links == near @ copies).all() and (root == g.roots_of(near)).all()
+
+
 def test_odd_vectors(spark):
     e = [1.0, 2.0, 3.0]
     vectors = [(1, e), (2, e), (3, [2.0, 4.0, 6.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 3.0]), (8, [float("nan"), 1.0, 1.0]),
