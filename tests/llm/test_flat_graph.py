@@ -131,3 +131,26 @@ def test_audit_sees_what_is_missing(spark):
     full = nodes.selectExpr("node", "99L as links")
     assert g.audit(nodes, full, g.LEAST) == pytest.approx(1)
     assert g.audit(nodes, full.selectExpr("node", "33L as links"), g.LEAST) == pytest.approx(1 / 3)
+
+
+def test_audit_weighs_nodes_alike_and_asks_without_marked_ids(spark):
+    """A large group that was found does not hide that all pairs were missed; no id here is divisible by 50."""
+    rng = np.random.default_rng(3)
+    vectors = groups(rng, 100, 16, 0.01) + [v for _ in range(50) for v in groups(rng, 2, 16, 0.01)]
+    vectors = [(50 * i + 1, v) for i, v in enumerate(vectors)]
+    _, nodes = g._nodes(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"), "vec_id", "embedding")
+    missed = nodes.selectExpr("node", "if(id < 5000, 99L, 0L) as links")
+    assert g.audit(nodes, missed, g.LEAST) == pytest.approx(0.5)
+
+
+def test_low_recall_is_mended(spark, monkeypatch):
+    """A search that finds nothing: the links come from all pairs."""
+    monkeypatch.setattr(g, "search", lambda x, lists, least: np.zeros((len(x), len(x)), bool))
+    rng = np.random.default_rng(7)
+    vectors = list(enumerate(v for _ in range(20) for v in groups(rng, 4, 16, 0.05)))
+    got = {r["vec_id"]: r for r in g.near_vectors(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")).collect()}
+    links, roots = brute(vectors)
+    assert {i: r["n_links"] for i, r in got.items()} == links and {i: r["component_id"] for i, r in got.items()} == roots
+    monkeypatch.setattr(g, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        g.near_vectors(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"))
