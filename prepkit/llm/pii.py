@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +41,7 @@ NEVER = 2.0
 
 @dataclass(frozen=True)
 class Generator:
-    """``hint``: a sign without which ``pattern`` can't match, or none."""
+    """``hint``: signs, none or those of which a match of ``pattern`` holds one at least."""
 
     kind: str
     base: bool
@@ -54,7 +56,7 @@ GENERATORS = (
     Generator("ip", True, ".", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"),
     Generator("card", True, "", r"[0-9](?:[\x20-]?[0-9])++"),
     Generator("phone", True, "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    Generator("email", False, "at", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[a-z0-9-]{2,24}){1,3}"),
+    Generator("email", False, "([", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[a-z0-9-]{2,24}){1,3}"),
     Generator("card", False, "", r"(?<![0-9._/])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9])"),
     Generator("phone", False, "", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
     # Strict forms that a base pattern swallows together with digits that follow.
@@ -116,7 +118,7 @@ def places(text: Column, pattern: str, hint: str = "") -> Column:
     )
     there = text.rlike(pattern)
     if hint:
-        there = text.contains(hint) & there
+        there = reduce(or_, [text.contains(sign) for sign in hint]) & there
     return F.when(there, walked).otherwise(empty)
 
 

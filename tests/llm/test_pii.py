@@ -110,3 +110,11 @@ def test_threshold(rows):
     t = pii.threshold(s, y, w)
     at = s >= t
     assert t >= 0.5 and (not at.any() or (w * y)[at].sum() >= pii.PRECISION * w[at].sum() or t == 0.5)
+
+
+def test_spelled_out_emails_in_capitals_are_proposed(spark):
+    texts = ["WRITE TO JOHN (AT) EXAMPLE (DOT) COM", "JOHN[AT]EXAMPLE[DOT]COM", "John (At) Example (Dot) Com", "john (at) example (dot) com", "JOHN AT EXAMPLE DOT COM"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    number = next(i for i, g in enumerate(pii.GENERATORS) if g.kind == "email" and not g.base)
+    rows = docs.select("doc_id", F.size(F.filter(pii.candidates(F.col("text")), lambda c: c["gen"] == number)).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
