@@ -217,12 +217,12 @@ def consolidate_documents(spark, folder):
 
 @registry.add("SELECT 1 AS late, 1 AS blank, 0 AS good FROM nation LIMIT 1")
 def consolidate_errors(spark, folder):
-    """Number of reported files: one broken after its first rows, one blank, and none of the good ones."""
+    """Number of reported files: one as long as orders with a broken last row, one blank, and none of the good ones."""
     root = scratch_path(spark, "raw-errors")
-    nation = table(spark, folder, "nation")
-    csv.write_csv(nation, f"{root}/good")
-    csv.write_csv(nation.limit(0).select(F.col("n_name").alias(" ")), f"{root}/blank")
-    late = nation.orderBy("n_nationkey").select("n_nationkey", F.when(F.col("n_nationkey") == 24, "é").otherwise("e").alias("n_name"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    csv.write_csv(orders, f"{root}/good")
+    csv.write_csv(orders.limit(0).select(F.col("o_orderstatus").alias(" ")), f"{root}/blank")
+    late = orders.unionByName(spark.sql("SELECT 0L AS o_orderkey, 'é' AS o_orderstatus"))
     late.coalesce(1).write.option("header", "true").option("encoding", "ISO-8859-1").csv(f"{root}/late")
     _, errors, _ = consolidate.consolidate(spark, files.list_csv(spark, root))
     place = F.regexp_extract("path", "/([a-z]+)/[^/]+$", 1)

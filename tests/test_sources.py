@@ -317,3 +317,14 @@ def test_schema_of_names_with_odd_characters(spark, put):
     df = csv.read_csv_strict(spark, path)
     assert df.columns == ["State FIPS", "a.b", "c`d"] and tuple(df.first()) == (1, 2, 3)
     assert isinstance(df.schema[0].dataType, T.LongType)
+
+
+def test_errors_query_reads_a_table_that_grows(spark, monkeypatch):
+    """All orders are the good rows; the file broken in its last row is as long and leaves none."""
+    from prepkit.catalog import storage
+
+    seen, whole = [], consolidate.consolidate
+    monkeypatch.setattr(storage.consolidate, "consolidate", lambda *a: seen.append(whole(*a)) or seen[-1])
+    assert tuple(storage.consolidate_errors(spark, "/root/testdata/sf0.01").first()) == (1, 1, 0)
+    rows = seen[0][0]
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
