@@ -36,10 +36,10 @@ TRAIN_ROWS = 3000
 EPOCHS = 8
 RATE = 1.0
 SEED = 33
-#: Words whose sums a worker keeps; others are summed up each time.
-KEPT_WORDS = 700_000
-#: Longer words (junk, mostly) take part with n-grams of their first and last bytes in this number.
-WORD_BYTES = 64
+#: Words whose sums a worker keeps, and the bytes of the longest such word; others are summed up each time.
+KEPT_WORDS, KEPT_BYTES = 700_000, 64
+#: Longer words (texts without blanks, long lines) are hashed by numpy, in pieces of so many bytes.
+WORD_BYTES, PIECE_BYTES = 256, 1 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Stands for a word that repeats the one before it, and how many features it counts as: as many as a usual word has.
 AGAIN, AGAIN_FEATURES = b"\x00", 12
@@ -51,8 +51,6 @@ def buckets_of(word: bytes) -> list[int]:
     """Buckets of a word and of its character n-grams (of UTF-8 bytes, with marks for start and end)."""
     if word == AGAIN:
         return [zlib.crc32(AGAIN) % BUCKETS] * AGAIN_FEATURES
-    if len(word) > WORD_BYTES:
-        word = word[: WORD_BYTES // 2] + b"\x00" + word[-WORD_BYTES // 2 :]
     marked = b"<" + word + b">"
     found = [zlib.crc32(marked + b"=")]
     for n in GRAMS:
@@ -60,6 +58,31 @@ def buckets_of(word: bytes) -> list[int]:
     return [f % BUCKETS for f in found]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+CRC = _crc_table()
+
+
+def long_buckets(word: bytes) -> Iterator[np.ndarray]:
+    """The same as ``buckets_of``, in arrays of bounded size: crc32 of all n-grams at once."""
+    marked = b"<" + word + b">"
+    yield np.array([zlib.crc32(marked + b"=") % BUCKETS])
+    signs = np.frombuffer(marked, np.uint8)
+    for n in GRAMS:
+        for start in range(0, len(signs) - n + 1, PIECE_BYTES):
+            piece = signs[start : start + PIECE_BYTES + n - 1]
+            m = len(piece) - n + 1
+            crc = np.full(m, 0xFFFFFFFF, np.uint32)
+            for k in range(n):
+                crc = CRC[(crc ^ piece[k : k + m]) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+            yield (~crc % np.uint32(BUCKETS)).astype(np.int64)
+
+
 def words_of(text: bytes) -> Counter:
     """Words with their counts, A-Z lower-cased; a word that repeats the one before it counts as the sign for that."""
     words = WORD.findall(text.lower())
@@ -68,13 +91,20 @@ def words_of(text: bytes) -> Counter:
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and counts of a whole text."""
-    index, weight = [], []
+    index, weight, long = [], [], []
     for word, n in words_of(text).items():
+        if len(word) > WORD_BYTES:
+            for found in long_buckets(word):
+                some, counts = np.unique(found, return_counts=True)
+                long.append((some, n * counts))
+            continue
         found = buckets_of(word)
         index += found
         weight += [n] * len(found)
-    buckets, where = np.unique(np.array(index, np.int64), return_inverse=True)
-    return buckets.astype("<i4"), np.bincount(where, np.array(weight, np.float64), len(buckets)).astype("<f4")
+    every = np.concatenate([np.array(index, np.int64), *[b for b, _ in long]])
+    weights = np.concatenate([np.array(weight, np.float64), *[w for _, w in long]])
+    buckets, where = np.unique(every, return_inverse=True)
+    return buckets.astype("<i4"), np.bincount(where, weights, len(buckets)).astype("<f4")
 
 
 @dataclass
@@ -85,6 +115,9 @@ class Model:
     bias: float
 
     def sum_of(self, word: bytes) -> tuple[float, int]:
+        if len(word) > WORD_BYTES:
+            sums = [(self.weights[found].sum(dtype=np.float64), len(found)) for found in long_buckets(word)]
+            return float(sum(t for t, _ in sums)), sum(n for _, n in sums)
         found = buckets_of(word)
         return float(self.weights[found].sum(dtype=np.float64)), len(found)
 
@@ -94,7 +127,7 @@ class Model:
             got = known.get(word)
             if got is None:
                 got = self.sum_of(word)
-                if len(known) < KEPT_WORDS:
+                if len(known) < KEPT_WORDS and len(word) <= KEPT_BYTES:
                     known[word] = got
             total += n * got[0]
             number += n * got[1]

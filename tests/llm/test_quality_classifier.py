@@ -19,6 +19,34 @@ def test_bag_counts_every_gram():
     assert [len(a) for a in q.bag(b"")] == [0, 0]
 
 
+def grams(word):
+    marked = b"<" + word + b">"
+    return sorted(zlib.crc32(g) % q.BUCKETS for g in [marked + b"=", *[marked[i : i + n] for n in q.GRAMS for i in range(len(marked) - n + 1)]])
+
+
+def test_long_words_count_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    for piece, size in ((1 << 20, 70), (1 << 20, 5000), (100, 997)):
+        monkeypatch.setattr(q, "PIECE_BYTES", piece)
+        word = rng.integers(128, 256, size).astype(np.uint8).tobytes()
+        assert sorted(q.buckets_of(word)) == sorted(np.concatenate(list(q.long_buckets(word))).tolist()) == grams(word)
+        index, counts = q.bag(b"ab " + word + b" ab")
+        want = np.bincount(grams(word), minlength=q.BUCKETS) + 2 * np.bincount(q.buckets_of(b"ab"), minlength=q.BUCKETS)
+        assert index.tolist() == np.flatnonzero(want).tolist() and counts.tolist() == want[want > 0].tolist()
+
+
+def test_the_middle_of_a_text_without_blanks_is_seen():
+    ends = "一二三四五六七八九十" * 4
+    good, bad = [f"{ends}{'好文章很清楚' * n}{ends}".encode() for n in (40, 60)], [f"{ends}{'垃圾广告点击' * n}{ends}".encode() for n in (40, 60)]
+    model = q.train([q.bag(t) for t in good + bad], [1, 1, 0, 0], epochs=40)
+    known = {}
+    assert all(model.score(t, known) > 0.5 for t in good) and all(model.score(t, known) < 0.5 for t in bad)
+    assert not known
+    index, counts = q.bag(good[0])
+    logit = model.bias + float((model.weights[index] * counts).sum() / counts.sum())
+    assert model.score(good[0], {}) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
 def test_score_is_the_softmax_of_the_average():
     rng = np.random.default_rng(5)
     good, bad = [b"fine prose here", b"more fine words"], [b"x### y$$$", b"z*** ###"]
