@@ -49,3 +49,23 @@ def test_sketch_accuracy(spark):
     values = spark.range(1, 5001).selectExpr("'en' lang", "'s' source", "id as symbol_rate", "0L as dup_line_rate", "0L as repeat_rate", "0L as word_length")
     row = q.quantiles(q.sketch(values), ["lang", "source"]).filter("measure = 'symbol_rate'").first()
     assert row["mid"] == pytest.approx(2500, rel=q.ACCURACY + 1e-3) and row["high"] == pytest.approx(3750, rel=q.ACCURACY + 1e-3)
+
+
+def test_each_measure_rejects_what_base_rules_keep(spark):
+    """One text per measure that only this measure rejects, in a clean source."""
+    words = [f"w{i:03}" for i in range(100)]
+    lines = [" ".join(words[5 * i : 5 * i + 5]) for i in range(20)]
+    odd = {
+        "symbol_rate": " ".join(words) + " " + "# " * 30,
+        "dup_line_rate": "\n".join([f"{w} a b c d e f" for w in words[:11]] + ["same"] * 10),
+        "repeat_rate": " ".join(words[:72] + words[80:94] + words[80:94]),
+        "word_length": " ".join(w * 6 for w in words),
+    }
+    rows = [(i, "\n".join(lines), "en", "prose", 0) for i in range(80)] + [(100 + i, t, "en", "prose", 0) for i, t in enumerate(odd.values())]
+    judged = q.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    got = {r["doc_id"]: r for r in judged.collect()}
+    assert all(got[i]["kept"] for i in range(80))
+    for i, name in enumerate(odd):
+        r = got[100 + i]
+        assert not r["base_failed"] and not r["kept"], name
+        assert [m for m in q.MEASURES if r[m] > r[f"fence_{m}"]] == [name]
