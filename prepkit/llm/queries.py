@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.catalog import Registry, table
-from prepkit.llm import dart_minhash, flat_graph, license_templates, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, url_filter
+from prepkit.llm import byte_bpe, dart_minhash, flat_graph, license_templates, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, url_filter
 
 registry = Registry()
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path() -> str:
@@ -97,3 +98,18 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of every document, equal weights for all sources, in shuffled order."""
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "source", "n_copies", "copy_no", "shuffle_key")
+
+
+def ranks_path() -> str:
+    """Place of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS)
+
+
+@registry.add()
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and digest of every document's ids, and digest of the bytes they decode to."""
+    encoded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks_path())
+    decoded = byte_bpe.decode(encoded, ranks_path())
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
