@@ -144,3 +144,90 @@ def license_templates(docs: str = "documents") -> str:
     SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word,
       CAST(list_max(places) AS BIGINT) AS last_word, base_labels, labels, CAST(strongest AS DOUBLE) / (strongest + 1) AS score
     FROM scanned"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII signs, bit by bit."""
+    signs = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, {signs}), lambda c, b: {step}), 4294967295)"
+
+
+def prefix_trie() -> str:
+    """Prefixes as lists of turns; every sum by joins with all nodes below."""
+    h = crc32("CAST(conv_id AS VARCHAR)")
+    return f"""
+    WITH turns AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || t)) - 1 AS pos, {{'r': r, 't': t}} AS x
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base FROM turns),
+    shared AS (SELECT conv_id, base, {h} % 6 AS h FROM convs),
+    parts AS (
+      SELECT s.conv_id, 1 AS part, t.pos, t.x FROM shared s JOIN turns t ON t.conv_id = s.base AND t.pos < s.h
+      UNION ALL SELECT s.conv_id, 2, t.pos, t.x FROM shared s JOIN turns t ON t.conv_id = s.conv_id AND t.pos >= s.h),
+    seqs AS (
+      SELECT c.conv_id, coalesce(list(p.x ORDER BY p.part, p.pos) FILTER (p.x IS NOT NULL), []) AS s FROM convs c LEFT JOIN parts p USING (conv_id) GROUP BY c.conv_id),
+    members AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seqs),
+    nodes AS (
+      SELECT s[1 : d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(len(s[1 : d][d].t), 0) AS chars,
+        string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d) AS ending
+      FROM members GROUP BY ALL),
+    kids AS (SELECT p[1 : d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+    full_nodes AS (SELECT a.*, coalesce(k.n_children, 0) AS n_children FROM nodes a LEFT JOIN kids k ON k.p = a.p AND k.d = a.d),
+    below AS (
+      SELECT a.p, a.d, sum((b.n - 1) * b.chars) AS saved, count(*) FILTER (b.n_children = 0) AS leaves
+      FROM (SELECT p, d, unnest(range(0, d + 1)) AS e, n, chars, n_children FROM full_nodes) b JOIN nodes a ON a.d = b.e AND a.p = b.p[1 : b.e] GROUP BY ALL)
+    SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(a.n AS BIGINT) AS n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+      CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(a.ending, '')) AS ends_sha256
+    FROM full_nodes a JOIN below b ON a.p = b.p AND a.d = b.d LEFT JOIN nodes u ON u.d = a.d - 1 AND u.p = a.p[1 : a.d - 1]"""
+
+
+def turn_repair() -> str:
+    """Least (cost, audit) per state of the grammar, row by row, with at most one insert before each row and at the end."""
+    kind = crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    white = "\\x20\\x09-\\x0D"
+    follow = "(VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'p'), ('p', 'u', 'u')) f(q, initial, goal)"
+    inserts = "(VALUES ('', 'user', 'u'), ('s', 'user', 'u'), ('u', 'assistant', 'p'), ('p', 'user', 'u')) g(q, role, goal)"
+    inserted = f"""
+        SELECT d.conv_id, d.i, d.q, d.w FROM dp d
+        UNION ALL SELECT d.conv_id, d.i, g.goal, {{'cost': d.w.cost + 5, 'audit': d.w.audit || 'I', 'done': list_append(d.w.done, g.role || ':')}} FROM dp d JOIN {inserts} ON g.q = d.q"""
+    return f"""
+    WITH RECURSIVE coded AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {kind} % 20 AS kind FROM conversations),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+    judged AS (
+      SELECT *, CASE WHEN NOT regexp_matches(text, '[^{white}]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+          WHEN NOT regexp_matches(text, '[.!?][{white}]*$') THEN 3 ELSE 0 END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+      FROM placed),
+    ids AS (SELECT conv_id, CAST(sum(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM coded GROUP BY conv_id),
+    dp AS (
+      SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS q, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'done': CAST([] AS VARCHAR[])}} AS w FROM ids
+      UNION ALL
+      SELECT conv_id, i, q, min(w) FROM (
+        WITH ahead AS ({inserted}),
+        step AS (SELECT a.q, a.w, j.* FROM ahead a JOIN judged j ON j.conv_id IS NOT DISTINCT FROM a.conv_id AND j.i = a.i + 1)
+        SELECT conv_id, i, q, {{'cost': w.cost + 2, 'audit': w.audit || 'D', 'done': w.done}} AS w FROM step
+        UNION ALL
+        SELECT conv_id, i, f.goal, {{'cost': w.cost + CASE fault WHEN 3 THEN 5 ELSE 0 END, 'audit': w.audit || 'K', 'done': list_append(w.done, role || ':' || text)}}
+        FROM step JOIN {follow} ON f.q = step.q AND f.initial = left(role, 1) WHERE fault NOT IN (1, 2)
+        UNION ALL
+        SELECT conv_id, i, g.goal, {{'cost': w.cost + 1 + CASE fault WHEN 3 THEN 5 ELSE 0 END, 'audit': w.audit || 'R', 'done': list_append(w.done, g.role || ':' || text)}}
+        FROM step JOIN {inserts} ON g.q = step.q WHERE fault NOT IN (1, 2)
+      ) GROUP BY conv_id, i, q),
+    best AS (
+      SELECT d.conv_id, min(d.w) AS w FROM ({inserted}) d JOIN ids n ON n.conv_id IS NOT DISTINCT FROM d.conv_id AND d.i = n.n
+      WHERE d.q IN ('', 'p') GROUP BY d.conv_id),
+    counts AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+        count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM judged GROUP BY conv_id)
+    SELECT b.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+      coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, b.w.cost AS cost, b.w.audit AS audit,
+      sha256(array_to_string(b.w.done, chr(10))) AS repaired_sha256
+    FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id"""

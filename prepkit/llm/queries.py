@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.catalog import Registry, table
-from prepkit.llm import byte_bpe, dart_minhash, flat_graph, license_templates, mixing, oracles, packing, pii, quality_classifier, quality_rules, sharding, url_filter
+from prepkit.llm import byte_bpe, dart_minhash, flat_graph, license_templates, mixing, oracles, packing, pii, prefix_trie, quality_classifier, quality_rules, sharding, turn_repair, url_filter
+from prepkit.session import stage
 
 registry = Registry()
 TOKENIZER = "word_bpe_49k.json"
@@ -100,6 +101,19 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_copies", "copy_no", "shuffle_key")
 
 
+@registry.add(oracles.turn_repair())
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, and cost, audit and digest of its cheapest repair."""
+    return turn_repair.decide(turn_repair.damage(table(spark, folder, "conversations")))
+
+
+@registry.add(oracles.prefix_trie())
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of conversations with shared openings."""
+    turns = prefix_trie.numbered(table(spark, folder, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(stage(turns, "turns")))
+
+
 def ranks_path() -> str:
     """Place of the public byte-level vocabulary."""
     import public_tokenizers
