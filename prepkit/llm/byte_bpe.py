@@ -17,13 +17,12 @@ with an added one gets an underscore before it. Ids that the vocabulary lacks ca
 from __future__ import annotations
 
 import base64
-import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +37,7 @@ UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: A blank between two signs: a border of pieces in any text around it.
 BORDER = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: Units and pairs of tokens that a worker keeps, and the longest unit kept; others are worked out each time.
-KEPT_UNITS, KEPT_PAIRS, KEPT_LENGTH = 300_000, 500_000, 200
+KEPT_UNITS, KEPT_PAIRS, KEPT_LENGTH = 700_000, 500_000, 200
 ENCODED = ("n_tokens", "ids")
 
 
@@ -68,11 +67,15 @@ class Splitter:
     def __init__(self) -> None:
         import regex
 
+        # Classes that ASCII can fill, for the standard library's faster module.
+        plain = PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
+        self.ascii = re.compile(plain.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
         self.findall = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
     def __call__(self, text: str) -> list[str]:
+        """The pieces of a text."""
         if text.isascii():
-            return self.findall(text)
+            return self.ascii(text)
         plain = "".join(_like(c) if unicodedata.category(c) == "Cn" else c for c in text)
         pieces = self.findall(plain)
         if plain == text:
@@ -90,9 +93,10 @@ class Vocabulary(dict):
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.endings = {token[i:] for token in self.ranks for i in range(len(token))}
+        # Every ending of a token: its id where it is a token itself, else -1.
+        self.endings = {token[i:]: -1 for token in self.ranks for i in range(len(token))} | self.ranks
         self.split = Splitter()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.singles: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -117,73 +121,118 @@ class Vocabulary(dict):
 
     def joins(self, before: int, token: int) -> bool:
         """Whether the two tokens are the encoding of their bytes together."""
-        known = self.pairs.get((before, token))
+        known = self.pairs.get(before << 32 | token)
         if known is None:
             a, b = self.bytes[before], self.bytes[token]
             whole = self.ranks.get(a + b)
             known = not (whole is not None and self.alone(whole)) and self.merged(a + b) == [a, b]
             if len(self.pairs) < KEPT_PAIRS:
-                self.pairs[before, token] = known
+                self.pairs[before << 32 | token] = known
         return known
 
-    def piece(self, data: bytes) -> array:
-        """Ids of one match of the pattern."""
-        whole = self.ranks.get(data)
-        return array("I", [whole]) if whole is not None else Prefixes(self, data).ids()
-
-    def __missing__(self, unit: str) -> bytes:
-        made = b"".join(self.piece(p.encode()).tobytes() for p in self.split(unit))
-        if len(unit) <= KEPT_LENGTH and len(self) < KEPT_UNITS:
-            self[unit] = made
-        return made
+    def _learn(self, units: set[str]) -> None:
+        """Ids of new units. Their pieces are worked out in order of their bytes, each from the table of the one before, cut to the common prefix."""
+        pieces = {u: self.split(u) for u in units}
+        made = {p: self.get(p) for own in pieces.values() for p in own}
+        table = Prefixes(self)
+        for data, piece in sorted((p.encode(), p) for p, known in made.items() if known is None):
+            whole = self.ranks.get(data)
+            made[piece] = (array("I", [whole]) if whole is not None else table.turn_into(data).ids()).tobytes()
+        self.update({u: b"".join(map(made.__getitem__, own)) for u, own in pieces.items()})
+        if len(self) < KEPT_UNITS:
+            # A piece is a unit too, and shared by units that differ in the signs around it.
+            self.update(made)
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of texts. What one call adds beyond the room for units is dropped at its end."""
+        texts = [UNIT.findall(t or "") for t in texts]
+        units, before = set().union(*texts), len(self)
+        self._learn(units - self.keys())
+        out = [b"".join(map(self.__getitem__, t)) for t in texts]
+        added = list(islice(reversed(self), len(self) - before))[::-1]  # in order of their coming
+        for i, unit in enumerate(added, before):
+            if i >= KEPT_UNITS or len(unit) > KEPT_LENGTH:
+                del self[unit]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text."""
-        return b"".join(map(self.__getitem__, UNIT.findall(text or "")))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes that ids stand for."""
         return b"".join(map(self.bytes.__getitem__, memoryview(ids or b"").cast("I")))
 
 
+def common(a: bytes | str, b: bytes | str) -> int:
+    """Length of the common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 class Prefixes:
     """The last token of every byte prefix of one piece."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
-        self.vocabulary, self.data, self.last = vocabulary, b"", array("I")
+        self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _token(self, end: int) -> int:
+    def _extend(self, end: int, agree: Callable[[int], bool] | None = None) -> int:
+        """Work out entries up to prefix ``end``, or until ``agree`` says so of a prefix; the last one's length."""
         v, data, last = self.vocabulary, self.data, self.last
-        for start in range(end - 1, max(end - v.longest, 0) - 1, -1):
-            part = data[start:end]
-            if part not in v.endings:
-                break
-            token = v.ranks.get(part)
-            if token is not None and (v.joins(last[start - 1], token) if start else v.alone(token)):
-                return token
-        raise ValueError(f"no token ends at byte {end}")
+        endings, pairs = v.endings, v.pairs
+        for at in range(len(last) + 1, end + 1):
+            start = at - 1
+            while True:  # exactly one token fits, whatever the order
+                token = endings[data[start:at]]
+                if token >= 0:
+                    if not start:
+                        if v.alone(token):
+                            break
+                    else:
+                        joined = pairs.get(last[start - 1] << 32 | token)
+                        if joined or joined is None and v.joins(last[start - 1], token):
+                            break
+                start -= 1
+            last.append(token)
+            if agree and agree(at):
+                return at
+        return end
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; entries there are stay."""
-        begin, self.data = len(self.data), self.data + more
-        for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self._token(end))
+        self.data += more
+        self._extend(len(self.data))
+
+    def turn_into(self, data: bytes) -> Prefixes:
+        """The table of other bytes, from the entries of the common prefix on."""
+        n = common(self.data, data)
+        self.data = data
+        del self.last[n:]
+        self._extend(len(data))
+        return self
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of the bytes from ``start`` to ``end``; the number of entries worked out anew."""
         old, shift = self.last, len(new) - (end - start)
         self.data = self.data[:start] + new + self.data[end:]
-        self.last, agreed, done = old[:start], 0, 0
-        for at in range(start + 1, len(self.data) + 1):
-            self.last.append(self._token(at))
-            done += 1
+        self.last, agreed = old[:start], 0
+
+        def agree(at: int) -> bool:
+            nonlocal agreed
             before = at - shift  # the same prefix's length in the old table
             agreed = agreed + 1 if before > end and old[before - 1] == self.last[-1] else 0
-            if agreed >= self.vocabulary.longest:
-                self.last.extend(old[before:])
-                break
-        return done
+            return agreed >= self.vocabulary.longest
+
+        at = self._extend(len(self.data), agree)
+        self.last.extend(old[at - shift :])
+        return at - start
 
     def ids(self) -> array:
         out, end = array("I"), len(self.data)
@@ -199,9 +248,8 @@ def near_edit(vocabulary: Vocabulary, old: str, ids: bytes, new: str) -> tuple[b
 
     Ids before the last border ahead of the difference and after the first border behind it are taken over.
     """
-    # commonprefix compares its two strings' signs; the end is compared on reversed strings.
-    head = len(os.path.commonprefix([old, new]))
-    tail = len(os.path.commonprefix([old[head:][::-1], new[head:][::-1]]))
+    head = common(old, new)
+    tail = common(old[head:][::-1], new[head:][::-1])
     # A border shows by the sign before it and the sign after its blank: all three lie in what both texts share.
     left = next((k for k in range(head - 2, 0, -1) if BORDER.match(old, k)), 0)
     found = BORDER.search(old, len(old) - tail + 1) if tail > 2 else None
@@ -251,7 +299,7 @@ def encode(docs: DataFrame, ranks: str, text: str = "text") -> DataFrame:
     prepared(docs.sparkSession)
 
     def work(texts: pa.Array) -> list[pa.Array]:
-        made = [vocabulary(ranks).encode(t.as_py()) for t in texts]
+        made = vocabulary(ranks).encode_all(texts.to_pylist())
         return [pa.array([len(m) // 4 for m in made], pa.int64()), pa.array(made, pa.binary())]
 
     docs = aside(docs, ENCODED)

@@ -41,6 +41,20 @@ def test_ids_are_the_library_s(public, text):
     assert own.decode(made) == text.encode()
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=[chr(i) for i in range(128)]))
+def test_ascii_splits_alike(text):
+    split = b.Splitter()
+    assert split(text) == split.findall(text)
+
+
+def test_room_for_units_changes_no_id(monkeypatch, public):
+    monkeypatch.setattr(b, "KEPT_UNITS", 3)
+    own = b.Vocabulary(PATH)
+    for text in ["one two three four", "one two, five six!", "seven " * 3]:
+        assert ids_of(own.encode(text)) == public.encode_ordinary(text) and len(own) <= 3
+
+
 def test_every_sign_splits_alike():
     """Pairs of a sign's last byte and a letter, digit, blank or point are tokens here, so each split shows in the ids."""
     follow = b"a1 ."
