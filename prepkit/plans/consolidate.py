@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.union import union_relaxed
 from prepkit.session import stage
-from prepkit.sources.csv import inferred_schema, typed_scan, write_csv
+from prepkit.sources.csv import inferred_schema, line_breaks, typed_scan, write_csv
 from prepkit.sources.files import discover, file_errors, file_heads, file_profile, line_checks
 
 
@@ -39,7 +39,7 @@ def read_groups(spark: SparkSession, heads: DataFrame) -> tuple[list[DataFrame],
         good = same.join(checks.where("invalid = 0"), "uri").select("path", "broken").collect()
         paths = [literal_path(r["path"]) for r in sorted(good)]
         if paths:
-            whole = any(r["broken"] for r in good)
+            whole = line_breaks(spark, paths, any(r["broken"] for r in good))
             schema = inferred_schema(spark, paths, kind["header"], whole)
             frames.append(typed_scan(spark, paths, schema.names, schema, whole))
     return frames, broken_files

@@ -18,6 +18,7 @@ from prepkit.functions import fixed_values as fv
 from prepkit.operators.columns import column
 from prepkit.operators.types import column_types
 from prepkit.sources.files import line_checks
+from prepkit.sources.records import Ranges, parsed, ranges, records
 
 # A quote inside a quoted cell is written twice, and white space belongs to the cell.
 _FORMAT = {
@@ -36,6 +37,13 @@ def _reader(spark: SparkSession, mode: str, multi_line: bool):
     return spark.read.options(**_FORMAT).option("mode", mode).option("multiLine", multi_line)
 
 
+def _scan(spark: SparkSession, mode: str, schema: T.StructType, path: str | Sequence[str], multi_line: bool | Ranges) -> DataFrame:
+    """Cells by position: by lines, by whole files, or by ranges of files whose cells hold line breaks."""
+    if isinstance(multi_line, Ranges):
+        return parsed(records(spark, path, multi_line), schema, _FORMAT | {"mode": mode})
+    return _reader(spark, mode, multi_line).schema(schema).csv(path)
+
+
 def unique_names(header: Sequence[str], pattern: str = "{name}_duplicated_{n}", first: int = 0) -> list[str]:
     """Column names of a header line: a repeated name gets a number, an empty one its place."""
     seen: Counter[str] = Counter()
@@ -61,17 +69,22 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def line_breaks(spark: SparkSession, path: str | Sequence[str], broken: bool | None) -> bool | Ranges:
+    """How to read files: by lines where no cell is ``broken`` by one, else by ranges, and by whole files where quotes stand elsewhere than around cells."""
+    return (ranges(spark, path) or True) if broken else False
+
+
 def _first_record(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> list[str] | None:
     """The first record of the first file, as text; only the start of it is read."""
     rows = _reader(spark, "PERMISSIVE", multi_line).option("header", "false").csv(path).take(1)
     return [name or "" for name in rows[0]] if rows else None
 
 
-def layout(spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None) -> tuple[list[str], bool]:
-    """The one header of the files, and whether a cell holds a line break.
+def layout(spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None) -> tuple[list[str], bool | Ranges]:
+    """The one header of the files, and how to read them (see ``line_breaks``).
 
     One pass over the lines, the same for one file and for many. Lines with an odd number of quotes mean that a record may
-    go on in the next line; a file without any is cut into splits safely, and only then it is. ``multi_line`` overrides what the pass finds.
+    go on in the next line; then a second pass finds where ranges of the files begin. ``multi_line`` overrides what the passes find: by whole files or by lines.
     """
     lines = spark.read.text(path).where(F.trim("value") != "").take(1)
     if not lines:
@@ -80,10 +93,10 @@ def layout(spark: SparkSession, path: str | Sequence[str], multi_line: bool | No
     found = line_checks(spark, path, first).agg(F.max("broken").alias("broken"), F.max("other").alias("other")).first()
     if found["other"]:
         raise ValueError(f"{path}: files with different headers")
-    whole = bool(found["broken"]) if multi_line is None else multi_line
+    whole = line_breaks(spark, path, found["broken"]) if multi_line is None else multi_line
     header = next(parser.reader([first]))
     # A name with a line break goes on beyond the first line.
-    return (_first_record(spark, path, whole) or header) if first.count('"') % 2 else header, whole
+    return (_first_record(spark, path, bool(whole)) or header) if first.count('"') % 2 else header, whole
 
 
 def header_of(spark: SparkSession, path: str, multi_line: bool | None = None) -> list[str]:
@@ -101,29 +114,28 @@ def _require_columns(path, names: Sequence[str], schema: T.StructType) -> None:
         raise ValueError(f"{path}: no such columns: {missing}")
 
 
-def typed_scan(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], schema: T.StructType, multi_line: bool) -> DataFrame:
+def typed_scan(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], schema: T.StructType, multi_line: bool | Ranges) -> DataFrame:
     """Scan by the names of the header, columns in the order of the schema."""
     _require_columns(path, names, schema)
     kinds = {f.name: f.dataType for f in schema.fields}
     as_written = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
-    return _reader(spark, "PERMISSIVE", multi_line).schema(as_written).csv(path).select(*map(column, schema.names))
+    return _scan(spark, "PERMISSIVE", as_written, path, multi_line).select(*map(column, schema.names))
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: Schema, multi_line: bool | None = None) -> DataFrame:
     """Typed scan: columns are found by their names in the header, whatever their order in the file; Spark prunes the others
     and pushes simple filters into the scan.
 
-    Cells may hold line breaks. A file with such cells is read by one task; files without stay splittable. ``multi_line`` says beforehand
-    which of both holds.
+    Cells may hold line breaks; files stay splittable. ``multi_line`` says beforehand that files are to be read whole, or by lines.
     """
     header, whole = layout(spark, path, multi_line)
     return typed_scan(spark, path, unique_names(header), _as_schema(schema), whole)
 
 
-def inferred_schema(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool) -> T.StructType:
+def inferred_schema(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool | Ranges) -> T.StructType:
     """Types from all rows, in one aggregate; a column without any value is text."""
     names = unique_names(header)
-    cells = _reader(spark, "PERMISSIVE", multi_line).schema(_text_schema(names)).csv(path)
+    cells = _scan(spark, "PERMISSIVE", _text_schema(names), path, multi_line)
     kinds = cells.agg(*[column_types(column(c)).alias(str(i)) for i, c in enumerate(names)]).first()
     return schema_of(names, list(kinds))
 
@@ -149,7 +161,7 @@ def read_csv_strict(spark: SparkSession, path: str, schema: Schema | None = None
     names = unique_names(header)
     schema = _as_schema(schema) if schema else inferred_schema(spark, path, header, whole)
     _require_columns(path, names, schema)
-    raw = _reader(spark, "FAILFAST", whole).schema(_text_schema(names)).csv(path)
+    raw = _scan(spark, "FAILFAST", _text_schema(names), path, whole)
     passed = F.lit(True)
     for field in schema.fields:
         cell = column(field.name)
@@ -173,7 +185,7 @@ def read_csv_null_set(
     """
     header, whole = layout(spark, path, multi_line)
     names = unique_names(header, pattern="{name}.{n}", first=1)
-    raw = _reader(spark, "PERMISSIVE", whole).schema(_text_schema(names)).csv(path)
+    raw = _scan(spark, "PERMISSIVE", _text_schema(names), path, whole)
     markers = sorted({"", *markers})
     types = dict.fromkeys(names, "string")
     if schema is None or drop_empty:
@@ -194,9 +206,9 @@ def read_csv_null_set(
 
 
 def read_csv_dynamic(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Scan with types inferred from every row, one type per column."""
+    """Scan with types inferred from every row, one type per column, by Spark's own inference; it reads files with line breaks in cells whole."""
     _, whole = layout(spark, path, multi_line)
-    return _reader(spark, "PERMISSIVE", whole).option("inferSchema", "true").csv(path)
+    return _reader(spark, "PERMISSIVE", bool(whole)).option("inferSchema", "true").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
