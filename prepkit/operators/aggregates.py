@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prepkit.functions import fixed_values as fv
 from prepkit.operators.row_id import with_row_id
+from prepkit.operators.selection import rows_at
 from prepkit.operators.columns import column
 
 
@@ -111,11 +112,14 @@ def sort_rows(df: DataFrame, name: str, ties: Sequence[str], ascending: bool = T
 
 
 def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int = fv.PAGE_SIZE) -> DataFrame:
-    """Page ``number`` (from 0) of a total order, at any depth.
+    """Page ``number`` (from 0) of a total order, at any depth, in order.
 
-    The rows are numbered by range partitions and the page is a range of numbers: no task holds the rows before the page.
-    ``page_after`` and ``page_by_id`` find a page without sorting, where a key or row numbers are at hand.
+    A page near the start takes one scan; a deep one is found by counts of key ranges (``selection.rows_at``), and only its range is sorted. An order of expressions
+    that are no columns numbers the rows by range partitions instead. ``page_after`` and ``page_by_id`` find a page without either, where a key or row numbers are at hand.
     """
+    found = rows_at(df, order, number * size, size)
+    if found is not None:
+        return found
     numbered = with_row_id(df, order, "__row")
     return page_by_id(numbered, number, size, "__row").orderBy("__row").drop("__row")
 
