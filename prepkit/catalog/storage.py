@@ -1,10 +1,11 @@
 """Sources, sinks and row numbers."""
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from prepkit.catalog import Registry, table
 from prepkit.operators.row_id import with_row_id
-from prepkit.plans import bulk_load, consolidate
+from prepkit.plans import bulk_load, consolidate, ledger
 from prepkit.session import scratch_path
 from prepkit.sources import csv, files, tables
 
@@ -215,6 +216,30 @@ def consolidate_documents(spark, folder):
     return rows.select("doc_id", "text", "tag")
 
 
+@registry.add("""
+    SELECT o_orderkey AS id, o_totalprice AS amount, o_orderstatus AS name, n FROM orders, (SELECT count(DISTINCT o_orderpriority) AS n FROM orders)
+    WHERE o_orderpriority <> '3-MEDIUM'
+    UNION ALL SELECT o_orderkey, 0.5, 'new', n FROM orders, (SELECT count(DISTINCT o_orderpriority) AS n FROM orders) WHERE o_orderpriority = '3-MEDIUM'
+    UNION ALL SELECT c_custkey, NULL, c_name, n FROM customer, (SELECT count(DISTINCT o_orderpriority) AS n FROM orders)
+""")
+def consolidate_changes(spark, folder):
+    """Files by priority of orders: a second run reads one changed file, drops the removed suppliers, and keeps the rest; ``n`` counts the files it did not read."""
+    raw, out = scratch_path(spark, "raw-ledger"), scratch_path(spark, "ledger")
+    orders = table(spark, folder, "orders")
+    orders = orders.select("o_orderpriority", F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("name"))
+    kinds = sorted(r[0] for r in orders.select("o_orderpriority").distinct().collect())
+    for kind in kinds:
+        csv.write_csv(orders.where(F.col("o_orderpriority") == kind).drop("o_orderpriority").coalesce(1), f"{raw}/orders/{kind}")
+    csv.write_csv(table(spark, folder, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id")).coalesce(1), f"{raw}/customer")
+    csv.write_csv(table(spark, folder, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")).coalesce(1), f"{raw}/supplier")
+    ledger.update(spark, raw, out, "first")
+    changed = orders.where("o_orderpriority = '3-MEDIUM'").select("id", F.lit(0.5).alias("amount"), F.lit("new").alias("name"))
+    csv.write_csv(changed.coalesce(1), f"{raw}/orders/3-MEDIUM")
+    csv.write_csv(table(spark, folder, "supplier").limit(0), f"{raw}/supplier")
+    kept = ledger.update(spark, raw, out, "second").where("action = 'keep'").count()
+    return ledger.current(spark, out).select("id", "amount", "name", F.lit(kept).cast("bigint").alias("n"))
+
+
 @registry.add("SELECT 1 AS late, 1 AS blank, 0 AS good FROM nation LIMIT 1")
 def consolidate_errors(spark, folder):
     """Number of reported files: one as long as orders with a broken last row, one blank, and none of the good ones."""
@@ -284,6 +309,33 @@ def table_append_twice(spark, folder):
     return tables.read_table(spark, target, fmt="parquet")
 
 
+@registry.add("""
+    SELECT c_custkey, c_name, c_acctbal, 'added' AS kind FROM customer
+    UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'replaced' FROM supplier
+""")
+def table_committed(spark, folder):
+    """Batches that run twice, a job that fails after tasks have written, and a replaced table: each row once."""
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal").toDF(*customer.columns)
+    added, replaced = ({"path": scratch_path(spark, name)} for name in ("added", "replaced"))
+    half = F.col("c_custkey") % 2 == 0
+    for _ in range(2):
+        tables.write_table_append(customer.where(half), added, tables.COMMITTED, batch="even")
+        tables.write_table_replace(customer, replaced, fmt=tables.COMMITTED, batch="all customers")
+    last = customer.agg(F.max("c_custkey")).first()[0]
+    late = customer.withColumn("c_name", F.when(F.col("c_custkey") == last, F.raise_error(F.lit("late"))).otherwise(F.col("c_name")))
+    for target in (added, replaced):
+        try:
+            tables.write_table_append(late, target, tables.COMMITTED, batch="fails")
+        except PySparkException:
+            pass
+    tables.write_table_append(customer.where(~half), added, tables.COMMITTED, batch="odd")
+    tables.write_table_replace(supplier, replaced, fmt=tables.COMMITTED, batch="suppliers")
+    tables.write_table_replace(customer, replaced, fmt=tables.COMMITTED, batch="all customers")  # a late second run
+    frames = [tables.read_table(spark, t, fmt=tables.COMMITTED).withColumn("kind", F.lit(k)) for t, k in ((added, "added"), (replaced, "replaced"))]
+    return frames[0].unionByName(frames[1])
+
+
 @registry.add("SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id, user_id, value FROM events")
 def row_id_contiguous(spark, folder):
     events = table(spark, folder, "events").select("event_id", "user_id", "value")

@@ -132,6 +132,16 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: Schema, mul
     return typed_scan(spark, path, unique_names(header), _as_schema(schema), whole)
 
 
+def text_cells(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], multi_line: bool | Ranges) -> DataFrame:
+    """``(uri, cells)``: every row's file and its cells as text, by position."""
+    schema = _text_schema(names)
+    if isinstance(multi_line, Ranges):
+        rows = parsed(records(spark, path, multi_line), schema, _FORMAT | {"mode": "PERMISSIVE"}, keep=["uri"])
+        return rows.select(F.col("uri"), F.array(*map(column, names)).alias("cells"))
+    rows = _reader(spark, "PERMISSIVE", multi_line).schema(schema).csv(path)
+    return rows.select(F.col("_metadata.file_path").alias("uri"), F.array(*map(column, names)).alias("cells"))
+
+
 def inferred_schema(spark: SparkSession, path: str | Sequence[str], header: Sequence[str], multi_line: bool | Ranges) -> T.StructType:
     """Types from all rows, in one aggregate; a column without any value is text."""
     names = unique_names(header)

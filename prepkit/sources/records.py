@@ -181,9 +181,9 @@ def records(spark: SparkSession, path: str | Sequence[str], found: Ranges) -> Da
     return out.withColumn("value", bare)
 
 
-def parsed(rows: DataFrame, schema: T.StructType, options: dict[str, str]) -> DataFrame:
-    """Cells of the records that are no headers."""
+def parsed(rows: DataFrame, schema: T.StructType, options: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """Cells of the records that are no headers, with the columns of ``rows`` to keep."""
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
     # Each record is a text of its own; line breaks in its cells stay as they are.
     cells = F.from_csv("value", fields, {k: v for k, v in options.items() if k != "header"} | {"multiLine": "true"})
-    return rows.filter("NOT first").select(cells.alias("cells")).select("cells.*")
+    return rows.filter("NOT first").select(*keep, cells.alias("cells")).select(*keep, "cells.*")
