@@ -156,15 +156,14 @@ class Plan:
     def __init__(self, histogram: Mapping[int, int], capacity: int = CAPACITY) -> None:
         self.capacity, self.rows, self.sequences = capacity, [], 0
         self.left = {n: c for n, c in histogram.items() if n and c}
+        self.tokens = sum(n * c for n, c in self.left.items())
         # Segments of equal pieces: (remaining length, first rank, end rank, start).
         self.pieces = {n: deque([(n, 0, c, 0)]) for n, c in self.left.items()}
         while self.left:
-            longest = max(self.left)
-            total = sum(n * c for n, c in self.left.items()) if len(self.left) < 64 and sum(self.left.values()) < capacity else capacity
-            if total < capacity:
-                self._tail(total)
+            if self.tokens < capacity:
+                self._tail(self.tokens)
                 break
-            self._window(longest)
+            self._window(max(self.left))
 
     def _take(self, length: int, number: int) -> list[tuple[int, int, int, int]]:
         out, queue = [], self.pieces[length]
@@ -175,6 +174,7 @@ class Plan:
                 hi = lo + number
             out.append((origin, lo, hi, start))
             number -= hi - lo
+        self.tokens -= length * sum(hi - lo for _, lo, hi, _ in out)
         self.left[length] -= sum(hi - lo for _, lo, hi, _ in out)
         if not self.left[length]:
             del self.left[length], self.pieces[length]
@@ -182,7 +182,9 @@ class Plan:
 
     def _put(self, segments: list[tuple[int, int, int, int]], length: int) -> None:
         self.pieces.setdefault(length, deque()).extend(segments)
-        self.left[length] = self.left.get(length, 0) + sum(hi - lo for _, lo, hi, _ in segments)
+        number = sum(hi - lo for _, lo, hi, _ in segments)
+        self.left[length] = self.left.get(length, 0) + number
+        self.tokens += length * number
 
     def _place(self, segments, length: int, each: int, offset: int) -> None:
         done = 0

@@ -60,6 +60,17 @@ def test_plan_places_every_token_once(histogram):
     assert sorted(used) == list(range(plan.sequences))
 
 
+@pytest.mark.parametrize("longest", [59, 79, 200])
+def test_many_lengths_are_not_padded(longest):
+    plan = p.Plan({n: 1 for n in range(1, longest + 1)}, 4096)
+    used = defaultdict(int)
+    for origin, lo, hi, _, length, first, each, done, offset in plan.rows:
+        for rank in range(hi - lo):
+            used[first + (done + rank) // each] += length
+    assert sum(used.values()) == longest * (longest + 1) // 2
+    assert all(n == 4096 or n & (n - 1) == 0 for n in used.values())
+
+
 def check_rows(rows, texts, tokenizer):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
