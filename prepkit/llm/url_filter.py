@@ -31,7 +31,7 @@ RULES = (
 )
 TRAIN_ROWS = 20_000
 SEED = 66
-#: Pseudo-counts that draw the share of a rare host ending towards the share of all.
+#: Pseudo-counts that draw the share of a rare host ending towards a half.
 PRIOR = 20.0
 FEATURES = ("f_length", "f_host", "f_depth", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_suffix", "f_seen")
 OWN = ("host", "path", "rule", "verdict", "score", "suffix", *FEATURES)
@@ -89,35 +89,47 @@ def judged(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]]
     return found.withColumns({"rule": rule, "verdict": verdict})
 
 
-def _featured(found: DataFrame, suffixes: DataFrame, share: float, url: str) -> DataFrame:
+def _featured(found: DataFrame, suffixes: DataFrame, weights: tuple[float, float], url: str, own: Column | None = None, hidden: Column | None = None) -> DataFrame:
+    """``found`` with features. ``weights`` make allowed and blocked labels count alike; a row's ``own`` label (0, 1, null) is left out of its ending's share;
+    an ending that is unseen, or ``hidden`` from the row, has the neutral share of a half."""
     joined = found.withColumns(_lexical(F.coalesce(F.col(f"`{url}`"), F.lit("")))).join(suffixes, F.col("suffix") == F.col("__suffix"), "left")
-    n, blocked = F.coalesce("__n", F.lit(0)), F.coalesce("__blocked", F.lit(0))
-    smooth = (blocked + F.lit(PRIOR * share)) / (n + F.lit(PRIOR))
-    return joined.withColumns({"f_suffix": smooth, "f_seen": F.log2(n + 1.0)}).drop("__suffix", "__n", "__blocked")
+    own = F.lit(None).cast("int") if own is None else own
+    hidden = F.lit(False) if hidden is None else hidden
+    allowed, blocked = F.coalesce(F.col("__n") - F.col("__blocked"), F.lit(0)), F.coalesce("__blocked", F.lit(0))
+    allowed = F.when(hidden, 0).otherwise(allowed - F.coalesce(1 - own, F.lit(0))) * weights[0]
+    blocked = F.when(hidden, 0).otherwise(blocked - F.coalesce(own, F.lit(0))) * weights[1]
+    smooth = (blocked + F.lit(PRIOR / 2)) / (allowed + blocked + F.lit(PRIOR))
+    return joined.withColumns({"f_suffix": smooth, "f_seen": F.log2(allowed + blocked + 1.0)}).drop("__suffix", "__n", "__blocked")
 
 
-def fit(found: DataFrame, url: str = "url", key: str = "page_id", rows: int = TRAIN_ROWS) -> tuple[Trees, DataFrame, float]:
-    """Trees from labelled URLs, the table of host endings, and the share of blocked ones."""
+def fit(found: DataFrame, url: str = "url", key: str = "page_id", rows: int = TRAIN_ROWS) -> tuple[Trees, DataFrame, tuple[float, float]]:
+    """Trees from labelled URLs, the table of host endings, and the weights of allowed and blocked labels.
+
+    The endings' shares come from the labels that train the trees, so a row's own label is left out of its share, and every other row, by its hash, does not see its
+    ending at all: the trees learn to do without an ending they have not met.
+    """
     labelled = found.filter(F.col("verdict").isNotNull())
     blocks = F.sum((F.col("verdict") == "block").cast("bigint"))
     suffixes = labelled.groupBy(F.col("suffix").alias("__suffix")).agg(F.count(F.lit(1)).alias("__n"), blocks.alias("__blocked"))
     suffixes = stage(suffixes, "url-suffixes")
     total = suffixes.agg(F.sum("__n").alias("n"), F.sum("__blocked").alias("blocked")).first()
-    share = (total["blocked"] or 0) / (total["n"] or 1)
+    n, blocked = total["n"] or 0, total["blocked"] or 0
+    weights = (n / (2 * (n - blocked)), n / (2 * blocked)) if 0 < blocked < n else (1.0, 1.0)
     order = seeded(SEED, F.col(f"`{key}`"), F.col(f"`{url}`"))
-    sample = labelled.select(F.col(f"`{url}`"), "host", "path", "suffix", "verdict", order.alias("__order")).orderBy("__order").limit(rows)
-    got = _featured(sample, suffixes, share, url).select("__order", *FEATURES, (F.col("verdict") == "block").cast("int").alias("y")).orderBy("__order").collect()
+    sample = labelled.select(F.col(f"`{url}`"), "host", "path", "suffix", (F.col("verdict") == "block").cast("int").alias("y"), order.alias("__order"))
+    sample = sample.orderBy("__order").limit(rows)
+    got = _featured(sample, suffixes, weights, url, F.col("y"), F.col("__order") % 2 == 0).select("__order", *FEATURES, "y").orderBy("__order").collect()
     if not got:
-        return Trees(-10.0, []), suffixes, share
-    x = np.array([[r[f] for f in FEATURES] for r in got], np.float64)
-    return train(x, np.array([r["y"] for r in got])), suffixes, share
+        return Trees(-10.0, []), suffixes, weights
+    x, y = np.array([[r[f] for f in FEATURES] for r in got], np.float64), np.array([r["y"] for r in got])
+    return train(x, y, np.where(y == 1, weights[1], weights[0])), suffixes, weights
 
 
 def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules: Sequence[tuple[str, str]] = RULES,
                 rows: int = TRAIN_ROWS) -> DataFrame:
     """``pages`` with host, path, rule, verdict (allow or block) and the trees' score of being blocked."""
     found = judged(pages, url, rules)
-    trees, suffixes, share = fit(found, url, key, rows)
-    scored = _featured(found, suffixes, share, url).withColumn("score", trees.column([F.col(f) for f in FEATURES]))
+    trees, suffixes, weights = fit(found, url, key, rows)
+    scored = _featured(found, suffixes, weights, url).withColumn("score", trees.column([F.col(f) for f in FEATURES]))
     verdict = F.coalesce("verdict", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.withColumn("verdict", verdict).drop("suffix", *FEATURES)

@@ -85,3 +85,32 @@ def test_boosted_trees(spark):
     repeated = boost.train(np.repeat(x[:200], 2, axis=0), np.repeat(y[:200], 2))
     assert doubled.predict(x[:50]) == pytest.approx(repeated.predict(x[:50]), abs=0.15)
     assert boost.train(np.zeros((0, 2)), np.zeros(0)).predict(np.zeros((2, 2))).tolist() == [0.5, 0.5]
+
+
+def test_an_unseen_ending_is_judged_by_the_rest(spark):
+    """The same signs with an ending that no label has: neither verdict is a constant, nor that of the ending's absence."""
+    rows = [(i, f"http://h{i}.good.com/en/{i}") for i in range(400)] + [(1000 + i, f"http://h{i}.bad.net/es/{i * 7919}?a={i}&b=1&c=2") for i in range(400)]
+    rows += [(2000 + i, f"http://h{i}.some.org/en/{i}") for i in range(50)] + [(3000 + i, f"http://h{i}.other.org/xx/{i * 7907 + 100000}?a={i}&b=1&c=2") for i in range(50)]
+    out = [r for r in u.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect() if r["rule"] is None]
+    assert sum(r["verdict"] == "allow" for r in out if r["page_id"] < 3000) > 40
+    assert sum(r["verdict"] == "block" for r in out if r["page_id"] >= 3000) > 40
+
+
+def test_given_pages_get_both_verdicts(spark):
+    out = u.filter_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")).filter("rule IS NULL")
+    counts = {r["verdict"]: r["count"] for r in out.groupBy("verdict").count().collect()}
+    assert min(counts.get("allow", 0), counts.get("block", 0)) > 0.1 * sum(counts.values())
+
+
+def test_a_row_s_own_label_is_left_out(spark):
+    found = u.judged(spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.net/es/y")], "page_id bigint, url string"))
+    suffixes = spark.createDataFrame([("com", 1, 0), ("net", 1, 1)], "__suffix string, __n bigint, __blocked bigint")
+    label = (u.F.col("verdict") == "block").cast("int")
+    own = {r["page_id"]: r["f_suffix"] for r in u._featured(found, suffixes, (1.0, 1.0), "url", label).collect()}
+    assert own == {1: 0.5, 2: 0.5}
+
+
+def test_a_very_long_url(spark):
+    long = "http://a.org/" + "x/" * 50_000 + "?" + "&".join(f"p{i}={i}" for i in range(5_000))
+    (row,) = u.filter_urls(spark.createDataFrame([(1, long)], "page_id bigint, url string")).collect()
+    assert row["path"] == "/" + "x/" * 50_000 and row["verdict"] == "allow"
