@@ -11,7 +11,7 @@
    met, on through all its neighbours. What is found is verified by its cosine in double precision.
 5. A node's links count in the shard that owns it, so no list of pairs is made or merged: a shard gives each
    node's number of links and its root among what was found there. Roots are joined up by connected components.
-6. Recall is audited against brute force, for ``AUDIT_ROWS`` nodes (rows whose id is divisible by 50 come first) against all nodes, in blocks: the
+6. Recall is audited against brute force, for all nodes with an id divisible by 50 against all nodes, ``AUDIT_ROWS`` queries at a time: the
    share of all their links, and the mean share of a node. If either is below ``LEAST_RECALL``, all pairs of every shard are compared instead.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components link with nothing and are components of their own;
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ BLOCK_BYTES, LEAST_BLOCKS, TILE = 8 << 20, 4, 1024
 VERIFIED = 1 << 17
 NEAREST, FAR, DEGREE, ALPHA = 64, 32, 32, 1.2
 BEAM = 24
-AUDIT_ROWS, LEAST_RECALL = 256, 0.9
+AUDIT_ROWS, LEAST_RECALL = 4096, 0.9
 SEED = 9
 
 log = logging.getLogger(__name__)
@@ -373,11 +374,27 @@ def _links(nodes: DataFrame, least: float, exact: bool = False) -> DataFrame:
 
 
 def audit(nodes: DataFrame, counted: DataFrame, least: float, rows: int = AUDIT_ROWS) -> float:
-    """Share of the links of sampled nodes that were found, or the mean share of a node if that is less. Queries are bounded; all nodes are compared with
-    them, block by block."""
-    asked = nodes.orderBy(F.col("asked").desc(), F.xxhash64(F.lit(SEED), "node")).limit(rows).select("node", "vec").collect()
-    if not asked:
+    """Share of the links of all asked nodes that were found, or the mean share of a node if that is less.
+
+    All nodes are compared with the queries, ``rows`` of them at a time, so neither the driver nor a task holds more; where no node is asked, those ``rows`` of least hash are.
+    """
+    number = nodes.filter("asked").count()
+    blocks = -(-number // rows)
+    block = F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(max(blocks, 1)))
+    parts = [nodes.filter("asked").filter(block == b) for b in range(blocks)] or [nodes.orderBy(F.xxhash64(F.lit(SEED), "node")).limit(rows)]
+    true = [stage(t, "graph-audit") for p in parts if (t := _true_links(nodes, p.select("node", "vec").collect(), least)) is not None]
+    if not true:
         return 1.0
+    true = reduce(DataFrame.unionByName, true)
+    found = F.least("true", F.coalesce("links", F.lit(0)))
+    row = true.filter(F.col("true") > 0).join(counted, "node", "left").agg(F.sum("true").alias("t"), F.sum(found).alias("f"), F.avg(found / F.col("true")).alias("mean")).first()
+    return min(row["f"] / row["t"], row["mean"]) if row["t"] else 1.0
+
+
+def _true_links(nodes: DataFrame, asked: list, least: float) -> DataFrame | None:
+    """Links of the asked nodes by comparing them with all nodes."""
+    if not asked:
+        return None
     by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(r["vec"]) for r in asked}:
         own = [r for r in asked if len(r["vec"]) == size]
@@ -393,10 +410,7 @@ def audit(nodes: DataFrame, counted: DataFrame, least: float, rows: int = AUDIT_
                     near &= ids[:, None] != some["node"].to_numpy()[None, :]
                     yield pa.RecordBatch.from_pydict({"node": pa.array(ids), "true": pa.array((near @ some["copies"].to_numpy()).astype(np.int64))})
 
-    true = nodes.select("node", "vec", "copies").mapInArrow(compare, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
-    found = F.least("true", F.coalesce("links", F.lit(0)))
-    row = true.filter(F.col("true") > 0).join(counted, "node", "left").agg(F.sum("true").alias("t"), F.sum(found).alias("f"), F.avg(found / F.col("true")).alias("mean")).first()
-    return min(row["f"] / row["t"], row["mean"]) if row["t"] else 1.0
+    return nodes.select("node", "vec", "copies").mapInArrow(compare, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
 
 
 def _nodes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:

@@ -154,3 +154,12 @@ def test_low_recall_is_mended(spark, monkeypatch):
     monkeypatch.setattr(g, "audit", lambda *_: 0.5)
     with pytest.raises(RuntimeError, match="recall"):
         g.near_vectors(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"))
+
+
+def test_audit_asks_every_marked_id(spark, monkeypatch):
+    """More marked ids than one turn takes: a node missed in any of them shows."""
+    vectors = spark.range(400).selectExpr("id AS vec_id", "array(cast(cos(id div 2) as double), cast(sin(id div 2) as double)) AS embedding")
+    nodes = vectors.selectExpr("vec_id AS node", "1L AS copies", "true AS asked", "embedding AS vec")
+    full = g._true_links(nodes, nodes.select("node", "vec").collect(), g.LEAST).withColumnRenamed("true", "links")
+    assert g.audit(nodes, full, g.LEAST, rows=64) == pytest.approx(1)
+    assert g.audit(nodes, full.selectExpr("node", "CASE WHEN node = 399 THEN 0 ELSE links END AS links"), g.LEAST, rows=64) < 1
