@@ -14,12 +14,15 @@ out from training and sets each kind's threshold: the lowest score from which on
 Base spans always stay. Looser spans are added where their score reaches the threshold and no base span and no better
 looser span before them overlaps. ``redact`` puts a mark in the place of every run of overlapping spans.
 
+Time grows with the length of a text and its number of matches: places are running sums by blocks, contexts and gaps are read from pieces of the
+text, and only spans that overlap, directly or by others between them, are held against each other.
+
 Defined results: a null text has no spans and stays null; an empty one has none; repeated rows are judged each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -35,6 +38,9 @@ from prepkit.session import stage
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.95
 CONTEXT = 24
+#: Code points of a piece of text, and values of a block of running sums: both bound what is read or copied for one span.
+PIECE = 256
+BLOCK = 128
 #: A threshold that no score reaches.
 NEVER = 2.0
 
@@ -97,53 +103,86 @@ FEATURES = ("gen", "digits", "groups", "size", "signs", "luhn", "range", "cue",
 OWN = ("candidates", "spans", "base_spans")
 
 
-def places(text: Column, pattern: str, hint: str = "") -> Column:
-    """Array of (start, stop, match) of the pattern's matches, in code points.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The text is split at the matches; places are running sums of the lengths of pieces and matches.
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running merges (sums, maxima) of an array; ``merge`` takes a null for "nothing before".
+
+    Done by blocks of ``BLOCK`` and then over the blocks, since an array that grows by one is copied at each step.
     """
+
+    def plain(array: Column) -> Column:
+        nothing = F.expr("cast(array() as array<bigint>)")
+        return F.aggregate(array, nothing, lambda out, v: F.concat(out, F.array(merge(F.try_element_at(out, F.lit(-1)), v))))
+
+    def blocked(array: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int"))
+        own = F.transform(numbers, lambda i: plain(F.slice(array, i * BLOCK + 1, F.lit(BLOCK))))
+
+        def joined(blocks: Column) -> Column:
+            before = plain(F.transform(blocks, lambda k: F.try_element_at(k, F.lit(-1))))
+            return bound(before, lambda ends: F.flatten(F.transform(blocks, lambda k, i: bound(F.get(ends, i - 1), lambda e: F.transform(k, lambda v: merge(e, v))))))
+
+        return bound(own, joined)
+
+    return bound(values, lambda array: F.when(F.size(array) > BLOCK, blocked(array)).otherwise(plain(array)))
+
+
+def _plus(before: Column, value: Column) -> Column:
+    return F.coalesce(before, F.lit(0).cast("bigint")) + value
+
+
+def matches(text: Column, generator: Generator) -> Column:
+    """Array of (match, code points up to its end from the end of the one before)."""
     parts = F.zip_with(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
-        lambda m, s: F.struct(m.alias("m"), F.length(s).alias("gap")),
-    )
-    empty = F.expr("cast(array() as array<struct<start:int,stop:int,m:string>>)")
-    walked = F.aggregate(
-        F.filter(parts, lambda p: p["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + F.length(p["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + F.length(p["m"])).alias("stop"), p["m"].alias("m")))).alias("out"),
-        ),
-        lambda a: a["out"],
+        F.regexp_extract_all(text, F.lit(generator.pattern), F.lit(0)), F.split(text, generator.pattern, -1),
+        lambda m, s: F.struct(m.alias("m"), (F.length(s) + F.length(m)).cast("bigint").alias("step")),
     )
-    there = text.rlike(pattern)
-    if hint:
-        there = reduce(or_, [text.contains(sign) for sign in hint]) & there
-    return F.when(there, walked).otherwise(empty)
+    there = text.rlike(generator.pattern)
+    if generator.hint:
+        there = reduce(or_, [text.contains(sign) for sign in generator.hint]) & there
+    empty = F.expr("cast(array() as array<struct<m:string,step:bigint>>)")
+    return F.when(there, F.filter(parts, lambda p: p["m"].isNotNull())).otherwise(empty)
+
+
+def places(text: Column) -> Column:
+    """Array of (generator, start, stop, match) of all generators' matches, in code points.
+
+    The text is split at the matches; places are running sums of the lengths of pieces and matches.
+    """
+
+    def placed(found: Column, number: Column) -> Column:
+        stops = running(F.transform(found, lambda p: p["step"]), _plus)
+        return F.zip_with(found, stops, lambda p, stop: F.struct(
+            number.alias("gen"), (stop - F.length(p["m"])).cast("int").alias("start"), stop.cast("int").alias("stop"), p["m"].alias("m")))
+
+    return F.flatten(F.transform(F.array(*[matches(text, g) for g in GENERATORS]), placed))
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points, so that a part of it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
 
 
-def luhn(digits: Column) -> Column:
-    """Whether up to 19 digits pass the Luhn check."""
-    padded, total = F.lpad(digits, 19, "0"), F.lit(0)
-    for i in range(19):
-        d = F.ascii(F.substring(padded, i + 1, 1)) - 48
-        total = total + (d if i % 2 == 0 else F.when(d > 4, 2 * d - 9).otherwise(2 * d))
-    return total % 10 == 0
+def part(pieces: Column, start: Column, length: Column) -> Column:
+    """``length`` code points of the text from ``start`` on (from 0)."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + length) / PIECE).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * PIECE + 1, length)
 
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
-def checked(generator: Generator, match: Column, digits: Column) -> Column:
-    """Whether the kind's own check holds."""
-    n = F.length(digits)
-    if generator.kind == "ip":
-        return match.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
-    if generator.kind == "card":
-        return n.between(14, 19) & luhn(digits)
-    if generator.kind == "phone":
-        return n.between(10, 15)
-    return F.lit(True)
+def _by_kind(kind: Column, values: dict[str, Column]) -> Column:
+    """The value of the kind; false for others."""
+    chosen = F.lit(False)
+    for name, value in values.items():
+        chosen = F.when(kind == KINDS.index(name), value).otherwise(chosen)
+    return chosen
 
 
 def _kind_of_sign(sign: Column) -> Column:
@@ -153,45 +192,46 @@ def _kind_of_sign(sign: Column) -> Column:
     )
 
 
-def _candidate(number: int, text: Column):
-    g = GENERATORS[number]
-
-    def build(p: Column) -> Column:
-        match = p["m"]
-        digits = F.regexp_replace(match, "[^0-9]", "")
-        start, stop = p["start"], p["stop"]
-        context = F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT)))
-        cue = context.rlike(CUES[g.kind]).cast("int")
-        valid = checked(g, match, digits)
-        if g.base:
-            label = valid
-        elif g.kind == "email":
-            label = match.rlike(r"(?i)(?:[(\[]dot[)\]]|\.)\x20?[a-z]{2,6}$") & ((cue == 1) | match.rlike(r"(?i)\[at\]"))
-        elif g.kind == "card" or g.hint:
-            label = valid
-        else:
-            label = valid & (cue == 1)
-        values = {
-            "gen": F.lit(number), "kind": F.lit(KINDS.index(g.kind)), "start": start, "stop": stop, "label": label.cast("int"),
-            "digits": F.least(F.length(digits), F.lit(24)),
-            "groups": F.least(F.size(F.regexp_extract_all(match, F.lit("[0-9]+"), F.lit(0))), F.lit(6)),
-            "size": F.least(F.ceil(F.log2(F.length(match) + F.lit(1.0))).cast("int"), F.lit(8)),
-            "signs": F.when(match.contains("("), 3).when(match.contains("."), 2).when(match.contains("-"), 1).otherwise(0),
-            "luhn": F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
-            "range": (match.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$") if g.kind == "ip" else F.lit(False)).cast("int"),
-            "cue": cue,
-            "before": F.when(start > 0, _kind_of_sign(F.substring(text, start, F.lit(1)))).otherwise(0),
-            "after": _kind_of_sign(F.substring(text, stop + 1, F.lit(1))),
-        }
-        return F.struct(*[F.coalesce(v.cast("int"), F.lit(0)).alias(n) for n, v in values.items()])
-
-    return build
+def _candidate(place: Column, digits: Column, context: Column, around: dict[str, Column]) -> Column:
+    """Features and label of a span: its digits, the code points before it, and the signs on both sides."""
+    number, start, stop, match = (place[n] for n in ("gen", "start", "stop", "m"))
+    kind = F.get(F.array(*[F.lit(KINDS.index(g.kind)) for g in GENERATORS]), number)
+    base = F.get(F.array(*[F.lit(g.base) for g in GENERATORS]), number)
+    by_form = F.get(F.array(*[F.lit(g.kind == "card" or bool(g.hint)) for g in GENERATORS]), number)
+    n = F.length(digits)
+    luhn = n.between(12, 19) & F.call_function("luhn_check", digits)
+    octets = (kind == KINDS.index("ip")) & match.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
+    cue = _by_kind(kind, {k: context.rlike(c) for k, c in CUES.items()})
+    valid = _by_kind(kind, {"email": F.lit(True), "ip": octets, "card": n.between(14, 19) & luhn, "phone": n.between(10, 15)})
+    spelled = match.rlike(r"(?i)(?:[(\[]dot[)\]]|\.)\x20?[a-z]{2,6}$") & (cue | match.rlike(r"(?i)\[at\]"))
+    label = F.when(base, valid).when(kind == KINDS.index("email"), spelled).when(by_form, valid).otherwise(valid & cue)
+    values = {
+        "gen": number, "kind": kind, "start": start, "stop": stop, "label": label,
+        "digits": F.least(n, F.lit(24)),
+        "groups": F.least(F.size(F.regexp_extract_all(match, F.lit("[0-9]+"), F.lit(0))), F.lit(6)),
+        "size": F.least(F.ceil(F.log2(F.length(match) + F.lit(1.0))), F.lit(8)),
+        "signs": F.when(match.contains("("), 3).when(match.contains("."), 2).when(match.contains("-"), 1).otherwise(0),
+        "luhn": luhn, "range": octets, "cue": cue,
+        "before": _kind_of_sign(around["before"]), "after": _kind_of_sign(around["after"]),
+    }
+    return F.struct(*[F.coalesce(v.cast("int"), F.lit(0)).alias(n) for n, v in values.items()])
 
 
 def candidates(text: Column) -> Column:
     """All proposals of all generators, as an array of spans with features and label."""
-    found = [F.transform(places(text, g.pattern, g.hint), _candidate(i, text)) for i, g in enumerate(GENERATORS)]
-    return F.when(text.isNotNull(), F.concat(*found)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+
+    def features(place: Column, pieces: Column) -> Column:
+        # The context, the span's last sign and the one after it lie in at most a few pieces.
+        start = F.greatest(place["start"] - CONTEXT, F.lit(0))
+        context = part(pieces, start, F.least(place["start"], F.lit(CONTEXT)))
+        after = part(pieces, place["stop"], F.lit(1))
+        digits = F.regexp_replace(place["m"], "[^0-9]", "")
+        own = F.struct(digits.alias("digits"), context.alias("context"), after.alias("after"))
+        return bound(own, lambda o: _candidate(
+            place, o["digits"], o["context"], {"before": F.when(place["start"] > 0, F.substring(o["context"], -1, 1)), "after": o["after"]}))
+
+    found = bound(pieces_of(text), lambda pieces: F.transform(places(text), lambda p: features(p, pieces)))
+    return F.when(text.isNotNull(), found).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -236,6 +276,21 @@ def threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, precision:
     return max(best, 0.5)
 
 
+def runs(spans: Column) -> Column:
+    """Spans in order of their starts, as an array of arrays: those that overlap, also by others between them, together."""
+
+    def cut(array: Column) -> Column:
+        def at(ends: Column) -> Column:
+            places = F.sequence(F.lit(0), F.size(array) - 1)
+            firsts = F.filter(places, lambda i: (i == 0) | (F.get(array, i)["start"] >= F.get(ends, i - 1)))
+            return bound(firsts, lambda f: F.transform(f, lambda a, k: F.slice(array, a + 1, F.coalesce(F.get(f, k + 1), F.size(array)) - a)))
+
+        return F.when(F.size(array) > 0, bound(running(F.transform(array, lambda s: s["stop"].cast("bigint")), F.greatest), at)).otherwise(
+            F.slice(F.array(array), F.lit(1), F.lit(0)))
+
+    return bound(spans, cut)
+
+
 def select(found: DataFrame, trees: Trees, thresholds: dict[int, float]) -> DataFrame:
     """``found`` with ``base_spans`` and ``spans``, arrays of (start, kind, stop) in order, in place of the candidates."""
     base_of = [i for i, g in enumerate(GENERATORS) if g.base]
@@ -258,7 +313,17 @@ def select(found: DataFrame, trees: Trees, thresholds: dict[int, float]) -> Data
     def clear(taken: Column, c: Column) -> Column:
         return ~F.exists(taken, lambda t: (t["start"] < c["stop"]) & (c["start"] < t["stop"]))
 
-    added = F.aggregate(loose, F.col("base_spans"), lambda taken, c: F.when(clear(taken, c), F.concat(taken, F.array(triple(c)))).otherwise(taken))
+    def settled(run: Column) -> Column:
+        """Base spans of a run, and its looser ones from the best on that nothing taken overlaps."""
+        taken = F.transform(F.filter(run, lambda c: c["order"].isNull()), triple)
+        looser = F.array_sort(F.transform(F.filter(run, lambda c: c["order"].isNotNull()), lambda c: F.struct(c["order"], c["start"], c["kind"], c["stop"])))
+        return F.aggregate(looser, taken, lambda taken, c: F.when(clear(taken, c), F.concat(taken, F.array(triple(c)))).otherwise(taken))
+
+    def mixed(c: Column, order: Column) -> Column:
+        return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), order.alias("order"))
+
+    every = F.array_sort(F.concat(F.transform("base_spans", lambda c: mixed(c, F.lit(None).cast("double"))), F.transform(loose, lambda c: mixed(c, c["order"]))))
+    added = F.flatten(F.transform(runs(every), settled))
     spans = F.when(F.exists("candidates", lambda c: ~c["gen"].isin(base_of)), F.array_sort(added)).otherwise(F.col("base_spans"))
     return with_base.withColumn("spans", spans).drop("candidates")
 
@@ -287,26 +352,19 @@ def named(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """The texts with a mark of the first span's kind in place of each run of overlapping spans."""
-    whole, names = F.col(f"`{text}`"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    runs = F.aggregate(
-        F.col(spans),
-        F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (s["start"] < F.get(out, F.size(out) - 1)["stop"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.size(out) - 1),
-                F.array(F.struct(F.get(out, F.size(out) - 1)["start"].alias("start"), F.get(out, F.size(out) - 1)["kind"].alias("kind"),
-                                 F.greatest(F.get(out, F.size(out) - 1)["stop"], s["stop"]).alias("stop"))),
-            ),
-        ).otherwise(F.concat(out, F.array(s))),
-    )
-    pieces = F.transform(
-        runs,
-        lambda s, i: F.concat(
-            (lambda before: F.substring(whole, before + 1, s["start"] - before))(F.when(i > 0, F.get(runs, i - 1)["stop"]).otherwise(F.lit(0))),
-            F.get(names, s["kind"]),
-        ),
-    )
-    last = F.get(runs, F.size(runs) - 1)["stop"]
-    done = F.concat(F.array_join(pieces, ""), F.substring(whole, last + 1, F.length(whole)))
-    return docs.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(whole))
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    joined = F.transform(runs(F.col(spans)), lambda r: F.struct(
+        F.get(r, F.lit(0))["start"].alias("start"), F.get(r, F.lit(0))["kind"].alias("kind"), F.array_max(F.transform(r, lambda s: s["stop"])).alias("stop")))
+
+    def done(pieces: Column, marks: Column) -> Column:
+        def marked(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(marks, i - 1)["stop"], F.lit(0))
+            return F.concat(part(pieces, before, s["start"] - before), F.get(names, s["kind"]))
+
+        last = F.try_element_at(marks, F.lit(-1))["stop"]
+        rest = F.length(F.col(f"`{text}`")) - last
+        return F.concat(F.array_join(F.transform(marks, marked), ""), part(pieces, last, rest))
+
+    whole = F.col(f"`{text}`")
+    changed = bound(pieces_of(whole), lambda pieces: bound(joined, lambda marks: done(pieces, marks)))
+    return docs.withColumn(text, F.when(F.size(spans) > 0, changed).otherwise(whole))

@@ -118,3 +118,24 @@ def test_spelled_out_emails_in_capitals_are_proposed(spark):
     number = next(i for i, g in enumerate(pii.GENERATORS) if g.kind == "email" and not g.base)
     rows = docs.select("doc_id", F.size(F.filter(pii.candidates(F.col("text")), lambda c: c["gen"] == number)).alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in rows} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_megabytes_of_matches(spark):
+    """Places, contexts and marks of very long texts with very many matches; time follows their length."""
+    texts = ["12 34é " * 150_000, "john.doe@example.org call 555-123-4567\n" * 26_000]
+    got = found(spark, texts)
+    assert [got[i] for i in range(2)] == [brute(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.redact(pii.find(docs)).collect()}
+    assert out == {0: texts[0], 1: "<EMAIL> call <PHONE>\n" * 26_000}
+
+
+def test_runs_and_running_sums_over_blocks(spark):
+    n = 3 * pii.BLOCK + 5
+    rows = spark.range(1).select(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint")).alias("v"))
+    assert rows.select(pii.running(F.col("v"), pii._plus).alias("s")).first()["s"] == list(np.cumsum(range(1, n + 1)))
+    assert rows.select(pii.running(F.slice("v", 1, 0), pii._plus).alias("s")).first()["s"] == []
+    spans = [(0, 0, 9), (2, 1, 3), (8, 0, 12), (12, 0, 13), *((20 + 2 * i, 0, 22 + 2 * i) for i in range(n))]
+    df = spark.createDataFrame([(spans,), ([],)], "s array<struct<start:int,kind:int,stop:int>>")
+    got = sorted((r["r"] for r in df.select(pii.runs(F.col("s")).alias("r")).collect()), key=len)
+    assert got[0] == [] and [len(g) for g in got[1]] == [3, 1] + [1] * n
