@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from prepkit.catalog import Registry, table
 from prepkit.operators import aggregates as a
 from prepkit.operators import joins as j
+from prepkit.operators.changes import cell_changes as compare_cells
 from prepkit.operators.columns import drop_suffix
 from prepkit.operators.row_id import with_row_id
 
@@ -215,3 +216,36 @@ def page_by_row_number(spark, folder):
 """)
 def page_state(spark, folder):
     return a.page_state(table(spark, folder, "orders"), 2)
+
+
+_NEXT_ORDERS = """
+    SELECT CASE WHEN o_orderkey % 1013 = 1 THEN o_orderkey + 1000000000000 ELSE o_orderkey END AS o_orderkey, o_custkey,
+           CASE WHEN o_orderkey % 997 = 5 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderkey % 499 = 7 THEN o_custkey + 1 ELSE 0 END AS o_shift,
+           CASE WHEN o_orderkey % 1009 = 2 THEN upper(o_orderpriority) || '!' ELSE o_orderpriority END AS o_orderpriority
+    FROM orders WHERE o_orderkey % 1511 <> 3
+"""
+_THESE_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, 0 AS o_shift, o_orderpriority FROM orders"
+
+
+def _cells(name):
+    return f"""SELECT o_orderkey, 'changed' AS change, '{name}' AS "column", cast(o.{name} AS varchar) AS old, cast(n.{name} AS varchar) AS new
+        FROM o JOIN n USING (o_orderkey) WHERE o.{name} IS DISTINCT FROM n.{name}"""
+
+
+@registry.add(f"""
+    WITH o AS ({_THESE_ORDERS}), n AS ({_NEXT_ORDERS})
+    {" UNION ALL ".join(_cells(c) for c in ("o_custkey", "o_orderstatus", "o_shift", "o_orderpriority"))}
+    UNION ALL SELECT o_orderkey, 'removed', NULL, NULL, NULL FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n)
+    UNION ALL SELECT o_orderkey, 'added', NULL, NULL, NULL FROM n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)
+""")
+def cell_changes(spark, folder):
+    orders = table(spark, folder, "orders")
+    shifted = F.when(F.col("o_orderkey") % 499 == 7, F.col("o_custkey") + 1).otherwise(0).cast("bigint")
+    old = orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.lit(0).cast("bigint").alias("o_shift"), "o_orderpriority")
+    new = orders.filter(F.col("o_orderkey") % 1511 != 3).select(
+        F.when(F.col("o_orderkey") % 1013 == 1, F.col("o_orderkey") + 1000000000000).otherwise(F.col("o_orderkey")).alias("o_orderkey"), "o_custkey",
+        F.when(F.col("o_orderkey") % 997 != 5, F.col("o_orderstatus")).alias("o_orderstatus"), shifted.alias("o_shift"),
+        F.when(F.col("o_orderkey") % 1009 == 2, F.concat(F.upper("o_orderpriority"), F.lit("!"))).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+    )
+    return compare_cells(old, new, ["o_orderkey"])
