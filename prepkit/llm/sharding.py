@@ -4,7 +4,8 @@ Pass one scatters the rows by a seeded hash into buckets that fit in a task's me
 its hashes, so that the order does not depend on how fetched blocks arrive, shuffles it with Fisher-Yates under a seed
 of seed and bucket, and writes it. The buckets one after the other are the shuffled order; shards are equal runs of it, so
 a bucket reaches into few shards. The hash takes in the row's place in its input, so that repeated rows
-are spread like others: a result depends on the seed and on the input files and their splits.
+are spread like others: a result depends on the seed and on the input files and their splits. Input that comes from
+a shuffle is written first, since its rows have no fixed places. A very long text makes its bucket that much larger.
 
 Defined results: a null text counts no bytes; an empty table gives no rows; repeated rows each keep a place of their own;
 columns named like the operator's own get underscores on the operator's side.
@@ -28,6 +29,8 @@ SEED = 20_240_607
 #: Bytes of text in a bucket: one is held in memory at a time.
 BUCKET_BYTES = 24 << 20
 ROW_BYTES = 16
+#: Tasks of the scatter: each takes as many buckets, one after the other, as it needs to.
+MOST_PARTS = 20_000
 
 
 def row_size(text: str = "text"):
@@ -76,11 +79,16 @@ def shuffled(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes
     """The written buckets with each row's place in the whole order, the name of that column, and the number of rows."""
     prepared(docs.sparkSession)
     bucket, key, place, at = (fresh(n, docs.columns) for n in ("__bucket", "__key", "__place", "position"))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        # Rows that come from a shuffle have no fixed place: a task run again after a lost executor would give them other keys.
+        docs = stage(docs, "shard-input")
     total = docs.agg(F.coalesce(F.sum(row_size(text)), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(1, -(-total["bytes"] // bucket_bytes))
     scattered = docs.withColumn(key, F.xxhash64(F.lit(seed), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")), F.monotonically_increasing_id()))
     scattered = scattered.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(buckets)).cast("int"))
-    dealt = scattered.repartition(buckets, bucket).sortWithinPartitions(bucket, key).drop(key)
+    parts = min(buckets, MOST_PARTS)
+    part = F.expr(f"cast(cast(`{bucket}` as bigint) * {parts}L div {buckets}L as int)")
+    dealt = scattered.repartitionById(parts, part).sortWithinPartitions(bucket, key).drop(key)
     schema = T.StructType([*dealt.schema.fields, T.StructField(place, T.LongType())])
     written = stage(dealt.mapInArrow(_shuffle_buckets(bucket, place, seed), schema), "shuffled-buckets")
     sizes = {r[0]: r[1] for r in written.groupBy(bucket).count().collect()}  # one small row per bucket

@@ -52,3 +52,24 @@ def test_files(spark, tmp_path):
     s.write_shards(docs, str(tmp_path / "out"), n_shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 50, 1: 50, 2: 50, 3: 50}
+
+
+def test_input_from_a_shuffle_is_written_first(spark, monkeypatch):
+    """No row number is given below a shuffle, so a task that runs again gives the same keys."""
+    names, stage = [], s.stage
+    monkeypatch.setattr(s, "stage", lambda df, name: names.append(name) or stage(df, name))
+    s.shuffled(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert names == ["shuffled-buckets"]
+    docs = spark.range(2000).selectExpr("id as doc_id", "'t' as text").repartition(7, "doc_id")
+    placed, at, n = s.shuffled(docs, bucket_bytes=4000)
+    rows = placed.collect()
+    assert n == 2000 and sorted(r[at] for r in rows) == list(range(2000)) and len({r["doc_id"] for r in rows}) == 2000
+    assert names[1:] == ["shard-input", "shuffled-buckets"]
+
+
+def test_buckets_share_tasks(spark, monkeypatch):
+    """With fewer tasks than buckets the order is the same: one bucket after the other within a task."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "'t' as text")
+    one = s.shards(docs, n_shards=5, bucket_bytes=4000).collect()
+    monkeypatch.setattr(s, "MOST_PARTS", 3)
+    assert sorted(one) == sorted(s.shards(docs, n_shards=5, bucket_bytes=4000).collect())
