@@ -13,20 +13,24 @@ def quality_rules(docs: str = "documents", columns: str = "doc_id, n_words, word
     """Counts by lists of words and lines, thresholds by counts of buckets."""
     gamma = repr(rules.GAMMA)
     rates = " UNION ALL ".join(
-        f"SELECT lang, source, '{m}' AS measure, CAST({spread} AS DOUBLE) AS spread, {m} AS value FROM rated WHERE {m} IS NOT NULL"
-        for m, (_, spread) in rules.MEASURES.items()
+        f"SELECT lang, source, '{m}' AS measure, CAST({reach} AS DOUBLE) AS reach, CAST({least} AS DOUBLE) AS least, {m} AS value FROM rated WHERE NOT base_failed AND {m} IS NOT NULL"
+        for m, (_, reach, least) in rules.MEASURES.items()
     )
     over = " OR ".join(f"coalesce({m} > {m}_fence, false)" for m in rules.MEASURES)
     picks = ", ".join(f"max(CASE WHEN measure = '{m}' THEN floor(fence) END) AS {m}_fence" for m in rules.MEASURES)
 
     def level(keys: str) -> str:
         by = f"{keys}, measure" if keys else "measure"
-        return f"""SELECT {by}, any_value(mid) + {rules.REACH} * greatest(any_value(high) - any_value(mid), any_value(spread)) AS fence FROM (
-            SELECT {by}, spread, max(total) AS total,
-              min(CASE WHEN up_to * 100 >= total * 50 THEN v END) AS mid, min(CASE WHEN up_to * 100 >= total * 75 THEN v END) AS high
-            FROM (SELECT {by}, spread, v, sum(n) OVER (PARTITION BY {by} ORDER BY v) AS up_to, sum(n) OVER (PARTITION BY {by}) AS total
-                  FROM (SELECT {by}, spread, v, count(*) AS n FROM valued GROUP BY ALL))
-            GROUP BY {by}, spread) WHERE total >= {rules.LEAST_ROWS} GROUP BY {by}"""
+        return f"""SELECT {by}, any_value(reach) AS reach, any_value(least) AS least, max(total) AS n_rows, max(mid) AS mid,
+              (CAST(sum(CASE WHEN v > mid THEN s ELSE 0 END) AS DOUBLE) - max(mid) * CAST(sum(CASE WHEN v > mid THEN n ELSE 0 END) AS DOUBLE)) / max(total) AS excess
+            FROM (SELECT *, min(CASE WHEN up_to * 2 >= total THEN v END) OVER (PARTITION BY {by}) AS mid
+              FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY v) AS up_to, sum(n) OVER (PARTITION BY {by}) AS total
+                FROM (SELECT {by}, reach, least, v, count(*) AS n, sum(value) AS s FROM valued GROUP BY ALL)))
+            GROUP BY {by}"""
+
+    def drawn(column: str, child: str, parent: str) -> str:
+        weight = f"{child}.n_rows / ({child}.n_rows + {rules.PARENT_ROWS})"
+        return f"{weight} * {child}.{column} + (1 - {weight}) * {parent}.{column} AS {column}"
 
     return f"""
     WITH numbered AS (SELECT row_number() OVER () AS rid, * FROM {docs}),
@@ -57,16 +61,15 @@ def quality_rules(docs: str = "documents", columns: str = "doc_id, n_words, word
         CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS word_length
       FROM counted),
     valued AS (
-      SELECT lang, source, measure, spread,
+      SELECT lang, source, measure, reach, least, value,
         CASE WHEN value = 0 THEN 0 ELSE 2 / (1 + {gamma}) * pow({gamma}, ceil(ln(value) / ln({gamma}))) END AS v
       FROM ({rates})),
     by_source AS ({level("lang, source")}), by_lang AS ({level("lang")}), whole AS ({level("")}),
-    chosen AS (
-      SELECT g.lang, g.source, g.measure, coalesce(s.fence, l.fence, w.fence) AS fence
-      FROM (SELECT DISTINCT lang, source, measure FROM valued) g
-      LEFT JOIN by_source s ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source AND g.measure = s.measure
-      LEFT JOIN by_lang l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure
-      LEFT JOIN whole w ON g.measure = w.measure),
+    langs AS (SELECT l.lang, l.measure, {drawn("mid", "l", "w")}, {drawn("excess", "l", "w")} FROM by_lang l JOIN whole w USING (measure)),
+    groups AS (
+      SELECT s.lang, s.source, s.measure, s.reach, s.least, {drawn("mid", "s", "l")}, {drawn("excess", "s", "l")}
+      FROM by_source s JOIN langs l ON s.lang IS NOT DISTINCT FROM l.lang AND s.measure = l.measure),
+    chosen AS (SELECT lang, source, measure, mid + greatest(reach * excess, least) AS fence FROM groups),
     fences AS (SELECT lang, source, {picks} FROM chosen GROUP BY lang, source),
     judged AS (
       SELECT r.*, NOT base_failed AND NOT ({over}) AS kept

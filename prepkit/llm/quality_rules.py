@@ -1,12 +1,15 @@
 """Quality rules with thresholds that each language and source sets for itself.
 
 Every document gets a few whole-number measures. Their distribution per language and source is kept in a
-mergeable quantile sketch with logarithmic buckets (relative error ``ACCURACY``): a table of counts per bucket,
+mergeable quantile sketch with logarithmic buckets (relative error ``ACCURACY``): a table of counts and sums per bucket,
 summed on the map side, whose size depends on the range of a measure and not on the number of documents. Sketches
-of groups add up to those of a language and of all documents, which stand in for groups with few documents.
+of groups add up to those of a language and of all documents. Documents that fail a base rule are not part of them.
 
-A document is rejected where a measure lies above the upper fence of its group, median + ``REACH`` * (upper
-quartile - median), the spread being at least ``LEAST_SPREAD``; or where it fails one of the two base rules.
+A document is rejected where a measure lies above the upper fence of its group, median + reach * mean excess, or where it
+fails one of the two base rules. The mean excess is what documents have above the median, averaged over all of the group: it tells
+groups apart where median and quartiles are zero in all of them. Median and excess of a group are drawn to those of its
+language, and a language's to those of all documents, as if the parent were ``PARENT_ROWS`` further documents. A group
+whose documents hardly differ gets the measure's least distance from its median in place of the reach.
 
 Defined results: a null or empty text has no words and fails the base rule. Null languages and sources form groups
 of their own. Repeated rows are measured and judged alike, one row each. Input columns named like the operator's
@@ -38,15 +41,14 @@ MOST_REPEATED_PERCENT = 30
 
 ACCURACY = 0.02
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-REACH = 6
-#: Documents that a sketch needs before it may judge.
-LEAST_ROWS = 50
-#: Measure -> (SQL of the whole number, smallest spread). Groups without repeats get a fence of 360 (lines) and 264 (words, below the base rule's 300).
+#: Documents that a parent's sketch counts as in its children's.
+PARENT_ROWS = 50.0
+#: Measure -> (SQL of the whole number, reach, least distance of the fence from the median).
 MEASURES = {
-    "symbol_rate": ("1000 * n_symbols div n_words", 20),
-    "dup_line_rate": ("1000 * n_dup_lines div n_lines", 60),
-    "repeat_rate": ("1000 * n_repeat_words div n_words", 44),
-    "word_length": ("100 * word_chars div n_words", 50),
+    "symbol_rate": ("1000 * n_symbols div n_words", 1.5, 20.0),
+    "dup_line_rate": ("1000 * n_dup_lines div n_lines", 40.0, 60.0),
+    "repeat_rate": ("1000 * n_repeat_words div n_words", 45.0, 40.0),
+    "word_length": ("100 * word_chars div n_words", 8.0, 25.0),
 }
 OWN = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "symbol_rate", "dup_line_rate", "repeat_rate",
        "word_length", "base_failed", "kept", "fence_symbol_rate", "fence_dup_line_rate", "fence_repeat_rate", "fence_word_length")
@@ -113,7 +115,7 @@ def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = No
     own = fresh("counts", docs.columns)
     counted = docs.withColumn(own, _features(F.col(f"`{text}`")))
     counted = counted.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{own}.{n}") for n in FEATURES])
-    rates = {m: F.when(F.col("n_words") > 0, F.expr(sql)) for m, (sql, _) in MEASURES.items()}
+    rates = {m: F.when(F.col("n_words") > 0, F.expr(sql)) for m, (sql, _, _) in MEASURES.items()}
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return stage(counted.withColumns(rates | {"base_failed": failed}), "quality-measures")
 
@@ -124,47 +126,50 @@ def bucket(value: Column) -> Column:
 
 
 def sketch(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Counts per language, source, measure and bucket: the sketches, as a table."""
+    """Counts and sums per language, source, measure and bucket: the sketches, as a table."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("p")
     long = measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), pairs).filter(F.col("p.value").isNotNull())
     return long.groupBy("lang", "source", F.col("p.measure").alias("measure"), bucket(F.col("p.value")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count(F.lit(1)).alias("n"), F.sum("p.value").alias("total")
     )
 
 
 def quantiles(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Rows, median and upper quartile of each measure in each group; sketches that share a group are merged."""
+    """Rows, median, upper quartile and mean excess over the median of each measure in each group; sketches that share a group are merged."""
     keys = [*groups, "measure"]
-    merged = sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket"))
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    placed = merged.withColumns({"up_to": up_to, "total": total})
+    merged = sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    group = Window.partitionBy(*keys)
+    placed = merged.withColumns({"up_to": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)})
 
     def at(percent: int) -> Column:
-        return F.min(F.when(F.col("up_to") * 100 >= F.col("total") * percent, F.col("bucket")))
+        return F.min(F.when(F.col("up_to") * 100 >= F.col("all") * percent, F.col("bucket"))).over(group)
 
     def value(b: Column) -> Column:
         return F.when(b < 0, F.lit(0.0)).otherwise(F.lit(2 / (1 + GAMMA)) * F.pow(F.lit(GAMMA), b))
 
-    return placed.groupBy(*keys).agg(F.max("total").alias("rows"), value(at(50)).alias("mid"), value(at(75)).alias("high"))
+    def above(c: str) -> Column:
+        return F.sum(F.when(F.col("bucket") > F.col("middle"), F.col(c)).otherwise(0)).cast("double")
+
+    rows, mid = F.max("all"), F.max(value(F.col("middle")))
+    return placed.withColumns({"middle": at(50), "upper": at(75)}).groupBy(*keys).agg(
+        rows.alias("rows"), mid.alias("mid"), F.max(value(F.col("upper"))).alias("high"), ((above("total") - mid * above("n")) / rows).alias("excess"))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """One row per language and source with the upper fence of each measure; null where too few rows judge."""
-    spread = F.create_map(*[F.lit(x) for m, (_, s) in MEASURES.items() for x in (m, float(s))])
-    fence = F.col("mid") + REACH * F.greatest(F.col("high") - F.col("mid"), spread[F.col("measure")])
-    own, by_lang, whole = (
-        quantiles(sketches, g).filter(F.col("rows") >= LEAST_ROWS).withColumn("fence", fence).drop("rows", "mid", "high")
-        for g in (["lang", "source"], ["lang"], [])
-    )
-    groups = sketches.select("lang", "source", "measure").distinct()
-    a = groups.join(own.select(*[F.col(c).alias(f"own_{c}") for c in own.columns]),
-                    same_names(["lang", "source", "measure"], "own_"), "left")
-    b = a.join(by_lang.select(*[F.col(c).alias(f"lang_{c}") for c in by_lang.columns]), same_names(["lang", "measure"], "lang_"), "left")
-    c = b.join(whole.select(*[F.col(c).alias(f"all_{c}") for c in whole.columns]), same_names(["measure"], "all_"), "left")
-    chosen = c.select("lang", "source", "measure", F.coalesce("own_fence", "lang_fence", "all_fence").alias("fence"))
-    picks = [F.max(F.when(F.col("measure") == m, F.floor("fence"))).alias(f"fence_{m}") for m in MEASURES]
-    return chosen.groupBy("lang", "source").agg(*picks)
+    """One row per language and source with the upper fence of each measure."""
+    own, by_lang, whole = (quantiles(sketches, g).drop("high") for g in (["lang", "source"], ["lang"], []))
+
+    def drawn(child: DataFrame, parent: DataFrame, shared: Sequence[str]) -> DataFrame:
+        """``child`` with its median and excess drawn to its parent's."""
+        joined = child.join(parent.select(*[F.col(c).alias(f"parent_{c}") for c in parent.columns]), same_names(shared, "parent_"))
+        weight = F.col("rows") / (F.col("rows") + F.lit(PARENT_ROWS))
+        mixed = [(weight * F.col(c) + (1 - weight) * F.col(f"parent_{c}")).alias(c) for c in ("mid", "excess")]
+        return joined.select(*[c for c in child.columns if c not in ("mid", "excess")], *mixed)
+
+    known = drawn(own, drawn(by_lang, whole, ["measure"]), ["lang", "measure"])
+    reach, least = (F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[k])])[F.col("measure")] for k in (1, 2))
+    fence = F.floor(F.col("mid") + F.greatest(reach * F.col("excess"), least))
+    return known.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, fence)).alias(f"fence_{m}") for m in MEASURES])
 
 
 def same_names(names: Sequence[str], prefix: str) -> Column:
@@ -177,7 +182,7 @@ def same_names(names: Sequence[str], prefix: str) -> Column:
 
 def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``measured`` with ``kept``: false for a failed base rule or a measure above its group's fence."""
-    limits = stage(fences(stage(sketch(measured, lang, source), "quality-sketches")), "quality-fences")
+    limits = stage(fences(stage(sketch(measured.filter("not base_failed"), lang, source), "quality-sketches")), "quality-fences")
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     over = F.lit(False)
     for m in MEASURES:

@@ -69,3 +69,38 @@ def test_each_measure_rejects_what_base_rules_keep(spark):
         r = got[100 + i]
         assert not r["base_failed"] and not r["kept"], name
         assert [m for m in q.MEASURES if r[m] > r[f"fence_{m}"]] == [name]
+
+
+def test_the_groups_set_their_fences(spark):
+    """On a given table fences differ between groups, and the least distance decides in few of them."""
+    measured = q.measure(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), keep=["doc_id", "lang", "source"])
+    sketches = q.sketch(measured.filter("not base_failed"))
+    rows = q.fences(sketches).toPandas()
+    for m in q.MEASURES:
+        assert rows[f"fence_{m}"].nunique() > len(rows) / 3, m
+    free = q.MEASURES.copy()
+    try:
+        for m, (sql, reach, _) in free.items():
+            q.MEASURES[m] = (sql, reach, 0.0)
+        unbound = q.fences(sketches).toPandas()
+    finally:
+        q.MEASURES.update(free)
+    both = rows.merge(unbound, on=["lang", "source"], suffixes=("", "_free"))
+    for m in q.MEASURES:
+        assert (both[f"fence_{m}"] != both[f"fence_{m}_free"]).mean() < 0.1, m
+
+
+def test_small_groups_are_drawn_to_their_parents(spark):
+    """One odd document alone in its group does not set its own fence; many of them do."""
+    rows = [("en", "a", 0, 0, 0, 500)] * 500 + [("en", "b", 2000, 0, 0, 500)] + [("en", "c", 2000, 0, 0, 500)] * 1000
+    sketches = q.sketch(spark.createDataFrame(rows, "lang string, source string, symbol_rate bigint, dup_line_rate bigint, repeat_rate bigint, word_length bigint"))
+    one, many = (q.fences(s).filter("source = 'b'").first()["fence_symbol_rate"] for s in (sketches.filter("source <> 'c'"), sketches))
+    assert one < 2000 < many
+
+
+def test_failed_documents_do_not_set_fences(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{words} {i}", "en", "s") for i in range(60)]
+    fences = [q.quality_rules(spark.createDataFrame(rows + more, "doc_id bigint, text string, lang string, source string")).filter("doc_id < 60").select("fence_symbol_rate", "fence_word_length").distinct().collect()
+              for more in ([], [(100 + i, "#### " * 10, "en", "s") for i in range(500)])]
+    assert fences[0] == fences[1] and len(fences[0]) == 1
