@@ -1,18 +1,18 @@
 """Near-duplicate vectors by a robust-pruned flat graph over overlapping cluster shards.
 
 1. Equal vectors become one node with a count. Nodes are dealt into shards by k-means, level by level, until a shard holds
-   ``SHARD_ROWS`` nodes at most; each level's centres come from a bounded sample of each cell. The nearest cell owns a node, and every other
-   cell that can own a node in range of it holds it too, so that each node meets all its links in the shard that owns it. A cell that dealing would
-   not make cheaper (almost equal vectors, or vectors without clusters) is cut into blocks, and all pairs of each two blocks are compared.
-2. In each shard every node takes its nearest nodes and some seeded random ones as candidates and keeps those that robust
-   pruning leaves: a candidate goes once a kept one is nearer to it by ``ALPHA``. Edges are added in both directions.
-3. The adjacency lists of a node from all its shards are united.
-4. In each shard every node searches the united graph from the shard's medoid: greedily with a beam, and wherever a node within range is
-   met, on through all its neighbours. What is found is verified by its cosine in double precision.
+   ``SHARD_ROWS`` nodes at most; each level's centres come from a bounded sample of each cell, and centres in link range of each other
+   are one. A node goes to the ``OVERLAP`` nearest cells that can hold a link of it; the nearest owns it. A large cell that is left with one centre is
+   denser than the link range: there almost all pairs are links, and all pairs of each two of its blocks are compared.
+2. In each shard every node takes the nearest of those that share a leaf of some random trees with it, and some seeded random ones, as candidates and
+   keeps those that robust pruning leaves: a candidate goes once a kept one is nearer to it by ``ALPHA``. Edges are added in both directions.
+3. The adjacency lists of a node from all its shards are united. Neighbours within ``WIDE`` of a node that lie in other shards join its own shard as guests.
+4. In each shard every node that it owns searches the united graph from the shard's medoid and its own place: greedily with a beam, and wherever a
+   node within range is met, on through all its neighbours, guests too. Cosines are worked out, in double precision, for visited nodes only.
 5. A node's links count in the shard that owns it, so no list of pairs is made or merged: a shard gives each
    node's number of links and its root among what was found there. Roots are joined up by connected components.
 6. Recall is audited against brute force, for all nodes with an id divisible by 50 against all nodes, ``AUDIT_ROWS`` queries at a time: the
-   share of all their links, and the mean share of a node. If either is below ``LEAST_RECALL``, all pairs of every shard are compared instead.
+   share of all their links, and the mean share of a node. If either is below ``LEAST_RECALL``, all pairs of vectors are compared in blocks instead.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components link with nothing and are components of their own;
 vectors of different length never link; repeated rows and equal vectors link with each other; a component is named by its smallest id.
@@ -27,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,14 +40,15 @@ SHARD_ROWS = 2048
 #: Cells that a level may make of one, and rows of the sample their centres come from.
 BRANCHES, SAMPLE_ROWS = 64, 4096
 LEVELS = 6
-#: A cell is dealt on if that leaves this share of its pairs to compare at most; else all its pairs are compared in blocks.
-PAYS = 0.25
+#: Cells that hold a node, and the cosine from which a neighbour in another shard is a guest.
+OVERLAP, WIDE = 3, 0.9
 #: Bytes of a block's vectors, the least number of a cell's blocks, and nodes whose cosines are held at once.
 BLOCK_BYTES, LEAST_BLOCKS, TILE = 8 << 20, 4, 1024
-#: Pairs verified at once.
-VERIFIED = 1 << 17
-NEAREST, FAR, DEGREE, ALPHA = 64, 32, 32, 1.2
-BEAM = 24
+#: Bytes of vectors gathered at once.
+GATHERED = 32 << 20
+TREES, LEAF = 8, 48
+NEAREST, FAR, DEGREE, ALPHA = 32, 8, 24, 1.2
+BEAM = 16
 AUDIT_ROWS, LEAST_RECALL = 4096, 0.9
 SEED = 9
 
@@ -100,70 +101,123 @@ def reached(x: np.ndarray, c: np.ndarray, least: float = LEAST) -> tuple[np.ndar
     return np.argmax(d, axis=1), can
 
 
-def prune(near: np.ndarray, order: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Robust pruning of all rows at once.
+def apart(c: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Centres without those in link range of an earlier one."""
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or (c[kept] @ c[i]).max() < least:
+            kept.append(i)
+    return c[kept]
 
-    ``near`` holds the cosines of all nodes of a shard, ``order`` each row's candidates, nearest first. Returns the kept ones, -1 for none.
+
+def cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each pair of rows, some at a time."""
+    step = max(1, GATHERED // (8 * x.shape[1]))
+    parts = [np.einsum("ij,ij->i", x[a[k : k + step]], x[b[k : k + step]]) for k in range(0, len(a), step)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
+def prune(own: np.ndarray, between: np.ndarray, order: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Robust pruning of some rows at once.
+
+    ``order`` holds each row's candidates, nearest first (-1 for none), ``own`` their cosines with it and ``between`` those among them.
+    Returns the kept ones, -1 for none.
     """
-    n, c = order.shape
-    rows = np.arange(n)
-    own = np.sqrt(np.maximum(0, 2 - 2 * near[rows[:, None], order]))
-    alive = order != rows[:, None]
-    kept = np.full((n, degree), -1)
+    rows = np.arange(len(order))
+    far = np.sqrt(np.maximum(0, 2 - 2 * own))
+    alive = order >= 0
+    kept = np.full((len(order), degree), -1)
     for k in range(degree):
         some = alive.any(axis=1)
         if not some.any():
             break
         pick = np.argmax(alive, axis=1)
-        best = order[rows, pick]
-        kept[some, k] = best[some]
-        between = np.sqrt(np.maximum(0, 2 - 2 * near[best[:, None], order]))
-        alive &= (alpha * between > own) & (order != best[:, None])
+        kept[some, k] = order[rows, pick][some]
+        alive &= alpha * np.sqrt(np.maximum(0, 2 - 2 * between[rows, pick])) > far
+        alive[rows, pick] = False
     return kept
 
 
+def leaves(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Leaves of a random tree: halves on both sides of a plane between two nodes, down to ``LEAF`` nodes."""
+    parts = [rng.permutation(len(x))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= LEAF:
+            yield part
+            continue
+        side = np.argsort(x[part] @ (x[part[0]] - x[part[1]]), kind="stable")
+        parts += [part[side[: len(part) // 2]], part[side[len(part) // 2 :]]]
+
+
+def candidates(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's candidates, nearest first, and their cosines; -1 for none."""
+    n, rng = len(x), np.random.default_rng(seed)
+    rows = np.arange(n)
+    ids = np.full((n, TREES * LEAF + FAR), -1)
+    cos = np.full(ids.shape, -np.inf)
+    for t in range(TREES):
+        for leaf in leaves(x, rng):
+            at = slice(t * LEAF, t * LEAF + len(leaf))
+            ids[leaf, at] = leaf
+            cos[leaf, at] = x[leaf] @ x[leaf].T
+    ids[:, -FAR:] = rng.integers(0, n, (n, FAR))
+    cos[:, -FAR:] = cosines(x, np.repeat(rows, FAR), ids[:, -FAR:].reshape(-1)).reshape(n, FAR)
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    ids, cos = np.take_along_axis(ids, by_id, axis=1), np.take_along_axis(cos, by_id, axis=1)
+    again = np.zeros(ids.shape, bool)
+    again[:, 1:] = ids[:, 1:] == ids[:, :-1]
+    cos[again | (ids < 0) | (ids == rows[:, None])] = -np.inf
+    best = np.argsort(-cos, axis=1, kind="stable")
+    best = np.concatenate([best[:, :NEAREST], best[:, NEAREST:][:, :: max(1, (best.shape[1] - NEAREST) // FAR)][:, :FAR]], axis=1)
+    ids, cos = np.take_along_axis(ids, best, axis=1), np.take_along_axis(cos, best, axis=1)
+    return np.where(np.isfinite(cos), ids, -1), cos
+
+
 def build(x: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Adjacency of a shard: pruned candidates in both directions."""
+    """Adjacency of a shard: pruned candidates in both directions, nearest first."""
     n = len(x)
-    near = x @ x.T
-    take = min(NEAREST, n - 1)
-    np.fill_diagonal(near, -np.inf)
-    order = np.argpartition(-near, take - 1, axis=1)[:, :take] if take > 0 else np.zeros((n, 0), int)
-    np.fill_diagonal(near, 1.0)
-    if n > take + 1:
-        order = np.concatenate([order, np.random.default_rng(seed).integers(0, n, (n, FAR))], axis=1)
-    order = np.take_along_axis(order, np.argsort(-near[np.arange(n)[:, None], order], axis=1, kind="stable"), axis=1)
-    kept = prune(near, order)
-    a = np.repeat(np.arange(n), kept.shape[1])
-    b = kept.reshape(-1)
+    order, own = candidates(x, seed)
+    kept = np.full((n, DEGREE), -1)
+    step = max(1, GATHERED // (8 * order.shape[1] * max(x.shape[1], order.shape[1])))
+    for k in range(0, n, step):
+        some = x[order[k : k + step]]
+        kept[k : k + step] = prune(np.where(order[k : k + step] >= 0, own[k : k + step], -1), some @ some.transpose(0, 2, 1), order[k : k + step])
+    a, b = np.repeat(np.arange(n), kept.shape[1]), kept.reshape(-1)
     a, b = a[b >= 0], b[b >= 0]
     pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
-    lists = np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
-    return [v[np.argsort(-near[i, v], kind="stable")[: 2 * DEGREE]] for i, v in enumerate(lists)]
+    a, b = pairs // n, pairs % n
+    nearest = np.lexsort((-cosines(x, a, b), a))
+    return [v[: 2 * DEGREE] for v in np.split(b[nearest], np.searchsorted(a, np.arange(1, n)))]
 
 
-def search(x: np.ndarray, lists: list[np.ndarray], least: float = LEAST, beam: int = BEAM) -> np.ndarray:
-    """Which nodes of a shard each node finds within range, searching the graph from the medoid. All queries step together."""
+def search(x: np.ndarray, lists: list[np.ndarray], least: float = LEAST, beam: int = BEAM, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes of a shard each asked node (all, unless given) finds within range, searching the graph from the medoid and itself, and how many
+    cosines that took. All queries step together."""
     n = len(x)
-    near = x @ x.T
+    asked = np.arange(n) if asked is None else asked
     width = max(1, max(map(len, lists)))
     graph = np.full((n, width), -1)
     for i, v in enumerate(lists):
         graph[i, : len(v)] = v
     medoid = int(np.argmax(x @ x.mean(axis=0)))
-    seen, waiting, found = (np.zeros((n, n), bool) for _ in range(3))  # waiting: in range, not yet expanded
-    ids = np.full((n, beam), -1)
-    cos = np.full((n, beam), -np.inf)
-    done = np.ones((n, beam), bool)
-    rows = np.arange(n)
-    ids[:, 0], cos[:, 0], done[:, 0], seen[:, medoid] = medoid, near[:, medoid], False, True
-    found[:, medoid] = near[:, medoid] >= least
+    m = len(asked)
+    rows = np.arange(m)
+    seen, waiting, found = (np.zeros((m, n), bool) for _ in range(3))  # waiting: in range, not yet expanded
+    ids = np.full((m, beam), -1)
+    cos = np.full((m, beam), -np.inf)
+    done = np.ones((m, beam), bool)
+    ids[:, 0], cos[:, 0], done[:, 0], seen[:, medoid] = medoid, cosines(x, asked, np.full(m, medoid)), False, True
+    found[:, medoid] = cos[:, 0] >= least
+    other = asked != medoid
+    ids[other, 1], cos[other, 1], done[other, 1] = asked[other], 1.0, False
+    seen[rows, asked] = True
     active = rows
     while len(active):
         # The beam first, the nearest open node; then what lies within range and left the beam.
-        open_ = ~done[active]
+        open_ = np.where(done[active], -np.inf, cos[active])
         pick = np.argmax(open_, axis=1)
-        has = open_[np.arange(len(active)), pick]
+        has = open_[np.arange(len(active)), pick] > -np.inf
         node = ids[active, pick]
         late = ~has
         if late.any():
@@ -177,24 +231,22 @@ def search(x: np.ndarray, lists: list[np.ndarray], least: float = LEAST, beam: i
         waiting[active, node] = False
         next_ = graph[node]
         fresh = (next_ >= 0) & ~seen[active[:, None], next_]
-        seen[active[:, None], np.where(fresh, next_, medoid)] = True
-        value = np.where(fresh, near[active[:, None], next_], -np.inf)
-        hit = value >= least
-        at, where = np.nonzero(hit)
-        found[active[at], next_[at, where]] = True
-        waiting[active[at], next_[at, where]] = True
+        at, where = np.nonzero(fresh)
+        to = next_[at, where]
+        seen[active[at], to] = True
+        value = np.full(next_.shape, -np.inf)
+        value[at, where] = cosines(x, asked[active[at]], to)
+        hit = value[at, where] >= least
+        found[active[at[hit]], to[hit]] = True
+        waiting[active[at[hit]], to[hit]] = True
         all_cos = np.concatenate([cos[active], value], axis=1)
         top = np.argsort(-all_cos, axis=1, kind="stable")[:, :beam]
         cos[active] = np.take_along_axis(all_cos, top, axis=1)
         ids[active] = np.take_along_axis(np.concatenate([ids[active], next_], axis=1), top, axis=1)
         done[active] = np.take_along_axis(np.concatenate([done[active], ~fresh], axis=1), top, axis=1)
-    found |= found.T
-    np.fill_diagonal(found, False)
-    a, b = np.nonzero(found)
-    for k in range(0, len(a), VERIFIED):  # pair by pair, some at a time
-        i, j = a[k : k + VERIFIED], b[k : k + VERIFIED]
-        found[i, j] = np.einsum("ij,ij->i", x[i], x[j]) >= least
-    return found
+    found[:, asked] |= found[:, asked].T
+    found[rows, asked] = False
+    return found, seen.sum(axis=1)
 
 
 def roots_of(found: np.ndarray) -> np.ndarray:
@@ -210,76 +262,63 @@ def roots_of(found: np.ndarray) -> np.ndarray:
         root = now
 
 
-def _large(cells: DataFrame) -> DataFrame:
-    """Cells that hold too many nodes for a shard, or own none."""
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.count_if("own").alias("owners"))
-    return stage(counts.filter((F.col("c") > SHARD_ROWS) | (F.col("owners") == 0)), "graph-large")
-
-
-def _level(cells: DataFrame, nodes: DataFrame, level: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """Cells that are small enough, the rest dealt to cells of the next level, and those that dealing would not make cheaper; None if no cell is too large."""
-    large = _large(cells)
+def _level(cells: DataFrame, nodes: DataFrame, level: int, least: float) -> DataFrame | None:
+    """``cells`` with the large ones dealt to cells of the next level, or marked dense; None if no cell is too large."""
+    counts = cells.filter("not dense").groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
+    large = stage(counts.filter(F.col("c") > SHARD_ROWS), "graph-large")
     if not large.take(1):
         return None
-    large_owning = large.filter("owners > 0")
+    vectors = nodes.select("node", "vec")
+    rows = cells.filter("not dense").join(large, "cell").join(vectors, "node")
     chance = F.pmod(F.xxhash64(F.lit(SEED + level), "node"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * SAMPLE_ROWS / F.col("c")
-    sample = cells.join(large_owning, "cell").filter(chance).join(nodes.select("node", "vec"), "node").select("cell", "c", "node", "own", "vec")
+    parts = F.ceil(F.col("c") * F.size("vec") * 8 / F.lit(BLOCK_BYTES)).cast("bigint")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        wanted = int(min(BRANCHES, max(2, -(-3 * int(rows["c"].iloc[0]) // SHARD_ROWS))))
-        x, own = np.stack(rows["vec"].to_list()), rows["own"].to_numpy(bool)
-        got: list[float] = []
-        if own.any():
-            c = centres(x[own], wanted, SEED + level)
-            first, can = reached(x, c, least)
-            share = np.bincount(first[own], minlength=len(c)) / own.sum()
-            if share @ can.mean(axis=0) <= PAYS:
-                got = c.reshape(-1).tolist()
-        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "centres": [got]})
-
-    learned = stage(sample.groupBy("cell").applyInPandas(learn, "cell string, centres array<double>"), "graph-centres").filter(F.size("centres") > 0)
-    places = T.StructType([T.StructField("first", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))])
-
-    @F.arrow_udf(places)
-    def deal(vectors: pa.Array, cell: pa.Array, centre: pa.Array) -> pa.Array:
-        first, to = np.zeros(len(vectors), np.int64), [np.zeros(0, np.int64)] * len(vectors)
-        names = np.array(cell.to_pylist())
-        for name in np.unique(names):
-            at = np.flatnonzero(names == name)
-            x = np.stack([np.asarray(vectors[int(i)].values) for i in at])
-            c = np.asarray(centre[int(at[0])].values).reshape(-1, x.shape[1])
-            first[at], can = reached(x, c, least)
-            for i, row in zip(at, can):
-                to[i] = np.flatnonzero(row)
-        return pa.StructArray.from_arrays([pa.array(first), pa.array(to, pa.list_(pa.int64()))], names=["first", "cells"])
-
-    moved = cells.join(nodes.select("node", "vec"), "node").join(learned, "cell").withColumn("to", deal("vec", "cell", "centres"))
-    moved = moved.select("node", "cell", "own", "to.first", F.explode("to.cells").alias("t"))
-    moved = moved.select("node", F.concat_ws(".", "cell", "t").alias("cell"), (F.col("own") & (F.col("first") == F.col("t"))).alias("own"))
-    kept = cells.join(large.select("cell"), "cell", "left_anti")
-    blocks = cells.join(large_owning.select("cell").join(learned.select("cell"), "cell", "left_anti"), "cell", "left_semi")
-    columns = "node", "cell", "own"
-    return kept.select(*columns), moved.select(*columns), blocks.select(*columns)
+        wanted = int(min(BRANCHES, max(4, -(-3 * int(rows["c"].iloc[0]) // SHARD_ROWS))))
+        c = apart(centres(np.stack(rows["vec"].to_list()), wanted, SEED + level), least)
+        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "parts": [int(rows["parts"].max())], "centres": [c.reshape(-1).tolist()], "alone": [len(c) < 2]})
+
+    sample = rows.filter(chance).select("cell", "c", "node", "vec", parts.alias("parts"))
+    learned = stage(sample.groupBy("cell").applyInPandas(learn, "cell string, parts bigint, centres array<double>, alone boolean"), "graph-centres")
+    split = learned.filter("not alone")
+
+    def deal(one: pd.DataFrame, learned: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(learned):
+            return pd.DataFrame({"node": [], "cell": [], "near": []})
+        x = np.stack(one["vec"].to_list())
+        c = np.asarray(learned["centres"].iloc[0]).reshape(-1, x.shape[1])
+        near = np.where(reached(x, c, least)[1], x @ c.T, -np.inf)
+        best = np.argsort(-near, axis=1, kind="stable")[:, :OVERLAP]
+        near = np.take_along_axis(near, best, axis=1)
+        a, k = np.nonzero(np.isfinite(near))
+        names = np.array([f"{one['cell'].iloc[0]}.{t}" for t in range(len(c))], object)
+        return pd.DataFrame({"node": one["node"].to_numpy()[a], "cell": names[best[a, k]], "near": near[a, k]})
+
+    # The centres of a cell travel once for each block of its vectors.
+    parted = rows.join(split.select("cell", "parts"), "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("parts")))
+    centred = split.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    moved = parted.select("cell", "part", "node", "vec").groupBy("cell", "part").cogroup(centred.select("cell", "part", "centres").groupBy("cell", "part"))
+    moved = moved.applyInPandas(deal, "node bigint, cell string, near double").withColumn("dense", F.lit(False))
+    kept = cells.join(split.select("cell"), "cell", "left_anti").join(learned.filter("alone").select("cell", "alone"), "cell", "left")
+    kept = kept.select("node", "cell", "near", (F.col("dense") | F.coalesce("alone", F.lit(False))).alias("dense"))
+    return kept.unionByName(moved)
 
 
 def shards(nodes: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(node, cell, own) twice: cells of ``SHARD_ROWS`` nodes at most, and larger ones for blocks.
-
-    Every node is owned by one cell of the two tables, and that cell holds all nodes in range of it.
-    """
-    cells = stage(nodes.select("node", F.size("vec").cast("string").alias("cell"), F.lit(True).alias("own")), "graph-cells")
-    whole = cells.limit(0)
+    """(node, cell, own) twice: cells of ``SHARD_ROWS`` nodes at most, and denser ones for blocks. Every node is owned by one cell of the two tables."""
+    cells = nodes.select("node", F.size("vec").cast("string").alias("cell"), F.lit(0.0).alias("near"), F.lit(False).alias("dense"))
+    cells = stage(cells.withColumn("own", F.lit(True)), "graph-cells")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "cell"))
     for level in range(LEVELS):
         dealt = _level(cells, nodes, level, least)
         if dealt is None:
-            return cells, whole
-        kept, moved, blocks = dealt
-        whole = whole.unionByName(stage(blocks, "graph-dense"))
-        cells = stage(kept.unionByName(moved), "graph-cells")
-    large = _large(cells)
-    rest = cells.join(large.filter("owners > 0").select("cell"), "cell", "left_semi").select("node", "cell", "own")
-    return cells.join(large.select("cell"), "cell", "left_anti").select("node", "cell", "own"), whole.unionByName(rest)
+            break
+        ranked = dealt.withColumn("rank", rank).filter(F.col("rank") <= OVERLAP)
+        cells = stage(ranked.withColumn("own", F.col("rank") == 1).drop("rank"), "graph-cells")
+    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
+    cells = cells.join(counts, "cell").withColumn("dense", F.col("dense") | (F.col("c") > SHARD_ROWS))
+    return tuple(cells.filter(kind).select("node", "cell", "own") for kind in ("not dense", "dense"))
 
 
 def join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -342,35 +381,47 @@ def _block_links(whole: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _links(nodes: DataFrame, least: float, exact: bool = False) -> DataFrame:
-    """(node, links, root) for each node and shard, and for nodes with links in each two blocks. ``exact``: all pairs of shards too, without a graph."""
-    cells, whole = shards(nodes, least)
+    """(node, links, root, looked) for each node of a shard, and for nodes with links in each two blocks; ``looked`` counts the cosines of a
+    search, null in blocks. ``exact``: all pairs of vectors, without a graph."""
+    looked = F.lit(None).cast("bigint").alias("looked")
     if exact:
-        return stage(_block_links(cells.unionByName(whole), nodes, least), "graph-links")
-    cells = cells.withColumn("cell", F.xxhash64("cell"))
+        every = nodes.select("node", F.size("vec").cast("string").alias("cell"), F.lit(True).alias("own"))
+        return stage(_block_links(every, nodes, least).select("*", looked), "graph-links")
+    cells, whole = shards(nodes, least)
+    cells = stage(cells.withColumn("cell", F.xxhash64("cell")), "graph-members")
     vectors = nodes.select("node", "vec", "copies")
 
     def make(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        ids = rows["node"].to_numpy()
-        lists = build(np.stack(rows["vec"].to_list()), int(rows["cell"].iloc[0]) & 0xFFFFFFFF)
-        return pd.DataFrame({"node": ids, "next": [ids[v].tolist() for v in lists]})
+        ids, x = rows["node"].to_numpy(), np.stack(rows["vec"].to_list())
+        lists = build(x, int(rows["cell"].iloc[0]) & 0xFFFFFFFF)
+        close = [v[x[v] @ x[i] >= min(WIDE, least)] for i, v in enumerate(lists)]
+        return pd.DataFrame({"node": ids, "next": [ids[v].tolist() for v in lists], "close": [ids[v].tolist() for v in close]})
 
-    edges = stage(cells.join(vectors, "node").groupBy("cell").applyInPandas(make, "node bigint, next array<bigint>"), "graph-edges")
-    united = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
+    edges = stage(cells.join(vectors, "node").groupBy("cell").applyInPandas(make, "node bigint, next array<bigint>, close array<bigint>"), "graph-edges")
+    lists = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("next", "close")]
+    united = stage(edges.groupBy("node").agg(*lists), "graph-united")
+    guests = cells.filter("own").join(united, "node").select("cell", F.explode("close").alias("node")).distinct()
+    guests = guests.join(cells, ["cell", "node"], "left_anti").select("node", "cell", F.lit(False).alias("own"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
         ids = rows["node"].to_numpy()
+        asked = np.flatnonzero(rows["own"].to_numpy(bool))
+        if not len(asked):
+            return pd.DataFrame({"node": ids[:0], "links": ids[:0], "root": ids[:0], "looked": ids[:0]})
         place = {int(v): i for i, v in enumerate(ids)}
         lists = [np.array([place[v] for v in map(int, some) if v in place], np.int64) for some in rows["next"]]
-        found = search(np.stack(rows["vec"].to_list()), lists, least)
-        # A node's links count in the shard that owns it: all nodes in range are there.
-        links = np.where(rows["own"].to_numpy(bool), found @ rows["copies"].to_numpy().astype(np.float64), 0)
-        return pd.DataFrame({"node": ids, "links": links.astype(np.int64), "root": ids[roots_of(found)]})
+        found, looked = search(np.stack(rows["vec"].to_list()), lists, least, asked=asked)
+        # A node's links count in the shard that owns it.
+        links, cosines = np.zeros((2, len(ids)), np.int64)
+        links[asked], cosines[asked] = found @ rows["copies"].to_numpy().astype(np.float64), looked
+        a, b = np.nonzero(found)
+        return pd.DataFrame({"node": ids, "links": links, "root": ids[join_up(np.arange(len(ids)), asked[a], b)], "looked": cosines})
 
-    full = cells.join(vectors, "node").join(united, "node")
-    walked = full.groupBy("cell").applyInPandas(walk, "node bigint, links bigint, root bigint")
-    return stage(walked.unionByName(_block_links(whole, nodes, least)), "graph-links")
+    full = cells.unionByName(guests).join(vectors, "node").join(united.select("node", "next"), "node")
+    walked = full.groupBy("cell").applyInPandas(walk, "node bigint, links bigint, root bigint, looked bigint")
+    return stage(walked.unionByName(_block_links(whole, nodes, least).select("*", looked)), "graph-links")
 
 
 def audit(nodes: DataFrame, counted: DataFrame, least: float, rows: int = AUDIT_ROWS) -> float:
@@ -439,7 +490,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         links = _links(nodes, least, exact)
         counted = stage(links.groupBy("node").agg(F.sum("links").alias("links")), "graph-counts")
         recall = audit(nodes, counted, least)
-        log.info("recall %.4f", recall)
+        work = links.agg(F.sum("looked").alias("looked"), F.count_if(F.col("looked") > 0).alias("walked")).first()
+        log.info("recall %.4f, %s nodes by the graph with %s cosines", recall, work["walked"], work["looked"])
         if recall >= LEAST_RECALL:
             break
     else:

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prepkit.llm import flat_graph as g
 from prepkit.llm import queries
+from prepkit.session import stage
 from tests.llm.test_dart_minhash import classes_of
 
 
@@ -111,7 +113,7 @@ def test_odd_vectors(spark):
 def test_search_finds_all_of_a_dense_group():
     rng = np.random.default_rng(1)
     x = g.unit(np.array(groups(rng, 300, 32, 0.05) + rng.normal(size=(200, 32)).tolist()))
-    found = g.search(x, g.build(x, 5))
+    found, looked = g.search(x, g.build(x, 5))
     want = x @ x.T >= g.LEAST
     np.fill_diagonal(want, False)
     assert not (found & ~want).any() and found.sum() >= 0.99 * want.sum()
@@ -121,7 +123,8 @@ def test_pruning_keeps_the_nearest_and_drops_what_it_covers():
     x = g.unit(np.array([[1, 0.0], [1, 0.1], [1, 0.11], [0, 1.0]]))
     near = x @ x.T
     order = np.argsort(-near, axis=1)
-    kept = g.prune(near, order, degree=4)
+    order = order[:1, 1:]
+    kept = g.prune(near[[0]][:, order[0]], near[order[0]][:, order[0]][None], order, degree=4)
     assert kept[0].tolist() == [1, 3, -1, -1]
 
 
@@ -145,7 +148,7 @@ def test_audit_weighs_nodes_alike_and_asks_without_marked_ids(spark):
 
 def test_low_recall_is_mended(spark, monkeypatch):
     """A search that finds nothing: the links come from all pairs."""
-    monkeypatch.setattr(g, "search", lambda x, lists, least: np.zeros((len(x), len(x)), bool))
+    monkeypatch.setattr(g, "search", lambda x, lists, least, asked: (np.zeros((len(asked), len(x)), bool), np.ones(len(asked), int)))
     rng = np.random.default_rng(7)
     vectors = list(enumerate(v for _ in range(20) for v in groups(rng, 4, 16, 0.05)))
     got = {r["vec_id"]: r for r in g.near_vectors(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")).collect()}
@@ -163,3 +166,21 @@ def test_audit_asks_every_marked_id(spark, monkeypatch):
     full = g._true_links(nodes, nodes.select("node", "vec").collect(), g.LEAST).withColumnRenamed("true", "links")
     assert g.audit(nodes, full, g.LEAST, rows=64) == pytest.approx(1)
     assert g.audit(nodes, full.selectExpr("node", "CASE WHEN node = 399 THEN 0 ELSE links END AS links"), g.LEAST, rows=64) < 1
+
+
+def test_the_graph_gives_the_result(spark):
+    """Given vectors with jittered copies: nodes are answered by the graph, few cosines are looked at, and links are those of brute force."""
+    rng = np.random.default_rng(9)
+    x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()], np.float64)
+    x = g.unit(x)
+    x = np.concatenate([x, *[x + rng.normal(0, 0.02, x.shape) for _ in range(3)]])
+    x = np.unique(g.unit(x), axis=0)
+    true = np.concatenate([(x[i : i + 1000] @ x.T >= g.LEAST).sum(axis=1) - 1 for i in range(0, len(x), 1000)])
+    nodes = stage(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node bigint, vec array<double>").withColumn("copies", F.lit(1)), "test-nodes")
+    cells, whole = g.shards(nodes)
+    assert cells.filter("own").count() >= 0.9 * len(x) and cells.filter("own").count() + whole.filter("own").count() == len(x)
+    got = g._links(nodes, g.LEAST).groupBy("node").agg(F.sum("links").alias("links"), F.sum("looked").alias("looked")).toPandas().set_index("node").sort_index()
+    short = true - got["links"].to_numpy()
+    print("short", short.sum(), "of", true.sum(), "looked", got["looked"].sum() / (len(x) ** 2 / 2))
+    assert (short >= 0).all() and short.sum() <= 0.002 * true.sum()
+    assert got["looked"].sum() < 0.2 * len(x) ** 2 / 2
