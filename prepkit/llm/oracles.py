@@ -69,7 +69,7 @@ def quality_rules(docs: str = "documents", columns: str = "doc_id, n_words, word
     groups AS (
       SELECT s.lang, s.source, s.measure, s.reach, s.least, {drawn("mid", "s", "l")}, {drawn("excess", "s", "l")}
       FROM by_source s JOIN langs l ON s.lang IS NOT DISTINCT FROM l.lang AND s.measure = l.measure),
-    chosen AS (SELECT lang, source, measure, mid + greatest(reach * excess, least) AS fence FROM groups),
+    chosen AS (SELECT lang, source, measure, mid + greatest(reach * excess, least + CAST({2 * rules.ACCURACY} AS DOUBLE) * mid) AS fence FROM groups),
     fences AS (SELECT lang, source, {picks} FROM chosen GROUP BY lang, source),
     judged AS (
       SELECT r.*, NOT base_failed AND NOT ({over}) AS kept

@@ -47,7 +47,7 @@ PARENT_ROWS = 50.0
 MEASURES = {
     "symbol_rate": ("1000 * n_symbols div n_words", 1.5, 20.0),
     "dup_line_rate": ("1000 * n_dup_lines div n_lines", 40.0, 60.0),
-    "repeat_rate": ("1000 * n_repeat_words div n_words", 45.0, 40.0),
+    "repeat_rate": ("1000 * n_repeat_words div n_words", 35.0, 40.0),
     "word_length": ("100 * word_chars div n_words", 8.0, 25.0),
 }
 OWN = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "symbol_rate", "dup_line_rate", "repeat_rate",
@@ -168,7 +168,8 @@ def fences(sketches: DataFrame) -> DataFrame:
 
     known = drawn(own, drawn(by_lang, whole, ["measure"]), ["lang", "measure"])
     reach, least = (F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[k])])[F.col("measure")] for k in (1, 2))
-    fence = F.floor(F.col("mid") + F.greatest(reach * F.col("excess"), least))
+    # The median is known to ``ACCURACY`` only, so a group of equal documents must not reject them for it.
+    fence = F.floor(F.col("mid") + F.greatest(reach * F.col("excess"), least + F.lit(2 * ACCURACY) * F.col("mid")))
     return known.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, fence)).alias(f"fence_{m}") for m in MEASURES])
 
 
