@@ -343,6 +343,7 @@ def percent_increase(
     The prediction is linear, so its total over a grain follows from the feature totals of that grain:
     thirty-odd numbers that enter as constants. Scenarios are then scored row by row, without a join,
     and the features are read once however many scenarios there are. Nothing to compare with gives N/A.
+    A change that is rounded to zero keeps its sign, as an adjustment of -0.00 does; features without weight add nothing.
     """
     total = sums.first().asDict()
     field_of = {feature: field for field, feature in bound}
@@ -354,10 +355,11 @@ def percent_increase(
         moved = [
             column(field_of[f.replace(" ", "_")]).cast("double") / F.lit(100.0) * F.lit(c * values[f])
             for f, c in model.coefficients.items()
-            if f.replace(" ", "_") in field_of
+            if f.replace(" ", "_") in field_of and c * values[f]
         ]
+        # No sum from 0.0 on: 0.0 + -0.0 is 0.0.
         text = (
-            fixed_decimals(F.lit(100.0) * reduce(add, moved, F.lit(0.0)) / F.lit(base))
+            fixed_decimals(F.lit(100.0) * reduce(add, moved or [F.lit(0.0)]) / F.lit(base))
             if base
             else F.lit(None).cast("string")
         )

@@ -173,6 +173,17 @@ def test_nothing_to_compare_with(spark):
     assert tuple(got.first()) == (1, "N/A", "N/A", "N/A")
 
 
+def test_a_change_rounded_to_zero_keeps_its_sign(spark):
+    totals = spark.createDataFrame([("a", 1, 2, 4.0, 3.0)], "d string, s int, rows bigint, x double, flat double")
+    sums = s.grain_sums(totals, ["x", "flat"], F.col("d") == "a", F.col("d") == "a", F.col("s") == 1)
+    scenarios = spark.createDataFrame([(1, -0.0, 5.0), (2, 0.0, -5.0), (3, -0.01, 0.0), (4, 50.0, -5.0)], "i int, f double, g double")
+    bound = [("f", "x"), ("g", "flat")]
+    got = s.percent_increase(scenarios, ["i"], bound, s.LinearModel(4.0, {"x": 1.0, "flat": 0.0}), sums)
+    assert [tuple(r) for r in got.orderBy("i").collect()] == [(i, t, t, t) for i, t in ((1, "-0.00"), (2, "0.00"), (3, "-0.00"), (4, "16.67"))]
+    flat = s.percent_increase(scenarios, ["i"], bound, s.LinearModel(4.0, {"x": 0.0, "flat": 0.0}), sums)
+    assert {r["state_percent_increase"] for r in flat.collect()} == {"0.00"}
+
+
 def test_random_scenarios(spark):
     df = s.random_scenarios(spark.range(500), ["id"], seed=1)
     assert len(df.columns) == 13
