@@ -46,6 +46,8 @@ SEED = 8
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Word hashes that a worker keeps; others are hashed each time.
 KEPT_WORDS = 200_000
+#: Shingles whose darts a worker holds at a time, but for a single text of more.
+HELD_SHINGLES = 200_000
 #: The lowest rank cell is [0, 2**LOWEST); above it each cell doubles.
 LOWEST = -6
 
@@ -131,6 +133,13 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], weighted: bool = False
     return best
 
 
+def signatures_by_parts(sets: list[tuple[np.ndarray, np.ndarray]], weighted: bool = False) -> np.ndarray:
+    """``signatures`` of some sets after others, so that memory follows ``HELD_SHINGLES`` or the longest text and not the batch."""
+    part = (np.cumsum([len(e) for e, _ in sets]) - 1) // HELD_SHINGLES
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return np.concatenate([signatures(sets[i:j], weighted) for i, j in zip([0, *cuts], [*cuts, len(sets)])])
+
+
 def _throw(element, weight, level: int, low: float, high: float, size: int, seed: int):
     """Hits in one layer of ranks: (index of element, coordinate, rank, dart)."""
     found = []
@@ -182,7 +191,7 @@ def _keys_of(weighted: bool):
     @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("bands", numbers), T.StructField("sketch", numbers)]))
     def keys(texts: pa.Array) -> pa.Array:
         sets = [shingles(_raw(t)) for t in texts]
-        made = band_keys(signatures(sets, weighted))
+        made = band_keys(signatures_by_parts(sets, weighted))
         sizes = pa.array([int(c.sum()) if weighted else len(e) for e, c in sets], pa.int64())
         full = np.array([len(e) > 0 for e, _ in sets], bool)
         offsets = pa.array(np.r_[0, np.cumsum(full * BANDS)].astype(np.int32), pa.int32())
@@ -195,9 +204,8 @@ def _keys_of(weighted: bool):
 
 @F.arrow_udf(T.StructType([T.StructField("e", T.BinaryType()), T.StructField("c", T.BinaryType())]))
 def _sets(texts: pa.Array) -> pa.Array:
-    made = [shingles(_raw(t)) for t in texts]
-    return pa.StructArray.from_arrays(
-        [pa.array([e.astype("<u8").tobytes() for e, _ in made], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in made], pa.binary())], names=["e", "c"])
+    made = [(e.astype("<u8").tobytes(), c.astype("<u4").tobytes()) for e, c in (shingles(_raw(t)) for t in texts)]
+    return pa.StructArray.from_arrays([pa.array([e for e, _ in made], pa.binary()), pa.array([c for _, c in made], pa.binary())], names=["e", "c"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weighted: bool = False) -> float:

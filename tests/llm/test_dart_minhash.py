@@ -1,6 +1,8 @@
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prepkit.llm import components as c
@@ -61,6 +63,24 @@ def test_signature_does_not_depend_on_the_batch():
     assert not any(alone[4]) and all(alone[3])
 
 
+def test_memory_for_a_batch_of_long_texts_is_bounded(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [(np.unique(rng.integers(1, 2**63, n, dtype=np.uint64)), np.ones(n, np.int64)) for n in (20_000, 0, 3, 20_000, 1, 0) * 12]
+    want = d.signatures(sets).tolist()
+    assert d.signatures_by_parts(sets).tolist() == want and d.signatures_by_parts([]).shape == (0, d.BANDS * d.ROWS)
+    monkeypatch.setattr(d, "HELD_SHINGLES", 20_000)
+    assert d.signatures_by_parts(sets).tolist() == want
+    keys, one, many = d._keys_of(False).func, pa.array(["".join(f"w{i} " for i in rng.integers(0, 10**6, 20_000))]), []
+    d.shingles(one[0].as_py().encode())
+    for texts in (one, pa.concat_arrays([one] * 24)):
+        tracemalloc.start()
+        keys(texts)
+        many.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    # The shingles themselves are kept for the batch, 16 bytes each; darts are not.
+    assert many[1] < 2 * many[0] + 24 * 20_000 * 16
+
+
 def test_shingles():
     assert len(d.shingles(b"a b c")[0]) == 1 and len(d.shingles(b"a b c d e f")[0]) == 2 and len(d.shingles(b" .,")[0]) == 0
     assert d.shingles(b"A, b c; D e!")[0].tolist() == d.shingles(b"a b c d e")[0].tolist()
